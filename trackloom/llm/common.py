@@ -35,8 +35,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of documents holds."""
+    """Bound what one Arrow batch of documents holds, and keep Spark from reading texts once more only to filter a join."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -13,6 +13,7 @@ classes in four steps, all of them Spark shuffles over narrow rows:
    size bound or the position bound rules out are skipped whole. A pair whose distances to a common head are already
    known is decided by the triangle inequality of the Jaccard distance where that suffices, without touching the sets.
 
+Before whole sets are fetched, parity bitmaps (a bit a shingle) rule out most pairs: an exact bound, not an estimate.
 Step 4 covers every pair that steps 2 and 3 left open, so no link between different components is lost.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components, small_batches, stored
+from trackloom.llm.common import checkpointed, components, small_batches, stored
 from trackloom.llm.shingles import U, distinct, mix, shingle_hashes
 
 #: Size of the count array (log2); with one byte a bucket when broadcast it takes 2 MB whatever the input.
@@ -35,6 +36,8 @@ CHUNK = 4096
 LIST_ROWS = 4096
 #: Pairs of one class that a single task verifies.
 PAIRS_OF_A_KEY = 64
+#: Rows at most of a table of such classes that is broadcast.
+HOT_KEYS = 100_000
 #: Bits (log2) of the filter that names the classes whose sets are to be fetched: 8 MB, whatever the input.
 FILTER_BITS = 26
 
@@ -221,32 +224,99 @@ def _key_filter(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(id, n, key, tokens) of every document; tokens, sorted and eight bytes each, once per task for classes that the filter names."""
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parity bits: bit i tells whether an odd number of the set's shingles fall to place i; at least as many places as shingles."""
+    places = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & U(places - 1)).view(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def _own(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, key, bitmap) of every document; the bitmap once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
         seen = set()
         for b in batches:
-            n, keys, blobs = [], [], []
+            n, keys, maps = [], [], []
             for s in shingle_hashes(b.column("t").to_pylist(), k):
                 s = distinct(s)
                 key = set_key(s) if len(s) else None
                 n.append(len(s))
                 keys.append(key)
-                blobs.append(None)
-                if key is not None and key not in seen:
-                    h = int(mix(np.array([key], np.int64).view(U))[0] >> U(64 - FILTER_BITS))
-                    if bits[h >> 3] >> (7 - (h & 7)) & 1:
-                        seen.add(key)
-                        blobs[-1] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["id", "n", "key", "tokens"])
+                maps.append(None if key is None or key in seen else _bitmap(s))
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary())], ["id", "n", "key", "bitmap"])
+
+    return docs.mapInArrow(run, "id long, n long, key long, bitmap binary")
+
+
+def _sets(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
+    """(key, tokens, in_a, in_b): the classes in columns a and b of pairs (and perhaps a few more), once per task; tokens sorted, eight bytes each."""
+    sc = docs.sparkSession.sparkContext
+    wanted = [sc.broadcast(_key_filter(pairs.select(F.col(x).alias("key")))) for x in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.frombuffer(w.value, np.uint8) for w in wanted]
+        seen = set()
+        for b in batches:
+            own, blobs, named = [], [], []
+            for s in shingle_hashes(b.column("t").to_pylist(), k):
+                s = distinct(s)
+                if not len(s) or (key := set_key(s)) in seen:
+                    continue
+                h = int(mix(np.array([key], np.int64).view(U))[0] >> U(64 - FILTER_BITS))
+                there = [bool(x[h >> 3] >> (7 - (h & 7)) & 1) for x in bits]
+                if any(there):
+                    seen.add(key)
+                    own.append(key)
+                    blobs.append(s.tobytes())
+                    named.append(there)
+            flags = [pa.array([x[i] for x in named], pa.bool_()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blobs, pa.binary()), *flags], ["key", "tokens", "in_a", "in_b"])
 
-    return docs.mapInArrow(run, "id long, n long, key long, tokens binary")
+    return docs.select("t").mapInArrow(run, "key long, tokens binary, in_a boolean, in_b boolean")
+
+
+def _with_sets(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs with what the tables (key, tokens) have for a and for b.
+
+    A key with very many pairs is dealt to several tasks, its set copied to each. Such keys are at most one in
+    PAIRS_OF_A_KEY pairs; their table is broadcast only if it is small.
+    """
+
+    def join(left: DataFrame, sets: DataFrame, key: str, name: str) -> DataFrame:
+        hot = checkpointed(pairs.groupBy(key).count().where(F.col("count") > PAIRS_OF_A_KEY).select(F.col(key).alias("hot_key"), F.ceil(F.col("count") / PAIRS_OF_A_KEY).cast("int").alias("parts")))
+        n = hot.count()
+        own = sets.select(F.col("key").alias(key), F.col("tokens").alias(name))
+        if not n:
+            return left.join(own, key)
+        hot = F.broadcast(hot) if n <= HOT_KEYS else hot
+        parts = F.coalesce("parts", F.lit(1))
+        own = own.join(hot, F.col(key) == F.col("hot_key"), "left").select(key, name, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        dealt = left.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts", "hot_key")
+        return dealt.join(own, [key, "part"]).drop("part")
+
+    return join(join(pairs, sets_b, "b", "y"), sets_a, "a", "x").select("a", "b", "x", "y")
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps do not rule out: sets differ in at least as many shingles as their bitmaps in bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, n, m in zip(b.column("x"), b.column("y"), b.column("x_n").to_pylist(), b.column("y_n").to_pylist(), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                if len(s) > len(t):
+                    s, t = t, s
+                t = np.bitwise_xor.reduce(t.reshape(-1, len(s)), axis=0)  # parities of fewer places
+                keep.append(int(np.bitwise_count(s ^ t).sum()) * (100 + percent) <= (100 - percent) * (n + m))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    return _with_sets(pairs, maps, maps).select("a", "b", F.col("x.bitmap").alias("x"), F.col("y.bitmap").alias("y"), F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n")).mapInArrow(run, "a long, b long")
 
 
 def _with_set(pairs: DataFrame, sets: DataFrame, key: str, name: str) -> DataFrame:
-    """pairs with the set of their column key as a new column. A key with very many pairs is dealt to several tasks, its set copied to each."""
+    """pairs with what the table sets (key, tokens) has for their column key as a new column. A key with very many pairs is dealt to several tasks, its set copied to each."""
     count = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_OF_A_KEY).alias("parts"))
     own = sets.withColumnRenamed("key", key).join(count, key).select(key, F.col("tokens").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
     dealt = pairs.join(count, key).withColumn("part", F.pmod(F.xxhash64("a", "b"), "parts").cast("int")).drop("parts")
@@ -270,8 +340,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             n, u = np.array(shared, np.int64), np.array(total, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n), pa.array(u), pa.array(100 * n >= percent * u)], ["a", "b", "shared", "total", "linked"])
 
-    both = _with_set(_with_set(pairs, sets, "b", "y"), sets, "a", "x")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long, linked boolean")
+    both = _with_sets(pairs, sets.where("in_a"), sets.where("in_b"))
+    found = both.mapInArrow(run, "a long, b long, shared long, total long, linked boolean")
+    return found.dropDuplicates(["a", "b"])  # a class may come from several tasks
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -291,11 +362,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         level[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.level
     levels = spark.sparkContext.broadcast(bytes(level))
     lists = stored(_heads(_postings(docs, k, percent, levels)))
-    wanted = spark.sparkContext.broadcast(_key_filter(lists.select("key")))
-    own = stored(_sets(docs, k, wanted))
-    sets = own.where("tokens IS NOT NULL").select("key", "tokens").dropDuplicates(["key"])
+    own = stored(_own(docs, k))
+    maps = own.where("bitmap IS NOT NULL").dropDuplicates(["key"]).select("key", F.struct("n", "bitmap").alias("tokens"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        possible = stored(_possible(pairs, maps, percent))
+        return stored(_verified(possible, _sets(docs, k, possible), percent))
+
     stars = stored(lists.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-    tried = stored(_verified(stars, sets, percent))
+    tried = verified(stars)
     links = tried.where("linked").select("a", "b")
     label = stored(components(links))
     # lists that still hold more than one component; first the cheap test by partial aggregation
@@ -304,9 +379,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = tried.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("total")).alias("dist"))
     left_open = named.join(open_lists, "token").join(known, ["head", "key"], "left")
     left_open = left_open.withColumn("dist", F.when(F.col("head") == F.col("key"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(_probes(left_open, percent).join(done, ["a", "b"], "left_anti"))
-    late = stored(_verified(more, sets, percent).where("linked").select("a", "b"))
+    late = verified(more).where("linked").select("a", "b")
     label = components(links.union(late))
     classes = own.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
     classes = classes.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
