@@ -5,6 +5,313 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trackloom.functions import expressions as X
+from trackloom.operators import evaluation as E
+from trackloom.operators import identity, proximity, sightings
+from trackloom.sources.standins import detections, evaluation, table, track_features
+
+GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, CAPTION_WORDS = 1440, 30, 10.0, 30.0, 3, 12
+PEOPLE, COLOURS = ["the", "de", "die"], ["and", "of", "la", "der"]
+HOMOGRAPHY = [[1.2, 0.1, 30.0], [0.05, 1.4, 20.0], [0.0005, 0.001, 1.0]]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+DET = """det AS (SELECT event_id AS ordinal, CASE event_type WHEN 'click' THEN '1' WHEN 'error' THEN '2' WHEN 'purchase' THEN '3' WHEN 'signup' THEN '4' ELSE '5' END AS camera,
+  user_id AS global_id, CAST(floor(epoch_us(ts)/60000000) AS BIGINT) - 28401120 AS frame, value AS wx, CAST(json_extract_string(props,'$.k') AS DOUBLE) AS wy FROM events)"""
+SEG = f"""{DET}, lagged AS (SELECT *, coalesce(frame - lag(frame) OVER (PARTITION BY global_id, camera ORDER BY frame, ordinal) > {GAP}, false) AS fresh FROM det),
+seg AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY global_id, camera ORDER BY frame, ordinal ROWS UNBOUNDED PRECEDING) AS seg_idx FROM lagged)"""
+SIGHT = f"""{SEG}, s AS (SELECT global_id, camera, CAST(seg_idx AS BIGINT) AS seg_idx, min(frame) AS start_frame, max(frame) AS end_frame, round_even(avg(wx), 3) AS mean_world_x, round_even(avg(wy), 3) AS mean_world_y, count(*) AS num_detections FROM seg GROUP BY 1, 2, 3)"""
+POS = f"""{SEG}, sized AS (SELECT *, count(*) OVER (PARTITION BY global_id, camera, seg_idx) AS dets FROM seg),
+last AS (SELECT *, row_number() OVER (PARTITION BY global_id, camera, frame ORDER BY ordinal DESC) AS r FROM sized),
+pos AS (SELECT global_id, camera, frame, wx, wy, dets, row_number() OVER (PARTITION BY global_id, camera ORDER BY frame) - 1 AS place FROM last WHERE r = 1)"""
+PAIRS = f"""{POS}, near AS (SELECT t.global_id AS target, o.global_id AS other, t.camera, t.frame AS tf, o.frame AS of_, t.dets AS td, o.dets AS od,
+  sqrt((o.wx-t.wx)*(o.wx-t.wx)+(o.wy-t.wy)*(o.wy-t.wy)) AS d FROM pos t JOIN pos o ON t.camera = o.camera AND o.place % {STRIDE} = 0 AND t.global_id <> o.global_id AND abs(t.frame - o.frame) <= {NEAR_FRAMES}),
+p AS (SELECT *, round_even(d, 2) AS r FROM near WHERE d <= {NEAR}), low AS (SELECT *, min(r) OVER (PARTITION BY target, other) AS m FROM p),
+tier AS (SELECT *, max(CASE WHEN d < r THEN 1 ELSE 0 END) OVER (PARTITION BY target, other) AS any_below FROM low WHERE r = m),
+pick AS (SELECT *, row_number() OVER (PARTITION BY target, other ORDER BY CASE WHEN d < r THEN 1 ELSE 0 END DESC,
+  CASE WHEN any_below = 1 THEN -CAST(camera AS INT) ELSE CAST(camera AS INT) END, CASE WHEN any_below = 1 THEN -of_ ELSE of_ END, CASE WHEN any_below = 1 THEN -tf ELSE tf END) AS k FROM tier),
+m AS (SELECT target, other, camera, tf AS target_frame, of_ AS other_frame, r AS distance_m, least(td, od) AS min_detections,
+  CASE WHEN r <= 0.15 THEN 'likely_same_person' WHEN least(td, od) < 3 THEN 'uncertain_proximity' ELSE 'confirmed_proximity' END AS match_type FROM pick WHERE k = 1)"""
+
+
+def _eval(x: str) -> str:
+    return f"""{DET}, once AS (SELECT *, 'scene_' || camera AS scene, CAST(floor(frame/60.0) AS BIGINT) + 1 AS fr, row_number() OVER (PARTITION BY camera, CAST(floor(frame/60.0) AS BIGINT), global_id ORDER BY ordinal) AS r FROM det),
+g AS (SELECT scene, fr AS frame, global_id AS gt, {x} AS x FROM once WHERE r = 1 AND ordinal % 20 <> 0),
+t AS (SELECT scene, fr AS frame, global_id + CASE WHEN fr > 360 THEN 100000 ELSE 0 END AS trk, {x} + (ordinal % 13) * 0.137 AS x FROM once WHERE r = 1 AND ordinal % 10 <> 1),
+sim AS (SELECT g.scene, g.frame, g.gt, t.trk, 1 - sqrt((g.x-t.x)*(g.x-t.x)) / 2.0 AS sim FROM g JOIN t ON g.scene = t.scene AND g.frame = t.frame WHERE 1 - sqrt((g.x-t.x)*(g.x-t.x)) / 2.0 > 0),
+cnt AS (SELECT coalesce(a.scene, b.scene) AS scene, coalesce(dets, 0) AS dets, coalesce(gt_dets, 0) AS gt_dets, coalesce(ids, 0) AS ids, coalesce(gt_ids, 0) AS gt_ids FROM
+  (SELECT scene, count(*) AS gt_dets, count(DISTINCT gt) AS gt_ids FROM g GROUP BY 1) a FULL JOIN (SELECT scene, count(*) AS dets, count(DISTINCT trk) AS ids FROM t GROUP BY 1) b ON a.scene = b.scene)"""
+
+
+GATED = _eval("global_id * 10 + wy * 0.01")
+HOTA = GATED + """, ng AS (SELECT scene, gt, count(*) AS ng FROM g GROUP BY 1, 2), nt AS (SELECT scene, trk, count(*) AS nt FROM t GROUP BY 1, 2),
+al AS (SELECT CAST(i AS DOUBLE) / 20 AS alpha FROM range(1, 20) r(i)),
+per AS (SELECT scene, alpha, gt, trk, count(*) AS n, sum(sim) AS s FROM sim, al WHERE sim >= alpha - 2.220446049250313e-16 GROUP BY 1, 2, 3, 4),
+tot AS (SELECT per.scene, alpha, sum(n) AS tp, sum(s) AS s, sum(n * n / CAST(greatest(1, ng + nt - n) AS DOUBLE)) AS a FROM per JOIN ng ON per.scene = ng.scene AND per.gt = ng.gt JOIN nt ON per.scene = nt.scene AND per.trk = nt.trk GROUP BY 1, 2),
+f AS (SELECT cnt.scene, al.alpha, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(gt_dets - coalesce(tp, 0) AS BIGINT) AS fn, CAST(dets - coalesce(tp, 0) AS BIGINT) AS fp, coalesce(a, 0) AS a, coalesce(s, 0) AS s FROM cnt CROSS JOIN al LEFT JOIN tot ON tot.scene = cnt.scene AND tot.alpha = al.alpha),
+h AS (SELECT scene, alpha, tp, fn, fp, tp / CAST(greatest(1, tp + fn + fp) AS DOUBLE) AS det_a, a / greatest(1, tp) AS ass_a, s / greatest(1e-10, tp) AS loc_a FROM f)"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sightings(spark: SparkSession, d: str) -> DataFrame:
+    return sightings.sightings(detections(spark, d), GAP)
+
+
+@query(f"WITH {SIGHT} SELECT * FROM s")
+def sighting_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _sightings(spark, d)
+
+
+NODE = "concat_ws(':', 'sighting', CAST(global_id AS VARCHAR), camera, CAST(seg_idx AS VARCHAR))"
+
+
+@query(f"""WITH {SIGHT}, n AS (SELECT *, {NODE} AS node FROM s) SELECT 'entity:' || CAST(global_id AS VARCHAR) AS src, node AS dst, 'HAS_SIGHTING' AS relation FROM n
+UNION ALL SELECT node, 'camera:' || camera, 'IN_CAMERA' FROM n UNION ALL SELECT * FROM (SELECT node, lead(node) OVER (PARTITION BY global_id ORDER BY start_frame, camera, seg_idx) AS nx, 'PRECEDES' FROM n) WHERE nx IS NOT NULL""")
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return sightings.edges(_sightings(spark, d))
+
+
+def _mmss(x: str) -> str:
+    return f"CAST(CAST(round_even({x}, 0) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(round_even({x}, 0) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
+
+
+@query(f"WITH {SIGHT} SELECT global_id, camera, seg_idx, {_mmss('start_frame / 30.0')} AS start, {_mmss('end_frame / 30.0')} AS \"end\", num_detections FROM s")
+def entity_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return sightings.timeline(_sightings(spark, d), FPS)
+
+
+@query(f"WITH {SIGHT} SELECT global_id, start_frame, end_frame FROM s WHERE camera = '2' AND end_frame >= 5000 AND start_frame <= 20000")
+def camera_window(spark: SparkSession, d: str) -> DataFrame:
+    return sightings.in_camera(_sightings(spark, d), "02", 5000, 20000).select("global_id", "start_frame", "end_frame")
+
+
+@query(f"WITH {SIGHT} SELECT x.global_id AS a, y.global_id AS b, count(*) AS n_matches FROM s x JOIN s y ON x.camera = y.camera AND x.global_id < y.global_id AND greatest(x.start_frame - y.end_frame, y.start_frame - x.end_frame) <= 5 GROUP BY 1, 2")
+def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return sightings.cooccurrence(_sightings(spark, d), 5, GAP)
+
+
+@query(f"WITH {SIGHT} SELECT global_id, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(DISTINCT camera) AS n_cameras FROM s GROUP BY 1 HAVING count(DISTINCT camera) > 1")
+def multi_camera_entities(spark: SparkSession, d: str) -> DataFrame:
+    return sightings.multi_camera(_sightings(spark, d))
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return proximity.matches(proximity.band_pairs(detections(spark, d), NEAR_FRAMES, NEAR, GAP, STRIDE))
+
+
+@query(f"WITH {PAIRS} SELECT * FROM m")
+def proximity_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
+
+
+@query(f"WITH {PAIRS} SELECT target, match_type, count(*) AS n FROM m GROUP BY 1, 2")
+def interaction_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).groupBy("target", "match_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT target, count(*) AS interactions FROM m WHERE match_type = 'confirmed_proximity' GROUP BY 1) SELECT * FROM c ORDER BY interactions DESC, target LIMIT 10")
+def interaction_rank(spark: SparkSession, d: str) -> DataFrame:
+    return proximity.interaction_counts(_matches(spark, d)).orderBy(F.desc("interactions"), "target").limit(10)
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT *, row_number() OVER (PARTITION BY other ORDER BY distance_m, target) AS k FROM m WHERE target < 20) SELECT other, target AS searched, distance_m, match_type FROM c WHERE k = 1")
+def proximity_by_candidates(spark: SparkSession, d: str) -> DataFrame:
+    near = _matches(spark, d).where("target < 20")
+    best = Window.partitionBy("other").orderBy("distance_m", "target")
+    return near.withColumn("k", F.row_number().over(best)).where("k = 1").select("other", F.col("target").alias("searched"), "distance_m", "match_type")
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) AS sim FROM embeddings, q WHERE vec_id <> 0)
+SELECT vec_id, round_even(sim, 3) AS similarity FROM s WHERE sim >= 0.1 ORDER BY sim DESC, vec_id LIMIT 20""")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    s = e.where("vec_id <> 0").join(F.broadcast(q)).select("vec_id", X.dot(F.col("embedding"), F.col("q")).alias("sim"))
+    return s.where("sim >= 0.1").orderBy(F.desc("sim"), "vec_id").limit(20).select("vec_id", X.rint(F.col("sim"), 3).alias("similarity"))
+
+
+@query("""WITH v AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), t AS (SELECT label, i, sum(x) AS x FROM v GROUP BY 1, 2),
+n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT t.label, n.n AS members, round_even((sum(x * x) - n.n) / (n.n * (n.n - 1)), 3) AS agreement FROM t JOIN n ON t.label = n.label GROUP BY t.label, n.n""")
+def agreement_by_label(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    total = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    n = e.groupBy("label").agg(F.count("*").alias("members"))
+    square = total.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    return square.join(n, "label").select("label", "members", X.rint((F.col("s") - F.col("members")) / (F.col("members") * (F.col("members") - 1)), 3).alias("agreement"))
+
+
+CAPS = f"caps AS (SELECT doc_id, doc_id % 100 AS entity, array_to_string(string_split(text, ' ')[1:{CAPTION_WORDS}], ' ') AS caption FROM documents)"
+WORDS_SQL = "string_split(regexp_replace(trim(regexp_replace(lower(caption), '[,.\\n]', ' ', 'g')), ' +', ' ', 'g'), ' ')"
+
+
+def _captions(spark: SparkSession, d: str) -> DataFrame:
+    words = F.slice(F.split("text", " "), 1, CAPTION_WORDS)
+    return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 100).alias("entity"), F.array_join(words, " ").alias("caption"))
+
+
+@query(f"WITH {CAPS} SELECT entity, count(*) AS captions, count(*) FILTER (WHERE list_has_any({WORDS_SQL}, ['the', 'de', 'die'])) AS mentioning FROM caps GROUP BY 1")
+def caption_humanness(spark: SparkSession, d: str) -> DataFrame:
+    words = X.caption_words(F.regexp_replace("caption", "\n", " "))
+    said = F.arrays_overlap(words, F.array(*[F.lit(w) for w in PEOPLE]))
+    return _captions(spark, d).groupBy("entity").agg(F.count("*").alias("captions"), F.count(F.when(said, 1)).alias("mentioning"))
+
+
+@query(f"WITH {CAPS} SELECT doc_id, array_to_string(list_filter(string_split(caption, ' '), lambda w: NOT list_has_any(string_split(regexp_replace(lower(w), '^[.,;:]+|[.,;:]+$', '', 'g'), '-'), ['and', 'of', 'la', 'der'])), ' ') AS stripped FROM caps")
+def strip_listed_words(spark: SparkSession, d: str) -> DataFrame:
+    return _captions(spark, d).select("doc_id", X.without_words(F.col("caption"), COLOURS).alias("stripped"))
+
+
+@query(f"WITH {CAPS}, w AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(lower(caption), '[,.;:\\n]', ' ', 'g')), ' +', ' ', 'g'), ' ') AS w FROM caps) SELECT doc_id FROM w WHERE len(list_filter(range(3, len(w) + 1), lambda i: w[i] = w[i-1] AND w[i] = w[i-2])) > 0 OR w = ['']")
+def degenerate_captions(spark: SparkSession, d: str) -> DataFrame:
+    return _captions(spark, d).where(X.degenerate(F.regexp_replace("caption", "\n", " "))).select("doc_id")
+
+
+@query(f"WITH {GATED} SELECT scene, frame, gt, trk, round_even(sim, 6) AS sim FROM sim")
+def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return E.similarity(*evaluation(spark, d)).withColumn("sim", X.rint(F.col("sim"), 6))
+
+
+@query(f"WITH {GATED} SELECT * FROM cnt")
+def count_metric(spark: SparkSession, d: str) -> DataFrame:
+    return E.counts(*evaluation(spark, d))
+
+
+@query(f"""WITH {GATED}, ng AS (SELECT scene, gt, count(*) AS ng FROM g GROUP BY 1, 2), nt AS (SELECT scene, trk, count(*) AS nt FROM t GROUP BY 1, 2),
+den AS (SELECT *, sum(sim) OVER (PARTITION BY scene, frame, gt) + sum(sim) OVER (PARTITION BY scene, frame, trk) - sim AS den FROM sim), pot AS (SELECT scene, gt, trk, sum(sim / den) AS pot FROM den GROUP BY 1, 2, 3)
+SELECT pot.scene, pot.gt, pot.trk, round_even(pot / (ng + nt - pot), 6) AS ga FROM pot JOIN ng ON pot.scene = ng.scene AND pot.gt = ng.gt JOIN nt ON pot.scene = nt.scene AND pot.trk = nt.trk""")
+def hota_alignment(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d)
+    return E.alignment(E.similarity(g, t), g, t).select("scene", "gt", "trk", X.rint(F.col("ga"), 6).alias("ga"))
+
+
+def _rounded(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: X.rint(F.col(c), 6) for c in cols})
+
+
+@query(f"WITH {HOTA} SELECT scene, alpha, tp, fn, fp, round_even(det_a, 6) AS det_a, round_even(ass_a, 6) AS ass_a, round_even(loc_a, 6) AS loc_a, round_even(sqrt(det_a * ass_a), 6) AS hota FROM h")
+def hota_gated(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(E.hota(*evaluation(spark, d)), ["det_a", "ass_a", "loc_a", "hota"])
+
+
+@query(f"WITH {HOTA}, z AS (SELECT scene, avg(sqrt(det_a * ass_a)) AS h, avg(det_a) AS d, avg(ass_a) AS a, avg(loc_a) AS l FROM h GROUP BY 1) SELECT round_even(avg(h), 6) AS hota, round_even(avg(d), 6) AS det_a, round_even(avg(a), 6) AS ass_a, round_even(avg(l), 6) AS loc_a FROM z")
+def hota_final(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(E.final_score(E.hota(*evaluation(spark, d))), ["hota", "det_a", "ass_a", "loc_a"])
+
+
+@query(f"""WITH {GATED}, o AS (SELECT scene, gt, trk, count(*) AS w FROM sim WHERE sim >= 0.5 GROUP BY 1, 2, 3), b AS (SELECT scene, gt, max(w) AS w FROM o GROUP BY 1, 2), tp AS (SELECT scene, CAST(sum(w) AS BIGINT) AS idtp FROM b GROUP BY 1)
+SELECT cnt.scene, coalesce(idtp, 0) AS idtp, gt_dets - coalesce(idtp, 0) AS idfn, dets - coalesce(idtp, 0) AS idfp, round_even(2.0 * coalesce(idtp, 0) / greatest(1, gt_dets + dets), 6) AS idf1 FROM cnt LEFT JOIN tp ON cnt.scene = tp.scene""")
+def identity_gated(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d)
+    return _rounded(E.identity(g, t, E.similarity(g, t)), ["idf1"])
+
+
+@query(f"""WITH {GATED}, mt AS (SELECT * FROM sim WHERE sim >= 0.5 - 2.220446049250313e-16), sw AS (SELECT *, CASE WHEN lag(trk) OVER (PARTITION BY scene, gt ORDER BY frame) <> trk THEN 1 ELSE 0 END AS s FROM mt),
+z AS (SELECT scene, count(*) AS tp, CAST(sum(s) AS BIGINT) AS idsw FROM sw GROUP BY 1)
+SELECT cnt.scene, coalesce(tp, 0) AS tp, gt_dets - coalesce(tp, 0) AS fn, dets - coalesce(tp, 0) AS fp, coalesce(idsw, 0) AS idsw, round_even((coalesce(tp, 0) - (dets - coalesce(tp, 0)) - coalesce(idsw, 0)) / CAST(greatest(1, gt_dets) AS DOUBLE), 6) AS mota FROM cnt LEFT JOIN z ON cnt.scene = z.scene""")
+def clear_gated(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d)
+    return _rounded(E.clear(g, t, E.similarity(g, t)), ["mota"])
+
+
+@query()
+def hota_contested(spark: SparkSession, d: str) -> DataFrame:
+    return E.hota(*evaluation(spark, d, contested=True))
+
+
+@query()
+def identity_contested(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d, contested=True)
+    return E.identity(g, t, E.similarity(g, t))
+
+
+@query()
+def clear_contested(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d, contested=True)
+    return E.clear(g, t, E.similarity(g, t))
+
+
+BOX = "global_id % 360 AS l, CAST(wy AS BIGINT) % 288 AS t, 20 + global_id % 11 AS w, 40 + global_id % 17 AS h"
+
+
+@query(f"""WITH {DET}, b AS (SELECT ordinal, camera, CAST(floor(frame/60.0) AS BIGINT) AS slot, {BOX} FROM det), p AS (SELECT x.ordinal AS a, y.ordinal AS b,
+greatest(least(x.l + x.w, y.l + y.w) - greatest(x.l, y.l), 0) * greatest(least(x.t + x.h, y.t + y.h) - greatest(x.t, y.t), 0) AS i, x.w * x.h + y.w * y.h AS u FROM b x JOIN b y ON x.camera = y.camera AND x.slot = y.slot AND x.ordinal < y.ordinal)
+SELECT a, b, round_even(i / CAST(u - i AS DOUBLE), 6) AS iou FROM p WHERE i > 0""")
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("wy").cast("long")
+    b = detections(spark, d).select("ordinal", "camera", F.floor(F.col("frame") / 60).alias("slot"), (F.col("global_id") % 360).alias("l"), (k % 288).alias("t"), (20 + F.col("global_id") % 11).alias("w"), (40 + F.col("global_id") % 17).alias("h"))
+    y = b.select("camera", "slot", F.col("ordinal").alias("b"), *[F.col(c).alias(c + "2") for c in "ltwh"])
+    p = b.withColumnRenamed("ordinal", "a").join(y, ["camera", "slot"]).where("a < b")
+    return p.select("a", "b", X.rint(X.iou([F.col(c) for c in "ltwh"], [F.col(c + "2") for c in "ltwh"]), 6).alias("iou")).where("iou > 0")
+
+
+@query(f"WITH {DET}, r AS (SELECT *, row_number() OVER (PARTITION BY camera, frame, global_id ORDER BY ordinal) AS k FROM det) SELECT camera, frame, global_id, ordinal FROM r WHERE k = 1")
+def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+    first = Window.partitionBy("camera", "frame", "global_id").orderBy("ordinal")
+    return detections(spark, d).withColumn("k", F.row_number().over(first)).where("k = 1").select("camera", "frame", "global_id", "ordinal")
+
+
+@query(f"WITH {DET}, r AS (SELECT *, row_number() OVER (PARTITION BY global_id, camera ORDER BY frame, ordinal) - 1 AS i, count(*) OVER (PARTITION BY global_id, camera) AS n FROM det) SELECT global_id, camera, ordinal FROM r WHERE n <= 5 OR list_contains([CAST(round_even(k * (n - 1) / 4.0, 0) AS BIGINT) FOR k IN range(5)], i)")
+def evenly_spaced_sample(spark: SparkSession, d: str) -> DataFrame:
+    own = Window.partitionBy("global_id", "camera")
+    r = detections(spark, d).withColumn("i", F.row_number().over(own.orderBy("frame", "ordinal")) - 1).withColumn("n", F.count("*").over(own))
+    places = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.rint(k * (F.col("n") - 1) / 4.0).cast("int"))
+    return r.where((F.col("n") <= 5) | F.array_contains(places, F.col("i"))).select("global_id", "camera", "ordinal")
+
+
+@query(f"WITH {POS} SELECT global_id, camera, frame FROM pos WHERE place % {STRIDE} = 0")
+def stride_sample(spark: SparkSession, d: str) -> DataFrame:
+    return proximity.positions(detections(spark, d), GAP).where(F.col("place") % STRIDE == 0).select("global_id", "camera", "frame")
+
+
+@query(f"WITH {DET}, m AS (SELECT camera, wx, max(wy) AS wy FROM det GROUP BY 1, 2), p AS (SELECT *, max(wy) OVER (PARTITION BY camera ORDER BY wx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM m) SELECT camera, wx, wy FROM p WHERE above IS NULL OR wy > above")
+def pareto_front(spark: SparkSession, d: str) -> DataFrame:
+    above = F.max("wy").over(Window.partitionBy("camera").orderBy(F.desc("wx")).rowsBetween(Window.unboundedPreceding, -1))
+    m = detections(spark, d).groupBy("camera", "wx").agg(F.max("wy").alias("wy")).withColumn("above", above)
+    return m.where("above IS NULL OR wy > above").select("camera", "wx", "wy")
+
+
+def _world_sql() -> str:
+    (a, b, c), (d, e, f), (g, i, j) = HOMOGRAPHY
+    rows = [[e * j - f * i, c * i - b * j, b * f - c * e], [f * g - d * j, a * j - c * g, c * d - a * f], [d * i - e * g, b * g - a * i, a * e - b * d]]
+    x, y, w = (f"(px * {r[0]!r}::DOUBLE + py * {r[1]!r}::DOUBLE + {r[2]!r}::DOUBLE)" for r in rows)
+    return f"round_even({x} / {w}, 3) AS xworld, round_even({y} / {w}, 3) AS yworld"
+
+
+@query(f"WITH {DET}, b AS (SELECT ordinal, {BOX} FROM det), p AS (SELECT ordinal, l + w / 2.0 AS px, t + h AS py FROM b) SELECT ordinal, {_world_sql()} FROM p")
+def ground_point_world(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("wy").cast("long")
+    p = detections(spark, d).select("ordinal", (F.col("global_id") % 360 + (20 + F.col("global_id") % 11) / 2.0).alias("px"), (k % 288 + 40 + F.col("global_id") % 17).cast("double").alias("py"))
+    x, y = X.to_world(HOMOGRAPHY, F.col("px"), F.col("py"))
+    return p.select("ordinal", X.rint(x, 3).alias("xworld"), X.rint(y, 3).alias("yworld"))
+
+
+@query(f"""WITH {SIGHT}, o AS (SELECT *, max(CASE WHEN num_detections >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY global_id) AS any_reliable FROM s) SELECT global_id, camera, seg_idx, num_detections FROM o WHERE num_detections >= 3 OR any_reliable = 0""")
+def reliable_or_all(spark: SparkSession, d: str) -> DataFrame:
+    reliable = F.col("num_detections") >= 3
+    s = _sightings(spark, d).withColumn("any_reliable", F.max(reliable).over(Window.partitionBy("global_id")))
+    return s.where(reliable | ~F.col("any_reliable")).select("global_id", "camera", "seg_idx", "num_detections")
+
+
+@query("SELECT vec_id * 4 AS a, vec_id * 4 + 1 AS b FROM embeddings")
+def match_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of two cameras, matched one to one; the stand-in's true partner is the copy of the same vector."""
+    pairs = identity.scored_pairs(track_features(spark, d).drop("vec_id"), 0.3)
+    return identity.matched_pairs(pairs, 0.6).select("a", "b")
+
+
+@query("SELECT CAST(o.o_orderpriority AS VARCHAR) AS camera, count(DISTINCT o.o_custkey) AS entities, median(CAST(o.o_orderkey AS DOUBLE)) AS middle FROM orders o GROUP BY 1")
+def track_medians(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("camera")).agg(F.countDistinct("o_custkey").alias("entities"), F.median(F.col("o_orderkey").cast("double")).alias("middle"))
