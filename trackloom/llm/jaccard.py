@@ -7,8 +7,8 @@ classes in four steps, all of them Spark shuffles over narrow rows:
    the global order, so what very many sets share falls outside the prefixes. Any order gives exact results.
 2. Each class posts its prefix, (shingle, class, size, position), to the shingle's index list. Long lists are split by
    a salt that follows from the count array, so no task gets an unbounded list.
-3. Each list links its members to one head only. Verified links make components. This is the relation skip: members that
-   are similar to a common head need no probe of each other.
+3. Each class is held against one head only, the list head that it shares most lists with. Verified links make
+   components. This is the relation skip: members that are similar to a common head need no probe of each other.
 4. For lists that hold more than one component, members of different components are probed: blocks of the list that the
    size bound or the position bound rules out are skipped whole. A pair whose distances to a common head are already
    known is decided by the triangle inequality of the Jaccard distance where that suffices, without touching the sets.
@@ -369,7 +369,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         possible = stored(_possible(pairs, maps, percent))
         return stored(_verified(possible, _sets(docs, k, possible), percent))
 
-    stars = stored(lists.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    # each class goes to the one head that it shares most lists with, so there are no more star pairs than classes
+    shared = lists.where("key <> head").groupBy("head", "key").agg(F.count("*").alias("n"))
+    stars = stored(shared.groupBy(F.col("key").alias("b")).agg(F.max_by("head", F.struct("n", "head")).alias("a")))
     tried = verified(stars)
     links = tried.where("linked").select("a", "b")
     label = stored(components(links))
