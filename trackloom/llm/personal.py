@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that no base pattern knows.
 
 All of it is DataFrame functions. Base matches are the seeds. Every identifier-like token (one with a digit or an @) is
-an instance; the words around it make lexical patterns, "the two words before" and "the word before and the word after".
+an instance; the words around it make lexical patterns, "the three words before" and "the two words before and the word after".
 Patterns and instances are a bipartite graph. A pattern's confidence is the confidence of the distinct instances in its
 slot over all tokens of the corpus in its slot, so a context that also holds ordinary words scores near nothing. An
 instance's confidence is 1 for seeds, else the noisy-or of its patterns. A few rounds spread confidence from seeds over
@@ -116,17 +116,17 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(pieces: Column, i: Column) -> Column:
-    """(before2, before, after): the words next to a mention, lower-cased; empty at a border."""
+    """(before3, before2, before, after): the words next to a mention, lower-cased; empty at a border."""
     left = F.split(F.rtrim(F.lower(F.substring(F.get(pieces, i), -SIDE, SIDE))), r"\s+")
     right = F.split(F.ltrim(F.lower(F.substring(F.get(pieces, i + 1), 1, SIDE))), r"\s+")
-    return F.struct(F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("")).alias("before2"), F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("before"), F.coalesce(F.get(right, F.lit(0)), F.lit("")).alias("after"))
+    return F.struct(F.coalesce(F.try_element_at(left, F.lit(-3)), F.lit("")).alias("before3"), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("")).alias("before2"), F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("before"), F.coalesce(F.get(right, F.lit(0)), F.lit("")).alias("after"))
 
 
-def _patterns(before2: Column, before: Column, after: Column) -> Column:
+def _patterns(before3: Column, before2: Column, before: Column, after: Column) -> Column:
     """The hashes of the two patterns around a slot; null where a word is missing."""
     return F.array(
-        F.when((before2 != "") & (before != ""), F.xxhash64(F.lit("before"), before2, before)),
-        F.when((before != "") & (after != ""), F.xxhash64(F.lit("around"), before, after)),
+        F.when((before3 != "") & (before2 != ""), F.xxhash64(F.lit("before"), before3, before2, before)),
+        F.when((before2 != "") & (before != "") & (after != ""), F.xxhash64(F.lit("around"), before2, before, after)),
     )
 
 
@@ -135,7 +135,7 @@ def _slots(text: Column) -> Column:
 
     def around(w: Column) -> Column:
         word = lambda i: F.coalesce(F.when(i >= 0, F.get(w, i)), F.lit(""))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _patterns(word(i - 2), word(i - 1), word(i + 1))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _patterns(word(i - 3), word(i - 2), word(i - 1), word(i + 1))))
 
     return let(F.split(F.lower(text), r"\s+"), around)
 
@@ -157,7 +157,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     m = rows.where("mentions IS NOT NULL").select("id", "text_key", "base", F.explode("mentions").alias("m"))
     lead = F.length(F.col("m.value")) - F.length(F.regexp_replace("m.value", "^[\"'(\\[{<]+", ""))
     value = F.regexp_replace("m.value", EDGE, "")
-    m = m.select("id", "text_key", "base", value.alias("value"), (F.col("m.start") + lead).alias("start"), _patterns(F.col("m.around.before2"), F.col("m.around.before"), F.col("m.around.after")).alias("patterns"))
+    m = m.select("id", "text_key", "base", value.alias("value"), (F.col("m.start") + lead).alias("start"), _patterns(F.col("m.around.before3"), F.col("m.around.before2"), F.col("m.around.before"), F.col("m.around.after")).alias("patterns"))
     m = m.withColumn("end", F.col("start") + F.length("value")).where(F.length("value") >= 6)
     seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     m = m.withColumn("seed", seed).drop("base")
