@@ -28,6 +28,8 @@ END_ID = 1
 #: Pieces in a block, on average.
 BLOCK = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, CHILDREN = 2, 2, 3, 4, 3
+#: Tasks at most that evolve islands.
+MOST_TASKS = 2000
 #: Bins with more than this share of room are dissolved into the next level.
 ROOM = 0.004
 #: Runs without blanks, and parts of runs, whose ids a worker remembers: about 300 MB.
@@ -266,11 +268,12 @@ def _pack_level(items: DataFrame, blocks: int, capacity: int, level: int, last:
     dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block"))
     gathered = dealt.groupBy("block").applyInArrow(gather, "block long, uids binary, lens binary")
     state = gathered.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-    spread = lambda d: d.repartition("block", "island")  # noqa: E731  so that the islands of a block may run in different tasks
+    # an explicit number of tasks: the islands' states are small, their work is not
+    spread = lambda d: d.repartition(min(MOST_TASKS, blocks * ISLANDS), "block", "island")
     state = stored(_epoch(spread(state), capacity, seed, True))
     for e in range(1, EPOCHS):
         migrants = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("migrant"))
-        state = stored(_epoch(state.join(migrants, ["block", "island"]), capacity, seed + e, False))
+        state = stored(_epoch(spread(state.join(migrants, ["block", "island"])), capacity, seed + e, False))
     best = state.groupBy("block").agg(F.max_by(F.struct("uids", "lens", "elite"), F.struct(-F.col("bins"), "fill", "island")).alias("b"))
     return best.select("block", "b.*").mapInArrow(place, "uid long, length long, sequence_id long, offset long")
 
