@@ -38,6 +38,8 @@ LIST_ROWS = 4096
 PAIRS_OF_A_KEY = 64
 #: Rows at most of a table of such classes that is broadcast.
 HOT_KEYS = 100_000
+#: Places of the bitmaps that travel with the rows of lists.
+SMALL_PLACES = 512
 #: Bits (log2) of the filter that names the classes whose sets are to be fetched: 8 MB, whatever the input.
 FILTER_BITS = 26
 
@@ -172,10 +174,11 @@ def _heads(posted: DataFrame) -> DataFrame:
 
 def _probes(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of one list in different components that pass the size and position bounds; blocks are skipped whole."""
-    names = ("token", "key", "size", "pos", "comp", "head", "dist")
+    names = ("token", "key", "size", "pos", "comp", "head", "dist", "small")
 
     def pairs(x: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         size, pos, comp, key, head, dist = (x[n][lo:hi] for n in ("size", "pos", "comp", "key", "head", "dist"))
+        bits = np.frombuffer(b"".join(x["small"][lo:hi]), U).reshape(hi - lo, -1)
         # the list is sorted by size: for member i only sizes up to size[i] * 100 / percent can match
         end = np.searchsorted(size, size * 100 // percent, side="right")
         for i in range(hi - lo - 1):
@@ -184,6 +187,9 @@ def _probes(rows: DataFrame, percent: int) -> DataFrame:
             room = 1 + np.minimum(size[i] - pos[i], size[block] - pos[block]) - 1
             far = (head[block] == head[i]) & (np.abs(dist[block] - dist[i]) > (100 - percent) / 100 + 1e-9)
             j = np.flatnonzero((comp[block] != comp[i]) & (room >= need) & ~far) + i + 1
+            if len(j):  # the sets differ in at least as many shingles as their parity bits
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                j = j[differ * (100 + percent) <= (100 - percent) * (size[j].astype(np.int64) + size[i])]
             if len(j):
                 yield np.full(len(j), key[i]), key[j]
 
@@ -230,23 +236,30 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & U(places - 1)).view(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
 
 
+def _small_bitmap(s: np.ndarray) -> bytes:
+    """Parity bits of SMALL_PLACES places, which travel with the rows of lists."""
+    return np.packbits(np.bincount((s & U(SMALL_PLACES - 1)).view(np.int64), minlength=SMALL_PLACES).astype(np.uint8) & 1).tobytes()
+
+
 def _own(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, key, bitmap) of every document; the bitmap once per class and task."""
+    """(id, n, key, bitmap, small) of every document; the bitmaps once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in batches:
-            n, keys, maps = [], [], []
+            n, keys, maps, small = [], [], [], []
             for s in shingle_hashes(b.column("t").to_pylist(), k):
                 s = distinct(s)
                 key = set_key(s) if len(s) else None
                 n.append(len(s))
                 keys.append(key)
-                maps.append(None if key is None or key in seen else _bitmap(s))
+                known = key is None or key in seen
+                maps.append(None if known else _bitmap(s))
+                small.append(None if known else _small_bitmap(s))
                 seen.add(key)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary())], ["id", "n", "key", "bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.array(small, pa.binary())], ["id", "n", "key", "bitmap", "small"])
 
-    return docs.mapInArrow(run, "id long, n long, key long, bitmap binary")
+    return docs.mapInArrow(run, "id long, n long, key long, bitmap binary, small binary")
 
 
 def _sets(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
@@ -381,6 +394,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = tried.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("total")).alias("dist"))
     left_open = named.join(open_lists, "token").join(known, ["head", "key"], "left")
     left_open = left_open.withColumn("dist", F.when(F.col("head") == F.col("key"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))))
+    left_open = left_open.join(own.where("small IS NOT NULL").groupBy("key").agg(F.first("small").alias("small")), "key")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(_probes(left_open, percent).join(done, ["a", "b"], "left_anti"))
     late = verified(more).where("linked").select("a", "b")
