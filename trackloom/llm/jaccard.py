@@ -225,7 +225,7 @@ def _key_filter(keys: DataFrame) -> bytes:
 
     placed = keys.distinct().mapInArrow(place, "chunk long, bit long").distinct()
     out = np.zeros((1 << FILTER_BITS - 16, 1 << 13), np.uint8)
-    for r in placed.groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").toLocalIterator():
+    for r in placed.groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").collect():  # 8 MB at most, in one job
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
@@ -371,7 +371,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
     docs = _docs(df, id_col, text_col)
     level = bytearray(1 << BUCKET_BITS)
-    for r in _counts(docs, k).toLocalIterator():  # 2^21 bytes in all
+    for r in _counts(docs, k).collect():  # 2^21 bytes in all, in one job
         level[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.level
     levels = spark.sparkContext.broadcast(bytes(level))
     lists = stored(_heads(_postings(docs, k, percent, levels)))
