@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.functions import calibration, colours
 from trackloom.functions import expressions as X
 from trackloom.operators import evaluation as E
-from trackloom.operators import identity, proximity, sightings
+from trackloom.operators import captions, identity, proximity, sampling, sightings
 from trackloom.sources.standins import detections, evaluation, table, track_features
 
 GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, CAPTION_WORDS = 1440, 30, 10.0, 30.0, 3, 12
@@ -315,3 +316,111 @@ def match_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(o.o_orderpriority AS VARCHAR) AS camera, count(DISTINCT o.o_custkey) AS entities, median(CAST(o.o_orderkey AS DOUBLE)) AS middle FROM orders o GROUP BY 1")
 def track_medians(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("camera")).agg(F.countDistinct("o_custkey").alias("entities"), F.median(F.col("o_orderkey").cast("double")).alias("middle"))
+
+
+CLEAR_RATES = ["mtr", "ptr", "mlr", "motp", "clr_re", "clr_pr", "moda", "mota", "motal", "smota", "clr_f1", "fp_per_frame", "motp_sum"]
+
+
+@query(f"""WITH {GATED}, mt AS (SELECT * FROM sim WHERE sim >= 0.5 - 2.220446049250313e-16),
+bf AS (SELECT scene, frame, dense_rank() OVER (PARTITION BY scene ORDER BY frame) AS k FROM (SELECT scene, frame FROM g INTERSECT SELECT scene, frame FROM t)),
+sw AS (SELECT mt.*, CASE WHEN lag(trk) OVER w <> trk THEN 1 ELSE 0 END AS s, CASE WHEN k - lag(k) OVER w > 1 THEN 1 ELSE 0 END AS br FROM mt JOIN bf ON mt.scene = bf.scene AND mt.frame = bf.frame WINDOW w AS (PARTITION BY mt.scene, gt ORDER BY mt.frame)),
+z AS (SELECT scene, count(*) AS tp, sum(s) AS idsw, sum(br) AS frag, sum(sim) AS motp_sum FROM sw GROUP BY 1),
+share AS (SELECT n.scene, n.gt, coalesce(h, 0) / CAST(n AS DOUBLE) AS r FROM (SELECT scene, gt, count(*) AS n FROM g GROUP BY 1, 2) n LEFT JOIN (SELECT scene, gt, count(*) AS h FROM mt GROUP BY 1, 2) m ON n.scene = m.scene AND n.gt = m.gt),
+kept AS (SELECT scene, count(*) FILTER (WHERE r > 0.8) AS mt, count(*) FILTER (WHERE r >= 0.2 AND r <= 0.8) AS pt, count(*) FILTER (WHERE r < 0.2) AS ml FROM share GROUP BY 1),
+fr AS (SELECT scene, count(*) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1),
+c AS (SELECT cnt.scene, frames, CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(gt_dets - coalesce(tp, 0) AS DOUBLE) AS fn, CAST(dets - coalesce(tp, 0) AS DOUBLE) AS fp, CAST(coalesce(idsw, 0) AS DOUBLE) AS idsw, coalesce(frag, 0) AS frag, coalesce(mt, 0) AS mt, coalesce(pt, 0) AS pt, coalesce(ml, 0) AS ml, coalesce(motp_sum, 0) AS motp_sum
+  FROM cnt JOIN fr ON cnt.scene = fr.scene LEFT JOIN z ON cnt.scene = z.scene LEFT JOIN kept ON cnt.scene = kept.scene)
+SELECT scene, frames, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, CAST(idsw AS BIGINT) AS idsw, CAST(frag AS BIGINT) AS frag, mt, pt, ml, round_even(motp_sum, 6) AS motp_sum,
+  round_even(mt / CAST(greatest(1, mt + pt + ml) AS DOUBLE), 6) AS mtr, round_even(pt / CAST(greatest(1, mt + pt + ml) AS DOUBLE), 6) AS ptr, round_even(ml / CAST(greatest(1, mt + pt + ml) AS DOUBLE), 6) AS mlr, round_even(motp_sum / greatest(1, tp), 6) AS motp,
+  round_even(tp / greatest(1, tp + fn), 6) AS clr_re, round_even(tp / greatest(1, tp + fp), 6) AS clr_pr, round_even((tp - fp) / greatest(1, tp + fn), 6) AS moda, round_even((tp - fp - idsw) / greatest(1, tp + fn), 6) AS mota,
+  round_even((tp - fp - CASE WHEN idsw > 0 THEN log10(greatest(1, idsw)) ELSE 0 END) / greatest(1, tp + fn), 6) AS motal, round_even((motp_sum - fp - idsw) / greatest(1, tp + fn), 6) AS smota, round_even(tp / greatest(1, tp + 0.5 * fn + 0.5 * fp), 6) AS clr_f1, round_even(fp / greatest(1, frames), 6) AS fp_per_frame FROM c""")
+def clear_fields_gated(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d)
+    return _rounded(E.clear_fields(g, t, E.similarity(g, t)), CLEAR_RATES)
+
+
+COMBINED = ["det_re", "det_pr", "det_a", "ass_a", "loc_a", "hota", "owta"]
+
+
+@query(f"""WITH {HOTA}, c AS (SELECT alpha, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fn) AS DOUBLE) AS fn, CAST(sum(fp) AS DOUBLE) AS fp, sum(ass_a * tp) / greatest(1, sum(tp)) AS ass_a, sum(loc_a * tp) / greatest(1, sum(tp)) AS loc_a FROM h GROUP BY 1),
+x AS (SELECT *, tp / greatest(1, tp + fn + fp) AS det_a, tp / greatest(1, tp + fn) AS det_re, tp / greatest(1, tp + fp) AS det_pr FROM c)
+SELECT alpha, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, round_even(det_re, 6) AS det_re, round_even(det_pr, 6) AS det_pr, round_even(det_a, 6) AS det_a, round_even(ass_a, 6) AS ass_a, round_even(loc_a, 6) AS loc_a, round_even(sqrt(det_a * ass_a), 6) AS hota, round_even(sqrt(det_re * ass_a), 6) AS owta FROM x""")
+def hota_combined(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(E.combined_sequences(E.hota(*evaluation(spark, d)), []), COMBINED)
+
+
+@query(f"""WITH {HOTA}, w AS (SELECT scene, {', '.join(f"max(sqrt(det_a * ass_a)) FILTER (WHERE round(alpha * 100) = {5 * i}) AS v{5 * i}" for i in range(1, 20))}, avg(sqrt(det_a * ass_a)) AS auc FROM h GROUP BY 1)
+SELECT scene, {', '.join(f"round_even(v{5 * i}, 6) AS hota___{5 * i}" for i in range(1, 20))}, round_even(auc, 6) AS "hota___AUC" FROM w""")
+def hota_detailed(spark: SparkSession, d: str) -> DataFrame:
+    wide = E.detailed(E.hota(*evaluation(spark, d)), "hota")
+    return _rounded(wide, wide.columns[1:])
+
+
+@query(f"WITH {HOTA} SELECT scene, round_even(sqrt(det_a * ass_a), 6) AS hota_0, round_even(loc_a, 6) AS loc_a_0, round_even(sqrt(det_a * ass_a) * loc_a, 6) AS hota_loc_a_0 FROM h WHERE round(alpha * 100) = 5")
+def hota_first_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(E.at_first_threshold(E.hota(*evaluation(spark, d))), ["hota_0", "loc_a_0", "hota_loc_a_0"])
+
+
+@query("""WITH e AS (SELECT label AS entity, vec_id AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 >= 3), x AS (SELECT entity, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+s AS (SELECT entity, i, sum(x) AS x FROM x GROUP BY 1, 2), t AS (SELECT entity, list(x ORDER BY i) AS total FROM s GROUP BY 1), n AS (SELECT entity, count(*) AS n FROM e GROUP BY 1),
+r AS (SELECT e.entity, idx, total, row_number() OVER (PARTITION BY e.entity ORDER BY list_inner_product(v, total) DESC, idx) AS k FROM e JOIN t ON e.entity = t.entity)
+SELECT r.entity, idx, n, round_even((list_inner_product(total, total) - n) / (n * (n - 1)), 3) AS agreement FROM r JOIN n ON r.entity = n.entity WHERE k = 1""")
+def consensus_by_label(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("idx"), F.lit("a man walks").alias("caption"), (F.col("vec_id") % 10 / 10.0).alias("confidence"), F.col("embedding").alias("vector"))
+    return captions.consensus(captions.candidates(e, ["man"])).select("entity", "idx", "n", X.rint(F.col("agreement"), 3).alias("agreement"))
+
+
+@query(f"""WITH {DET}, b AS (SELECT *, CAST(wy AS BIGINT) % 5 = 0 AS touches FROM det), t AS (SELECT DISTINCT global_id, camera, frame + 7 AS target FROM det WHERE ordinal % 3 = 0),
+n AS (SELECT t.*, b.frame, b.touches, b.ordinal, row_number() OVER (PARTITION BY t.global_id, t.camera, target ORDER BY touches, abs(b.frame - target), b.frame < target, b.ordinal) AS k FROM t JOIN b ON t.global_id = b.global_id AND t.camera = b.camera AND abs(b.frame - target) <= 600),
+f AS (SELECT *, row_number() OVER (PARTITION BY global_id, camera ORDER BY target DESC) AS z FROM n WHERE k = 1) SELECT global_id, camera, target, frame, touches, ordinal FROM f WHERE z = 1""")
+def nearest_box_of_last_target(spark: SparkSession, d: str) -> DataFrame:
+    b = detections(spark, d)
+    targets = b.where("ordinal % 3 = 0").select("global_id", "camera", (F.col("frame") + 7).alias("target"))
+    boxes = b.select("global_id", "camera", "frame", "ordinal", (F.col("wy").cast("long") % 5 == 0).alias("touches"))
+    return sampling.last_target(sampling.nearest_boxes(targets, boxes, 600)).select("global_id", "camera", "target", "frame", "touches", "ordinal")
+
+
+@query(f"""WITH {SEG}, i AS (SELECT global_id, camera, CAST(seg_idx AS BIGINT) AS seg_idx, frame, row_number() OVER (PARTITION BY global_id, camera, seg_idx ORDER BY frame, ordinal) - 1 AS i, count(*) OVER (PARTITION BY global_id, camera, seg_idx) AS n FROM seg),
+r AS (SELECT *, row_number() OVER (PARTITION BY global_id ORDER BY n DESC, camera, seg_idx) AS k FROM (SELECT DISTINCT global_id, camera, seg_idx, n FROM i))
+SELECT i.global_id, i.camera, i.seg_idx, min(frame) AS first, max(frame) AS last FROM i JOIN r ON i.global_id = r.global_id AND i.camera = r.camera AND i.seg_idx = r.seg_idx WHERE k <= 2 AND i.i >= i.n // 2 AND i.i < least(i.n // 2 + 2, i.n) GROUP BY 1, 2, 3""")
+def clip_windows(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.clip_windows(sightings.segmented(detections(spark, d), GAP), 2, 2)
+
+
+@query(f"""WITH {DET}, p AS (SELECT *, ordinal % 2 AS side, CAST(floor(frame/60.0) AS BIGINT) AS slot FROM det), n AS (SELECT a.side, a.ordinal, min(sqrt((a.wx-b.wx)*(a.wx-b.wx)+(a.wy-b.wy)*(a.wy-b.wy))) AS d FROM p a JOIN p b ON a.side = b.side AND a.slot = b.slot AND a.camera <> b.camera GROUP BY 1, 2)
+SELECT side, count(*) AS points, round_even(avg(d), 6) AS mean_nearest FROM n GROUP BY 1""")
+def cross_camera_agreement(spark: SparkSession, d: str) -> DataFrame:
+    p = detections(spark, d).select(F.col("ordinal").alias("id"), (F.col("ordinal") % 2).alias("side"), F.floor(F.col("frame") / 60).alias("slot"), "camera", "wx", "wy")
+    return sampling.cross_camera_agreement(p, ["side"], ["slot"]).withColumn("mean_nearest", X.rint(F.col("mean_nearest"), 6))
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY target, match_type ORDER BY distance_m, other) AS k FROM m) SELECT target, match_type, other, distance_m FROM k WHERE k <= 3")
+def proximity_topk_by_type(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("target", "match_type").orderBy("distance_m", "other"))
+    return _matches(spark, d).withColumn("k", place).where("k <= 3").select("target", "match_type", "other", "distance_m")
+
+
+def _lab_sql() -> str:
+    line = lambda c: f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92 END AS l{c}"
+    f = lambda t: f"CASE WHEN {t} > 0.008856 THEN cbrt({t}) ELSE 7.787 * {t} + 16.0::DOUBLE / 116.0::DOUBLE END"
+    named = ", ".join(f"('{n}', {i}, {r}, {g}, {b})" for i, (n, (r, g, b)) in enumerate(colours.PALETTE.items()))
+    return f"""px AS (SELECT CAST(NULL AS VARCHAR) AS name, event_id AS id, CAST(event_id * 37 % 256 AS DOUBLE) AS r, CAST(event_id * 91 % 256 AS DOUBLE) AS g, CAST(event_id * 53 % 256 AS DOUBLE) AS b FROM events
+UNION ALL SELECT n, i, r, g, b FROM (VALUES {named}) v(n, i, r, g, b)), li AS (SELECT name, id, {line('r')}, {line('g')}, {line('b')} FROM px),
+xyz AS (SELECT name, id, (lr * 0.412453 + lg * 0.357580 + lb * 0.180423) / 0.950456 AS x, lr * 0.212671 + lg * 0.715160 + lb * 0.072169 AS y, (lr * 0.019334 + lg * 0.119193 + lb * 0.950227) / 1.088754 AS z FROM li),
+lab AS (SELECT name, id, round_even((CASE WHEN y > 0.008856 THEN 116.0 * cbrt(y) - 16.0 ELSE 903.3 * y END) * 2.55, 0) AS l, round_even(500.0 * ({f('x')} - {f('y')}) + 128.0, 0) AS a, round_even(200.0 * ({f('y')} - {f('z')}) + 128.0, 0) AS b FROM xyz)"""
+
+
+@query(f"""WITH {_lab_sql()}, k AS (SELECT p.id, n.name, row_number() OVER (PARTITION BY p.id ORDER BY (p.l-n.l)*(p.l-n.l)+(p.a-n.a)*(p.a-n.a)+(p.b-n.b)*(p.b-n.b), n.id) AS k FROM lab p JOIN lab n ON p.name IS NULL AND n.name IS NOT NULL) SELECT id, name AS colour FROM k WHERE k = 1""")
+def nearest_colours(spark: SparkSession, d: str) -> DataFrame:
+    value = lambda m: (F.col("event_id") * m % 256).cast("double")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), colours.nearest_colour(value(37), value(91), value(53)).alias("colour"))
+
+
+@query()
+def distortion_impact(spark: SparkSession, d: str) -> DataFrame:
+    """The largest shift on the ground by radial distortion over a grid of image points, a stand-in camera a nation."""
+    key = F.col("n_nationkey")
+    h = calibration.ground_homography(F.lit(800.0), F.lit(820.0), F.lit(320.0), F.lit(240.0), calibration.rotation(1.8 + key * 0.01, F.lit(0.1), key * 0.002), [F.lit(100.0), F.lit(200.0), 5000.0 + key])
+    p = table(spark, d, "nation").select(key.alias("camera"), F.array(*[F.array(*row) for row in h]).alias("h"), (key * 1e-4).alias("k"), F.explode(calibration.grid(F.lit(640.0), F.lit(480.0))).alias("p"))
+    shift = calibration.distortion_shift(calibration.cells(F.col("h")), F.col("p.x"), F.col("p.y"), F.lit(320.0), F.lit(240.0), F.lit(0.01), F.lit(0.01), F.col("k"))
+    return p.groupBy("camera").agg(F.max(shift).alias("impact"))

@@ -114,8 +114,8 @@ def identity(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: fl
     return j.select("scene", "idtp", (F.col("gt_dets") - F.col("idtp")).alias("idfn"), (F.col("dets") - F.col("idtp")).alias("idfp"), (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("gt_dets") + F.col("dets"))).alias("idf1"))
 
 
-def clear(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(scene, tp, fn, fp, idsw, mota): matches frame by frame that prefer the last frame's, in one fold a scene."""
+def clear_matches(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(scene, frame, gt, trk): matches frame by frame that prefer the last frame's, in one fold a scene."""
 
     def fold(frames: pd.DataFrame) -> pd.DataFrame:
         before: dict = {}
@@ -133,7 +133,12 @@ def clear(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float
 
     both = truth.select("scene", "frame").distinct().join(tracker.select("scene", "frame").distinct(), ["scene", "frame"])
     full = both.join(sim, ["scene", "frame"], "left").withColumn("same", F.lit(True)).fillna({"gt": -1, "trk": -1, "sim": 0.0})
-    m = full.groupBy("scene").applyInPandas(fold, "scene string, frame long, gt long, trk long")
+    return full.groupBy("scene").applyInPandas(fold, "scene string, frame long, gt long, trk long")
+
+
+def clear(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(scene, tp, fn, fp, idsw, mota)."""
+    m = clear_matches(truth, tracker, sim, threshold)
     last = F.lag("trk").over(Window.partitionBy("scene", "gt").orderBy("frame"))
     tot = m.withColumn("sw", (last != F.col("trk")).cast("int")).groupBy("scene").agg(F.count("*").alias("tp"), F.coalesce(F.sum("sw"), F.lit(0)).alias("idsw"))
     j = counts(truth, tracker).join(tot, "scene", "left").fillna(0, ["tp", "idsw"])
@@ -146,3 +151,68 @@ def final_score(per_scene: DataFrame) -> DataFrame:
     return per_scene.groupBy("scene").agg(F.avg("hota").alias("h"), F.avg("det_a").alias("d"), F.avg("ass_a").alias("a"), F.avg("loc_a").alias("l")).agg(*[F.avg(c).alias(n) for c, n in (("h", "hota"), ("d", "det_a"), ("a", "ass_a"), ("l", "loc_a"))])
 
 
+def clear_fields(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """All CLEAR fields per scene: counters, mostly, partly and hardly tracked ids (mt, pt, ml), fragments and rates.
+
+    Frames where one side is empty are passed over: they neither end a fragment nor break a track. A scene with an empty
+    side has its misses or false alarms counted and, without a tracker, all its ids in ml.
+    """
+    m = clear_matches(truth, tracker, sim, threshold).join(sim, ["scene", "frame", "gt", "trk"])
+    both = truth.select("scene", "frame").distinct().join(tracker.select("scene", "frame").distinct(), ["scene", "frame"])
+    both = both.withColumn("k", F.dense_rank().over(Window.partitionBy("scene").orderBy("frame")))
+    own = Window.partitionBy("scene", "gt").orderBy("frame")
+    m = m.join(both, ["scene", "frame"]).withColumn("sw", (F.lag("trk").over(own) != F.col("trk")).cast("int")).withColumn("br", (F.col("k") - F.lag("k").over(own) > 1).cast("int"))
+    tot = m.groupBy("scene").agg(F.count("*").alias("tp"), F.sum("sw").alias("idsw"), F.sum("br").alias("frag"), F.sum("sim").alias("motp_sum"))
+    hit = m.groupBy("scene", "gt").agg(F.count("*").alias("hit"))
+    share = truth.groupBy("scene", F.col("id").alias("gt")).agg(F.count("*").alias("n")).join(hit, ["scene", "gt"], "left").withColumn("r", F.coalesce("hit", F.lit(0)) / F.col("n"))
+    kept = share.groupBy("scene").agg(F.count(F.when(F.col("r") > 0.8, 1)).alias("mt"), F.count(F.when((F.col("r") >= 0.2) & (F.col("r") <= 0.8), 1)).alias("pt"), F.count(F.when(F.col("r") < 0.2, 1)).alias("ml"))
+    frames = truth.select("scene", "frame").union(tracker.select("scene", "frame")).distinct().groupBy("scene").agg(F.count("*").alias("frames"))
+    j = counts(truth, tracker).join(frames, "scene").join(tot, "scene", "left").join(kept, "scene", "left").fillna(0)
+    j = j.withColumn("fn", F.col("gt_dets") - F.col("tp")).withColumn("fp", F.col("dets") - F.col("tp"))
+    return clear_rates(j.select("scene", "frames", "tp", "fn", "fp", "idsw", "frag", "mt", "pt", "ml", "motp_sum"))
+
+
+def clear_rates(c: DataFrame) -> DataFrame:
+    """The counters with the rates that follow from them; holds for one scene as for sums over scenes."""
+    at_least_1 = lambda x: F.greatest(F.lit(1), x)
+    tp, fp, sw, gt = F.col("tp"), F.col("fp"), F.col("idsw"), F.col("tp") + F.col("fn")
+    ids = at_least_1(F.col("mt") + F.col("pt") + F.col("ml"))
+    log_sw = F.when(sw > 0, F.log10(F.greatest(F.lit(1), sw))).otherwise(0.0)
+    return c.withColumns({
+        "mtr": F.col("mt") / ids, "ptr": F.col("pt") / ids, "mlr": F.col("ml") / ids, "motp": F.col("motp_sum") / at_least_1(tp), "clr_re": tp / at_least_1(gt), "clr_pr": tp / at_least_1(tp + fp),
+        "moda": (tp - fp) / at_least_1(gt), "mota": (tp - fp - sw) / at_least_1(gt), "motal": (tp - fp - log_sw) / at_least_1(gt), "smota": (F.col("motp_sum") - fp - sw) / at_least_1(gt),
+        "clr_f1": tp / at_least_1(tp + 0.5 * F.col("fn") + 0.5 * fp), "fp_per_frame": fp / at_least_1(F.col("frames")),
+    })
+
+
+def combined_sequences(h: DataFrame, by: list[str]) -> DataFrame:
+    """HOTA rows (tp, fn, fp, ass_a, loc_a) summed over scenes within `by` and alpha: counts add up, the others weigh by tp."""
+    weigh = lambda c: F.sum(F.col(c) * F.col("tp")) / F.greatest(F.lit(1), F.sum("tp"))
+    s = h.groupBy(*by, "alpha").agg(weigh("ass_a").alias("ass_a"), weigh("loc_a").alias("loc_a"), *[F.sum(c).alias(c) for c in ("tp", "fn", "fp")])
+    s = s.withColumn("det_a", F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn") + F.col("fp")))
+    return hota_finals(s).select(*by, "alpha", "tp", "fn", "fp", "det_re", "det_pr", "det_a", "ass_a", "loc_a", "hota", "owta")
+
+
+def hota_finals(h: DataFrame) -> DataFrame:
+    """Recall and precision of detection, HOTA and OWTA from tp, fn, fp, det_a and ass_a."""
+    re, pr = F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn")), F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp"))
+    return h.withColumns({"det_re": re, "det_pr": pr, "hota": F.sqrt(F.col("det_a") * F.col("ass_a")), "owta": F.sqrt(re * F.col("ass_a"))})
+
+
+def class_average(h: DataFrame, ignore_empty: bool = False) -> DataFrame:
+    """Means over classes per alpha of the combined rows (class, alpha, ...); classes without any detection may be left out."""
+    h = h.withColumn("_any", F.sum(F.col("tp") + F.col("fn") + F.col("fp")).over(Window.partitionBy("class")) > 0)
+    h = h.where("_any") if ignore_empty else h
+    return h.groupBy("alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")], *[F.avg(c).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr", "owta")])
+
+
+def at_first_threshold(h: DataFrame) -> DataFrame:
+    """(scene, hota_0, loc_a_0, hota_loc_a_0): the values at the lowest threshold and their product."""
+    first = h.where(F.col("alpha") == ALPHAS[0])
+    return first.select("scene", F.col("hota").alias("hota_0"), F.col("loc_a").alias("loc_a_0"), (F.col("hota") * F.col("loc_a")).alias("hota_loc_a_0"))
+
+
+def detailed(h: DataFrame, field: str) -> DataFrame:
+    """One row a scene: the field at each threshold as field___5 ... field___95, and its mean as field___AUC."""
+    wide = [F.max(F.when(F.col("alpha") == a, F.col(field))).alias(f"{field}___{round(100 * a)}") for a in ALPHAS]
+    return h.groupBy("scene").agg(*wide, F.avg(field).alias(f"{field}___AUC"))
