@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import tempfile
 import time
 
@@ -26,6 +27,7 @@ def main() -> None:
         began = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 
