@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.functions import expressions as X
-from trackloom.operators.evaluation import best_assignment, clear, hota, identity, similarity
+from trackloom.operators import identity as I
+from trackloom.operators.evaluation import best_assignment, clear, clear_matches, hota, identity, similarity
 from trackloom.operators.identity import plausibility
 
 
@@ -41,3 +42,50 @@ def test_perfect_and_switched_tracks(spark):
     assert identity(truth, switched, sim).first().idtp == 4
     got = clear(truth, switched, sim).first()
     assert (got.tp, got.idsw, got.mota) == (8, 2, 0.75)
+
+
+def test_matches_of_contested_frames_follow_the_fold(spark):
+    """Runs folded apart against one fold over all frames, with easy, contested and one-sided frames mixed."""
+    rng = np.random.default_rng(3)
+    truth = [("s", f, i) for f in range(40) for i in range(3) if rng.random() < 0.8]
+    tracker = [("s", f, i) for f in range(40) for i in range(10, 13) if rng.random() < 0.8]
+    sims = [("s", f, g, t, float(rng.uniform(0.3, 1))) for _, f, g in truth for _, h, t in tracker if f == h and rng.random() < 0.4]
+    frame = lambda rows: spark.createDataFrame(rows, "scene string, frame long, id long")
+    before, want = {}, set()
+    for f in sorted({r[1] for r in truth} & {r[1] for r in tracker}):
+        w = np.zeros((3, 3))
+        for _, h, g, t, s in sims:
+            if h == f and s >= 0.5:
+                w[g, t - 10] = s + 1000 * (before.get(g) == t)
+        before = {a: b + 10 for a, b in best_assignment(w) if w[a, b] > 0}
+        want |= {(f, a, b) for a, b in before.items()}
+    got = clear_matches(frame(truth), frame(tracker), spark.createDataFrame(sims, "scene string, frame long, gt long, trk long, sim double"))
+    assert {(r.frame, r.gt, r.trk) for r in got.collect()} == want
+
+
+def test_overlap_across_cameras_needs_nearness(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (0.02, 1.0)], "m double, want double")
+    p = plausibility(F.lit(0), F.lit(9), F.lit(0), F.lit(9), F.col("m"), F.lit(False))
+    assert all(r.p == r.want for r in df.select(p.alias("p"), "want").collect())
+
+
+def test_handoff(spark):
+    rows = [(6, 20.0, 0.85), (200, 500.0, 0.0), (6, None, 0.0), (11, 36.0, 0.425), (8, 46.0, 0.425), (-30, 10.0, 0.85)]
+    df = spark.createDataFrame(rows, "gap int, px double, want double")
+    got = df.select(I.handoff(F.col("gap"), F.col("px")).alias("got"), I.handoff(F.col("gap"), F.col("px"), strict=True).alias("strict"), "gap", "want").collect()
+    assert all(abs(r.got - r.want) < 1e-9 and abs(r.strict - (r.want if r.gap >= 0 else 0)) < 1e-9 for r in got)
+
+
+def test_merges_keep_overlapping_tracks_of_a_camera_apart(spark):
+    # tracks 1 and 2 of camera 0 overlap; both match track 3 of camera 1, only the first may join it
+    members = spark.createDataFrame([(0, 1, 0, 100, 1, 1), (0, 2, 50, 150, 2, 2), (1, 3, 0, 10, 3, 3), (1, 4, 200, 210, 4, 4)], "camera int, track_id long, first_frame int, last_frame int, root long, rep_id long")
+    pairs = spark.createDataFrame([(0, 1, 1, 3), (0, 2, 1, 3)], "cam_a int, a long, cam_b int, b long")
+    got = {(r.camera, r.root): tuple(r.cluster) for r in I.merged(members, pairs).collect()}
+    assert got == {(0, 1): (0, 1), (1, 3): (0, 1), (0, 2): (0, 2), (1, 4): (1, 4)}
+
+
+def test_components_of_a_long_chain(spark):
+    nodes = spark.range(60).withColumnRenamed("id", "node")
+    got = I.labelled(nodes, spark.range(49).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    ids = {r.node: r.global_id for r in I.dense_ids(got).collect()}
+    assert ids == {n: max(0, n - 49) for n in range(60)}

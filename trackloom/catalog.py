@@ -15,6 +15,8 @@ from trackloom.operators import captions, identity, proximity, sampling, sightin
 from trackloom.sources.standins import detections, evaluation, table, track_features
 
 GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, CAPTION_WORDS = 1440, 30, 10.0, 30.0, 3, 12
+#: About the length of a sighting: narrower copies more rows, wider holds more pairs against each other.
+COOCCUR_BUCKET = 240
 PEOPLE, COLOURS = ["the", "de", "die"], ["and", "of", "la", "der"]
 HOMOGRAPHY = [[1.2, 0.1, 30.0], [0.05, 1.4, 20.0], [0.0005, 0.001, 1.0]]
 
@@ -101,7 +103,7 @@ def camera_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SIGHT} SELECT x.global_id AS a, y.global_id AS b, count(*) AS n_matches FROM s x JOIN s y ON x.camera = y.camera AND x.global_id < y.global_id AND greatest(x.start_frame - y.end_frame, y.start_frame - x.end_frame) <= 5 GROUP BY 1, 2")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return sightings.cooccurrence(_sightings(spark, d), 5, GAP)
+    return sightings.cooccurrence(_sightings(spark, d), 5, COOCCUR_BUCKET)
 
 
 @query(f"WITH {SIGHT} SELECT global_id, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(DISTINCT camera) AS n_cameras FROM s GROUP BY 1 HAVING count(DISTINCT camera) > 1")
@@ -313,6 +315,19 @@ def match_pairs(spark: SparkSession, d: str) -> DataFrame:
     return identity.matched_pairs(pairs, 0.6).select("a", "b")
 
 
+@query("SELECT vec_id * 4 + c AS track_id, vec_id * 4 AS root FROM embeddings, range(2) r(c)")
+def stitched_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of one camera, joined round by round; each stand-in vector has two fragments that do not overlap in time."""
+    t = track_features(spark, d).drop("vec_id").withColumn("camera", F.lit(0))
+    return identity.stitched(t, least=0.6).select("track_id", "root")
+
+
+@query("SELECT c AS camera, vec_id * 4 + c AS track_id, dense_rank() OVER (ORDER BY vec_id) - 1 AS global_id FROM embeddings, range(2) r(c)")
+def global_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Dense ids over two cameras: stitching, matching of the groups' representatives, and merges that keep one camera's tracks apart."""
+    return identity.resolved(track_features(spark, d).drop("vec_id"), least=0.6)
+
+
 @query("SELECT CAST(o.o_orderpriority AS VARCHAR) AS camera, count(DISTINCT o.o_custkey) AS entities, median(CAST(o.o_orderkey AS DOUBLE)) AS middle FROM orders o GROUP BY 1")
 def track_medians(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("camera")).agg(F.countDistinct("o_custkey").alias("entities"), F.median(F.col("o_orderkey").cast("double")).alias("middle"))

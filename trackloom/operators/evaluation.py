@@ -115,25 +115,41 @@ def identity(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: fl
 
 
 def clear_matches(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(scene, frame, gt, trk): matches frame by frame that prefer the last frame's, in one fold a scene."""
+    """(scene, frame, gt, trk): matches frame by frame that prefer the last frame's.
 
-    def fold(frames: pd.DataFrame) -> pd.DataFrame:
-        before: dict = {}
+    Where no id has a choice, the matches follow from the pairs alone and SQL takes them. A run of frames with choices
+    depends on nothing before the frame that it follows, so runs are folded each on its own; frames where one side is
+    empty are passed over.
+    """
+    at = ["scene", "frame"]
+    both = truth.select(*at).distinct().join(tracker.select(*at).distinct(), at)
+    both = both.withColumn("k", F.dense_rank().over(Window.partitionBy("scene").orderBy("frame")))
+    p = sim.where(F.col("sim") >= threshold - EPS).select(*at, F.col("gt").cast("long").alias("gt"), F.col("trk").cast("long").alias("trk"), "sim")
+    p = p.withColumns({f"_{s}": F.count("*").over(Window.partitionBy(*at, s)) for s in ("gt", "trk")})
+    p = p.withColumn("hard", F.max((F.col("_gt") > 1) | (F.col("_trk") > 1)).over(Window.partitionBy(*at)))
+    easy = p.where("NOT hard").select(*at, "gt", "trk")
+    frames = p.where("hard").select(*at).distinct().join(both, at)
+    frames = frames.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("scene").orderBy("k")))
+    rows = p.where("hard").join(frames, at).select("scene", "run", "frame", "gt", "trk", "sim")
+    starts = frames.groupBy("scene", "run").agg((F.min("k") - 1).alias("k"))
+    given = easy.join(both, at).join(starts, ["scene", "k"]).select("scene", "run", "frame", "gt", "trk", F.lit(None).cast("double").alias("sim"))
+
+    def fold(run: pd.DataFrame) -> pd.DataFrame:
+        known = run["sim"].isna()
+        before = dict(zip(run.loc[known, "gt"], run.loc[known, "trk"], strict=True))
         out = []
-        for frame, rows in frames.sort_values(["frame", "gt", "trk"]).groupby("frame"):
+        for frame, rows in run[~known].sort_values(["frame", "gt", "trk"]).groupby("frame"):
             g, gi = np.unique(rows["gt"], return_inverse=True)
             t, ti = np.unique(rows["trk"], return_inverse=True)
+            same = np.array([before.get(a) == b for a, b in zip(rows["gt"], rows["trk"], strict=True)])
             w = np.zeros((len(g), len(t)))
-            keep = rows["same"].to_numpy() & np.array([before.get(a) == b for a, b in zip(rows["gt"], rows["trk"], strict=True)])
-            w[gi, ti] = np.where(rows["sim"] >= threshold - EPS, 1000 * keep + rows["sim"], 0)
-            now = {g[a]: t[b] for a, b in best_assignment(w) if w[a, b] > EPS}
-            out += [(rows["scene"].iloc[0], frame, a, b) for a, b in now.items()]
-            before = now
+            w[gi, ti] = 1000 * same + rows["sim"]
+            before = {g[a]: t[b] for a, b in best_assignment(w) if w[a, b] > EPS}
+            out += [(run["scene"].iloc[0], frame, a, b) for a, b in before.items()]
         return pd.DataFrame(out, columns=["scene", "frame", "gt", "trk"])
 
-    both = truth.select("scene", "frame").distinct().join(tracker.select("scene", "frame").distinct(), ["scene", "frame"])
-    full = both.join(sim, ["scene", "frame"], "left").withColumn("same", F.lit(True)).fillna({"gt": -1, "trk": -1, "sim": 0.0})
-    return full.groupBy("scene").applyInPandas(fold, "scene string, frame long, gt long, trk long")
+    hard = rows.unionByName(given).groupBy("scene", "run").applyInPandas(fold, easy.schema)
+    return easy.unionByName(hard)
 
 
 def clear(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
