@@ -89,3 +89,24 @@ def test_components_of_a_long_chain(spark):
     got = I.labelled(nodes, spark.range(49).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     ids = {r.node: r.global_id for r in I.dense_ids(got).collect()}
     assert ids == {n: max(0, n - 49) for n in range(60)}
+
+
+TRACK = "camera int, track_id long, embedding array<double>, caption_embedding array<double>, first_frame int, last_frame int, world_x double, world_y double, first_px_x double, first_px_y double, last_px_x double, last_px_y double"
+
+
+def test_scores_with_captions_and_handoffs(spark):
+    a = (0, 1, [1.0, 0.0], [1.0, 0.0], 0, 100, 0.0, 0.0, 0.0, 0.0, 50.0, 50.0)
+    b = (0, 2, [0.6, 0.8], [1.0, 0.0], 106, 200, 0.0, 0.0, 60.0, 50.0, 90.0, 90.0)
+    c = (1, 3, [0.6, 0.8], None, 300, 400, 0.0, 0.0, None, None, None, None)
+    tracks = spark.createDataFrame([a, b, c], TRACK)
+    own = {(r.a, r.b): round(r.score, 9) for r in I._scored(tracks, True, 0.0).collect()}
+    assert own == {(1, 2): 0.85, (2, 1): 0.68}  # a handoff from 1 to 2; looks and captions alone the other way
+    across = {(r.a, r.b): round(r.score, 9) for r in I.scored_pairs(tracks).collect()}
+    assert across == {(1, 3): 0.6, (2, 3): 1.0}  # no caption: looks alone
+
+
+def test_group_similarity_and_cluster_counts(spark):
+    pairs = spark.createDataFrame([("g", x) for x in (0.9, 0.8, 0.7, 0.1)] + [("h", 0.5)], "g string, sim double")
+    assert {r.g: round(r.sim, 9) for r in I.group_similarity(pairs, ["g"]).collect()} == {"g": 0.8, "h": 0.5}
+    ids = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (0, 2, 1)], "camera int, track_id long, global_id long")
+    assert tuple(I.cluster_counts(ids).first()) == (2, 1)
