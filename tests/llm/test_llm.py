@@ -137,6 +137,15 @@ def test_personal_context(spark):
     assert {r.doc_id: r.text for r in red.collect()}[50] == "my own badge code is <CONTEXT> thanks"
 
 
+def test_personal_context_copies(spark):
+    seeds = [(i, f"my own badge code is +1 (523) 555-10{i} thanks") for i in range(10, 16)] + [(30 + i, f"we met at place number {w}{i}{w}{i}{w}{i} there") for i, w in enumerate("abc")]
+    new = [(50, "my own badge code is ZX-99-1234 thanks")]
+    plain = [(60 + i, f"we met at place number {w} there") for i, w in enumerate(("one", "two", "three"))]
+    copies = spark.createDataFrame([(1000 * n + i, t) for n in range(100) for i, t in seeds + new + plain], "doc_id long, text string")
+    got = personal.find_personal(copies).where("exists(spans, s -> s.kind = 'context')").collect()
+    assert sorted(r.doc_id for r in got) == [1000 * n + 50 for n in range(100)]
+
+
 def test_packing(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

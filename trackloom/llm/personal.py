@@ -3,8 +3,8 @@
 All of it is DataFrame functions. Base matches are the seeds. Every identifier-like token (one with a digit or an @) is
 an instance; the words around it make lexical patterns, "the three words before" and "the two words before and the word after".
 Patterns and instances are a bipartite graph. A pattern's confidence is the confidence of the distinct instances in its
-slot over all tokens of the corpus in its slot, so a context that also holds ordinary words scores near nothing. An
-instance's confidence is 1 for seeds, else the noisy-or of its patterns. A few rounds spread confidence from seeds over
+slot over all distinct fillers of its slot in the corpus, instances and ordinary words alike, so a context that also holds
+ordinary words scores near nothing and copies of documents change nothing. An instance's confidence is 1 for seeds, else the noisy-or of its patterns. A few rounds spread confidence from seeds over
 patterns to new instances and on; instances in a pattern of high confidence become spans of the kind `context`.
 """
 
@@ -131,13 +131,22 @@ def _patterns(before3: Column, before2: Column, before: Column, after: Column) -
 
 
 def _slots(text: Column) -> Column:
-    """The patterns around every token of the text."""
+    """Array of (token, patterns around it) of every token of the text; a mention with blanks inside is one token."""
 
     def around(w: Column) -> Column:
         word = lambda i: F.coalesce(F.when(i >= 0, F.get(w, i)), F.lit(""))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _patterns(word(i - 3), word(i - 2), word(i - 1), word(i + 1))))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(F.get(w, i).alias("token"), _patterns(word(i - 3), word(i - 2), word(i - 1), word(i + 1)).alias("patterns")))
 
-    return let(F.split(F.lower(text), r"\s+"), around)
+    glued = F.array_join(F.zip_with(F.split(text, MENTION, -1), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(F.translate(m, " ", "\u00a0"), F.lit("")))), "")
+    return let(F.split(F.lower(F.when(text.rlike("[0-9@]"), glued).otherwise(text)), r"\s+"), around)
+
+
+def _ordinary(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, slots): how many distinct tokens that are no instances stand in the slot of each wanted pattern."""
+    slots = src.select(F.explode(_slots(F.col("text"))).alias("s")).select("s.token", F.explode("s.patterns").alias("pattern")).where("pattern IS NOT NULL")
+    bare = slots.join(wanted, "pattern").select("pattern", F.regexp_replace("token", EDGE, "").alias("bare"))
+    bare = bare.where(~(F.col("bare").rlike("[0-9@]") & (F.length("bare") >= 6)))
+    return bare.select("pattern", F.xxhash64("bare").alias("bare")).distinct().groupBy("pattern").agg(F.count("*").alias("slots"))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
@@ -168,18 +177,18 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = stored(edges.join(strong, "pattern"))
     if strong.isEmpty():
         return rows.select(F.col("id").alias(id_col), "text_key", F.col("base").alias("spans"))
-    # how many tokens of the whole corpus stand in the slot of each of these patterns
-    slots = src.select(F.explode(_slots(F.col("text"))).alias("pattern")).where("pattern IS NOT NULL")
-    total = stored(slots.join(strong, "pattern").groupBy("pattern").agg(F.count("*").alias("slots")))
+    # how many distinct fillers, instances and ordinary tokens of the whole corpus, each of these patterns has
+    total = edges.groupBy("pattern").agg(F.count("*").alias("n")).join(_ordinary(src, strong), "pattern", "left")
+    total = stored(total.select("pattern", (F.col("n") + F.coalesce("slots", F.lit(0))).alias("fillers")))
     scored = edges.select("pattern", "value", "seed", F.col("seed").alias("conf"))
     for _ in range(rounds):
-        per = scored.groupBy("pattern").agg(F.sum("conf").alias("got"), F.count("*").alias("n"))
-        per = per.join(total, "pattern").select("pattern", (F.col("got") / F.greatest("slots", "n")).alias("pc"))
+        per = scored.groupBy("pattern").agg(F.sum("conf").alias("got"))
+        per = per.join(total, "pattern").select("pattern", (F.col("got") / F.col("fillers")).alias("pc"))
         inst = edges.join(per, "pattern").groupBy("value").agg(F.max("seed").alias("s"), F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("pc"))))).alias("miss"))
         inst = inst.select("value", F.when(F.col("s") > 0, 1.0).otherwise(1 - F.col("miss")).alias("conf"))
         scored = stored(edges.join(inst, "value").select("pattern", "value", "seed", "conf"))
-    per = scored.groupBy("pattern").agg(F.sum("conf").alias("got"), F.count("*").alias("n")).join(total, "pattern")
-    good = per.where(F.col("got") / F.greatest("slots", "n") >= confidence).select("pattern")
+    per = scored.groupBy("pattern").agg(F.sum("conf").alias("got")).join(total, "pattern")
+    good = per.where(F.col("got") / F.col("fillers") >= confidence).select("pattern")
     new = m.where("NOT seed").select("id", "text_key", "value", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
     span = F.struct(F.col("start").alias("start"), F.lit(RANK["context"]).alias("rank"), F.col("end").alias("end"), F.lit("context").alias("kind"), "value")
     new = stored(new.groupBy("id", "text_key").agg(F.collect_set(span).alias("more")))
