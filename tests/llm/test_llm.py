@@ -146,6 +146,14 @@ def test_personal_context_copies(spark):
     assert sorted(r.doc_id for r in got) == [1000 * n + 50 for n in range(100)]
 
 
+def test_personal_context_two_words(spark):
+    names = "ann bob cat dan eve fay".split()
+    seeds = [(i, f"{w} badge code +1 (523) 555-10{i + 10} {w}") for i, w in enumerate(names)]
+    far = [(10 + i, f"{w} unit part {w}{i}{w}{i} {w}") for i, w in enumerate(names)]  # no seed reaches this context
+    got = personal.find_personal(spark.createDataFrame(seeds + far + [(50, "zoe badge code ZX-99-1234 zoe")], "doc_id long, text string")).collect()
+    assert {r.doc_id: [s.value for s in r.spans if s.kind == "context"] for r in got if any(s.kind == "context" for s in r.spans)} == {50: ["ZX-99-1234"]}
+
+
 def test_packing(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

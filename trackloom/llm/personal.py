@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that no base pattern knows.
 
 All of it is DataFrame functions. Base matches are the seeds. Every identifier-like token (one with a digit or an @) is
-an instance; the words around it make lexical patterns, "the three words before" and "the two words before and the word after".
+an instance; the words around it make lexical patterns, "the two words before" and "the word before and the word after".
 Patterns and instances are a bipartite graph. A pattern's confidence is the confidence of the distinct instances in its
 slot over all distinct fillers of its slot in the corpus, instances and ordinary words alike, so a context that also holds
 ordinary words scores near nothing and copies of documents change nothing. An instance's confidence is 1 for seeds, else the noisy-or of its patterns. A few rounds spread confidence from seeds over
@@ -116,17 +116,17 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(pieces: Column, i: Column) -> Column:
-    """(before3, before2, before, after): the words next to a mention, lower-cased; empty at a border."""
+    """(before2, before, after): the words next to a mention, lower-cased; empty at a border."""
     left = F.split(F.rtrim(F.lower(F.substring(F.get(pieces, i), -SIDE, SIDE))), r"\s+")
     right = F.split(F.ltrim(F.lower(F.substring(F.get(pieces, i + 1), 1, SIDE))), r"\s+")
-    return F.struct(F.coalesce(F.try_element_at(left, F.lit(-3)), F.lit("")).alias("before3"), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("")).alias("before2"), F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("before"), F.coalesce(F.get(right, F.lit(0)), F.lit("")).alias("after"))
+    return F.struct(F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("")).alias("before2"), F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("before"), F.coalesce(F.get(right, F.lit(0)), F.lit("")).alias("after"))
 
 
-def _patterns(before3: Column, before2: Column, before: Column, after: Column) -> Column:
+def _patterns(before2: Column, before: Column, after: Column) -> Column:
     """The hashes of the two patterns around a slot; null where a word is missing."""
     return F.array(
-        F.when((before3 != "") & (before2 != ""), F.xxhash64(F.lit("before"), before3, before2, before)),
-        F.when((before2 != "") & (before != "") & (after != ""), F.xxhash64(F.lit("around"), before2, before, after)),
+        F.when((before2 != "") & (before != ""), F.xxhash64(F.lit("before"), before2, before)),
+        F.when((before != "") & (after != ""), F.xxhash64(F.lit("around"), before, after)),
     )
 
 
@@ -135,7 +135,7 @@ def _slots(text: Column) -> Column:
 
     def around(w: Column) -> Column:
         word = lambda i: F.coalesce(F.when(i >= 0, F.get(w, i)), F.lit(""))
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(F.get(w, i).alias("token"), _patterns(word(i - 3), word(i - 2), word(i - 1), word(i + 1)).alias("patterns")))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(F.get(w, i).alias("token"), _patterns(word(i - 2), word(i - 1), word(i + 1)).alias("patterns")))
 
     glued = F.array_join(F.zip_with(F.split(text, MENTION, -1), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(F.translate(m, " ", "\u00a0"), F.lit("")))), "")
     return let(F.split(F.lower(F.when(text.rlike("[0-9@]"), glued).otherwise(text)), r"\s+"), around)
@@ -149,6 +149,42 @@ def _ordinary(src: DataFrame, wanted: DataFrame) -> DataFrame:
     return bare.select("pattern", F.xxhash64("bare").alias("bare")).distinct().groupBy("pattern").agg(F.count("*").alias("slots"))
 
 
+def _reached(edges: DataFrame, rounds: int) -> DataFrame:
+    """The patterns that seeds reach over instances and patterns within the rounds; the confidence of all others is 0."""
+    found = stored(edges.where("seed > 0").select("pattern").distinct())
+    for _ in range(rounds):
+        values = edges.join(found, "pattern", "left_semi").select("value").distinct()
+        found = stored(edges.join(values, "value", "left_semi").select("pattern").distinct())
+    return found
+
+
+def scored_patterns(src: DataFrame, m: DataFrame, rounds: int, support: int) -> DataFrame:
+    """(pattern, fillers, confidence) of the patterns of `support` distinct instances that seeds reach.
+
+    src: the texts; m: mentions (value, seed, patterns).
+    """
+    edges = m.select("value", "seed", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL")
+    edges = edges.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+    edges = stored(edges)
+    edges = stored(edges.join(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern"), "pattern"))
+    reached = _reached(edges, rounds)
+    if reached.isEmpty():
+        return reached.select("pattern", F.lit(0).cast("long").alias("fillers"), F.lit(0.0).alias("confidence"))
+    edges = stored(edges.join(reached, "pattern", "left_semi"))
+    # how many distinct fillers, instances and ordinary tokens of the whole corpus, each of these patterns has
+    total = edges.groupBy("pattern").agg(F.count("*").alias("n")).join(_ordinary(src, reached), "pattern", "left")
+    total = stored(total.select("pattern", (F.col("n") + F.coalesce("slots", F.lit(0))).alias("fillers")))
+    scored = edges.select("pattern", "value", "seed", F.col("seed").alias("conf"))
+    for _ in range(rounds):
+        per = scored.groupBy("pattern").agg(F.sum("conf").alias("got"))
+        per = per.join(total, "pattern").select("pattern", (F.col("got") / F.col("fillers")).alias("pc"))
+        inst = edges.join(per, "pattern").groupBy("value").agg(F.max("seed").alias("s"), F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("pc"))))).alias("miss"))
+        inst = inst.select("value", F.when(F.col("s") > 0, 1.0).otherwise(1 - F.col("miss")).alias("conf"))
+        scored = stored(edges.join(inst, "value").select("pattern", "value", "seed", "conf"))
+    per = scored.groupBy("pattern").agg(F.sum("conf").alias("got")).join(total, "pattern")
+    return stored(per.select("pattern", "fillers", (F.col("got") / F.col("fillers")).alias("confidence")))
+
+
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """One row a document: id, text_key (hash of the text), spans: array of (start, rank, end, kind, value).
 
@@ -166,29 +202,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     m = rows.where("mentions IS NOT NULL").select("id", "text_key", "base", F.explode("mentions").alias("m"))
     lead = F.length(F.col("m.value")) - F.length(F.regexp_replace("m.value", "^[\"'(\\[{<]+", ""))
     value = F.regexp_replace("m.value", EDGE, "")
-    m = m.select("id", "text_key", "base", value.alias("value"), (F.col("m.start") + lead).alias("start"), _patterns(F.col("m.around.before3"), F.col("m.around.before2"), F.col("m.around.before"), F.col("m.around.after")).alias("patterns"))
+    m = m.select("id", "text_key", "base", value.alias("value"), (F.col("m.start") + lead).alias("start"), _patterns(F.col("m.around.before2"), F.col("m.around.before"), F.col("m.around.after")).alias("patterns"))
     m = m.withColumn("end", F.col("start") + F.length("value")).where(F.length("value") >= 6)
     seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     m = m.withColumn("seed", seed).drop("base")
-    edges = m.select("value", "seed", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL")
-    edges = edges.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
-    strong = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds")).where(F.col("n") >= support)
-    strong = stored(strong.select("pattern"))
-    edges = stored(edges.join(strong, "pattern"))
-    if strong.isEmpty():
-        return rows.select(F.col("id").alias(id_col), "text_key", F.col("base").alias("spans"))
-    # how many distinct fillers, instances and ordinary tokens of the whole corpus, each of these patterns has
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n")).join(_ordinary(src, strong), "pattern", "left")
-    total = stored(total.select("pattern", (F.col("n") + F.coalesce("slots", F.lit(0))).alias("fillers")))
-    scored = edges.select("pattern", "value", "seed", F.col("seed").alias("conf"))
-    for _ in range(rounds):
-        per = scored.groupBy("pattern").agg(F.sum("conf").alias("got"))
-        per = per.join(total, "pattern").select("pattern", (F.col("got") / F.col("fillers")).alias("pc"))
-        inst = edges.join(per, "pattern").groupBy("value").agg(F.max("seed").alias("s"), F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("pc"))))).alias("miss"))
-        inst = inst.select("value", F.when(F.col("s") > 0, 1.0).otherwise(1 - F.col("miss")).alias("conf"))
-        scored = stored(edges.join(inst, "value").select("pattern", "value", "seed", "conf"))
-    per = scored.groupBy("pattern").agg(F.sum("conf").alias("got")).join(total, "pattern")
-    good = per.where(F.col("got") / F.col("fillers") >= confidence).select("pattern")
+    good = scored_patterns(src, m, rounds, support).where(F.col("confidence") >= confidence).select("pattern")
     new = m.where("NOT seed").select("id", "text_key", "value", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
     span = F.struct(F.col("start").alias("start"), F.lit(RANK["context"]).alias("rank"), F.col("end").alias("end"), F.lit("context").alias("kind"), "value")
     new = stored(new.groupBy("id", "text_key").agg(F.collect_set(span).alias("more")))
