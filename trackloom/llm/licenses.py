@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +59,7 @@ RULES = {
 BORDER = re.compile(r"(?<=[.;:!?])\s+")
 LINE = re.compile(r"\n+")
 MARKS = re.compile(r"[^a-z0-9.]+")
+HEAD = re.compile(r"([a-z0-9][a-z0-9.]*)(?:[^a-z0-9.]+([a-z0-9.]+))?")
 
 
 def normalised(sentence: str) -> str:
@@ -65,25 +67,39 @@ def normalised(sentence: str) -> str:
     return MARKS.sub(" ", sentence.lower()).strip(" .")
 
 
-def sentence_ids(text: str, known: dict[str, str]) -> list[tuple[int, str]]:
-    """(start, identifier) of the known sentences, in order. A sentence may be a whole line or go over several lines."""
+def by_head(known: dict[str, str]) -> dict[tuple[str, str], list[tuple[str, str]]]:
+    """The known sentences (normalised) and their identifiers by their first two words, the second empty where there is none."""
+    heads: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for s, name in known.items():
+        if m := HEAD.search(s):
+            heads.setdefault((m[1].rstrip("."), (m[2] or "").rstrip(".")), []).append((s, name))
+    return heads
+
+
+def sentence_ids(text: str, heads: dict[tuple[str, str], list[tuple[str, str]]]) -> list[tuple[int, str]]:
+    """(start, identifier) of the known sentences, in order. Each begins and ends at a border or at a line's; it may hold borders and go over several lines."""
+    low = text.lower()
+    longest = SLACK * max((len(s) for of in heads.values() for s, _ in of), default=0)
+    cuts = [m.span() for border in (BORDER, LINE) for m in border.finditer(low)]
+    ends = sorted({a for a, _ in cuts} | {len(low)})
     found = set()
-    for border in (BORDER, LINE):
-        at = 0
-        for m in [*border.finditer(text), None]:
-            end = m.start() if m else len(text)
-            parts = [(at, end)]
-            if border is LINE:  # sentences within the line
-                cuts = [at, *(x.end() for x in BORDER.finditer(text, at, end)), end]
-                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-            for a, b in parts:
-                if b - a <= LONGEST and (name := known.get(normalised(text[a:b]))):
-                    found.add((a, name))
-            at = m.end() if m else end
+    for at in {0, *(b for _, b in cuts)}:
+        if not (m := HEAD.search(low, at, at + longest)):
+            continue
+        first, second = m[1].rstrip("."), (m[2] or "").rstrip(".")
+        some = heads.get((first, second), []) + (heads.get((first, ""), []) if second else [])
+        for s, name in some:
+            for end in ends[bisect_right(ends, m.start()) :]:
+                part = normalised(low[m.start() : end]) if end - m.start() <= SLACK * len(s) else None
+                if part == s:
+                    found.add((m.start(), name))
+                if part is None or len(part) >= len(s):
+                    break
     return sorted(found)
 
 
-LONGEST = 4 * max(map(len, SENTENCES.values()))
+#: A sentence's text may be this many times as long as the sentence: marks and blanks count for nothing.
+SLACK = 4
 
 
 def matched(ids: list[str], rules: dict[str, list[list[str]]]) -> list[str]:
@@ -106,17 +122,18 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     """
     small_batches(docs.sparkSession)
     known = {normalised(s): n for n, s in (sentences or SENTENCES).items()}
+    heads = by_head(known)
     rules = rules or RULES
     # a document without any of these words has no known sentence; each sentence has at least one of them
     hints = ["licen", "permi", "redistribut", "copyright", "warrant", "software", "rights", "endorse"]
-    hints += [s for s in known if not any(h in s for h in hints)]
+    hints += [max(s.split(), key=len) for s in known if s and not any(h in s for h in hints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, text in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
                 low = text.lower() if text else ""
-                if any(h in low for h in hints) and (ids := [n for _, n in sentence_ids(text, known)]):
+                if any(h in low for h in hints) and (ids := [n for _, n in sentence_ids(text, heads)]):
                     rows.append((i, ",".join(ids), ",".join(matched(ids, rules)), len(ids)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
