@@ -3,6 +3,7 @@
 A k-mer is k consecutive words; it is a closed syncmer if the least of its s-mers (by hash) is its first or its last one.
 That depends on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint holds the `size` least of the
 distinct anchor hashes; the likeness of two is the share of common anchors among the `size` least of both.
+Positions of anchors do not count in it; shift() gives the displacement that most common anchors agree on.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ def _hashed(text: Column) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Array of (pos, hash) of the closed syncmers of a text, by word position; a text of 1 to k-1 words is one anchor."""
+    """Array of (pos, hash) of the closed syncmers of a text, by word position.
+
+    A text of k words or more without any has the first k-mer with the least s-mer instead, one of 1 to k-1 words is one
+    anchor as a whole: only a text without words has none.
+    """
 
     def found(h: Column) -> Column:
         inner = F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
@@ -32,7 +37,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         def pick(m: Column) -> Column:
             edge = lambda i: F.least(F.get(m, i), F.get(m, i + last)) <= F.least(*[F.get(m, i + j) for j in range(1, last)], *([F.get(m, i + 1)] if last == 2 else []))
-            chosen = F.filter(F.sequence(F.lit(0), F.size(h) - k), edge)
+            places = F.sequence(F.lit(0), F.size(h) - k)
+            least = lambda i: F.struct(F.least(*[F.get(m, i + j) for j in range(last + 1)]).alias("low"), i.alias("i"))
+            chosen = let(F.filter(places, edge), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.array_min(F.transform(places, least))["i"])))
             cover = [*range(0, k - s + 1, s), *([k - s] if (k - s) % s else [])]  # s-mers that together hold every word
             return F.transform(chosen, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(m, i + j) for j in cover]).alias("hash")))
 
