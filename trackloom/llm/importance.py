@@ -4,6 +4,9 @@ Features are the lower-cased tokens `\\w+|[^\\w\\s]+` of the whole text and thei
 number of buckets. Two bag-of-n-grams models, one of target text (documents labelled good) and one of all raw text, give
 each document the log weight sum(log p_target - log p_raw). Adding Gumbel noise and keeping the k largest keys draws k
 documents without replacement in proportion to their weights (DSIR, Xie et al. 2023).
+
+Toxic text has a model of its own: the log share of labelled toxic documents among those with a word, over their share among all,
+shrunk towards 0 for rare words. A document's score is that of its strongest word, so a short passage in long good prose counts.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ CACHE_WORDS = 1_000_000
 #: Labelled rows at most that fit the target model and choose the cut: the ones whose hashed ids are least.
 LABELLED = 40_000
 SMOOTHING = 0.5
+#: Documents that pull a word's toxic ratio towards 0.
+SHRINK = 20.0
 
 
 class _TokenHashes(dict):
@@ -50,49 +55,67 @@ def _buckets(texts: list[str | None], cache: _TokenHashes) -> tuple[np.ndarray,
     return grams, where
 
 
-def labelled_sample(labels: DataFrame, most: int = LABELLED) -> list[tuple[int, bool]]:
-    """(doc_id, good) of at most `most` labelled rows; good: quality 1 and not toxic. Rows without an id or a quality are left out."""
+def _words(where: np.ndarray) -> int:
+    """How many of the n-grams of _buckets are words: they come first, then the pairs, one fewer in each text with words."""
+    return (len(where) + len(np.unique(where))) // 2
+
+
+def labelled_sample(labels: DataFrame, most: int = LABELLED) -> list[tuple[int, bool, bool]]:
+    """(doc_id, good, toxic) of at most `most` labelled rows; good: quality 1 and not toxic. Rows without an id or a quality are left out."""
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    return [(r.doc_id, bool(r.good)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    toxic = F.coalesce("toxic", F.lit(0))
+    rows = rows.agg(F.min(((F.col("quality") == 1) & (toxic == 0)).cast("int")).alias("good"), F.max((toxic != 0).cast("int")).alias("toxic"))
+    return [(r.doc_id, bool(r.good), bool(r.toxic)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
-def fit(docs: DataFrame, target_ids: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """log p_target - log p_raw by bucket. Raw counts cover all documents; target_ids (sorted) is the bounded sample."""
-    ids = docs.sparkSession.sparkContext.broadcast(target_ids)
+def fit(docs: DataFrame, target_ids: np.ndarray, toxic_ids: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """log p_target - log p_raw by bucket, and the shrunk ratio of toxic text. Raw counts cover all documents; the ids are the bounded sample's."""
+    ids = docs.sparkSession.sparkContext.broadcast((target_ids, toxic_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, n = _TokenHashes(), 1 << BUCKET_BITS
-        raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        raw, target, seen, toxic = np.zeros((4, n), np.int64)
         for b in batches:
             grams, where = _buckets(b.column("t").to_pylist(), cache)
-            own = np.isin(np.array([-1 if x is None else x for x in b.column("id").to_pylist()], np.int64), ids.value)
+            doc_ids = np.array([-1 if x is None else x for x in b.column("id").to_pylist()], np.int64)
             raw += np.bincount(grams, minlength=n)
-            target += np.bincount(grams[own[where]], minlength=n)
+            target += np.bincount(grams[np.isin(doc_ids, ids.value[0])[where]], minlength=n)
+            words = _words(where)
+            once = np.unique((where[:words] << BUCKET_BITS) | grams[:words])  # each word once a document
+            seen += np.bincount(once & (n - 1), minlength=n)
+            toxic += np.bincount(once[np.isin(doc_ids, ids.value[1])[once >> BUCKET_BITS]] & (n - 1), minlength=n)
         full = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(raw[full]), pa.array(target[full])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(raw[full]), pa.array(target[full]), pa.array(seen[full]), pa.array(toxic[full])], ["bucket", "raw", "target", "seen", "toxic"])
 
-    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "bucket long, raw long, target long")
-    raw, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # 2^16 rows at most
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "bucket long, raw long, target long, seen long, toxic long")
+    raw, target, seen, toxic = np.zeros((4, 1 << BUCKET_BITS))
+    for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).collect():  # 2^16 rows at most
+        raw[r.bucket], target[r.bucket], seen[r.bucket], toxic[r.bucket] = r.raw, r.target, r.seen, r.toxic
     n = len(raw)
-    return np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * n)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * n))
+    share = toxic.sum() / seen.sum() if seen.any() else 0.0
+    slur = np.log((toxic + SHRINK * share) / (seen + SHRINK) / share) if share else np.zeros(n)
+    ratio = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * n)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * n))
+    return np.stack([ratio, slur])
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_grams, log_weight) of every document; 0 for a null or empty text."""
+    """(id, n_grams, log_weight, toxicity) of every document; 0 for a null or empty text. ratio: the two of fit."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _TokenHashes()
         for b in batches:
             grams, where = _buckets(b.column("t").to_pylist(), cache)
-            w = np.bincount(where, held.value[grams], minlength=b.num_rows)
+            w = np.bincount(where, held.value[0][grams], minlength=b.num_rows)
+            words = _words(where)
+            toxicity = np.zeros(b.num_rows)
+            at = np.flatnonzero(np.diff(where[:words], prepend=-1))
+            if words:
+                toxicity[where[at]] = np.maximum.reduceat(held.value[1][grams[:words]], at)
             n = np.bincount(where, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int64)), pa.array(w)], ["id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int64)), pa.array(w.astype(float)), pa.array(toxicity)], ["id", "n_grams", "log_weight", "toxicity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_grams long, log_weight double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_grams long, log_weight double, toxicity double")
 
 
 def gumbel_keys(weights: DataFrame, seed: int) -> DataFrame:
@@ -137,7 +160,8 @@ def best_cut(scores: list[float], good: list[bool]) -> float:
 def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> DataFrame:
     """One row a document: id, n_grams, log_weight, gumbel_key, selected.
 
-    selected marks the k documents with the largest Gumbel keys. Without k, k is the number of documents whose log
+    selected marks the k documents with the largest Gumbel keys of those whose toxicity is below the cut that best parts
+    labelled toxic text from the rest. Without k, k is the number of documents whose log
     weight reaches the cut that best parts good from bad in the labelled sample (at most `most` rows; model counts cover
     all documents). Null and empty texts weigh 0 (log). Ties at the k-th key go in together only if keys are equal to
     the last bit; repeated rows with one id share key and fate. Without labels all documents are kept. An empty table
@@ -145,14 +169,18 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     """
     small_batches(docs.sparkSession)
     sample = labelled_sample(labels, most)
-    ratio = fit(docs, np.array(sorted(i for i, good in sample if good), np.int64), id_col, text_col)
+    ratio = fit(docs, np.array(sorted(i for i, good, _ in sample if good), np.int64), np.array(sorted(i for i, _, toxic in sample if toxic), np.int64), id_col, text_col)
     keyed = stored(gumbel_keys(log_weights(docs, ratio, id_col, text_col), seed))
+    seen = []
+    if sample:
+        frame = docs.sparkSession.createDataFrame(sample, "id long, good boolean, toxic boolean")
+        seen = keyed.join(F.broadcast(frame), "id").select("log_weight", "good", "toxicity", "toxic").collect()  # `most` rows at most, but for repeated ids
+    harmful = best_cut([r[2] for r in seen], [r[3] for r in seen]) if any(r[3] for r in seen) else float("inf")
+    fit_to_keep = F.col("toxicity") < harmful
     if k is None:
-        frame = docs.sparkSession.createDataFrame(sample, "id long, good boolean") if sample else None
-        seen = keyed.join(F.broadcast(frame), "id").select("log_weight", "good").collect() if sample else []  # `most` rows at most, but for repeated ids
-        k = keyed.where(F.col("log_weight") >= best_cut([r[0] for r in seen], [r[1] for r in seen])).count()
-    least = kth_largest(keyed, "gumbel_key", k)
-    selected = F.col("gumbel_key") >= least if least is not None else F.lit(k > 0)
+        k = keyed.where(fit_to_keep & (F.col("log_weight") >= best_cut([r[0] for r in seen], [r[1] for r in seen]))).count()
+    least = kth_largest(keyed.where(fit_to_keep), "gumbel_key", k)
+    selected = fit_to_keep & (F.col("gumbel_key") >= least if least is not None else F.lit(k > 0))
     return keyed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "gumbel_key", selected.alias("selected"))
 
 
