@@ -261,3 +261,24 @@ def test_pipeline(spark):
         assert now <= ids and (name == "redact") == (now == ids) or name != "redact"
         ids = now
     assert {r.doc_id for r in p.run(spark, DIR).select("doc_id").distinct().collect()} == ids
+
+
+def test_jaccard_near_group(spark, monkeypatch):
+    """A large group of near copies around the threshold, with lists longer than a part and null ids."""
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 16)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"x{rng.integers(10**9)}" if rng.random() < rng.choice([0.005, 0.02, 0.04]) else w for w in base)) for i in range(150)]
+    rows += [(None, rows[3][1]), (None, "alone with words of its own here"), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df).collect()
+    want = brute_components([r for r in rows if r[0] is not None])
+    assert {tuple(r) for r in got if r.doc_id is not None} == want and len({c for _, _, c in want}) > 3
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted([str({i: c for i, _, c in want}[3]), "None", "None", "None"])
+    members, links = jaccard.jaccard_links(df)
+    name = {r["class"]: r.doc_id for r in members.where("doc_id IS NOT NULL").collect()}
+    sets = {i: shingles(dict(rows)[i]) for i in name.values()}
+    linked = {tuple(sorted((name[r.a], name[r.b]))) for r in links.collect()}
+    assert linked == {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    kept = jaccard.keep_representatives(df.withColumn("row", F.lit(1)).withColumn("i", F.lit(2))).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted([(False, c, dict(rows[:150])[c]) for c in {c for _, _, c in want}] + [(True, 0, "alone with words of its own here"), (True, 0, ""), (True, 0, "")])

@@ -14,10 +14,13 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine alone (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="trackloom-"))
     return sc.getCheckpointDir()
 
 
@@ -53,6 +56,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def struct_row(df: DataFrame) -> DataFrame:
+    """df as one struct column `row`: whatever its columns are called, other columns beside it cannot clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right (one row a key) so that no key of left gets into one task as a whole.
+
+    A key is hot when it has more than a quarter of the rows of a mean partition, so there are at most 4 hot keys a
+    partition and their table can be broadcast. Rows of hot keys are dealt to several tasks, right's row copied to each.
+    """
+    spark = left.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    count = checkpointed(left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 64"))
+    limit = max(64, (left.count() if not count.isEmpty() else 0) // (4 * tasks))
+    hot = count.where(F.col("count") > limit).select(F.col(key).alias("hot_key"), F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    parts = F.coalesce("parts", F.lit(1))
+    own = right.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_key", "parts")
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.when(parts > 1, F.floor(F.rand(1) * parts)).otherwise(0).cast("int"))
+    return dealt.drop("hot_key", "parts").join(own, [key, "part"], how).drop("part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs: (node, component), component the least node.
 

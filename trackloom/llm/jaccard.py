@@ -7,11 +7,13 @@ classes in four steps, all of them Spark shuffles over narrow rows:
    the global order, so what very many sets share falls outside the prefixes. Any order gives exact results.
 2. Each class posts its prefix, (shingle, class, size, position), to the shingle's index list. Long lists are split by
    a salt that follows from the count array, so no task gets an unbounded list.
-3. Each class is held against one head only, the list head that it shares most lists with. Verified links make
-   components. This is the relation skip: members that are similar to a common head need no probe of each other.
-4. For lists that hold more than one component, members of different components are probed: blocks of the list that the
-   size bound or the position bound rules out are skipped whole. A pair whose distances to a common head are already
-   known is decided by the triangle inequality of the Jaccard distance where that suffices, without touching the sets.
+3. Each class is held against one head only: of the heads of its lists (each list's most central member) the one it
+   shares most lists with. Verified links make components. This is the relation skip: members that are similar to a
+   common head need no probe of each other.
+4. For lists that hold more than one component, members of different components are probed. A list is sorted by size and
+   position; blocks of one size are skipped whole where the position rules them out, and cut where it does so from some
+   position on. A member's answers follow from its head's: a pair whose distances to a common head are known is decided
+   by the triangle inequality of the Jaccard distance where that suffices, without touching the sets.
 
 Before whole sets are fetched, parity bitmaps (a bit a shingle) rule out most pairs: an exact bound, not an estimate.
 Step 4 covers every pair that steps 2 and 3 left open, so no link between different components is lost.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpointed, components, small_batches, stored
+from trackloom.llm.common import checkpointed, components, dealt_join, small_batches, stored, struct_row
 from trackloom.llm.shingles import U, distinct, mix, shingle_hashes
 
 #: Size of the count array (log2); with one byte a bucket when broadcast it takes 2 MB whatever the input.
@@ -54,7 +56,7 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
 
 
 def _counts(df: DataFrame, k: int) -> DataFrame:
@@ -91,13 +93,17 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _postings(df: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """(token, salt, key, size, pos): the prefix of each class, once per task. The count array decides order and salt."""
+    """(token, salt, key, size, pos, mid): the prefix of each class, once per task. The count array decides order and salt.
+
+    mid is the mean level of the prefix: a text in the midst of many near copies has few shingles of its own, so the
+    rarest of its shingles are still frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         seen = set()
         for b in batches:
-            token, keys, sizes, pos = [], [], [], []
+            token, keys, sizes, pos, mid = [], [], [], [], []
             for s in shingle_hashes(b.column("t").to_pylist(), k):
                 s = distinct(s)
                 if not len(s) or (key := set_key(s)) in seen:
@@ -106,7 +112,9 @@ def _postings(df: DataFrame, k: int, percent: int, levels) -> DataFrame:
                 n = len(s)
                 prefix = n - _need(n, percent) + 1
                 rank = level[(s >> U(64 - BUCKET_BITS)).view(np.int64)]
-                s = s[np.lexsort((s, rank))][:prefix]
+                order = np.lexsort((s, rank))[:prefix]
+                mid.append(np.full(prefix, int(rank[order].mean()), np.int16))
+                s = s[order]
                 token.append(s)
                 keys.append(np.full(prefix, key, np.int64))
                 sizes.append(np.full(prefix, n, np.int32))
@@ -116,9 +124,9 @@ def _postings(df: DataFrame, k: int, percent: int, levels) -> DataFrame:
                 many = np.exp2(level[(token >> U(64 - BUCKET_BITS)).view(np.int64)] / 8.0)
                 parts = np.maximum(1, np.ceil(many / LIST_ROWS)).astype(U)
                 salt = np.where(parts > 1, (mix(token ^ keys.view(U)) % parts).astype(np.int32), -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_longs(token), pa.array(salt), pa.array(keys), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos))], ["token", "salt", "key", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([_longs(token), pa.array(salt), pa.array(keys), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(mid))], ["token", "salt", "key", "size", "pos", "mid"])
 
-    return df.select("t").mapInArrow(run, "token long, salt int, key long, size int, pos int")
+    return df.select("t").mapInArrow(run, "token long, salt int, key long, size int, pos int, mid short")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -150,8 +158,8 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _heads(posted: DataFrame) -> DataFrame:
-    """Rows of lists with at least two classes, each with the list's head: the member whose mixed key is least, the same in all lists."""
-    names = ("token", "salt", "key", "size", "pos")
+    """Rows of lists with at least two classes, each with the list's head: the most central member, ties by a hash of the key, the same in all lists."""
+    names = ("token", "salt", "key", "size", "pos", "mid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches, names, ("token", "salt")):
@@ -160,54 +168,95 @@ def _heads(posted: DataFrame) -> DataFrame:
             new = _starts(x["token"], x["salt"])
             at = np.flatnonzero(new)
             length = np.diff(np.append(at, len(new)))
-            mixed = mix(x["key"].view(U))
-            least = np.repeat(np.minimum.reduceat(mixed, at), length)
-            head = np.repeat(x["key"][mixed == least], length)
-            keep = np.repeat(length, length) > 1
+            last = np.lexsort((mix(x["key"].view(U)), x["mid"], np.cumsum(new)))[at + length - 1]
+            head = np.repeat(x["key"][last], length)
             # a salted list of one still has to meet its other salts
-            keep |= x["salt"] >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[n][keep]) for n in names] + [pa.array(head[keep])], [*names, "head"])
+            keep = (np.repeat(length, length) > 1) | (x["salt"] >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[n][keep]) for n in names[:-1]] + [pa.array(head[keep])], [*names[:-1], "head"])
 
     dealt = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
     return dealt.mapInArrow(run, "token long, salt int, key long, size int, pos int, head long")
 
 
-def _probes(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of one list in different components that pass the size and position bounds; blocks are skipped whole."""
-    names = ("token", "key", "size", "pos", "comp", "head", "dist", "small")
-
-    def pairs(x: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size, pos, comp, key, head, dist = (x[n][lo:hi] for n in ("size", "pos", "comp", "key", "head", "dist"))
-        bits = np.frombuffer(b"".join(x["small"][lo:hi]), U).reshape(hi - lo, -1)
-        # the list is sorted by size: for member i only sizes up to size[i] * 100 / percent can match
-        end = np.searchsorted(size, size * 100 // percent, side="right")
-        for i in range(hi - lo - 1):
-            block = slice(i + 1, end[i])
-            need = -((-percent * (size[i] + size[block].astype(np.int64))) // (100 + percent))  # ceil(t/(1+t) (|x|+|y|))
-            room = 1 + np.minimum(size[i] - pos[i], size[block] - pos[block]) - 1
-            far = (head[block] == head[i]) & (np.abs(dist[block] - dist[i]) > (100 - percent) / 100 + 1e-9)
-            j = np.flatnonzero((comp[block] != comp[i]) & (room >= need) & ~far) + i + 1
-            if len(j):  # the sets differ in at least as many shingles as their parity bits
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                j = j[differ * (100 + percent) <= (100 - percent) * (size[j].astype(np.int64) + size[i])]
-            if len(j):
-                yield np.full(len(j), key[i]), key[j]
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... over length[0] numbers, then from first[1], and so on."""
+    total = np.cumsum(length)
+    return np.arange(total[-1]) + np.repeat(first - np.append(0, total[:-1]), length) if len(total) else np.zeros(0, np.int64)
+
+
+def _candidates(size: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the members after i that may link with i) of a list that is sorted by size, then position.
+
+    The list falls into blocks of equal size. For a block, the least overlap is one number, so a block is skipped as a
+    whole where i stands too far back in its own set, and from the position on at which its members do.
+    """
+    new = _starts(size)
+    at = np.flatnonzero(new)
+    sizes, stop, block = size[at].astype(np.int64), np.append(at[1:], len(size)), np.cumsum(new) - 1
+    place = (block << 32) + pos
+    for i in range(len(size) - 1):
+        n, r = int(size[i]), np.arange(block[i], np.searchsorted(sizes, int(size[i]) * 100 // percent, side="right"))
+        need = -((-percent * (n + sizes[r])) // (100 + percent))  # ceil(t / (1 + t) (|x| + |y|))
+        r, need = r[n - pos[i] >= need], need[n - pos[i] >= need]
+        first = np.maximum(at[r], i + 1)
+        last = np.minimum(np.searchsorted(place, (r << 32) + np.maximum(sizes[r] - need, -1), side="right"), stop[r])
+        yield i, _ranges(first, np.maximum(last - first, 0))
+
+
+def _probes(rows: DataFrame, percent: int, across: bool = True) -> DataFrame:
+    """(a, b, sure): members of one list that the bounds leave possible; with `across`, only those in different components.
+
+    A member's answers follow from its head's where that suffices: by the triangle inequality of the Jaccard distance a
+    pair under one head is out when the distances to it differ by more than the limit, and in (sure) when their sum does
+    not exceed it. Rows of a long list come in cells, pairs of its blocks, so that no task gets a whole one.
+    """
+    names = ("token", "cell", "key", "size", "pos", "comp", "head", "dist", "small", "part", "same")
+    limit = (100 - percent) / 100
+
+    def kept(x: dict[str, np.ndarray], bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = x["same"][i] | (x["part"][i] != x["part"][j])
+        if across:
+            ok &= x["comp"][i] != x["comp"][j]
+        known = x["head"][i] == x["head"][j]
+        ok &= ~(known & (np.abs(x["dist"][i] - x["dist"][j]) > limit + 1e-9))
+        i, j, known = i[ok], j[ok], known[ok]
+        # the sets differ in at least as many shingles as their parity bits
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) if len(i) else np.zeros(0, np.int64)
+        ok = differ * (100 + percent) <= (100 - percent) * (x["size"][i].astype(np.int64) + x["size"][j])
+        i, j, known = i[ok], j[ok], known[ok]
+        return x["key"][i], x["key"][j], known & (x["dist"][i] + x["dist"][j] <= limit - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _runs(batches, names, ("token",)):
-            at = np.flatnonzero(_starts(x["token"]))
-            a, b = [], []
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(x["token"])], strict=True):
-                for p, q in pairs(x, lo, hi):
-                    a.append(p)
-                    b.append(q)
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    dealt = rows.repartition("token").sortWithinPartitions("token", "size", "key")
-    return dealt.select(*names).mapInArrow(run, "a long, b long").distinct()
+        for x in _runs(batches, names, ("token", "cell")):
+            at = np.flatnonzero(_starts(x["token"], x["cell"]))
+            length = np.diff(np.append(at, len(x["token"])))
+            bits = np.frombuffer(b"".join(x["small"]), U).reshape(len(x["token"]), -1)
+            # most lists have two members: all of them at once
+            i = at[length == 2]
+            n, m = x["size"][i].astype(np.int64), x["size"][i + 1].astype(np.int64)
+            need = -((-percent * (n + m)) // (100 + percent))
+            i = i[(m * percent <= n * 100) & (n - x["pos"][i] >= need) & (m - x["pos"][i + 1] >= need)]
+            found = [kept(x, bits, i, i + 1)]
+            for lo, k in zip(at[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+                for i, j in _candidates(x["size"][lo : lo + k], x["pos"][lo : lo + k], percent):
+                    if len(j):
+                        found.append(kept(x, bits, np.full(len(j), lo + i), lo + j))
+            a, b, sure = (np.concatenate(c) for c in zip(*found, strict=True))
+            _, once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+            a, b, sure = a[once], b[once], sure[once]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
+
+    dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "pos", "key")
+    return dealt.select(*names).mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """rows (with n, the length of their list) with cell, part and same: a list of up to LIST_ROWS is one cell, a longer one has a cell for each pair of its parts."""
+    parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
+    part = F.pmod(F.xxhash64("key"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    rows = rows.withColumn("parts", parts).withColumn("part", part).withColumn("other", other)
+    return rows.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).withColumn("same", F.col("cell") % (F.col("parts") + 1) == 0).drop("parts", "other", "n")
 
 
 def _key_filter(keys: DataFrame) -> bytes:
@@ -242,7 +291,7 @@ def _small_bitmap(s: np.ndarray) -> bytes:
 
 
 def _own(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, key, bitmap, small) of every document; the bitmaps once per class and task."""
+    """(id, h, n, key, bitmap, small) of every document; the bitmaps once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -257,9 +306,9 @@ def _own(docs: DataFrame, k: int) -> DataFrame:
                 maps.append(None if known else _bitmap(s))
                 small.append(None if known else _small_bitmap(s))
                 seen.add(key)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.array(small, pa.binary())], ["id", "n", "key", "bitmap", "small"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.array(small, pa.binary())], ["id", "h", "n", "key", "bitmap", "small"])
 
-    return docs.mapInArrow(run, "id long, n long, key long, bitmap binary, small binary")
+    return docs.mapInArrow(run, "id long, h long, n long, key long, bitmap binary, small binary")
 
 
 def _sets(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
@@ -328,14 +377,6 @@ def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, maps, maps).select("a", "b", F.col("x.bitmap").alias("x"), F.col("y.bitmap").alias("y"), F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n")).mapInArrow(run, "a long, b long")
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, key: str, name: str) -> DataFrame:
-    """pairs with what the table sets (key, tokens) has for their column key as a new column. A key with very many pairs is dealt to several tasks, its set copied to each."""
-    count = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_OF_A_KEY).alias("parts"))
-    own = sets.withColumnRenamed("key", key).join(count, key).select(key, F.col("tokens").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
-    dealt = pairs.join(count, key).withColumn("part", F.pmod(F.xxhash64("a", "b"), "parts").cast("int")).drop("parts")
-    return dealt.join(own, [key, "part"]).drop("part")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared, total, linked) of every pair, by exact intersection of the whole sets."""
 
@@ -358,60 +399,94 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.dropDuplicates(["a", "b"])  # a class may come from several tasks
 
 
+class Join:
+    """The join's tables over one input: classes, their index lists, the star pairs and the components that these make."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> None:
+        small_batches(df.sparkSession)
+        self.docs, self.k, self.percent = _docs(df, id_col, text_col), k, percent
+        level = bytearray(1 << BUCKET_BITS)
+        for r in _counts(self.docs, k).collect():  # 2^21 bytes in all, in one job
+            level[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.level
+        levels = df.sparkSession.sparkContext.broadcast(bytes(level))
+        self.lists = stored(_heads(_postings(self.docs, k, percent, levels)))
+        self.own = stored(_own(self.docs, k))
+        self.maps = self.own.where("bitmap IS NOT NULL").dropDuplicates(["key"]).select("key", F.struct("n", "bitmap").alias("tokens"))
+        # each class goes to the one head that it shares most lists with, so there are no more star pairs than classes
+        shared = self.lists.where("key <> head").groupBy("head", "key").agg(F.count("*").alias("n"))
+        self.stars = stored(shared.groupBy(F.col("key").alias("b")).agg(F.max_by("head", F.struct("n", "head")).alias("a")))
+        self.tried = self.verified(self.stars)
+        self.links = self.tried.where("linked").select("a", "b")
+        self.label = stored(components(self.links))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, shared, total, linked) of the pairs that the bitmaps leave possible."""
+        possible = stored(_possible(pairs, self.maps, self.percent))
+        return stored(_verified(possible, _sets(self.docs, self.k, possible), self.percent))
+
+    def probed(self, across: bool) -> DataFrame:
+        """(a, b, sure) of the pairs that are still possible and no star pairs; with `across` only between components."""
+        named = self.lists.join(self.label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+        # lists that still hold more than one component; first the cheap test by partial aggregation
+        lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+        lists = lists.where("lo <> hi" if across else "n > 1").select("token", "n")
+        known = self.tried.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("total")).alias("dist"))
+        rows = named.join(lists, "token").join(known, ["head", "key"], "left")
+        rows = rows.withColumn("dist", F.when(F.col("head") == F.col("key"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))))
+        rows = rows.join(self.own.where("small IS NOT NULL").groupBy("key").agg(F.first("small").alias("small")), "key")
+        done = self.stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return stored(_probes(_in_cells(rows), self.percent, across).join(done, ["a", "b"], "left_anti"))
+
+    def labelled(self) -> DataFrame:
+        """own with comp: the key that names the component; null without words."""
+        late = self.verified(self.probed(True).select("a", "b")).where("linked").select("a", "b")
+        label = components(self.links.union(late)).select(F.col("node").alias("key"), "component")
+        return dealt_join(self.own.drop("bitmap", "small"), stored(label), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the least id that links reach, its own included).
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct k-word shingles. Null and
     empty texts have no shingles (n_shingles 0) and link with nothing: component_id is their own id. A text of 1 to k-1
     words is one shingle. Equal texts and repeated rows with one id fall into one class and one component. Rows with a
-    null id come out with component_id null unless their class has an id. An empty table gives an empty result. Other
-    columns of df, whatever their names, are neither read nor returned.
+    null id come out with component_id null unless their component has an id. An empty table gives an empty result.
+    Other columns of df, whatever their names, are neither read nor returned. Shingles and sets are known by 64-bit
+    hashes: among n of them two fall together with a probability of about n^2 / 2^65.
+    """
+    own = stored(Join(df, id_col, text_col, k, percent).labelled())
+    least = stored(own.where("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("component_id")))
+    found = dealt_join(own, least, "comp", "left")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """All links, as (members, links): members (id, n_shingles, class), links (a, b) between different classes, a < b, each once.
+
+    Equal sets are one class, so copies are not expanded; documents without words have a null class and no links. Pairs
+    that the triangle over a common head decides are not verified. There may be as many links as pairs of classes in a
+    dense group: components need jaccard_components only, which never lists them.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    docs = _docs(df, id_col, text_col)
-    level = bytearray(1 << BUCKET_BITS)
-    for r in _counts(docs, k).collect():  # 2^21 bytes in all, in one job
-        level[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.level
-    levels = spark.sparkContext.broadcast(bytes(level))
-    lists = stored(_heads(_postings(docs, k, percent, levels)))
-    own = stored(_own(docs, k))
-    maps = own.where("bitmap IS NOT NULL").dropDuplicates(["key"]).select("key", F.struct("n", "bitmap").alias("tokens"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        possible = stored(_possible(pairs, maps, percent))
-        return stored(_verified(possible, _sets(docs, k, possible), percent))
-
-    # each class goes to the one head that it shares most lists with, so there are no more star pairs than classes
-    shared = lists.where("key <> head").groupBy("head", "key").agg(F.count("*").alias("n"))
-    stars = stored(shared.groupBy(F.col("key").alias("b")).agg(F.max_by("head", F.struct("n", "head")).alias("a")))
-    tried = verified(stars)
-    links = tried.where("linked").select("a", "b")
-    label = stored(components(links))
-    # lists that still hold more than one component; first the cheap test by partial aggregation
-    named = lists.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    open_lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    known = tried.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("total")).alias("dist"))
-    left_open = named.join(open_lists, "token").join(known, ["head", "key"], "left")
-    left_open = left_open.withColumn("dist", F.when(F.col("head") == F.col("key"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))))
-    left_open = left_open.join(own.where("small IS NOT NULL").groupBy("key").agg(F.first("small").alias("small")), "key")
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_probes(left_open, percent).join(done, ["a", "b"], "left_anti"))
-    late = verified(more).where("linked").select("a", "b")
-    label = components(links.union(late))
-    classes = own.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
-    classes = classes.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "comp").select("key", "component_id")
-    return own.join(classes, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    join = Join(df, id_col, text_col, k, percent)
+    pairs = join.probed(False)
+    late = join.verified(pairs.where("NOT sure").select("a", "b")).where("linked").select("a", "b")
+    links = join.links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(late).union(pairs.where("sure").select("a", "b"))
+    return join.own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("class")), links.distinct()
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """df without the documents that link to one with a smaller id, directly or over others; repeated rows of the kept id stay once."""
-    small_batches(df.sparkSession)
-    found = jaccard_components(df, id_col, text_col, k, percent)
-    kept = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, df[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    """df with one document of each component: the one with the least id, a null id last, ties by a hash of the text.
+
+    Rows that repeat the kept document's id and text stay once. Documents without words link with nothing and stay, all
+    of them, whatever their ids. All columns come back as they were; an empty table gives an empty result.
+    """
+    own = stored(Join(df, id_col, text_col, k, percent).labelled())
+    order = F.struct(F.col("id").isNull(), "id", "h")
+    kept = own.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("m")).select(F.col("m.id").alias("i"), F.col("m.h").alias("h")).distinct()
+    keyless = own.where("comp IS NULL").select(F.col("id").alias("i"), "h").distinct()
+    rows = struct_row(df).withColumns({"own_id": F.col(f"row.`{id_col}`").cast("long"), "own_h": F.xxhash64(F.col(f"row.`{text_col}`"))})
+    at = lambda t: rows.join(t, rows.own_id.eqNullSafe(t.i) & rows.own_h.eqNullSafe(t.h), "left_semi")
+    return at(kept).dropDuplicates(["own_id", "own_h"]).union(at(keyless)).select("row.*")
 
 
-__all__ = ["jaccard_components", "keep_representatives", "set_key"]
+__all__ = ["jaccard_components", "jaccard_links", "keep_representatives", "set_key"]
