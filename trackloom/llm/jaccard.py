@@ -93,7 +93,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _postings(df: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """(token, salt, key, size, pos, mid): the prefix of each class, once per task. The count array decides order and salt.
+    """(token, salt, parts, key, size, pos, mid): the prefix of each class, once per task. The count array decides order, salt and parts.
 
     mid is the mean level of the prefix: a text in the midst of many near copies has few shingles of its own, so the
     rarest of its shingles are still frequent.
@@ -124,9 +124,9 @@ def _postings(df: DataFrame, k: int, percent: int, levels) -> DataFrame:
                 many = np.exp2(level[(token >> U(64 - BUCKET_BITS)).view(np.int64)] / 8.0)
                 parts = np.maximum(1, np.ceil(many / LIST_ROWS)).astype(U)
                 salt = np.where(parts > 1, (mix(token ^ keys.view(U)) % parts).astype(np.int32), -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_longs(token), pa.array(salt), pa.array(keys), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(mid))], ["token", "salt", "key", "size", "pos", "mid"])
+                yield pa.RecordBatch.from_arrays([_longs(token), pa.array(salt), pa.array(parts.astype(np.int32)), pa.array(keys), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(mid))], ["token", "salt", "parts", "key", "size", "pos", "mid"])
 
-    return df.select("t").mapInArrow(run, "token long, salt int, key long, size int, pos int, mid short")
+    return df.select("t").mapInArrow(run, "token long, salt int, parts int, key long, size int, pos int, mid short")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -159,7 +159,7 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 def _heads(posted: DataFrame) -> DataFrame:
     """Rows of lists with at least two classes, each with the list's head: the most central member, ties by a hash of the key, the same in all lists."""
-    names = ("token", "salt", "key", "size", "pos", "mid")
+    names = ("token", "salt", "parts", "key", "size", "pos", "mid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches, names, ("token", "salt")):
@@ -175,7 +175,21 @@ def _heads(posted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[n][keep]) for n in names[:-1]] + [pa.array(head[keep])], [*names[:-1], "head"])
 
     dealt = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
-    return dealt.mapInArrow(run, "token long, salt int, key long, size int, pos int, head long")
+    return dealt.mapInArrow(run, "token long, salt int, parts int, key long, size int, pos int, head long")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one component; those of salted lists all, as no task sees a whole one."""
+    names = tuple(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _runs(batches, names, ("token", "salt")):
+            at = np.flatnonzero(_starts(x["token"], x["salt"]))
+            several = np.minimum.reduceat(x["comp"], at) != np.maximum.reduceat(x["comp"], at)
+            keep = np.repeat(several, np.diff(np.append(at, len(x["comp"])))) | (x["salt"] >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[n][keep]) for n in names], list(names))
+
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, rows.schema)
 
 
 def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -251,12 +265,11 @@ def _probes(rows: DataFrame, percent: int, across: bool = True) -> DataFrame:
 
 
 def _in_cells(rows: DataFrame) -> DataFrame:
-    """rows (with n, the length of their list) with cell, part and same: a list of up to LIST_ROWS is one cell, a longer one has a cell for each pair of its parts."""
-    parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
-    part = F.pmod(F.xxhash64("key"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    rows = rows.withColumn("parts", parts).withColumn("part", part).withColumn("other", other)
-    return rows.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).withColumn("same", F.col("cell") % (F.col("parts") + 1) == 0).drop("parts", "other", "n")
+    """rows with cell, part and same: a list is one cell, a salted one has a cell for each pair of its parts."""
+    part = F.greatest("salt", F.lit(0))
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+    return rows.withColumn("same", F.col("cell") % (F.col("parts") + 1) == 0).drop("parts", "other", "salt")
 
 
 def _key_filter(keys: DataFrame) -> bytes:
@@ -280,8 +293,8 @@ def _key_filter(keys: DataFrame) -> bytes:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parity bits: bit i tells whether an odd number of the set's shingles fall to place i; at least as many places as shingles."""
-    places = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    """Parity bits: bit i tells whether an odd number of the set's shingles fall to place i; at least four times as many places as shingles."""
+    places = max(64, 1 << max(4 * len(s) - 1, 0).bit_length())
     return np.packbits(np.bincount((s & U(places - 1)).view(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
 
 
@@ -426,13 +439,12 @@ class Join:
 
     def probed(self, across: bool) -> DataFrame:
         """(a, b, sure) of the pairs that are still possible and no star pairs; with `across` only between components."""
-        named = self.lists.join(self.label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-        # lists that still hold more than one component; first the cheap test by partial aggregation
-        lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        lists = lists.where("lo <> hi" if across else "n > 1").select("token", "n")
-        known = self.tried.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("total")).alias("dist"))
-        rows = named.join(lists, "token").join(known, ["head", "key"], "left")
-        rows = rows.withColumn("dist", F.when(F.col("head") == F.col("key"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))))
+        star = self.tried.select(F.col("b").alias("key"), F.col("a").alias("star"), (1 - F.col("shared") / F.col("total")).alias("dist"))
+        about = self.label.withColumnRenamed("node", "key").join(star, "key", "full")  # what is known of a class, in one row
+        rows = self.lists.join(about, "key", "left").withColumn("comp", F.coalesce("component", "key"))
+        known = F.when(F.col("head") == F.col("key"), 0.0).when(F.col("head") == F.col("star"), F.col("dist")).otherwise(F.lit(float("nan")))
+        rows = rows.select("token", "salt", "parts", "key", "size", "pos", "head", "comp", F.coalesce(known, F.lit(float("nan"))).alias("dist"))
+        rows = _open(rows) if across else rows
         rows = rows.join(self.own.where("small IS NOT NULL").groupBy("key").agg(F.first("small").alias("small")), "key")
         done = self.stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return stored(_probes(_in_cells(rows), self.percent, across).join(done, ["a", "b"], "left_anti"))
