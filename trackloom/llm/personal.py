@@ -2,10 +2,14 @@
 
 All of it is DataFrame functions. Base matches are the seeds. Every identifier-like token (one with a digit or an @) is
 an instance; the words around it make lexical patterns, "the two words before" and "the word before and the word after".
-Patterns and instances are a bipartite graph. A pattern's confidence is the confidence of the distinct instances in its
-slot over all distinct fillers of its slot in the corpus, instances and ordinary words alike, so a context that also holds
-ordinary words scores near nothing and copies of documents change nothing. An instance's confidence is 1 for seeds, else the noisy-or of its patterns. A few rounds spread confidence from seeds over
-patterns to new instances and on; instances in a pattern of high confidence become spans of the kind `context`.
+An instance of eight digits or more also has a general pattern, its number of digits to the power of two: that is where
+identifiers of unknown kinds, in contexts that no seed stands in, meet the seeds. Patterns and instances are a bipartite
+graph. A lexical pattern takes part when enough distinct instances stand in its slot and ordinary words hardly do: the
+instances' share of the distinct fillers of the slot in the corpus must reach the confidence asked for. Its confidence is
+the sum of its instances' over its distinct fillers, so copies of documents change nothing; a general pattern's is the
+share of seeds, and of what lexical patterns found, among its instances. An instance's confidence is 1 for seeds, else the
+noisy-or of its patterns. A few rounds spread confidence from seeds over patterns to new instances and on; instances in a
+lexical pattern of high confidence become spans of the kind `context`.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import let, stored, text_or_empty
+from trackloom.llm.common import let, stored, struct_row, text_or_empty
 
 #: Kinds in the order that breaks ties of position, with their Java patterns. Possessive quantifiers and the look-behind
 #: only keep long runs from being tried again at every character; matches are those of the plain patterns.
@@ -29,9 +33,14 @@ BASE = {
 RANK = {k: i for i, k in enumerate((*BASE, "context"))}
 #: Identifier-like: a phone or a long number with blanks inside, or a run without white space that holds a digit or @.
 MENTION = r"(?<!\S)(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9])|[^\s0-9@]*+[0-9@]\S*+)"
-EDGE = r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$"
-#: Characters of context on each side of a mention.
+#: What is no part of a value: marks before its first letter or digit (but + and @), marks after its last one.
+LEAD = r"^[^\p{L}\p{N}+@]+"
+EDGE = LEAD + r"|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
+BLANKS = " \t\n\x0b\x0c\r"
+#: Characters on each side of a mention that are looked at first; all of them where these hold no whole words.
 SIDE = 64
+#: Digits that give an instance a general pattern, and the parts of the corpus that rule patterns out before the whole is read.
+DIGITS, PARTS = 8, (256, 16)
 BLOCK = 64
 
 
@@ -117,8 +126,13 @@ def base_spans(text: Column) -> Column:
 
 def _context(pieces: Column, i: Column) -> Column:
     """(before2, before, after): the words next to a mention, lower-cased; empty at a border."""
-    left = F.split(F.rtrim(F.lower(F.substring(F.get(pieces, i), -SIDE, SIDE))), r"\s+")
-    right = F.split(F.ltrim(F.lower(F.substring(F.get(pieces, i + 1), 1, SIDE))), r"\s+")
+
+    def near(piece: Column, part: Column, enough: str) -> Column:
+        return F.lower(F.when((F.length(piece) <= SIDE) | part.rlike(enough), part).otherwise(piece))
+
+    last, first = F.get(pieces, i), F.get(pieces, i + 1)
+    left = F.split(F.rtrim(near(last, F.substring(last, -SIDE, SIDE), r"\s\S+\s+\S+\s*$"), F.lit(BLANKS)), r"\s+")
+    right = F.split(F.ltrim(near(first, F.substring(first, 1, SIDE), r"^\s*\S+\s"), F.lit(BLANKS)), r"\s+")
     return F.struct(F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("")).alias("before2"), F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("before"), F.coalesce(F.get(right, F.lit(0)), F.lit("")).alias("after"))
 
 
@@ -145,44 +159,58 @@ def _ordinary(src: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pattern, slots): how many distinct tokens that are no instances stand in the slot of each wanted pattern."""
     slots = src.select(F.explode(_slots(F.col("text"))).alias("s")).select("s.token", F.explode("s.patterns").alias("pattern")).where("pattern IS NOT NULL")
     bare = slots.join(wanted, "pattern").select("pattern", F.regexp_replace("token", EDGE, "").alias("bare"))
-    bare = bare.where(~(F.col("bare").rlike("[0-9@]") & (F.length("bare") >= 6)))
+    bare = bare.where(~F.col("bare").rlike("[0-9@]"))
     return bare.select("pattern", F.xxhash64("bare").alias("bare")).distinct().groupBy("pattern").agg(F.count("*").alias("slots"))
 
 
-def _reached(edges: DataFrame, rounds: int) -> DataFrame:
-    """The patterns that seeds reach over instances and patterns within the rounds; the confidence of all others is 0."""
-    found = stored(edges.where("seed > 0").select("pattern").distinct())
-    for _ in range(rounds):
-        values = edges.join(found, "pattern", "left_semi").select("value").distinct()
-        found = stored(edges.join(values, "value", "left_semi").select("pattern").distinct())
-    return found
+def _fillers(src: DataFrame, counted: DataFrame, confidence: float) -> DataFrame:
+    """(pattern, fillers) of the patterns (pattern, n instances) whose instances reach the share `confidence` of all distinct fillers.
 
+    Fillers count over the whole corpus. What a part of the texts holds is a lower bound, so common contexts, which hold
+    ordinary words, are ruled out after one text in 256 and their slots in the rest need no counting.
+    """
+    for part in (*PARTS, 1):
+        seen = _ordinary(src.where(F.pmod("text_key", F.lit(part)) == 0) if part > 1 else src, counted.select("pattern"))
+        counted = counted.join(seen, "pattern", "left").withColumn("fillers", F.col("n") + F.coalesce("slots", F.lit(0)))
+        counted = stored(counted.where(F.col("n") >= confidence * F.col("fillers")).select("pattern", "n", "fillers"))
+        if part == 1 or counted.isEmpty():
+            break
+        counted = counted.drop("fillers")
+    return counted.select("pattern", "fillers") if "fillers" in counted.columns else counted.select("pattern", F.col("n").alias("fillers"))
 
-def scored_patterns(src: DataFrame, m: DataFrame, rounds: int, support: int) -> DataFrame:
-    """(pattern, fillers, confidence) of the patterns of `support` distinct instances that seeds reach.
 
-    src: the texts; m: mentions (value, seed, patterns).
+def scored_patterns(src: DataFrame, m: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+    """(pattern, fillers, confidence) of the lexical patterns of `support` distinct instances that take part.
+
+    src: the texts (text, text_key); m: mentions (value, seed, patterns).
     """
-    edges = m.select("value", "seed", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL")
-    edges = edges.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
-    edges = stored(edges)
-    edges = stored(edges.join(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern"), "pattern"))
-    reached = _reached(edges, rounds)
-    if reached.isEmpty():
-        return reached.select("pattern", F.lit(0).cast("long").alias("fillers"), F.lit(0.0).alias("confidence"))
-    edges = stored(edges.join(reached, "pattern", "left_semi"))
-    # how many distinct fillers, instances and ordinary tokens of the whole corpus, each of these patterns has
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n")).join(_ordinary(src, reached), "pattern", "left")
-    total = stored(total.select("pattern", (F.col("n") + F.coalesce("slots", F.lit(0))).alias("fillers")))
-    scored = edges.select("pattern", "value", "seed", F.col("seed").alias("conf"))
+    edges = stored(m.select("value", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL").distinct())
+    total = _fillers(src, edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), confidence)
+    if total.isEmpty():
+        return total.withColumn("confidence", F.lit(0.0))
+    edges = stored(edges.join(total, "pattern"))
+    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    inst = m.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+    inst = stored(inst.withColumn("general", F.when(digits >= DIGITS, F.floor(F.log2(digits)).cast("int"))))
+    linked = stored(inst.join(edges.select("value").distinct(), "value", "left_semi"))
+    per_general = inst.where("general IS NOT NULL").groupBy("general").agg(F.count("*").alias("n"), F.sum("seed").alias("got"))
+    known = {r.general: (r.n, r.got) for r in per_general.collect()}  # a row for each power of two
+    found = dict.fromkeys(known, 0.0)
+
+    def general() -> Column:
+        share = [F.when(F.col("general") == g, F.lit((got + found[g]) / n)) for g, (n, got) in known.items()]
+        return F.coalesce(*share, F.lit(0.0))
+
+    def scored(state: DataFrame) -> DataFrame:
+        return edges.join(state, "value").groupBy("pattern").agg(F.first("fillers").alias("fillers"), F.sum("conf").alias("got")).select("pattern", "fillers", (F.col("got") / F.col("fillers")).alias("confidence"))
+
+    state = linked.withColumn("conf", F.when(F.col("seed") > 0, 1.0).otherwise(general()))
     for _ in range(rounds):
-        per = scored.groupBy("pattern").agg(F.sum("conf").alias("got"))
-        per = per.join(total, "pattern").select("pattern", (F.col("got") / F.col("fillers")).alias("pc"))
-        inst = edges.join(per, "pattern").groupBy("value").agg(F.max("seed").alias("s"), F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("pc"))))).alias("miss"))
-        inst = inst.select("value", F.when(F.col("s") > 0, 1.0).otherwise(1 - F.col("miss")).alias("conf"))
-        scored = stored(edges.join(inst, "value").select("pattern", "value", "seed", "conf"))
-    per = scored.groupBy("pattern").agg(F.sum("conf").alias("got")).join(total, "pattern")
-    return stored(per.select("pattern", "fillers", (F.col("got") / F.col("fillers")).alias("confidence")))
+        miss = edges.join(scored(state).select("pattern", "confidence"), "pattern").groupBy("value").agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))).alias("miss"))
+        state = linked.join(miss, "value").withColumn("conf", F.when(F.col("seed") > 0, 1.0).otherwise(1 - F.col("miss") * (1 - general())))
+        state = stored(state)
+        found |= {r.general: r.got for r in state.where("general IS NOT NULL AND seed = 0").groupBy("general").agg(F.sum(1 - F.col("miss")).alias("got")).collect()}
+    return stored(scored(state))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
@@ -195,18 +223,18 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = text_or_empty(text_col)
     src = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text", F.length("text")).alias("text_key"))
-    mentions = F.when(F.col("text").rlike("[0-9@]"), _located(F.col("text"), MENTION, lambda m: F.length(m) >= 6, {"around": _context}))
+    mentions = F.when(F.col("text").rlike("[0-9@]"), _located(F.col("text"), MENTION, lambda m: F.lit(True), {"around": _context}))
     rows = src.select("id", "text_key", base_spans(F.col("text")).alias("base"), mentions.alias("mentions"))
     rows = stored(rows)
 
     m = rows.where("mentions IS NOT NULL").select("id", "text_key", "base", F.explode("mentions").alias("m"))
-    lead = F.length(F.col("m.value")) - F.length(F.regexp_replace("m.value", "^[\"'(\\[{<]+", ""))
+    lead = F.length(F.col("m.value")) - F.length(F.regexp_replace("m.value", LEAD, ""))
     value = F.regexp_replace("m.value", EDGE, "")
     m = m.select("id", "text_key", "base", value.alias("value"), (F.col("m.start") + lead).alias("start"), _patterns(F.col("m.around.before2"), F.col("m.around.before"), F.col("m.around.after")).alias("patterns"))
-    m = m.withColumn("end", F.col("start") + F.length("value")).where(F.length("value") >= 6)
+    m = m.withColumn("end", F.col("start") + F.length("value")).where("value <> ''")
     seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     m = m.withColumn("seed", seed).drop("base")
-    good = scored_patterns(src, m, rounds, support).where(F.col("confidence") >= confidence).select("pattern")
+    good = scored_patterns(src, m, rounds, support, confidence).where(F.col("confidence") >= confidence).select("pattern")
     new = m.where("NOT seed").select("id", "text_key", "value", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
     span = F.struct(F.col("start").alias("start"), F.lit(RANK["context"]).alias("rank"), F.col("end").alias("end"), F.lit("context").alias("kind"), "value")
     new = stored(new.groupBy("id", "text_key").agg(F.collect_set(span).alias("more")))
@@ -228,18 +256,25 @@ def _merged(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span of find_personal replaced by its kind in angle brackets; n_chars, where there is one, follows. Null texts stay null."""
-    found = find_personal(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_i"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans"))
-    found = stored(found.dropDuplicates(["_i", "_k"]))
-    text = F.col(text_col)
-    out = docs.withColumn("_key", F.xxhash64(text_or_empty(text_col), F.length(text_or_empty(text_col))))
-    out = out.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
+    """docs with each span of find_personal replaced by its kind in angle brackets; n_chars, where there is one, follows.
+
+    All rows stay, repeated ones too, with all columns as they were, whatever their names. Spans that overlap become one.
+    Null texts stay null. An empty table gives an empty result.
+    """
+    found = find_personal(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("i"), F.col("text_key").alias("k"), "spans")
+    found = stored(found.dropDuplicates(["i", "k"]))
+    own = text_or_empty(F.col(f"row.`{text_col}`"))
+    out = struct_row(docs).withColumns({"own_id": F.col(f"row.`{id_col}`"), "own_key": F.xxhash64(own, F.length(own))})
+    out = out.join(found, F.col("own_id").eqNullSafe(F.col("i")) & (F.col("own_key") == F.col("k")), "left")
+    text = F.col(f"row.`{text_col}`")
 
     def cut(m: Column) -> Column:
         end = lambda i: F.when(i < 0, 0).otherwise(F.get(m, i)["end"])
         body = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.concat(F.substring(text, end(i - 1) + 1, F.get(m, i)["start"] - end(i - 1)), F.lit("<"), F.upper(F.get(m, i)["kind"]), F.lit(">")))
         return F.concat(F.array_join(body, ""), F.substring(text, end(F.size(m) - 1) + 1, F.length(text)))
 
-    out = out.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(let(_merged(F.col("_spans")), cut)))
-    out = out.select(*docs.columns)
-    return out.withColumn("n_chars", F.coalesce(F.length(text_col).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else out
+    out = out.select("row", F.when(F.col("spans").isNull(), text).otherwise(let(_merged(F.col("spans")), cut)).alias("text"))
+    changed = {text_col: F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
