@@ -1,14 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-A bigram model with absolute counts of words and quantised counts of word pairs. Pairs that occur at least twice are kept:
-a count c has the level 1 + floor(log_b(c - 1)), and the filter holds (pair, 1) to (pair, level) (Talbot and Osborne 2007).
-Scoring probes (pair, 1), (pair, 2), ... until one is missing, which gives the level and so the quantised count q. With
-Q(h) the sum of q over the kept pairs of a context h and rest(h) = c(h) - Q(h) (at least 1), the mass of its rare pairs,
+A bigram model with absolute counts of words and quantised counts of word pairs, all of them, once seen ones too: a count
+c has the level 1 + floor(log_b(c)), and the filter holds (pair, 1) to (pair, level) (Talbot and Osborne 2007). Scoring
+probes (pair, 1), (pair, 2), ... until one is missing, which gives the level and so the quantised count q. With Q(h) the
+sum and T(h) the number of the quantised counts of a context h, and a discount D (absolute discounting),
 
-    p(w | h) = (q(h, w) + rest(h) * p1(w)) / (Q(h) + rest(h)),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+    p(w | h) = (max(q(h, w) - D, 0) + D T(h) p1(w)) / Q(h),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 
-The filter and the word table grow with the corpus. They are cut into shards by the word's (pair's) hash, each under
-`shard_bytes`, and broadcast one after the other; more than one shard costs one more pass over the texts each.
+and p1(w) where the context was never seen. The filter and the word table grow with the corpus. Shards are ranges of the
+filter's segments and of the words' hashes, each under `shard_bytes`, broadcast one after the other; more than one shard
+costs one more pass over the texts each. Where a pair's bits lie does not depend on the shards, so scores do not either.
 """
 
 from __future__ import annotations
@@ -27,21 +28,21 @@ END = int(mix(np.array([0xE0D], U))[0])
 BASE_OF_LEVELS = 1.5
 SEGMENT_BITS = 20
 BITS_PER_ENTRY = 12
-#: A table row takes 24 bytes; what one broadcast holds at most, about.
+DISCOUNT = 0.75
+#: A table row takes 32 bytes; what one broadcast holds at most, about.
 SHARD_BYTES = 192 << 20
 FLUSH = 2_000_000
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
-    """1 + floor(log_b(c - 1)) for counts of at least 2, 0 below."""
-    c = np.maximum(count, 2) - 1
-    return np.where(count >= 2, 1 + np.floor(np.log(c) / np.log(BASE_OF_LEVELS) + 1e-9), 0).astype(np.int64)
+    """1 + floor(log_b(c)) for counts of at least 1, 0 below."""
+    return np.where(count >= 1, 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(BASE_OF_LEVELS) + 1e-9), 0).astype(np.int64)
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
     """The count in the middle of a level; 0 for level 0."""
-    low, high = BASE_OF_LEVELS ** (level - 1.0), BASE_OF_LEVELS**level
-    return np.where(level > 0, 1 + (low + np.maximum(low, high - 1)) / 2, 0.0)
+    low, high = np.ceil(BASE_OF_LEVELS ** (level - 1.0) - 1e-9), np.ceil(BASE_OF_LEVELS**level - 1e-9)
+    return np.where(level > 0, (low + np.maximum(low, high - 1)) / 2, 0.0)
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -95,30 +96,29 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """A part of the model: words with counts and context sums, and the segments of the filter for pairs of its keys."""
+    """A part of the model: words with count, context sum and number of followers, and the filter's segments from `first` on of `total`."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, sums: np.ndarray, segments: np.ndarray, part: int, parts: int) -> None:
+    def __init__(self, words: np.ndarray, known: np.ndarray, segments: np.ndarray, first: int, total: int) -> None:
         order = np.argsort(words)
-        self.words, self.counts, self.sums, self.segments, self.part, self.parts = words[order], counts[order], sums[order], segments, part, parts
+        self.words, self.known, self.segments, self.first, self.total = words[order], known[:, order], segments, first, total
 
-    def words_of(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, context sum) of each word; 0 where this shard has none."""
+    def words_of(self, w: np.ndarray) -> np.ndarray:
+        """(count, context sum, followers) of each word, in three rows; 0 where this shard has none."""
         if not len(self.words):
-            return np.zeros(len(w), np.int64), np.zeros(len(w))
+            return np.zeros((3, len(w)))
         word, back = np.unique(w, return_inverse=True)
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        here = self.words[at] == word
-        return np.where(here, self.counts[at], 0)[back], np.where(here, self.sums[at], 0.0)[back]
+        return np.where(self.words[at] == word, self.known[:, at], 0.0)[:, back]
 
     def pairs_of(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The level of each pair, by probes until one is missing."""
+        """The level of each pair, by probes until one is missing; 0 where the pair's segment is in another shard."""
         level = np.zeros(len(w), np.int64)
         if not len(self.segments):
             return level
         key = pair_key(h, w)
-        live = np.flatnonzero(key % U(self.parts) == U(self.part)) if self.parts > 1 else np.arange(len(key))
-        key = key[live]
-        seg = (mix(key) % U(len(self.segments))).view(np.int64)
+        seg = (mix(key) % U(self.total)).view(np.int64) - self.first
+        live = np.flatnonzero((seg >= 0) & (seg < len(self.segments)))
+        key, seg = key[live], seg[live]
         j = 1
         while len(live):
             hit = np.ones(len(live), bool)
@@ -150,56 +150,49 @@ def _fill(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def _sql_level() -> Column:
-    return (F.floor(F.log(F.col("c") - 1) / np.log(BASE_OF_LEVELS) + 1e-9) + 1).cast("long")
+    return (F.floor(F.log(F.col("c")) / np.log(BASE_OF_LEVELS) + 1e-9) + 1).cast("long")
 
 
 def _sql_count(level: Column) -> Column:
-    low, high = F.pow(F.lit(BASE_OF_LEVELS), level - 1), F.pow(F.lit(BASE_OF_LEVELS), level)
-    return 1 + (low + F.greatest(low, high - 1)) / 2
+    low, high = F.ceil(F.pow(F.lit(BASE_OF_LEVELS), level - 1) - 1e-9), F.ceil(F.pow(F.lit(BASE_OF_LEVELS), level) - 1e-9)
+    return (low + F.greatest(low, high - 1)) / 2
 
 
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES):
     """(N, V, number of shards, function from a shard's number to the Shard) of the model of docs (column t: binary)."""
-    counts = stored(_counts(docs).where("NOT pair OR c >= 2"))
+    counts = stored(_counts(docs))
     word, pairs = counts.where("NOT pair"), counts.where("pair").withColumn("level", _sql_level())
     n, v = word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     entries = pairs.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    parts = max(1, -(-(24 * v + entries * BITS_PER_ENTRY // 8) // shard_bytes))
-    sums = pairs.groupBy(F.col("h").alias("w")).agg(F.sum(_sql_count(F.col("level"))).alias("sum"))
-    table = word.select("w", "c").join(sums, "w", "left").select("w", "c", F.coalesce("sum", F.lit(0.0)).alias("sum"))
-    if parts > 1:
-        table = stored(table)
-
-    def mine(df: DataFrame, part: int, key) -> DataFrame:
-        """The rows whose hash falls to the part; numpy's own hash, so it is computed there."""
-        if parts == 1:
-            return df
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(key(b) % U(parts) == U(part)))
-
-        return df.mapInArrow(run, df.schema)
+    total = (entries * BITS_PER_ENTRY >> SEGMENT_BITS) + 1 if entries else 0
+    parts = max(1, -(-(32 * v + (total << SEGMENT_BITS - 3)) // shard_bytes))
+    sums = pairs.groupBy(F.col("h").alias("w")).agg(F.sum(_sql_count(F.col("level"))).alias("sum"), F.count("*").alias("types"))
+    table = word.select("w", "c").join(sums, "w", "left").select("w", "c", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.coalesce("types", F.lit(0)).alias("types"))
+    segments = _fill(pairs, total) if total else None
+    if parts > 1:  # each shard reads its own rows only: files are in ranges of words and segments
+        table = stored(table.repartitionByRange("w"))
+        segments = stored(segments.repartitionByRange("seg")) if total else None
 
     def shard(part: int) -> Shard:
-        rows = mine(table, part, lambda b: mix(b.column("w").to_numpy().view(U))).toArrow()
-        own = mine(pairs.select("h", "w", "c"), part, lambda b: pair_key(b.column("h").to_numpy().view(U), b.column("w").to_numpy().view(U)))
-        n_seg = -(-entries * BITS_PER_ENTRY // parts >> SEGMENT_BITS) + 1 if entries else 0
-        segments = np.zeros((n_seg, 1 << SEGMENT_BITS - 3), np.uint8)
-        if n_seg:
-            for r in _fill(own, n_seg).toLocalIterator():
-                segments[r.seg] = np.frombuffer(r.bits, np.uint8)
-        return Shard(rows.column("w").to_numpy().view(U), rows.column("c").to_numpy(), rows.column("sum").to_numpy(), segments, part, parts)
+        low, high = ((part * 2**64 // parts) - 2**63, ((part + 1) * 2**64 // parts) - 2**63 - 1)
+        rows = (table.where(F.col("w").between(low, high)) if parts > 1 else table).toArrow()
+        first, last = part * total // parts, (part + 1) * total // parts
+        bits = np.zeros((last - first, 1 << SEGMENT_BITS - 3), np.uint8)
+        if last > first:
+            for r in (segments.where(F.col("seg").between(first, last - 1)) if parts > 1 else segments).toLocalIterator():
+                bits[r.seg - first] = np.frombuffer(r.bits, np.uint8)
+        known = np.stack([rows.column(x).to_numpy().astype(float) for x in ("c", "sum", "types")])
+        return Shard(rows.column("w").to_numpy().view(U), known, bits, first, total)
 
     return n, v, parts, shard
 
 
-def _score(w: np.ndarray, at: np.ndarray, c: np.ndarray, sums: np.ndarray, level: np.ndarray, n: int, v: int, end: tuple[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n_known, base, score) of each text."""
+def _score(at: np.ndarray, known: np.ndarray, level: np.ndarray, n: int, v: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_known, base, score) of each text. known: what words_of tells of each token; end: of the end, which comes before the first."""
+    c = known[0]
     p1 = (c + 0.5) / (n + 0.5 * (v + 1))
-    ch, qh = np.concatenate([[end[0]], c[:-1]]), np.concatenate([[end[1]], sums[:-1]])
-    rest = np.maximum(ch - qh, 1.0)
-    p = (count_of(level) + rest * p1) / (qh + rest)
+    total, types = np.concatenate([end.reshape(3, 1), known[:, :-1]], axis=1)[1:]
+    p = np.where(total > 0, (np.maximum(count_of(level) - DISCOUNT, 0) + DISCOUNT * types * p1) / np.maximum(total, 1), p1)
     of = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)  # noqa: E731  each text has a token: END
     return of((c > 0).astype(np.int64)), of(np.log10(p1)), of(np.log10(p))
 
@@ -216,11 +209,10 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).cast("long").alias("id"), (~training).alias("held_out"), F.col(text_col).cast("binary").alias("t"))
     n, v, parts, shard = train(source.where("NOT held_out"), shard_bytes)
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    ends: list[tuple[int, float]] = [(0, 0.0)]
 
-    def out(b: pa.RecordBatch, w, at, c, sums, level, end) -> pa.RecordBatch:
-        known, base, score = _score(w, at, c, sums, level, n, v, end)
-        return pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))], names)
+    def out(b: pa.RecordBatch, at, known, level, end) -> pa.RecordBatch:
+        n_known, base, score = _score(at, known, level, n, v, end)
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(n_known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))], names)
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     if parts == 1:
@@ -228,43 +220,39 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
 
         def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = held.value
-            end = tuple(x[0] for x in model.words_of(np.array([END], U)))
+            end = model.words_of(np.array([END], U))
             for b in batches:
                 w, h, at = tokens(b.column("t").to_pylist())
-                c, sums = model.words_of(w)
-                yield out(b, w, at, c, sums, model.pairs_of(h, w), end)
+                yield out(b, at, model.words_of(w), model.pairs_of(h, w), end)
 
         scored = source.mapInArrow(direct, schema)
     else:
-        # each pass adds what one shard knows to three arrays by token; only one shard is broadcast at a time
-        state = source.withColumns({x: F.lit(None).cast("binary") for x in ("c", "sums", "level")})
+        # each pass adds what one shard knows to two arrays by token; only one shard is broadcast at a time
+        state, end = source.withColumns({x: F.lit(None).cast("binary") for x in ("known", "level")}), np.zeros((3, 1))
         for part in range(parts):
             model = shard(part)
-            got = model.words_of(np.array([END], U))
-            ends[0] = (ends[0][0] + int(got[0][0]), ends[0][1] + float(got[1][0]))
+            end = end + model.words_of(np.array([END], U))
             held = spark.sparkContext.broadcast(model)
             del model
 
             def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     w, h, at = tokens(b.column("t").to_pylist())
-                    c, sums = held.value.words_of(w)
                     cols = []
-                    for name, new, kind in (("c", c, np.int64), ("sums", sums, np.float64), ("level", held.value.pairs_of(h, w), np.int64)):
+                    for name, new in (("known", held.value.words_of(w).T), ("level", held.value.pairs_of(h, w).astype(np.int16))):
                         old = b.column(name).to_pylist()
-                        parts_ = [new[x:y].astype(kind) + (np.frombuffer(o, kind) if o is not None else 0) for x, y, o in zip(at[:-1], at[1:], old, strict=True)]
-                        cols.append(pa.array([x.tobytes() for x in parts_], pa.binary()))
+                        sums = [new[x:y] + (np.frombuffer(o, new.dtype).reshape(y - x, *new.shape[1:]) if o is not None else 0) for x, y, o in zip(at[:-1], at[1:], old, strict=True)]
+                        cols.append(pa.array([np.ascontiguousarray(x).tobytes() for x in sums], pa.binary()))
                     yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), b.column("t"), *cols], b.schema.names)
 
             state = stored(state.mapInArrow(add, state.schema))
             held.unpersist(blocking=False)
-        end = ends[0]
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                w, _, at = tokens(b.column("t").to_pylist())
-                whole = [np.frombuffer(b"".join(b.column(x).to_pylist()), k) for x, k in (("c", np.int64), ("sums", np.float64), ("level", np.int64))]
-                yield out(b, w, at, *whole, end)
+                known, level = (np.frombuffer(b"".join(b.column(x).to_pylist()), k) for x, k in (("known", np.float64), ("level", np.int16)))
+                at = np.append(0, np.cumsum([len(x) // 2 for x in b.column("level").to_pylist()]))
+                yield out(b, at, known.reshape(-1, 3).T, level.astype(np.int64), end)
 
         scored = state.mapInArrow(finish, schema)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
