@@ -2,6 +2,8 @@
 
 import textwrap
 
+from pyspark.sql import functions as F
+
 from trackloom.llm import licenses
 
 LAYOUTS = {
@@ -22,6 +24,21 @@ def test_every_sentence_and_rule(spark):
     assert [(lay, licence) for i, (lay, licence, way, _) in enumerate(ways, len(one)) if i not in got or got[i].licenses != licence or got[i].sentence_ids != ",".join(way)] == []
 
 
+def test_far_apart_and_twice(spark):
+    s = licenses.SENTENCES
+    bsd = [s[x] for x in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")]
+    texts = [
+        "Released under" + " " * 30000 + "the MIT License.",
+        ".\n" * 50000 + "Licensed under" + ".\n" * 50000 + "CC BY 4.0",
+        ". ".join(bsd) + ".",
+        ". ".join(bsd + bsd[:3]) + ".",
+        ". ".join(bsd[:3] + bsd) + ".",
+        "Released under the MIT License of old",
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sentence_ids", F.lit(1))).collect()}
+    assert got == {0: "MIT", 1: "CC-BY-4.0", 2: "BSD-3-Clause", 3: "BSD-2-Clause,BSD-3-Clause", 4: "BSD-2-Clause,BSD-3-Clause"}
+
+
 def test_own_sentences(spark):
     own = {"a": "Zebras may: graze. Here " + "very " * 600 + "long", "b": "Quux"}
     rows = [(1, "x\n" + own["a"].replace("graze. ", "graze.\n") + "."), (2, "so. quux. so"), (3, "zebras may graze"), (4, "quux it")]

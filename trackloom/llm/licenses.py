@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,19 +40,35 @@ SENTENCES = {
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "isc-granted": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "gpl2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "lgpl21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "spdx-apache2": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-gpl3-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-mpl2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
 }
 RULES = {
-    "Apache-2.0": [["apache2-by"], ["apache2-may-not", "apache2-obtain", "apache2-as-is"]],
-    "MIT": [["mit-by"], ["mit-by-2"], ["mit-granted", "mit-notice", "mit-as-is"]],
-    "GPL-3.0-only": [["gpl3-by"], ["gpl3-by-2"]],
-    "GPL-3.0-or-later": [["gpl-redistribute", "gpl-hope"]],
+    "Apache-2.0": [["apache2-by"], ["apache2-may-not", "apache2-obtain", "apache2-as-is"], ["spdx-apache2"]],
+    "MIT": [["mit-by"], ["mit-by-2"], ["mit-granted", "mit-notice", "mit-as-is"], ["spdx-mit"]],
+    "GPL-3.0-only": [["gpl3-by"], ["gpl3-by-2"], ["spdx-gpl3"]],
+    "GPL-3.0-or-later": [["gpl-redistribute", "gpl-hope"], ["spdx-gpl3-later"]],
+    "GPL-2.0-or-later": [["gpl2-redistribute"]],
+    "LGPL-2.1-or-later": [["lgpl21-redistribute"]],
+    "AGPL-3.0-or-later": [["agpl3-redistribute"]],
+    "ISC": [["isc-granted"], ["spdx-isc"]],
     "CC-BY-NC-4.0": [["cc-by-nc-4"]],
     "CC-BY-4.0": [["cc-by-4"], ["cc-by-4-long"]],
     "CC-BY-SA-4.0": [["cc-by-sa-4"]],
     "CC0-1.0": [["cc0"]],
-    "BSD-3-Clause": [["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]],
-    "BSD-2-Clause": [["bsd-redistribution", "bsd-source", "bsd-binary"]],
-    "MPL-2.0": [["mpl2"]],
+    "BSD-3-Clause": [["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"], ["spdx-bsd3"]],
+    "BSD-2-Clause": [["bsd-redistribution", "bsd-source", "bsd-binary"], ["spdx-bsd2"]],
+    "MPL-2.0": [["mpl2"], ["spdx-mpl2"]],
     "Unlicense": [["unlicense"]],
     "All-rights-reserved": [["reserved"]],
 }
@@ -60,6 +77,7 @@ BORDER = re.compile(r"(?<=[.;:!?])\s+")
 LINE = re.compile(r"\n+")
 MARKS = re.compile(r"[^a-z0-9.]+")
 HEAD = re.compile(r"([a-z0-9][a-z0-9.]*)(?:[^a-z0-9.]+([a-z0-9.]+))?")
+WORD, FIRST = re.compile(r"[a-z0-9.]+"), re.compile(r"[a-z0-9]")
 
 
 def normalised(sentence: str) -> str:
@@ -79,39 +97,54 @@ def by_head(known: dict[str, str]) -> dict[tuple[str, str], list[tuple[str, str]
 def sentence_ids(text: str, heads: dict[tuple[str, str], list[tuple[str, str]]]) -> list[tuple[int, str]]:
     """(start, identifier) of the known sentences, in order. Each begins and ends at a border or at a line's; it may hold borders and go over several lines."""
     low = text.lower()
-    longest = SLACK * max((len(s) for of in heads.values() for s, _ in of), default=0)
     cuts = [m.span() for border in (BORDER, LINE) for m in border.finditer(low)]
     ends = sorted({a for a, _ in cuts} | {len(low)})
-    found = set()
-    for at in {0, *(b for _, b in cuts)}:
-        if not (m := HEAD.search(low, at, at + longest)):
+    found, past, m = set(), len(low), None
+    for at in sorted({0, *(b for _, b in cuts)}, reverse=True):
+        # the first word after this cut: before the next cut, else the one found for that
+        if near := FIRST.search(low, at, past):
+            m = HEAD.match(low, near.start())
+        past = at
+        if not m:
             continue
         first, second = m[1].rstrip("."), (m[2] or "").rstrip(".")
         some = heads.get((first, second), []) + (heads.get((first, ""), []) if second else [])
-        for s, name in some:
-            for end in ends[bisect_right(ends, m.start()) :]:
-                part = normalised(low[m.start() : end]) if end - m.start() <= SLACK * len(s) else None
-                if part == s:
-                    found.add((m.start(), name))
-                if part is None or len(part) >= len(s):
-                    break
+        found |= {(m.start(), name) for s, name in some if ends_well(low, m.start(), s, ends)}
     return sorted(found)
 
 
-#: A sentence's text may be this many times as long as the sentence: marks and blanks count for nothing.
-SLACK = 4
+def ends_well(low: str, start: int, sentence: str, ends: list[int]) -> bool:
+    """Whether the words from start on are the sentence's, however far apart, and only marks and blanks follow up to a border."""
+    words = sentence.split(" ")
+    past = start
+    for i, (word, m) in enumerate(zip_longest(words, islice(WORD.finditer(low, start), len(words))), 1):
+        if m is None or (m[0] != word and not (i == len(words) and m[0].rstrip(".") == word)):
+            return False
+        past = m.start() + len(word)
+    border = ends[bisect_left(ends, past)]
+    return not FIRST.search(low, past, border)
 
 
 def matched(ids: list[str], rules: dict[str, list[list[str]]]) -> list[str]:
-    """Licences of which a rule's identifiers all come, in its order (others may stand between); rules inside a longer matched one give way."""
-    hits: list[tuple[str, list[str]]] = []
-    for name, ways in rules.items():
-        for way in ways:
-            rest = iter(ids)
-            if all(x in rest for x in way):
-                hits.append((name, way))
+    """Licences of which a rule's identifiers all come, in its order (others may stand between).
+
+    Longer rules are tried first, each as often as it comes; a sentence that one has used is not there for the next, so a
+    licence inside a longer one is found only where its own sentences come once more.
+    """
+    rest, found = list(ids), set()
+    for _, name, way in sorted((-len(way), name, way) for name, ways in rules.items() for way in ways):
+        while way:
+            at, used = 0, []
+            for x in way:
+                if x not in rest[at:]:
+                    break
+                at = rest.index(x, at) + 1
+                used.append(at - 1)
+            if len(used) < len(way):
                 break
-    return sorted({n for n, way in hits if not any(set(way) < set(w) for _, w in hits)})
+            found.add(name)
+            rest = [x for i, x in enumerate(rest) if i not in used]
+    return sorted(found)
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, list[list[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
