@@ -28,12 +28,12 @@ END_ID = 1
 #: Pieces in a block, on average.
 BLOCK = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, CHILDREN = 2, 2, 3, 4, 3
-#: Tasks at most that evolve islands.
-MOST_TASKS = 2000
+#: Tasks that evolve islands for each core of the cluster, at most.
+TASKS_A_CORE = 32
 #: Bins with more than this share of room are dissolved into the next level.
 ROOM = 0.004
-#: Runs without blanks, and parts of runs, whose ids a worker remembers: about 300 MB.
-CACHE_RUNS, CACHE_PARTS = 1_200_000, 100_000
+#: Bytes, about, of the runs without blanks that a worker remembers, half of them those it met last; and their parts.
+CACHE_BYTES, CACHE_PARTS = 64 << 20, 50_000
 #: A run of these characters needs no normalization but lower case; its parts are those of the tokenizer's own pattern.
 PLAIN = re.compile("[!-~\xa1-\xac\xae-\xb4\xb6-\xff]*").fullmatch
 LETTERS, DIGITS = "a-z\xaa\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -60,6 +60,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.parts: dict[str, list[int]] = {}
@@ -76,17 +78,23 @@ class WordIds(dict):
         return ids
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHE_RUNS:
-            self.clear()
-            self[""] = b""
+        packed = self.older.get(run)
+        if packed is None:
+            packed = self._ids(run)
+        if len(run) <= 64:
+            self.held += 220 + len(run) + len(packed)  # the two objects and their place in the dictionary
+            if self.held > CACHE_BYTES // 2:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[run] = packed
+        return packed
+
+    def _ids(self, run: str) -> bytes:
         if PLAIN(run) and not ("<" in run and any(x in run for x in self.special)):
             ids = [i for part in PARTS(run.lower()) for i in self._part(part)]
         else:
             ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(run) <= 64:
-            self[run] = packed
-        return packed
+        return np.array(ids, "<u4").tobytes()
 
 
 def word_ids(tokenizer: str) -> WordIds:
@@ -207,7 +215,11 @@ def first_population(lens: np.ndarray, capacity: int, rng: np.random.Generator)
 
 
 def evolve(population: list[Bins], rng: np.random.Generator) -> list[Bins]:
+    """GENERATIONS of crossover and mutation; none once the best individual has as few bins as the lengths allow."""
+    floor = -(-int(population[0].lens.sum()) // population[0].capacity)
     for _ in range(GENERATIONS):
+        if len(population[0].items) == floor:
+            break
         children = []
         for _ in range(CHILDREN):
             i, j = rng.choice(len(population), 2, replace=False) if len(population) > 1 else (0, 0)
@@ -269,7 +281,8 @@ def _pack_level(items: DataFrame, blocks: int, capacity: int, level: int, last:
     gathered = dealt.groupBy("block").applyInArrow(gather, "block long, uids binary, lens binary")
     state = gathered.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     # an explicit number of tasks: the islands' states are small, their work is not
-    spread = lambda d: d.repartition(min(MOST_TASKS, blocks * ISLANDS), "block", "island")
+    tasks = min(TASKS_A_CORE * items.sparkSession.sparkContext.defaultParallelism, blocks * ISLANDS)
+    spread = lambda d: d.repartition(tasks, "block", "island")
     state = stored(_epoch(spread(state), capacity, seed, True))
     for e in range(1, EPOCHS):
         migrants = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("migrant"))
@@ -282,13 +295,15 @@ def pack(pieces: DataFrame, capacity: int = 4096, seed: int = 11) -> DataFrame:
     """pieces (with a unique long `uid` and `length`, 1 to capacity) -> (uid, sequence_id, offset)."""
     whole = pieces.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out, items, level = whole, pieces.where(F.col("length") < capacity).select("uid", "length"), 0
-    n = items.count()
+    n, before = items.count(), None
     while n:
         blocks = -(-n // BLOCK)
-        placed = stored(_pack_level(items, blocks, capacity, level, blocks == 1 or level == 15, seed + 100 * level))
+        # a level that places less than a tenth of its pieces shows that the rest cannot be filled up: the next is the last
+        last = blocks == 1 or (before is not None and 10 * n > 9 * before)
+        placed = stored(_pack_level(items, blocks, capacity, level, last, seed + 100 * level))
         out = out.union(placed.where("sequence_id IS NOT NULL").select("uid", "sequence_id", "offset"))
         items = placed.where("sequence_id IS NULL").select("uid", "length")
-        n, level = items.count(), level + 1
+        before, n, level = n, items.count(), level + 1
     return out
 
 
