@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import small_batches
+from trackloom.llm.common import small_batches, struct_row
 from trackloom.llm.shingles import U, distinct, shingle_hashes
 
 PERMS = 64
@@ -80,12 +80,10 @@ def _candidates(index: ItemIndex, shingles: list[np.ndarray]) -> set[tuple[int,
     some = gone.any()
     # coarser blocks join two finer ones of the same document; where that is depends on the document's own blocks
     plans = []
-    place = at
     for s in steps:
         width = s // base
         starts = np.concatenate([np.arange(a, b, width) for a, b in zip(at[:-1], at[1:], strict=True)]) if width > 1 else None
         plans.append((s, starts, doc if starts is None else doc[starts]))
-    del place
     for p in range(len(index.mul)):
         v = (lanes ^ index.add[p]) * index.mul[p]
         if some:
@@ -173,10 +171,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75,
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The documents that contain no item at the threshold, with all their columns; rows without an id are judged together and kept only if none of them has one."""
-    found = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, text_col: str = "text") -> DataFrame:
+    """The documents that contain no item at the threshold, with all their columns, whatever their names.
 
-
-assert U is np.uint64
+    Each is judged by its text alone: rows without an id like all others, rows with one text alike. Null and empty texts
+    contain nothing and stay. Empty tables give back docs, or nothing.
+    """
+    keyed = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = contained_items(keyed, items, threshold).select(F.col("doc_id").alias("key")).distinct()
+    rows = struct_row(docs).withColumn("own_key", F.xxhash64(F.col(f"row.`{text_col}`")))
+    return rows.join(found, rows.own_key == found.key, "left_anti").select("row.*")

@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import small_batches, stored
+from trackloom.llm.common import small_batches, stored, struct_row
 from trackloom.llm.shingles import U, mix
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKET_BITS = 16
 #: Tokens whose hashes a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 #: Labelled rows at most that fit the target model and choose the cut: the ones whose hashed ids are least.
 LABELLED = 40_000
 SMOOTHING = 0.5
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, target_ids: np.ndarray, toxic_ids: np.ndarray, id_col:
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_grams, log_weight, toxicity) of every document; 0 for a null or empty text. ratio: the two of fit."""
+    """(id, text_key, n_grams, log_weight, toxicity) of every document; 0 for a null or empty text. ratio: the two of fit."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,14 +113,15 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
             if words:
                 toxicity[where[at]] = np.maximum.reduceat(held.value[1][grams[:words]], at)
             n = np.bincount(where, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int64)), pa.array(w.astype(float)), pa.array(toxicity)], ["id", "n_grams", "log_weight", "toxicity"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(n.astype(np.int64)), pa.array(w.astype(float)), pa.array(toxicity)], ["id", "text_key", "n_grams", "log_weight", "toxicity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_grams long, log_weight double, toxicity double")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("t"))
+    return source.mapInArrow(run, "id long, text_key long, n_grams long, log_weight double, toxicity double")
 
 
 def gumbel_keys(weights: DataFrame, seed: int) -> DataFrame:
-    """weights with gumbel_key: the log weight plus Gumbel noise that follows from the id and the seed."""
-    u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    """weights with gumbel_key: the log weight plus Gumbel noise that follows from the id, else from the text, and the seed."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("id", "text_key"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     return weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
 
 
@@ -158,7 +159,7 @@ def best_cut(scores: list[float], good: list[bool]) -> float:
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> DataFrame:
-    """One row a document: id, n_grams, log_weight, gumbel_key, selected.
+    """One row a document: id, n_grams, log_weight, gumbel_key, selected, text_key (a hash of the text).
 
     selected marks the k documents with the largest Gumbel keys of those whose toxicity is below the cut that best parts
     labelled toxic text from the rest. Without k, k is the number of documents whose log
@@ -174,17 +175,22 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     seen = []
     if sample:
         frame = docs.sparkSession.createDataFrame(sample, "id long, good boolean, toxic boolean")
-        seen = keyed.join(F.broadcast(frame), "id").select("log_weight", "good", "toxicity", "toxic").collect()  # `most` rows at most, but for repeated ids
+        known = keyed.join(F.broadcast(frame), "id").groupBy("id").agg(F.min("log_weight").alias("w"), F.first("good").alias("g"), F.max("toxicity").alias("t"), F.first("toxic").alias("x"))
+        seen = known.select("w", "g", "t", "x").collect()  # `most` rows at most: one an id
     harmful = best_cut([r[2] for r in seen], [r[3] for r in seen]) if any(r[3] for r in seen) else float("inf")
     fit_to_keep = F.col("toxicity") < harmful
     if k is None:
         k = keyed.where(fit_to_keep & (F.col("log_weight") >= best_cut([r[0] for r in seen], [r[1] for r in seen]))).count()
     least = kth_largest(keyed.where(fit_to_keep), "gumbel_key", k)
     selected = fit_to_keep & (F.col("gumbel_key") >= least if least is not None else F.lit(k > 0))
-    return keyed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "gumbel_key", selected.alias("selected"))
+    return keyed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "gumbel_key", selected.alias("selected"), "text_key")
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents that importance_resample selects, with all their columns; rows without an id are kept by nobody and go."""
-    chosen = importance_resample(docs, labels, None, seed).where("selected").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, docs.doc_id == F.col("_id"), "left_semi")
+def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that importance_resample selects, with all their columns, whatever their names.
+
+    Rows without an id are judged like all others; rows that repeat an id and its text stay or go together.
+    """
+    chosen = importance_resample(docs, labels, None, seed, id_col, text_col).where("selected").select(F.col(id_col).alias("i"), "text_key").distinct()
+    rows = struct_row(docs).withColumns({"own_id": F.col(f"row.`{id_col}`").cast("long"), "own_key": F.xxhash64(F.col(f"row.`{text_col}`"))})
+    return rows.join(chosen, rows.own_id.eqNullSafe(chosen.i) & (rows.own_key == chosen.text_key), "left_semi").select("row.*")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 U = np.uint64
-#: Bytes of text that are hashed at once; a single longer text is hashed alone.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are hashed at once; a longer text is cut at a blank. Hashing takes about 30 bytes for each.
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,29 +31,47 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 VALUE, BLANK = _tables()
 BASE = 0x2545F4914F6CDD1D
-_powers = np.array([1], U)
+LAST_BLANK = re.compile(rb".*[\x20\x09-\x0D]", re.DOTALL)
+NEXT_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE^0 to BASE^(n-1), modulo 2^64."""
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * U(pow(BASE, len(_powers), 1 << 64))])
-    return _powers
+def _grown(power: np.ndarray, n: int) -> np.ndarray:
+    """BASE^0 to at least BASE^(n-1), modulo 2^64, from a shorter such array."""
+    while len(power) < n:
+        power = np.concatenate([power, power * U(pow(BASE, len(power), 1 << 64))])
+    return power
 
 
-def _slices(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+POWERS = _grown(np.array([1], U), 1 << 12)
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of at most SLICE_BYTES, cut at blanks; a longer word stays whole."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        cut = LAST_BLANK.match(text, at, at + SLICE_BYTES) or NEXT_BLANK.search(text, at + SLICE_BYTES)
+        if not cut:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
+def _slices(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(places of the texts, their parts) of at most SLICE_BYTES together."""
+    places: list[int] = []
     held: list[bytes] = []
     size = 0
-    for t in texts:
-        t = t or b""
-        if held and size + len(t) > SLICE_BYTES:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
+    for i, t in enumerate(texts):
+        for part in _parts(t or b""):
+            if held and size + len(part) > SLICE_BYTES:
+                yield places, held
+                places, held, size = [], [], 0
+            places.append(i)
+            held.append(part)
+            size += len(part)
     if held:
-        yield held
+        yield places, held
 
 
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +79,23 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     A word's hash is a polynomial of its bytes' numbers, mixed with its length; all words of a slice are hashed together.
     """
-    found, ends = [], [np.zeros(1, np.int64)]
-    for part in _slices(texts):
+    found, words = [], np.zeros(len(texts), np.int64)
+    for places, part in _slices(texts):
         buf = np.frombuffer(b" ".join(part) + b" ", np.uint8)
         blank = BLANK[buf]
         edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
         first, past = edge[0::2], edge[1::2]
         bounds = np.cumsum([len(t) + 1 for t in part])
-        ends.append(ends[-1][-1] + np.searchsorted(first, bounds))
+        np.add.at(words, places, np.diff(np.searchsorted(first, bounds), prepend=0))
         if len(first):
             length = past - first
-            power = powers(int(length.max()))
+            power = _grown(POWERS, int(length.max()))
             inside = np.arange(len(buf)) - np.repeat(np.append(first, len(buf)), np.diff(np.concatenate([[0], first[1:], [len(buf)]])).tolist() + [0])
             inside[blank] = 0
             inside[: first[0]] = 0
             h = np.add.reduceat(VALUE[buf] * power[inside], first)
             found.append(mix(h ^ (length.astype(U) * U(0x9E3779B97F4A7C15))))
-    return (np.concatenate(found) if found else np.zeros(0, U)), np.concatenate(ends)
+    return (np.concatenate(found) if found else np.zeros(0, U)), np.append(0, np.cumsum(words))
 
 
 def shingle_hashes(texts: list[bytes | None], k: int = 5) -> Iterator[np.ndarray]:
