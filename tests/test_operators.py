@@ -1,11 +1,13 @@
 """Assignment against all permutations; plausibility and text rules on hand-made cases."""
 
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.functions import expressions as X
+from trackloom.operators import evaluation as E
 from trackloom.operators import identity as I
 from trackloom.operators.evaluation import best_assignment, clear, clear_matches, hota, identity, similarity
 from trackloom.operators.identity import plausibility
@@ -30,10 +32,65 @@ def test_plausibility(spark):
 
 
 def test_captions(spark):
-    df = spark.createDataFrame([("a bald bald bald man", True), ("a small bird", False), ("", True), (None, True)], "c string, want boolean")
+    df = spark.createDataFrame([("a bald bald bald man", True), ("a small bird", False), ("", False), (None, False), ("bald, bald. bald", False), (" A\tbald Bald\nBALD man", True)], "c string, want boolean")
     assert all(r.got == r.want for r in df.select(X.degenerate(F.col("c")).alias("got"), "want").collect())
 
 
+def brute_hota(truth, tracker, sims, alpha):
+    """(tp, ass_a, ass_re, ass_pr, loc sum) by trying every one-to-one matching of a frame."""
+    ng, nt = Counter(i for _, i in truth), Counter(i for _, i in tracker)
+    pot, by_frame = Counter(), {}
+    for (f, g, t), s in sims.items():
+        by_frame.setdefault(f, {})[g, t] = s
+    for pairs in by_frame.values():
+        for (g, t), s in pairs.items():
+            den = sum(x for (a, _), x in pairs.items() if a == g) + sum(x for (_, b), x in pairs.items() if b == t) - s
+            pot[g, t] += s / den
+    ga = {k: v / (ng[k[0]] + nt[k[1]] - v) for k, v in pot.items()}
+    matched, loc = Counter(), 0.0
+    for pairs in by_frame.values():
+        gs, ts = sorted({g for g, _ in pairs}), sorted({t for _, t in pairs})
+        options = permutations([*ts, *[None] * len(gs)], len(gs))
+        best = max(options, key=lambda o: sum(ga[g, t] * pairs[g, t] for g, t in zip(gs, o) if (g, t) in pairs))
+        for g, t in zip(gs, best):
+            if (g, t) in pairs and pairs[g, t] >= alpha - 2e-16:
+                matched[g, t] += 1
+                loc += pairs[g, t]
+    tp = sum(matched.values())
+    over = lambda den: sum(n * n / max(1, den(g, t, n)) for (g, t), n in matched.items()) / max(1, tp)
+    return tp, over(lambda g, t, n: ng[g] + nt[t] - n), over(lambda g, t, n: ng[g]), over(lambda g, t, n: nt[t]), loc / max(1e-10, tp)
+
+
+def test_contested_scenes_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    truth = [(f, g) for f in range(12) for g in range(3) if rng.random() < 0.9]
+    tracker = [(f, t) for f in range(12) for t in range(20, 23) if rng.random() < 0.9]
+    sims = {(f, g, t): float(rng.uniform(0.1, 1)) for f, g in truth for h, t in tracker if f == h and rng.random() < 0.8}
+    df = lambda rows: spark.createDataFrame([("s", f, i) for f, i in rows], "scene string, frame long, id long")
+    sim = spark.createDataFrame([("s", *k, v) for k, v in sims.items()], "scene string, frame long, gt long, trk long, sim double")
+    rows = {round(r.alpha, 2): r for r in hota(df(truth), df(tracker), sim).collect()}
+    for alpha in (0.05, 0.5, 0.9):
+        r = rows[alpha]
+        assert np.allclose((r.tp, r.ass_a, r.ass_re, r.ass_pr, r.loc_a), brute_hota(truth, tracker, sims, alpha))
+    overlap = Counter((g, t) for (f, g, t), s in sims.items() if s >= 0.5)
+    want = max(sum(overlap[g, t] for g, t in zip(range(3), o)) for o in permutations((20, 21, 22, None, None, None), 3))
+    got = identity(df(truth), df(tracker), sim).first()
+    assert (got.idtp, got.idfn, got.idfp) == (want, len(truth) - want, len(tracker) - want) and np.isclose(got.idr, want / len(truth)) and np.isclose(got.idp, want / len(tracker))
+
+
+def test_one_sided_scenes(spark):
+    row = lambda s, i: (s, 1, i, 0.0, 0.0)
+    schema = "scene string, frame long, id long, x double, y double"
+    truth, tracker = spark.createDataFrame([row("a", 1), row("a", 2), row("c", 1)], schema), spark.createDataFrame([row("b", 1), row("c", 1)], schema)
+    h = {r.scene: r for r in hota(truth, tracker).where("alpha = 0.5").collect()}
+    assert [(h[s].tp, h[s].fn, h[s].fp, h[s].loc_a, h[s].hota) for s in "abc"] == [(0, 2, 0, 1.0, 0.0), (0, 0, 1, 1.0, 0.0), (1, 0, 0, 1.0, 1.0)]
+    c = {r.scene: r for r in E.clear_fields(truth, tracker, similarity(truth, tracker)).collect()}
+    assert [(c[s].fn, c[s].fp, c[s].ml, c[s].mlr, c[s].mota, c[s].frames) for s in "ab"] == [(2, 0, 2, 1.0, 0.0, 0), (0, 1, 0, 1.0, 0.0, 0)]
+    alone = E.combined_sequences(hota(truth.where("scene = 'a'"), tracker.where("false")), []).first()
+    assert (alone.tp, alone.loc_a) == (0, 1.0)
+    assert E.class_average_identity(spark.createDataFrame([("x", 1, 1, 0, 0.5, 1.0, 0.6), ("y", 0, 0, 0, 0.0, 0.0, 0.0)], "class string, idtp long, idfn long, idfp long, idr double, idp double, idf1 double"), ignore_empty=True).first().idr == 0.5
+
+
 def test_perfect_and_switched_tracks(spark):
     truth = spark.createDataFrame([("s", f, i, 10.0 * i, 0.0) for f in range(4) for i in (1, 2)], "scene string, frame long, id long, x double, y double")
     assert {r.hota for r in hota(truth, truth).collect()} == {1.0}

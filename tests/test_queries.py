@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from trackloom import catalog
+from trackloom import plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,10 +21,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_against_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DIR)
+    df = plans.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
     got = norm(tuple(r) for r in df.select(cols).collect())
-    want = norm(duck.execute("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({catalog.ORACLE_SQL[name]})").fetchall())
+    want = norm(duck.execute("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({plans.ORACLE_SQL[name]})").fetchall())
     assert got == want

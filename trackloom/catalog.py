@@ -11,12 +11,10 @@ from pyspark.sql.window import Window
 from trackloom.functions import calibration, colours
 from trackloom.functions import expressions as X
 from trackloom.operators import evaluation as E
-from trackloom.operators import captions, identity, proximity, sampling, sightings
+from trackloom.operators import captions, identity, proximity, sampling, sightings, tracks
 from trackloom.sources.standins import detections, evaluation, table, track_features
 
-GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, CAPTION_WORDS = 1440, 30, 10.0, 30.0, 3, 12
-#: About the length of a sighting: narrower copies more rows, wider holds more pairs against each other.
-COOCCUR_BUCKET = 240
+GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, RELIABLE = 1440, 30, 10.0, 30.0, 3, 3
 PEOPLE, COLOURS = ["the", "de", "die"], ["and", "of", "la", "der"]
 HOMOGRAPHY = [[1.2, 0.1, 30.0], [0.05, 1.4, 20.0], [0.0005, 0.001, 1.0]]
 
@@ -41,22 +39,33 @@ m AS (SELECT target, other, camera, tf AS target_frame, of_ AS other_frame, r AS
   CASE WHEN r <= 0.15 THEN 'likely_same_person' WHEN least(td, od) < 3 THEN 'uncertain_proximity' ELSE 'confirmed_proximity' END AS match_type FROM pick WHERE k = 1)"""
 
 
-def _eval(x: str) -> str:
+def _eval(x: str, truth: str = "true", tracker: str = "true") -> str:
     return f"""{DET}, once AS (SELECT *, 'scene_' || camera AS scene, CAST(floor(frame/60.0) AS BIGINT) + 1 AS fr, row_number() OVER (PARTITION BY camera, CAST(floor(frame/60.0) AS BIGINT), global_id ORDER BY ordinal) AS r FROM det),
-g AS (SELECT scene, fr AS frame, global_id AS gt, {x} AS x FROM once WHERE r = 1 AND ordinal % 20 <> 0),
-t AS (SELECT scene, fr AS frame, global_id + CASE WHEN fr > 360 THEN 100000 ELSE 0 END AS trk, {x} + (ordinal % 13) * 0.137 AS x FROM once WHERE r = 1 AND ordinal % 10 <> 1),
+g AS (SELECT scene, fr AS frame, global_id AS gt, {x} AS x FROM once WHERE r = 1 AND ordinal % 20 <> 0 AND {truth}),
+t AS (SELECT scene, fr AS frame, global_id + CASE WHEN fr > 360 THEN 100000 ELSE 0 END AS trk, {x} + (ordinal % 13) * 0.137 AS x FROM once WHERE r = 1 AND ordinal % 10 <> 1 AND {tracker}),
 sim AS (SELECT g.scene, g.frame, g.gt, t.trk, 1 - sqrt((g.x-t.x)*(g.x-t.x)) / 2.0 AS sim FROM g JOIN t ON g.scene = t.scene AND g.frame = t.frame WHERE 1 - sqrt((g.x-t.x)*(g.x-t.x)) / 2.0 > 0),
 cnt AS (SELECT coalesce(a.scene, b.scene) AS scene, coalesce(dets, 0) AS dets, coalesce(gt_dets, 0) AS gt_dets, coalesce(ids, 0) AS ids, coalesce(gt_ids, 0) AS gt_ids FROM
   (SELECT scene, count(*) AS gt_dets, count(DISTINCT gt) AS gt_ids FROM g GROUP BY 1) a FULL JOIN (SELECT scene, count(*) AS dets, count(DISTINCT trk) AS ids FROM t GROUP BY 1) b ON a.scene = b.scene)"""
 
 
 GATED = _eval("global_id * 10 + wy * 0.01")
-HOTA = GATED + """, ng AS (SELECT scene, gt, count(*) AS ng FROM g GROUP BY 1, 2), nt AS (SELECT scene, trk, count(*) AS nt FROM t GROUP BY 1, 2),
+#: One scene without a tracker, one without ground truth.
+LONE = _eval("global_id * 10 + wy * 0.01", "scene <> 'scene_2'", "scene <> 'scene_1'")
+
+
+def _hota(base: str) -> str:
+    return base + """, ng AS (SELECT scene, gt, count(*) AS ng FROM g GROUP BY 1, 2), nt AS (SELECT scene, trk, count(*) AS nt FROM t GROUP BY 1, 2),
 al AS (SELECT CAST(i AS DOUBLE) / 20 AS alpha FROM range(1, 20) r(i)),
 per AS (SELECT scene, alpha, gt, trk, count(*) AS n, sum(sim) AS s FROM sim, al WHERE sim >= alpha - 2.220446049250313e-16 GROUP BY 1, 2, 3, 4),
-tot AS (SELECT per.scene, alpha, sum(n) AS tp, sum(s) AS s, sum(n * n / CAST(greatest(1, ng + nt - n) AS DOUBLE)) AS a FROM per JOIN ng ON per.scene = ng.scene AND per.gt = ng.gt JOIN nt ON per.scene = nt.scene AND per.trk = nt.trk GROUP BY 1, 2),
-f AS (SELECT cnt.scene, al.alpha, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(gt_dets - coalesce(tp, 0) AS BIGINT) AS fn, CAST(dets - coalesce(tp, 0) AS BIGINT) AS fp, coalesce(a, 0) AS a, coalesce(s, 0) AS s FROM cnt CROSS JOIN al LEFT JOIN tot ON tot.scene = cnt.scene AND tot.alpha = al.alpha),
-h AS (SELECT scene, alpha, tp, fn, fp, tp / CAST(greatest(1, tp + fn + fp) AS DOUBLE) AS det_a, a / greatest(1, tp) AS ass_a, s / greatest(1e-10, tp) AS loc_a FROM f)"""
+tot AS (SELECT per.scene, alpha, sum(n) AS tp, sum(s) AS s, sum(n * n / CAST(greatest(1, ng + nt - n) AS DOUBLE)) AS a, sum(n * n / CAST(greatest(1, ng) AS DOUBLE)) AS re, sum(n * n / CAST(greatest(1, nt) AS DOUBLE)) AS pr
+  FROM per JOIN ng ON per.scene = ng.scene AND per.gt = ng.gt JOIN nt ON per.scene = nt.scene AND per.trk = nt.trk GROUP BY 1, 2),
+f AS (SELECT cnt.scene, al.alpha, dets = 0 OR gt_dets = 0 AS lone, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(gt_dets - coalesce(tp, 0) AS BIGINT) AS fn, CAST(dets - coalesce(tp, 0) AS BIGINT) AS fp, coalesce(a, 0) AS a, coalesce(re, 0) AS re, coalesce(pr, 0) AS pr, coalesce(s, 0) AS s
+  FROM cnt CROSS JOIN al LEFT JOIN tot ON tot.scene = cnt.scene AND tot.alpha = al.alpha),
+h AS (SELECT scene, alpha, tp, fn, fp, tp / CAST(greatest(1, tp + fn + fp) AS DOUBLE) AS det_a, a / greatest(1, tp) AS ass_a, re / greatest(1, tp) AS ass_re, pr / greatest(1, tp) AS ass_pr, CASE WHEN lone THEN 1 ELSE s / greatest(1e-10, tp) END AS loc_a FROM f)"""
+
+
+HOTA = _hota(GATED)
+HOTA_SHOWN = "scene, alpha, tp, fn, fp, round_even(det_a, 6) AS det_a, round_even(ass_a, 6) AS ass_a, round_even(ass_re, 6) AS ass_re, round_even(ass_pr, 6) AS ass_pr, round_even(loc_a, 6) AS loc_a, round_even(sqrt(det_a * ass_a), 6) AS hota"
 
 
 def query(sql: str | None = None):
@@ -103,7 +112,7 @@ def camera_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SIGHT} SELECT x.global_id AS a, y.global_id AS b, count(*) AS n_matches FROM s x JOIN s y ON x.camera = y.camera AND x.global_id < y.global_id AND greatest(x.start_frame - y.end_frame, y.start_frame - x.end_frame) <= 5 GROUP BY 1, 2")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return sightings.cooccurrence(_sightings(spark, d), 5, COOCCUR_BUCKET)
+    return sightings.cooccurrence(_sightings(spark, d), 5)
 
 
 @query(f"WITH {SIGHT} SELECT global_id, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(DISTINCT camera) AS n_cameras FROM s GROUP BY 1 HAVING count(DISTINCT camera) > 1")
@@ -112,7 +121,7 @@ def multi_camera_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    return proximity.matches(proximity.band_pairs(detections(spark, d), NEAR_FRAMES, NEAR, GAP, STRIDE))
+    return proximity.matches(proximity.band_pairs(detections(spark, d), NEAR_FRAMES, NEAR, GAP, STRIDE), RELIABLE)
 
 
 @query(f"WITH {PAIRS} SELECT * FROM m")
@@ -141,7 +150,7 @@ def proximity_by_candidates(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, round_even(sim, 3) AS similarity FROM s WHERE sim >= 0.1 ORDER BY sim DESC, vec_id LIMIT 20""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    q = e.where("vec_id = 0").agg(F.first("embedding").alias("q"))  # one row
     s = e.where("vec_id <> 0").join(F.broadcast(q)).select("vec_id", X.dot(F.col("embedding"), F.col("q")).alias("sim"))
     return s.where("sim >= 0.1").orderBy(F.desc("sim"), "vec_id").limit(20).select("vec_id", X.rint(F.col("sim"), 3).alias("similarity"))
 
@@ -156,30 +165,35 @@ def agreement_by_label(spark: SparkSession, d: str) -> DataFrame:
     return square.join(n, "label").select("label", "members", X.rint((F.col("s") - F.col("members")) / (F.col("members") * (F.col("members") - 1)), 3).alias("agreement"))
 
 
-CAPS = f"caps AS (SELECT doc_id, doc_id % 100 AS entity, array_to_string(string_split(text, ' ')[1:{CAPTION_WORDS}], ' ') AS caption FROM documents)"
-WORDS_SQL = "string_split(regexp_replace(trim(regexp_replace(lower(caption), '[,.\\n]', ' ', 'g')), ' +', ' ', 'g'), ' ')"
+CAPS = "caps AS (SELECT doc_id, doc_id % 100 AS entity, text AS caption FROM documents)"
+
+
+def _split_sql(text: str) -> str:
+    """The words of a text, parted by blanks of any kind."""
+    return f"list_filter(regexp_split_to_array({text}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
+
+
+WORDS_SQL = _split_sql("regexp_replace(lower(caption), '[,.]', ' ', 'g')")
 
 
 def _captions(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, CAPTION_WORDS)
-    return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 100).alias("entity"), F.array_join(words, " ").alias("caption"))
+    return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 100).alias("entity"), F.col("text").alias("caption"))
 
 
 @query(f"WITH {CAPS} SELECT entity, count(*) AS captions, count(*) FILTER (WHERE list_has_any({WORDS_SQL}, ['the', 'de', 'die'])) AS mentioning FROM caps GROUP BY 1")
 def caption_humanness(spark: SparkSession, d: str) -> DataFrame:
-    words = X.caption_words(F.regexp_replace("caption", "\n", " "))
-    said = F.arrays_overlap(words, F.array(*[F.lit(w) for w in PEOPLE]))
+    said = X.mentions(F.col("caption"), PEOPLE)
     return _captions(spark, d).groupBy("entity").agg(F.count("*").alias("captions"), F.count(F.when(said, 1)).alias("mentioning"))
 
 
-@query(f"WITH {CAPS} SELECT doc_id, array_to_string(list_filter(string_split(caption, ' '), lambda w: NOT list_has_any(string_split(regexp_replace(lower(w), '^[.,;:]+|[.,;:]+$', '', 'g'), '-'), ['and', 'of', 'la', 'der'])), ' ') AS stripped FROM caps")
+@query(f"""WITH {CAPS} SELECT doc_id, replace(replace(array_to_string(list_filter({_split_sql('caption')}, lambda w: NOT list_has_any(string_split(lower(trim(w, '.,;:')), '-'), ['and', 'of', 'la', 'der'])), ' '), ' ,', ','), ' .', '.') AS stripped FROM caps""")
 def strip_listed_words(spark: SparkSession, d: str) -> DataFrame:
     return _captions(spark, d).select("doc_id", X.without_words(F.col("caption"), COLOURS).alias("stripped"))
 
 
-@query(f"WITH {CAPS}, w AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(lower(caption), '[,.;:\\n]', ' ', 'g')), ' +', ' ', 'g'), ' ') AS w FROM caps) SELECT doc_id FROM w WHERE len(list_filter(range(3, len(w) + 1), lambda i: w[i] = w[i-1] AND w[i] = w[i-2])) > 0 OR w = ['']")
+@query(f"""WITH {CAPS}, w AS (SELECT doc_id, {_split_sql("lower(coalesce(caption, ''))")} AS w FROM caps) SELECT doc_id FROM w WHERE len(list_filter(range(3, len(w) + 1), lambda i: w[i] = w[i-1] AND w[i] = w[i-2])) > 0""")
 def degenerate_captions(spark: SparkSession, d: str) -> DataFrame:
-    return _captions(spark, d).where(X.degenerate(F.regexp_replace("caption", "\n", " "))).select("doc_id")
+    return _captions(spark, d).where(X.degenerate(F.col("caption"))).select("doc_id")
 
 
 @query(f"WITH {GATED} SELECT scene, frame, gt, trk, round_even(sim, 6) AS sim FROM sim")
@@ -204,9 +218,23 @@ def _rounded(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: X.rint(F.col(c), 6) for c in cols})
 
 
-@query(f"WITH {HOTA} SELECT scene, alpha, tp, fn, fp, round_even(det_a, 6) AS det_a, round_even(ass_a, 6) AS ass_a, round_even(loc_a, 6) AS loc_a, round_even(sqrt(det_a * ass_a), 6) AS hota FROM h")
+HOTA_FIELDS = ["det_a", "ass_a", "ass_re", "ass_pr", "loc_a", "hota"]
+
+
+@query(f"WITH {HOTA} SELECT {HOTA_SHOWN} FROM h")
 def hota_gated(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(E.hota(*evaluation(spark, d)), ["det_a", "ass_a", "loc_a", "hota"])
+    return _rounded(E.hota(*evaluation(spark, d)), HOTA_FIELDS)
+
+
+def _lone(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g, t = evaluation(spark, d)
+    return g.where("scene <> 'scene_2'"), t.where("scene <> 'scene_1'")
+
+
+@query(f"WITH {_hota(LONE)} SELECT {HOTA_SHOWN} FROM h")
+def hota_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    """HOTA where one scene has no tracker and one no ground truth."""
+    return _rounded(E.hota(*_lone(spark, d)), HOTA_FIELDS)
 
 
 @query(f"WITH {HOTA}, z AS (SELECT scene, avg(sqrt(det_a * ass_a)) AS h, avg(det_a) AS d, avg(ass_a) AS a, avg(loc_a) AS l FROM h GROUP BY 1) SELECT round_even(avg(h), 6) AS hota, round_even(avg(d), 6) AS det_a, round_even(avg(a), 6) AS ass_a, round_even(avg(l), 6) AS loc_a FROM z")
@@ -214,16 +242,36 @@ def hota_final(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.final_score(E.hota(*evaluation(spark, d))), ["hota", "det_a", "ass_a", "loc_a"])
 
 
-@query(f"""WITH {GATED}, o AS (SELECT scene, gt, trk, count(*) AS w FROM sim WHERE sim >= 0.5 GROUP BY 1, 2, 3), b AS (SELECT scene, gt, max(w) AS w FROM o GROUP BY 1, 2), tp AS (SELECT scene, CAST(sum(w) AS BIGINT) AS idtp FROM b GROUP BY 1)
-SELECT cnt.scene, coalesce(idtp, 0) AS idtp, gt_dets - coalesce(idtp, 0) AS idfn, dets - coalesce(idtp, 0) AS idfp, round_even(2.0 * coalesce(idtp, 0) / greatest(1, gt_dets + dets), 6) AS idf1 FROM cnt LEFT JOIN tp ON cnt.scene = tp.scene""")
+def _identity(base: str) -> str:
+    return f"""WITH {base}, o AS (SELECT scene, gt, trk, count(*) AS w FROM sim WHERE sim >= 0.5 GROUP BY 1, 2, 3), b AS (SELECT scene, gt, max(w) AS w FROM o GROUP BY 1, 2), tp AS (SELECT scene, CAST(sum(w) AS BIGINT) AS idtp FROM b GROUP BY 1),
+i AS (SELECT cnt.scene, coalesce(idtp, 0) AS idtp, gt_dets - coalesce(idtp, 0) AS idfn, dets - coalesce(idtp, 0) AS idfp FROM cnt LEFT JOIN tp ON cnt.scene = tp.scene)"""
+
+
+ID_SHOWN = "idtp, idfn, idfp, round_even(idtp / greatest(1.0::DOUBLE, idtp + idfn), 6) AS idr, round_even(idtp / greatest(1.0::DOUBLE, idtp + idfp), 6) AS idp, round_even(idtp / greatest(1.0::DOUBLE, idtp + 0.5::DOUBLE * idfp + 0.5::DOUBLE * idfn), 6) AS idf1"
+
+
+@query(f"{_identity(GATED)} SELECT scene, {ID_SHOWN} FROM i")
 def identity_gated(spark: SparkSession, d: str) -> DataFrame:
     g, t = evaluation(spark, d)
-    return _rounded(E.identity(g, t, E.similarity(g, t)), ["idf1"])
+    return _rounded(E.identity(g, t, E.similarity(g, t)), E.ID_RATES)
+
+
+@query(f"{_identity(LONE)} SELECT scene, {ID_SHOWN} FROM i")
+def identity_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    g, t = _lone(spark, d)
+    return _rounded(E.identity(g, t, E.similarity(g, t)), E.ID_RATES)
+
+
+@query(f"{_identity(GATED)}, s AS (SELECT CAST(sum(idtp) AS BIGINT) AS idtp, CAST(sum(idfn) AS BIGINT) AS idfn, CAST(sum(idfp) AS BIGINT) AS idfp FROM i) SELECT {ID_SHOWN} FROM s")
+def identity_combined(spark: SparkSession, d: str) -> DataFrame:
+    """All scenes as one."""
+    g, t = evaluation(spark, d)
+    return _rounded(E.combined_identity(E.identity(g, t, E.similarity(g, t)), []), E.ID_RATES)
 
 
 @query(f"""WITH {GATED}, mt AS (SELECT * FROM sim WHERE sim >= 0.5 - 2.220446049250313e-16), sw AS (SELECT *, CASE WHEN lag(trk) OVER (PARTITION BY scene, gt ORDER BY frame) <> trk THEN 1 ELSE 0 END AS s FROM mt),
 z AS (SELECT scene, count(*) AS tp, CAST(sum(s) AS BIGINT) AS idsw FROM sw GROUP BY 1)
-SELECT cnt.scene, coalesce(tp, 0) AS tp, gt_dets - coalesce(tp, 0) AS fn, dets - coalesce(tp, 0) AS fp, coalesce(idsw, 0) AS idsw, round_even((coalesce(tp, 0) - (dets - coalesce(tp, 0)) - coalesce(idsw, 0)) / CAST(greatest(1, gt_dets) AS DOUBLE), 6) AS mota FROM cnt LEFT JOIN z ON cnt.scene = z.scene""")
+SELECT cnt.scene, coalesce(tp, 0) AS tp, gt_dets - coalesce(tp, 0) AS fn, dets - coalesce(tp, 0) AS fp, coalesce(idsw, 0) AS idsw, CASE WHEN dets = 0 OR gt_dets = 0 THEN 0 ELSE round_even((coalesce(tp, 0) - (dets - coalesce(tp, 0)) - coalesce(idsw, 0)) / CAST(greatest(1, gt_dets) AS DOUBLE), 6) END AS mota FROM cnt LEFT JOIN z ON cnt.scene = z.scene""")
 def clear_gated(spark: SparkSession, d: str) -> DataFrame:
     g, t = evaluation(spark, d)
     return _rounded(E.clear(g, t, E.similarity(g, t)), ["mota"])
@@ -303,9 +351,7 @@ def ground_point_world(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SIGHT}, o AS (SELECT *, max(CASE WHEN num_detections >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY global_id) AS any_reliable FROM s) SELECT global_id, camera, seg_idx, num_detections FROM o WHERE num_detections >= 3 OR any_reliable = 0""")
 def reliable_or_all(spark: SparkSession, d: str) -> DataFrame:
-    reliable = F.col("num_detections") >= 3
-    s = _sightings(spark, d).withColumn("any_reliable", F.max(reliable).over(Window.partitionBy("global_id")))
-    return s.where(reliable | ~F.col("any_reliable")).select("global_id", "camera", "seg_idx", "num_detections")
+    return tracks.reliable_or_all(_sightings(spark, d), RELIABLE).select("global_id", "camera", "seg_idx", "num_detections")
 
 
 @query("SELECT vec_id * 4 AS a, vec_id * 4 + 1 AS b FROM embeddings")
@@ -328,40 +374,137 @@ def global_identities(spark: SparkSession, d: str) -> DataFrame:
     return identity.resolved(track_features(spark, d).drop("vec_id"), least=0.6)
 
 
-@query("SELECT CAST(o.o_orderpriority AS VARCHAR) AS camera, count(DISTINCT o.o_custkey) AS entities, median(CAST(o.o_orderkey AS DOUBLE)) AS middle FROM orders o GROUP BY 1")
-def track_medians(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("camera")).agg(F.countDistinct("o_custkey").alias("entities"), F.median(F.col("o_orderkey").cast("double")).alias("middle"))
+@query(f"""WITH {DET}, b AS (SELECT camera, global_id AS track_id, frame, wx, wy, CAST(global_id % 360 AS DOUBLE) + wy AS px_x, wx AS px_y, row_number() OVER (PARTITION BY camera, global_id, frame ORDER BY ordinal) AS k FROM det)
+SELECT camera, track_id, median(wx) AS world_x, median(wy) AS world_y, min(frame) AS first_frame, max(frame) AS last_frame, {', '.join(f"{f}({c}, frame) AS {n}_{c}" for n, f in (("first", "min_by"), ("last", "max_by")) for c in ("px_x", "px_y", "wx", "wy"))} FROM b WHERE k = 1 GROUP BY 1, 2""")
+def track_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Median position, first and last pixel and world position of each track."""
+    b = tracks.first_of_frame(detections(spark, d), ["camera", "global_id", "frame"])
+    b = b.select("camera", F.col("global_id").alias("track_id"), "frame", "wx", "wy", (F.col("global_id") % 360 + F.col("wy")).cast("double").alias("px_x"), F.col("wx").alias("px_y"))
+    return tracks.track_positions(b)
+
 
+@query("""WITH v AS (SELECT CAST(label AS VARCHAR) AS camera, vec_id % 7 AS track_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT camera, track_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM v),
+x AS (SELECT camera, track_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), m AS (SELECT camera, track_id, i, avg(x) AS x FROM x GROUP BY 1, 2, 3), n AS (SELECT camera, track_id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1, 2)
+SELECT m.camera, m.track_id, i - 1 AS place, round_even(x / n, 6) AS x FROM m JOIN n ON m.camera = n.camera AND m.track_id = n.track_id""")
+def track_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("camera"), (F.col("vec_id") % 7).alias("track_id"), F.col("embedding").alias("vector"))
+    return tracks.track_embeddings(e).select("camera", "track_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", X.rint(F.col("x"), 6)).withColumn("place", F.col("place").cast("long"))
 
-CLEAR_RATES = ["mtr", "ptr", "mlr", "motp", "clr_re", "clr_pr", "moda", "mota", "motal", "smota", "clr_f1", "fp_per_frame", "motp_sum"]
 
+CLEAR_RATES = [*E.CLEAR_RATES, "motp_sum"]
 
-@query(f"""WITH {GATED}, mt AS (SELECT * FROM sim WHERE sim >= 0.5 - 2.220446049250313e-16),
+
+def _clear(base: str) -> str:
+    """The counters per scene as c; one with an empty side keeps its misses or false alarms and, without a tracker, all ids in ml."""
+    return f"""WITH {base}, mt AS (SELECT * FROM sim WHERE sim >= 0.5 - 2.220446049250313e-16),
 bf AS (SELECT scene, frame, dense_rank() OVER (PARTITION BY scene ORDER BY frame) AS k FROM (SELECT scene, frame FROM g INTERSECT SELECT scene, frame FROM t)),
 sw AS (SELECT mt.*, CASE WHEN lag(trk) OVER w <> trk THEN 1 ELSE 0 END AS s, CASE WHEN k - lag(k) OVER w > 1 THEN 1 ELSE 0 END AS br FROM mt JOIN bf ON mt.scene = bf.scene AND mt.frame = bf.frame WINDOW w AS (PARTITION BY mt.scene, gt ORDER BY mt.frame)),
 z AS (SELECT scene, count(*) AS tp, sum(s) AS idsw, sum(br) AS frag, sum(sim) AS motp_sum FROM sw GROUP BY 1),
 share AS (SELECT n.scene, n.gt, coalesce(h, 0) / CAST(n AS DOUBLE) AS r FROM (SELECT scene, gt, count(*) AS n FROM g GROUP BY 1, 2) n LEFT JOIN (SELECT scene, gt, count(*) AS h FROM mt GROUP BY 1, 2) m ON n.scene = m.scene AND n.gt = m.gt),
 kept AS (SELECT scene, count(*) FILTER (WHERE r > 0.8) AS mt, count(*) FILTER (WHERE r >= 0.2 AND r <= 0.8) AS pt, count(*) FILTER (WHERE r < 0.2) AS ml FROM share GROUP BY 1),
 fr AS (SELECT scene, count(*) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1),
-c AS (SELECT cnt.scene, frames, CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(gt_dets - coalesce(tp, 0) AS DOUBLE) AS fn, CAST(dets - coalesce(tp, 0) AS DOUBLE) AS fp, CAST(coalesce(idsw, 0) AS DOUBLE) AS idsw, coalesce(frag, 0) AS frag, coalesce(mt, 0) AS mt, coalesce(pt, 0) AS pt, coalesce(ml, 0) AS ml, coalesce(motp_sum, 0) AS motp_sum
-  FROM cnt JOIN fr ON cnt.scene = fr.scene LEFT JOIN z ON cnt.scene = z.scene LEFT JOIN kept ON cnt.scene = kept.scene)
-SELECT scene, frames, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, CAST(idsw AS BIGINT) AS idsw, CAST(frag AS BIGINT) AS frag, mt, pt, ml, round_even(motp_sum, 6) AS motp_sum,
-  round_even(mt / CAST(greatest(1, mt + pt + ml) AS DOUBLE), 6) AS mtr, round_even(pt / CAST(greatest(1, mt + pt + ml) AS DOUBLE), 6) AS ptr, round_even(ml / CAST(greatest(1, mt + pt + ml) AS DOUBLE), 6) AS mlr, round_even(motp_sum / greatest(1, tp), 6) AS motp,
-  round_even(tp / greatest(1, tp + fn), 6) AS clr_re, round_even(tp / greatest(1, tp + fp), 6) AS clr_pr, round_even((tp - fp) / greatest(1, tp + fn), 6) AS moda, round_even((tp - fp - idsw) / greatest(1, tp + fn), 6) AS mota,
-  round_even((tp - fp - CASE WHEN idsw > 0 THEN log10(greatest(1, idsw)) ELSE 0 END) / greatest(1, tp + fn), 6) AS motal, round_even((motp_sum - fp - idsw) / greatest(1, tp + fn), 6) AS smota, round_even(tp / greatest(1, tp + 0.5 * fn + 0.5 * fp), 6) AS clr_f1, round_even(fp / greatest(1, frames), 6) AS fp_per_frame FROM c""")
+c AS (SELECT cnt.scene, dets = 0 OR gt_dets = 0 AS lone, CASE WHEN dets = 0 OR gt_dets = 0 THEN 0 ELSE frames END AS frames, CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(gt_dets - coalesce(tp, 0) AS DOUBLE) AS fn, CAST(dets - coalesce(tp, 0) AS DOUBLE) AS fp, CAST(coalesce(idsw, 0) AS DOUBLE) AS idsw, coalesce(frag, 0) AS frag, coalesce(mt, 0) AS mt, coalesce(pt, 0) AS pt, CASE WHEN dets = 0 THEN gt_ids ELSE coalesce(ml, 0) END AS ml, coalesce(motp_sum, 0) AS motp_sum
+  FROM cnt JOIN fr ON cnt.scene = fr.scene LEFT JOIN z ON cnt.scene = z.scene LEFT JOIN kept ON cnt.scene = kept.scene)"""
+
+
+CLEAR_COUNTS = "CAST(frames AS BIGINT) AS frames, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, CAST(idsw AS BIGINT) AS idsw, CAST(frag AS BIGINT) AS frag, CAST(mt AS BIGINT) AS mt, CAST(pt AS BIGINT) AS pt, CAST(ml AS BIGINT) AS ml, round_even(motp_sum, 6) AS motp_sum"
+RATES = {
+    "mtr": "mt / CAST(greatest(1, mt + pt + ml) AS DOUBLE)", "ptr": "pt / CAST(greatest(1, mt + pt + ml) AS DOUBLE)", "mlr": "ml / CAST(greatest(1, mt + pt + ml) AS DOUBLE)", "motp": "motp_sum / greatest(1, tp)",
+    "clr_re": "tp / greatest(1, tp + fn)", "clr_pr": "tp / greatest(1, tp + fp)", "moda": "(tp - fp) / greatest(1, tp + fn)", "mota": "(tp - fp - idsw) / greatest(1, tp + fn)",
+    "motal": "(tp - fp - CASE WHEN idsw > 0 THEN log10(greatest(1, idsw)) ELSE 0 END) / greatest(1, tp + fn)", "smota": "(motp_sum - fp - idsw) / greatest(1, tp + fn)", "clr_f1": "tp / greatest(1, tp + 0.5 * fn + 0.5 * fp)", "fp_per_frame": "fp / greatest(1, frames)",
+}
+CLEAR_SHOWN = ", ".join(f"CASE WHEN lone THEN {1 if n == 'mlr' else 0} ELSE round_even({x}, 6) END AS {n}" for n, x in RATES.items())
+
+
+@query(f"{_clear(GATED)} SELECT scene, {CLEAR_COUNTS}, {CLEAR_SHOWN} FROM c")
 def clear_fields_gated(spark: SparkSession, d: str) -> DataFrame:
     g, t = evaluation(spark, d)
     return _rounded(E.clear_fields(g, t, E.similarity(g, t)), CLEAR_RATES)
 
 
-COMBINED = ["det_re", "det_pr", "det_a", "ass_a", "loc_a", "hota", "owta"]
+@query(f"{_clear(LONE)} SELECT scene, {CLEAR_COUNTS}, {CLEAR_SHOWN} FROM c")
+def clear_fields_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    g, t = _lone(spark, d)
+    return _rounded(E.clear_fields(g, t, E.similarity(g, t)), CLEAR_RATES)
+
+
+SUMS = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {x}" for x in E.CLEAR_COUNTS)
+
+
+@query(f"{_clear(LONE)}, s AS (SELECT false AS lone, {SUMS} FROM c) SELECT {CLEAR_COUNTS}, {CLEAR_SHOWN} FROM s")
+def clear_combined(spark: SparkSession, d: str) -> DataFrame:
+    """All scenes as one, those with an empty side among them."""
+    g, t = _lone(spark, d)
+    return _rounded(E.combined_clear(E.clear_fields(g, t, E.similarity(g, t)), []), CLEAR_RATES)
+
+
+COMBINED = ["det_re", "det_pr", "det_a", "ass_a", "ass_re", "ass_pr", "loc_a", "hota", "owta"]
+
 
+def _combined(base: str, by: str = "") -> str:
+    """The scenes of base within `by` as x."""
+    weigh = lambda c: f"sum({c} * tp) / greatest(1, sum(tp)) AS {c}"
+    return f"""WITH {base}, c AS (SELECT {by} alpha, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fn) AS DOUBLE) AS fn, CAST(sum(fp) AS DOUBLE) AS fp, {weigh('ass_a')}, {weigh('ass_re')}, {weigh('ass_pr')}, greatest(1e-10, sum(loc_a * tp)) / greatest(1e-10, sum(tp)) AS loc_a FROM h GROUP BY ALL),
+d AS (SELECT *, tp / greatest(1, tp + fn + fp) AS det_a, tp / greatest(1, tp + fn) AS det_re, tp / greatest(1, tp + fp) AS det_pr FROM c), x AS (SELECT *, sqrt(det_a * ass_a) AS hota, sqrt(det_re * ass_a) AS owta FROM d)"""
 
-@query(f"""WITH {HOTA}, c AS (SELECT alpha, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fn) AS DOUBLE) AS fn, CAST(sum(fp) AS DOUBLE) AS fp, sum(ass_a * tp) / greatest(1, sum(tp)) AS ass_a, sum(loc_a * tp) / greatest(1, sum(tp)) AS loc_a FROM h GROUP BY 1),
-x AS (SELECT *, tp / greatest(1, tp + fn + fp) AS det_a, tp / greatest(1, tp + fn) AS det_re, tp / greatest(1, tp + fp) AS det_pr FROM c)
-SELECT alpha, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, round_even(det_re, 6) AS det_re, round_even(det_pr, 6) AS det_pr, round_even(det_a, 6) AS det_a, round_even(ass_a, 6) AS ass_a, round_even(loc_a, 6) AS loc_a, round_even(sqrt(det_a * ass_a), 6) AS hota, round_even(sqrt(det_re * ass_a), 6) AS owta FROM x""")
+
+COMBINED_SHOWN = "alpha, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, " + ", ".join(f"round_even({c}, 6) AS {c}" for c in COMBINED)
+
+
+@query(f"{_combined(_hota(LONE))} SELECT {COMBINED_SHOWN} FROM x")
 def hota_combined(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(E.combined_sequences(E.hota(*evaluation(spark, d)), []), COMBINED)
+    """All scenes as one, those with an empty side among them."""
+    return _rounded(E.combined_sequences(E.hota(*_lone(spark, d)), []), COMBINED)
+
+
+#: Stand-in classes: scenes of odd and even number.
+CLASS_SQL = "CASE WHEN CAST(right(scene, 1) AS INT) % 2 = 1 THEN 'odd' ELSE 'even' END"
+
+
+def _classes(df: DataFrame) -> DataFrame:
+    return df.withColumn("class", F.when(F.substring("scene", -1, 1).cast("int") % 2 == 1, "odd").otherwise("even"))
+
+
+@query(f"""{_combined(HOTA, f"{CLASS_SQL} AS class, ")} SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, {', '.join(f"round_even(avg({c}), 6) AS {c}" for c in COMBINED)} FROM x GROUP BY 1""")
+def hota_class_average(spark: SparkSession, d: str) -> DataFrame:
+    """Means over two classes of their combined scenes."""
+    per = E.combined_sequences(_classes(E.hota(*evaluation(spark, d))), ["class"])
+    return _rounded(E.class_average(per), COMBINED)
+
+
+@query(f"""{_combined(HOTA, "'all' AS parent, ")} SELECT parent, {COMBINED_SHOWN} FROM x""")
+def hota_super_category(spark: SparkSession, d: str) -> DataFrame:
+    """The average over detections of the classes of a super-category."""
+    parents = spark.createDataFrame([("odd", "all"), ("even", "all")], "class string, parent string")
+    per = E.combined_sequences(_classes(E.hota(*evaluation(spark, d))), ["class"])
+    return _rounded(E.combined_sequences(E.super_categories(per, parents), ["parent"]), COMBINED)
+
+
+@query(f"""{_clear(GATED)}, s AS (SELECT {CLASS_SQL} AS class, false AS lone, {SUMS} FROM c GROUP BY 1), r AS (SELECT {CLEAR_COUNTS}, {', '.join(f"{x} AS {n}" for n, x in RATES.items())} FROM s)
+SELECT {', '.join(f"CAST(sum({x}) AS BIGINT) AS {x}" for x in E.CLEAR_COUNTS if x != "motp_sum")}, {', '.join(f"round_even(avg({x}), 6) AS {x}" for x in [*RATES, "motp_sum"])} FROM r""")
+def clear_class_average(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d)
+    per = E.combined_clear(_classes(E.clear_fields(g, t, E.similarity(g, t))), ["class"])
+    return _rounded(E.class_average_clear(per), CLEAR_RATES)
+
+
+@query(f"""{_identity(GATED)}, s AS (SELECT {CLASS_SQL} AS class, CAST(sum(idtp) AS BIGINT) AS idtp, CAST(sum(idfn) AS BIGINT) AS idfn, CAST(sum(idfp) AS BIGINT) AS idfp FROM i GROUP BY 1),
+r AS (SELECT idtp, idfn, idfp, idtp / greatest(1.0::DOUBLE, idtp + idfn) AS idr, idtp / greatest(1.0::DOUBLE, idtp + idfp) AS idp, idtp / greatest(1.0::DOUBLE, idtp + 0.5::DOUBLE * idfp + 0.5::DOUBLE * idfn) AS idf1 FROM s)
+SELECT CAST(sum(idtp) AS BIGINT) AS idtp, CAST(sum(idfn) AS BIGINT) AS idfn, CAST(sum(idfp) AS BIGINT) AS idfp, round_even(avg(idr), 6) AS idr, round_even(avg(idp), 6) AS idp, round_even(avg(idf1), 6) AS idf1 FROM r""")
+def identity_class_average(spark: SparkSession, d: str) -> DataFrame:
+    g, t = evaluation(spark, d)
+    per = E.combined_identity(_classes(E.identity(g, t, E.similarity(g, t))), ["class"])
+    return _rounded(E.class_average_identity(per), E.ID_RATES)
+
+
+@query(f"WITH {GATED}, fr AS (SELECT scene, count(*) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1) SELECT cnt.*, frames FROM cnt LEFT JOIN fr ON cnt.scene = fr.scene")
+def count_fields(spark: SparkSession, d: str) -> DataFrame:
+    return E.count_fields(*evaluation(spark, d))
+
+
+@query(f"WITH {GATED} SELECT CAST(sum(dets) AS BIGINT) AS dets, CAST(sum(gt_dets) AS BIGINT) AS gt_dets, CAST(sum(ids) AS BIGINT) AS ids, CAST(sum(gt_ids) AS BIGINT) AS gt_ids FROM cnt")
+def count_combined(spark: SparkSession, d: str) -> DataFrame:
+    return E.combined_counts(E.counts(*evaluation(spark, d)), [])
 
 
 @query(f"""WITH {HOTA}, w AS (SELECT scene, {', '.join(f"max(sqrt(det_a * ass_a)) FILTER (WHERE round(alpha * 100) = {5 * i}) AS v{5 * i}" for i in range(1, 20))}, avg(sqrt(det_a * ass_a)) AS auc FROM h GROUP BY 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLAIM = r"global_id (\d+): \d+ confirmed interactions? of (their|his|her|its) own[^\n]*"
@@ -40,3 +40,95 @@ def ranking_line(place: Column, gid: Column, interactions: Column) -> Column:
 def percent(x: Column) -> Column:
     """A fraction as per cent with five significant digits, as summary rows print it."""
     return F.format_string("%.5g", 100 * x)
+
+
+# Texts that reports must show word for word.
+TOLD = {
+    "no_ranking": "No entities had any confirmed proximity matches within the given thresholds.",
+    "no_proximity": "No confirmed proximity matches found within the given distance/time thresholds.",
+    "no_low_quality": "No entities with a failed (non-human-word) caption found.",
+    "no_human": "No human-captioned entities found.",
+    "summary": "Summary (guaranteed accurate -- generated directly from tool results, not the model):",
+}
+AGREED = 0.6
+
+
+def agreement_flag(agreement: Column, threshold: float = AGREED) -> Column:
+    """A note on captions that disagree; nothing where they agree or where that is not known."""
+    return F.when(agreement < threshold, F.concat(F.lit(" [caption uncertain, agreement="), agreement.cast("string"), F.lit("]"))).otherwise("")
+
+
+def agreement_note(agreement: Column) -> Column:
+    return F.when(agreement.isNull(), "agreement unknown").otherwise(F.concat(F.lit("agreement="), agreement.cast("string")))
+
+
+def _said(x: Column) -> Column:
+    return F.coalesce(x.cast("string"), F.lit("None"))
+
+
+def ranking_entry(gid: Column, interactions: Column, caption: Column, agreement: Column) -> Column:
+    return F.concat(F.lit("  - global_id "), gid.cast("string"), F.lit(": "), interactions.cast("string"), F.lit(" confirmed interactions -- "), _said(caption), agreement_flag(agreement))
+
+
+def count_line(gid: Column, interactions: Column, caption: Column, agreement: Column) -> Column:
+    return F.concat(F.lit("global_id "), gid.cast("string"), F.lit(": "), interactions.cast("string"), F.lit(" confirmed interactions of their own -- "), _said(caption), agreement_flag(agreement))
+
+
+def match_entry(camera: Column, time: Column, caption: Column, agreement: Column, gid: Column, metres: Column, interactions: Column | None = None) -> Column:
+    """One line of a proximity report; with the matched entity's own count where that is known."""
+    line = F.concat(F.lit("  - camera "), camera, F.lit(", "), time, F.lit(": "), _said(caption), agreement_flag(agreement), F.lit(" (global_id "), gid.cast("string"), F.lit("), "), metres.cast("string"), F.lit("m away"))
+    own = F.lit("") if interactions is None else F.when(interactions.isNull(), "").otherwise(F.concat(F.lit(", "), interactions.cast("string"), F.lit(" confirmed interactions of their own")))
+    return F.concat(line, own)
+
+
+def seen_entry(gid: Column, caption: Column, agreement: Column, sightings: Column, cameras: Column) -> Column:
+    """One line of the caption lists; sightings: array of (camera, time)."""
+    seen = F.array_join(F.transform(sightings, lambda s: F.concat(F.lit("camera "), s["camera"], F.lit(" at "), s["time"])), "; ")
+    return F.concat(F.lit("  - global_id "), gid.cast("string"), F.lit(": "), _said(caption), F.lit(" ["), agreement_note(agreement), F.lit("], seen: "), seen, F.lit(" ("), cameras.cast("string"), F.lit(" camera(s) total)"))
+
+
+def summary_entry(gid: Column, confirmed: Column, caption: Column) -> Column:
+    """One line of the summary; nothing hangs on behind where there is no caption."""
+    line = F.concat(F.lit("  - global_id "), gid.cast("string"), F.lit(": "), confirmed.cast("string"), F.lit(" confirmed interactions -- "), F.coalesce(caption, F.lit("")))
+    return F.rtrim(line, F.lit(" -"))
+
+
+def report(entries: DataFrame, line: Column, order: list[Column], header: Column | str, empty: str) -> DataFrame:
+    """One row (text): a header, which may use n, the number of entries, and the entries' lines in order; `empty` without entries.
+
+    All lines end up in one row, as a report does: meant for results that people read.
+    """
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], line.alias("line"))
+    lines = entries.agg(F.sort_array(F.collect_list(place)).alias("rows"), F.count("*").alias("n"))
+    head = F.lit(header) if isinstance(header, str) else header
+    return lines.select(F.when(F.col("n") == 0, empty).otherwise(F.concat(head, F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))).alias("text"))
+
+
+def assembled(intro: Column, reports: Column) -> Column:
+    """The scrubbed introduction and the reports, each text once, parted by blank lines; the introduction alone without reports."""
+    known = F.array_distinct(F.filter(reports, lambda r: r != ""))
+    ids = F.flatten(F.transform(known, lambda r: F.regexp_extract_all(r, F.lit(CLAIM), F.lit(1))))
+    own = scrubbed(intro, ids)
+    return F.when(F.size(known) == 0, own).otherwise(F.concat(F.btrim(own), F.lit("\n\n"), F.array_join(known, "\n\n")))
+
+
+def unexecuted_tool(text: Column, tools: list[str]) -> Column:
+    """The first of the tools, in the order given, whose name a text mentions; null if it mentions none."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(t)), t) for t in tools], F.lit(None).cast("string"))
+
+
+def count_nudge(ids: Column, remaining: Column) -> Column:
+    """The request to ask next for the counts of these ids; empty without ids."""
+    more = F.when(remaining > 0, F.concat(F.lit(" "), remaining.cast("string"), F.lit(" more follow after these."))).otherwise("")
+    return F.when(F.size(ids) == 0, "").otherwise(F.concat(F.lit("Call count_nearby_entities for each of these global_ids next: "), F.array_join(ids.cast("array<string>"), ", "), F.lit("."), more))
+
+
+def invented_ids(wrong: Column, known: Column) -> Column:
+    """The note on ids that do not exist, with those that do."""
+    listed = lambda a: F.array_join(F.array_sort(a).cast("array<string>"), ", ")
+    return F.concat(F.lit("global_id(s) "), listed(wrong), F.lit(" do not exist. Use only ids that tool results have named: "), listed(known), F.lit("."))
+
+
+def table_line(name: Column, values: list[Column]) -> Column:
+    """One line of the console table: the name in 35 places, each value in 10, all to the left."""
+    return F.format_string("%-35s" + "%-10s" * len(values), name, *values)

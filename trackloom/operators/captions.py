@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions.expressions import caption_words, degenerate, dot
+from trackloom.functions.expressions import degenerate, dot, mentions
 
 
-def candidates(captions: DataFrame, people: list[str], least_confidence: float = 0.3) -> DataFrame:
+def candidates(captions: DataFrame, people: list[str] | None = None, least_confidence: float = 0.3) -> DataFrame:
     """The captions (entity, idx, caption, confidence, vector) that may be the consensus, with n, how many the entity has of them, and excluded.
 
     Looping captions and those of low confidence are out; the first stays where all are. Where a strict majority of the
@@ -19,8 +19,7 @@ def candidates(captions: DataFrame, people: list[str], least_confidence: float =
     sound = ~degenerate(F.col("caption")) & (F.coalesce("confidence", F.lit(0.0)) >= least_confidence)
     c = captions.withColumn("_sound", sound).withColumn("_any", F.max("_sound").over(own)).withColumn("_first", F.min("idx").over(own)).withColumn("_all", F.count("*").over(own))
     c = c.where(F.col("_sound") | (~F.col("_any") & (F.col("idx") == F.col("_first"))))
-    said = F.coalesce(F.arrays_overlap(caption_words(F.col("caption")), F.array(*[F.lit(w) for w in people])), F.lit(False))
-    c = c.withColumn("_said", said).withColumn("_n", F.count("*").over(own)).withColumn("_people", F.sum(F.col("_said").cast("int")).over(own))
+    c = c.withColumn("_said", mentions(F.col("caption"), people)).withColumn("_n", F.count("*").over(own)).withColumn("_people", F.sum(F.col("_said").cast("int")).over(own))
     c = c.withColumn("excluded", F.col("_n") < F.col("_all")).where(F.col("_said") | (2 * F.col("_people") <= F.col("_n")))
     return c.withColumn("n", F.count("*").over(own)).select("entity", "idx", "caption", "vector", "n", "excluded")
 

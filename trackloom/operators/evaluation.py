@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.expressions import distance
+from trackloom.operators.lineage import checkpointed, labelled
 
 EPS = 2.220446049250313e-16
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -29,6 +31,13 @@ def counts(truth: DataFrame, tracker: DataFrame) -> DataFrame:
     return g.join(t, "scene", "full").select("scene", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dets", "gt_dets", "ids", "gt_ids")])
 
 
+def count_fields(truth: DataFrame, tracker: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """counts with frames: the scene's length (scene, seq_length) where it is given, else its number of frames with a row."""
+    if lengths is None:
+        lengths = truth.select("scene", "frame").union(tracker.select("scene", "frame")).distinct().groupBy("scene").agg(F.count("*").alias("seq_length"))
+    return counts(truth, tracker).join(lengths.select("scene", F.col("seq_length").alias("frames")), "scene", "left")
+
+
 def alignment(sim: DataFrame, truth: DataFrame, tracker: DataFrame) -> DataFrame:
     """Global alignment of each (scene, gt, trk): soft co-occurrence over the union of both tracks' detections."""
     rows = F.sum("sim").over(Window.partitionBy("scene", "frame", "gt"))
@@ -40,26 +49,33 @@ def alignment(sim: DataFrame, truth: DataFrame, tracker: DataFrame) -> DataFrame
 
 
 def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight one-to-one pairs of a matrix, by shortest augmenting paths; lowest indices first on ties."""
+    """Maximum-weight one-to-one pairs of a matrix, by shortest augmenting paths from each row's own best column."""
     flip = weights.shape[0] > weights.shape[1]
     cost = -(weights.T if flip else weights)
     n, m = cost.shape
-    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    u[1:] = cost.min(axis=1)
+    left = []
+    for i, j in enumerate(cost.argmin(axis=1).tolist(), 1):
+        if match[j + 1]:
+            left.append(i)
+        else:
+            match[j + 1] = i
+    for i in left:
         match[0], j0 = i, 0
-        low, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        low, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
         while True:
             used[j0] = True
             i0 = match[j0]
-            free = np.flatnonzero(~used[1:]) + 1
-            cur = cost[i0 - 1, free - 1] - u[i0] - v[free]
-            better = cur < low[free]
-            low[free[better]], way[free[better]] = cur[better], j0
-            j1 = free[np.argmin(low[free])]
-            delta = low[j1]
+            cur = cost[i0 - 1] - u[i0] - v[1:]
+            better = ~used[1:] & (cur < low[1:])
+            low[1:][better], way[1:][better] = cur[better], j0
+            open_ = np.where(used, np.inf, low)
+            j1 = int(open_.argmin())
+            delta = open_[j1]
             u[match[used]] += delta
             v[used] -= delta
-            low[free] -= delta
+            low[~used] -= delta
             j0 = j1
             if not match[j0]:
                 break
@@ -70,48 +86,95 @@ def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in out)
 
 
-def assigned(pairs: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def group_by_group(rows: DataFrame, keys: list[str], solve: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """solve applied to each group of keys, whose result has the columns of rows; many groups pass through one Python call."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            x = b if held is None else pd.concat([held, b], ignore_index=True)
+            open_ = np.ones(len(x), bool)
+            for k in keys:
+                open_ &= (x[k] == x[k].iloc[-1]).to_numpy()
+            held, done = x[open_], x[~open_]
+            if len(done):
+                yield pd.concat([solve(g) for _, g in done.groupby(keys, sort=False)])
+        if held is not None and len(held):
+            yield solve(held)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, rows.schema)
+
+
+def assigned(pairs: DataFrame, keys: list[str], weight: str, split: bool = False) -> DataFrame:
     """The pairs of a maximum-weight matching of gt and trk within each group of keys.
 
-    Pairs that are alone on both sides are matched by SQL; only the rest goes to a kernel, group by group.
+    Pairs that are alone on both sides, and the best pair of an id whose partners have no other choice, are taken by SQL;
+    only the rest goes to a kernel, group by group. With `split` a group is first parted into the connected components of
+    its pairs, as a matching of the whole is one of each: for groups that grow with the input.
     """
-    sides = {s: F.count("*").over(Window.partitionBy(*keys, s)) for s in ("gt", "trk")}
-    p = pairs.withColumn("_g", sides["gt"]).withColumn("_t", sides["trk"])
-    alone = (F.col("_g") == 1) & (F.col("_t") == 1)
+    g, t = Window.partitionBy(*keys, "gt"), Window.partitionBy(*keys, "trk")
+    p = pairs.withColumn("_g", F.count("*").over(g)).withColumn("_t", F.count("*").over(t))
+    p = p.withColumn("_tt", F.max("_t").over(g)).withColumn("_gg", F.max("_g").over(t))
+    star_g, star_t = F.col("_tt") == 1, F.col("_gg") == 1  # all partners of gt (of trk) are its alone
+    p = p.withColumn("_r", F.when(star_g, F.row_number().over(g.orderBy(F.desc(weight), "trk"))).when(star_t, F.row_number().over(t.orderBy(F.desc(weight), "gt"))))
+    helpers = ["_g", "_t", "_gg", "_tt", "_r"]
+    easy = p.where((F.col("_r") == 1) & (F.col(weight) > 0)).drop(*helpers)
+    hard = p.where(F.col("_r").isNull()).drop(*helpers)
+    if split:
+        hard = checkpointed(hard)
+        if hard.isEmpty():
+            return easy
+        node = lambda c: F.struct(*keys, F.lit(c).alias("side"), F.col(c).cast("string").alias("id"))
+        links = hard.select(node("gt").alias("a"), node("trk").alias("b"))
+        label = labelled(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), links)
+        hard = hard.withColumn("_node", node("gt")).join(label.withColumnRenamed("node", "_node"), "_node").withColumn("_part", F.to_json("root")).drop("_node", "root")
+        keys = [*keys, "_part"]
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(frame["gt"], return_inverse=True)
-        t, ti = np.unique(frame["trk"], return_inverse=True)
-        w = np.zeros((len(g), len(t)))
+        gs, gi = np.unique(frame["gt"], return_inverse=True)
+        ts, ti = np.unique(frame["trk"], return_inverse=True)
+        w = np.zeros((len(gs), len(ts)))
         w[gi, ti] = frame[weight]
         row = {(a, b): i for i, (a, b) in enumerate(zip(gi, ti, strict=True))}
         return frame.iloc[[row[x] for x in best_assignment(w) if x in row and w[x] > 0]]
 
-    hard = p.where(~alone).drop("_g", "_t")
-    return p.where(alone).drop("_g", "_t").unionByName(hard.groupBy(*keys).applyInPandas(solve, hard.schema))
+    return easy.unionByName(group_by_group(hard, keys, solve).drop("_part"))
 
 
 def hota(truth: DataFrame, tracker: DataFrame, sim: DataFrame | None = None) -> DataFrame:
-    """(scene, alpha, tp, fn, fp, det_a, ass_a, loc_a, hota) at 19 thresholds."""
+    """(scene, alpha, tp, fn, fp, det_a, ass_a, ass_re, ass_pr, loc_a, hota) at 19 thresholds.
+
+    A scene with an empty side has loc_a 1 and no matches; one with both sides and no match at a threshold has loc_a 0.
+    """
     sim = similarity(truth, tracker) if sim is None else sim
     ga = alignment(sim, truth, tracker)
     m = assigned(sim.join(ga.select("scene", "gt", "trk", "ga", "ng", "nt"), ["scene", "gt", "trk"]).withColumn("w", F.col("ga") * F.col("sim")), ["scene", "frame"], "w")
     m = m.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS]))).where(F.col("sim") >= F.col("alpha") - EPS)
     per = m.groupBy("scene", "alpha", "gt", "trk").agg(F.count("*").alias("n"), F.sum("sim").alias("s"), F.first("ng").alias("ng"), F.first("nt").alias("nt"))
-    tot = per.groupBy("scene", "alpha").agg(F.sum("n").alias("tp"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("n") / F.greatest(F.lit(1), F.col("ng") + F.col("nt") - F.col("n"))).alias("a"))
+    over = lambda x: F.sum(F.col("n") * F.col("n") / F.greatest(F.lit(1), x))
+    tot = per.groupBy("scene", "alpha").agg(F.sum("n").alias("tp"), F.sum("s").alias("s"), over(F.col("ng") + F.col("nt") - F.col("n")).alias("a"), over(F.col("ng")).alias("re"), over(F.col("nt")).alias("pr"))
     base = counts(truth, tracker).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    j = base.join(tot, ["scene", "alpha"], "left").fillna(0, ["tp", "s", "a"])
+    j = base.join(tot, ["scene", "alpha"], "left").fillna(0, ["tp", "s", "a", "re", "pr"])
     j = j.withColumn("fn", F.col("gt_dets") - F.col("tp")).withColumn("fp", F.col("dets") - F.col("tp"))
-    j = j.withColumn("det_a", F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn") + F.col("fp"))).withColumn("ass_a", F.col("a") / F.greatest(F.lit(1), F.col("tp")))
-    return j.select("scene", "alpha", "tp", "fn", "fp", "det_a", "ass_a", (F.col("s") / F.greatest(F.lit(1e-10), F.col("tp"))).alias("loc_a"), F.sqrt(F.col("det_a") * F.col("ass_a")).alias("hota"))
+    per_match = lambda c: F.col(c) / F.greatest(F.lit(1), F.col("tp"))
+    loc = F.when((F.col("dets") == 0) | (F.col("gt_dets") == 0), 1.0).otherwise(F.col("s") / F.greatest(F.lit(1e-10), F.col("tp")))
+    j = j.withColumns({"det_a": F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn") + F.col("fp")), "ass_a": per_match("a"), "ass_re": per_match("re"), "ass_pr": per_match("pr"), "loc_a": loc})
+    return j.select("scene", "alpha", "tp", "fn", "fp", "det_a", "ass_a", "ass_re", "ass_pr", "loc_a", F.sqrt(F.col("det_a") * F.col("ass_a")).alias("hota"))
 
 
 def identity(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(scene, idtp, idfn, idfp, idf1): the one-to-one mapping of tracks with the most common detections."""
+    """(scene, idtp, idfn, idfp, idr, idp, idf1): the one-to-one mapping of tracks with the most common detections."""
     overlap = sim.where(F.col("sim") >= threshold).groupBy("scene", "gt", "trk").agg(F.count("*").cast("double").alias("w"))
-    tp = assigned(overlap, ["scene"], "w").groupBy("scene").agg(F.sum("w").cast("long").alias("idtp"))
+    tp = assigned(overlap, ["scene"], "w", split=True).groupBy("scene").agg(F.sum("w").cast("long").alias("idtp"))
     j = counts(truth, tracker).join(tp, "scene", "left").fillna(0, ["idtp"])
-    return j.select("scene", "idtp", (F.col("gt_dets") - F.col("idtp")).alias("idfn"), (F.col("dets") - F.col("idtp")).alias("idfp"), (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("gt_dets") + F.col("dets"))).alias("idf1"))
+    return identity_rates(j.select("scene", "idtp", (F.col("gt_dets") - F.col("idtp")).alias("idfn"), (F.col("dets") - F.col("idtp")).alias("idfp")))
+
+
+def identity_rates(c: DataFrame) -> DataFrame:
+    """idtp, idfn and idfp with idr, idp and idf1; holds for one scene as for sums over scenes."""
+    tp, fn, fp = (F.col(x) for x in ("idtp", "idfn", "idfp"))
+    share = lambda rest: tp / F.greatest(F.lit(1.0), tp + rest)
+    return c.withColumns({"idr": share(fn), "idp": share(fp), "idf1": share(0.5 * fp + 0.5 * fn)})
 
 
 def clear_matches(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -159,7 +222,8 @@ def clear(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float
     tot = m.withColumn("sw", (last != F.col("trk")).cast("int")).groupBy("scene").agg(F.count("*").alias("tp"), F.coalesce(F.sum("sw"), F.lit(0)).alias("idsw"))
     j = counts(truth, tracker).join(tot, "scene", "left").fillna(0, ["tp", "idsw"])
     j = j.withColumn("fn", F.col("gt_dets") - F.col("tp")).withColumn("fp", F.col("dets") - F.col("tp"))
-    return j.select("scene", "tp", "fn", "fp", "idsw", ((F.col("tp") - F.col("fp") - F.col("idsw")) / F.greatest(F.lit(1), F.col("gt_dets"))).alias("mota"))
+    mota = (F.col("tp") - F.col("fp") - F.col("idsw")) / F.greatest(F.lit(1), F.col("gt_dets"))
+    return j.select("scene", "tp", "fn", "fp", "idsw", F.when((F.col("dets") == 0) | (F.col("gt_dets") == 0), 0.0).otherwise(mota).alias("mota"))
 
 
 def final_score(per_scene: DataFrame) -> DataFrame:
@@ -171,7 +235,8 @@ def clear_fields(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold
     """All CLEAR fields per scene: counters, mostly, partly and hardly tracked ids (mt, pt, ml), fragments and rates.
 
     Frames where one side is empty are passed over: they neither end a fragment nor break a track. A scene with an empty
-    side has its misses or false alarms counted and, without a tracker, all its ids in ml.
+    side has its misses or false alarms counted, mlr 1 and, without a tracker, all its ids in ml; everything else is 0,
+    the frames too.
     """
     m = clear_matches(truth, tracker, sim, threshold).join(sim, ["scene", "frame", "gt", "trk"])
     both = truth.select("scene", "frame").distinct().join(tracker.select("scene", "frame").distinct(), ["scene", "frame"])
@@ -185,7 +250,16 @@ def clear_fields(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold
     frames = truth.select("scene", "frame").union(tracker.select("scene", "frame")).distinct().groupBy("scene").agg(F.count("*").alias("frames"))
     j = counts(truth, tracker).join(frames, "scene").join(tot, "scene", "left").join(kept, "scene", "left").fillna(0)
     j = j.withColumn("fn", F.col("gt_dets") - F.col("tp")).withColumn("fp", F.col("dets") - F.col("tp"))
-    return clear_rates(j.select("scene", "frames", "tp", "fn", "fp", "idsw", "frag", "mt", "pt", "ml", "motp_sum"))
+    lone = (F.col("dets") == 0) | (F.col("gt_dets") == 0)
+    j = j.withColumn("frames", F.when(lone, 0).otherwise(F.col("frames"))).withColumn("ml", F.when(F.col("dets") == 0, F.col("gt_ids")).otherwise(F.col("ml")))
+    rates = clear_rates(j.select("scene", "frames", "tp", "fn", "fp", "idsw", "frag", "mt", "pt", "ml", "motp_sum", lone.alias("_lone")))
+    return rates.withColumns({c: F.when(F.col("_lone"), 1.0 if c == "mlr" else 0.0).otherwise(F.col(c)) for c in CLEAR_RATES}).drop("_lone")
+
+
+CLEAR_COUNTS = ["frames", "tp", "fn", "fp", "idsw", "frag", "mt", "pt", "ml", "motp_sum"]
+CLEAR_RATES = ["mtr", "ptr", "mlr", "motp", "clr_re", "clr_pr", "moda", "mota", "motal", "smota", "clr_f1", "fp_per_frame"]
+ID_COUNTS, ID_RATES = ["idtp", "idfn", "idfp"], ["idr", "idp", "idf1"]
+HOTA_RATES = ["hota", "det_a", "ass_a", "ass_re", "ass_pr", "loc_a", "det_re", "det_pr", "owta"]
 
 
 def clear_rates(c: DataFrame) -> DataFrame:
@@ -202,11 +276,15 @@ def clear_rates(c: DataFrame) -> DataFrame:
 
 
 def combined_sequences(h: DataFrame, by: list[str]) -> DataFrame:
-    """HOTA rows (tp, fn, fp, ass_a, loc_a) summed over scenes within `by` and alpha: counts add up, the others weigh by tp."""
+    """HOTA rows summed over scenes within `by` and alpha: counts add up, the association and location scores weigh by tp.
+
+    Without any match the location score is 1. The average over detections of several classes is the same sum.
+    """
     weigh = lambda c: F.sum(F.col(c) * F.col("tp")) / F.greatest(F.lit(1), F.sum("tp"))
-    s = h.groupBy(*by, "alpha").agg(weigh("ass_a").alias("ass_a"), weigh("loc_a").alias("loc_a"), *[F.sum(c).alias(c) for c in ("tp", "fn", "fp")])
+    loc = F.greatest(F.lit(1e-10), F.sum(F.col("loc_a") * F.col("tp"))) / F.greatest(F.lit(1e-10), F.sum("tp"))
+    s = h.groupBy(*by, "alpha").agg(*[weigh(c).alias(c) for c in ("ass_a", "ass_re", "ass_pr")], loc.alias("loc_a"), *[F.sum(c).alias(c) for c in ("tp", "fn", "fp")])
     s = s.withColumn("det_a", F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn") + F.col("fp")))
-    return hota_finals(s).select(*by, "alpha", "tp", "fn", "fp", "det_re", "det_pr", "det_a", "ass_a", "loc_a", "hota", "owta")
+    return hota_finals(s).select(*by, "alpha", "tp", "fn", "fp", "det_re", "det_pr", "det_a", "ass_a", "ass_re", "ass_pr", "loc_a", "hota", "owta")
 
 
 def hota_finals(h: DataFrame) -> DataFrame:
@@ -215,11 +293,48 @@ def hota_finals(h: DataFrame) -> DataFrame:
     return h.withColumns({"det_re": re, "det_pr": pr, "hota": F.sqrt(F.col("det_a") * F.col("ass_a")), "owta": F.sqrt(re * F.col("ass_a"))})
 
 
+def summed(c: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """The counters summed within `by`: over scenes, or over the classes of a super-category."""
+    return c.groupBy(*by).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in columns])
+
+
+def combined_clear(c: DataFrame, by: list[str]) -> DataFrame:
+    return clear_rates(summed(c, by, CLEAR_COUNTS))
+
+
+def combined_identity(c: DataFrame, by: list[str]) -> DataFrame:
+    return identity_rates(summed(c, by, ID_COUNTS))
+
+
+def combined_counts(c: DataFrame, by: list[str]) -> DataFrame:
+    return summed(c, by, ["dets", "gt_dets", "ids", "gt_ids"])
+
+
 def class_average(h: DataFrame, ignore_empty: bool = False) -> DataFrame:
-    """Means over classes per alpha of the combined rows (class, alpha, ...); classes without any detection may be left out."""
+    """Means over classes per alpha of the combined HOTA rows (class, alpha, ...), sums of their counts; classes without any detection may be left out."""
     h = h.withColumn("_any", F.sum(F.col("tp") + F.col("fn") + F.col("fp")).over(Window.partitionBy("class")) > 0)
     h = h.where("_any") if ignore_empty else h
-    return h.groupBy("alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")], *[F.avg(c).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr", "owta")])
+    return h.groupBy("alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")], *[F.avg(c).alias(c) for c in HOTA_RATES if c in h.columns])
+
+
+def class_average_of(c: DataFrame, counts_: list[str], rates: list[str], present: list[str], ignore_empty: bool = False) -> DataFrame:
+    """One row: sums of the counters and means of the rates over classes; those whose `present` counters are all 0 may be left out."""
+    if ignore_empty:
+        c = c.where(sum((F.col(x) for x in present[1:]), F.col(present[0])) > 0)
+    return c.agg(*[F.sum(x).alias(x) for x in counts_], *[F.avg(x).alias(x) for x in rates])
+
+
+def class_average_clear(c: DataFrame, ignore_empty: bool = False) -> DataFrame:
+    return class_average_of(c, [x for x in CLEAR_COUNTS if x != "motp_sum"], [*CLEAR_RATES, "motp_sum"], ["tp", "fn", "fp"], ignore_empty)
+
+
+def class_average_identity(c: DataFrame, ignore_empty: bool = False) -> DataFrame:
+    return class_average_of(c, ID_COUNTS, ID_RATES, ID_COUNTS, ignore_empty)
+
+
+def super_categories(per_class: DataFrame, parents: DataFrame) -> DataFrame:
+    """Rows of classes with `parent` from (class, parent): combine them `by` parent as sequences are. A class may have several parents."""
+    return per_class.join(F.broadcast(parents), "class")
 
 
 def at_first_threshold(h: DataFrame) -> DataFrame:

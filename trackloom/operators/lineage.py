@@ -5,11 +5,28 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-"))
+    """df, written to the shared folder spark.checkpoint.dir; one of our own only where that is unset and Spark runs on this machine alone, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="trackloom-"))
     return df.checkpoint()
+
+
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): least node reachable over links (a, b), by passing labels and jumping to the label's label until nothing changes."""
+    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
+    label = nodes.select("node", F.col("node").alias("root"))
+    while True:
+        low = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("low"))
+        new = checkpointed(label.join(low, label.node == low.a, "left").select("node", F.least("root", F.coalesce("low", "root")).alias("root"), (F.col("low") < F.col("root")).alias("moved")))
+        if new.where("moved").isEmpty():
+            return new.select("node", "root")
+        of = new.select(F.col("node").alias("_of"), F.col("root").alias("_far"))
+        label = checkpointed(new.join(of, new.root == of["_of"], "left").select("node", F.least("root", F.coalesce("_far", "root")).alias("root")))

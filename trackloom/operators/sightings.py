@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions.expressions import mmss, rint
+from trackloom.functions.expressions import mmss, rint, seconds
 
 KEYS = ["global_id", "camera"]
 
@@ -24,6 +24,13 @@ def sightings(detections: DataFrame, max_gap: int) -> DataFrame:
     )
 
 
+def trajectories(detections: DataFrame, max_gap: int, fps: float) -> DataFrame:
+    """(global_id, camera, seg_idx, trajectory): each sighting's (frame, time_sec, x, y) in order."""
+    point = F.struct("frame", "ordinal", seconds(F.col("frame"), fps).alias("time_sec"), F.col("wx").alias("x"), F.col("wy").alias("y"))
+    s = segmented(detections, max_gap).groupBy(*KEYS, "seg_idx").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    return s.select(*KEYS, "seg_idx", F.transform("p", lambda p: F.struct(p["frame"].alias("frame"), p["time_sec"].alias("time_sec"), p["x"].alias("x"), p["y"].alias("y"))).alias("trajectory"))
+
+
 def node(kind: str = "sighting") -> Column:
     return F.concat_ws(":", F.lit(kind), F.col("global_id").cast("string"), "camera", F.col("seg_idx").cast("string"))
 
@@ -49,12 +56,15 @@ def in_camera(s: DataFrame, camera: str, lo: int | None = None, hi: int | None =
     return s if hi is None else s.where(F.col("start_frame") <= hi)
 
 
-def cooccurrence(s: DataFrame, max_gap: int, width: int) -> DataFrame:
+def cooccurrence(s: DataFrame, max_gap: int, width: int | None = None) -> DataFrame:
     """Pairs a < b of entities with sightings on one camera at most max_gap frames apart, and how many such pairs.
 
-    Intervals are bucketed by `width` frames, so the join has an equi key besides the camera; a pair counts in the first
-    bucket that both touch.
+    Intervals are bucketed by `width` frames (their mean length and the gap, if none is given), so the join has an equi
+    key besides the camera; a pair counts in the first bucket that both touch.
     """
+    if width is None:
+        mean = s.agg(F.avg(F.col("end_frame") - F.col("start_frame"))).first()[0] or 0
+        width = max(1, int(mean) + max_gap + 1)
     lo, hi = F.floor((F.col("start_frame") - max_gap) / width), F.floor(F.col("end_frame") / width)
     a = s.select(F.col("global_id").alias("a"), "camera", F.col("seg_idx").alias("sa"), F.col("start_frame").alias("a0"), F.col("end_frame").alias("a1"), lo.alias("alo"), F.explode(F.sequence(lo, hi)).alias("bucket"))
     b = s.select(F.col("global_id").alias("b"), "camera", F.col("seg_idx").alias("sb"), F.col("start_frame").alias("b0"), F.col("end_frame").alias("b1"), lo.alias("blo"), F.explode(F.sequence(lo, hi)).alias("bucket"))
