@@ -64,4 +64,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_syncmers, op3_license_scan, op4_feistel_shards, op5_importance_resampling, op6_decontamination, op7_best_fit_packing, op8_chat_format, op9_personal_data, op10_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shingles(table: str, key: str) -> str:
+    """CTEs w, s (key, list of distinct shingles) of a table's texts, named after the table."""
+    return rf"""w_{table} AS (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \t-\r]+') AS w FROM {table}),
+s_{table} AS (SELECT {key}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w_{table})"""
+
+
+#: One row a conversation, from the rows as they are: what the formatted text must give back.
+CHAT_SQL = r"""WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said),
+e AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 23 AS chars FROM r),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY 1)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c"""
+
+#: Every item whose share of distinct shingles in a document reaches 0.75.
+CONTAINED_SQL = f"""WITH {_shingles('documents', 'doc_id')}, {_shingles('benchmark', 'item_id')}, d AS (SELECT doc_id, unnest(s) AS x FROM s_documents), i AS (SELECT item_id, len(s) AS n, unnest(s) AS x FROM s_benchmark),
+f AS (SELECT doc_id, item_id, n, count(*) AS k FROM d JOIN i ON d.x = i.x GROUP BY 1, 2, 3) SELECT doc_id, item_id, k AS n_shared, n AS n_item, k / CAST(n AS DOUBLE) AS containment FROM f WHERE 4 * k >= 3 * n"""
+
+#: Links by exact sets, components by following links until no new pair is reached.
+COMPONENTS_SQL = f"""WITH RECURSIVE {_shingles('documents', 'doc_id')}, n AS (SELECT doc_id, len(s) AS n FROM s_documents), e AS (SELECT doc_id, unnest(s) AS x FROM s_documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN c ON c.a = n.doc_id"""
+
+#: The others learn models, permute, pack or hash in ways that SQL does not express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": CONTAINED_SQL, "op8_chat_format": CHAT_SQL, "op10_jaccard_join": COMPONENTS_SQL}
