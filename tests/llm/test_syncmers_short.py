@@ -21,3 +21,21 @@ def test_many_have_anchors_as_before(spark):
     text = " ".join(f"w{i}" for i in range(200))
     a = spark.range(1).select(syncmers.anchors(F.lit(text)).alias("a"), syncmers.anchors(F.lit("x " + text)).alias("b")).first()
     assert len(a.a) > 50 and {x.hash for x in a.a} <= {x.hash for x in a.b}
+
+
+def test_order_counts(spark):
+    """The same phrases in another order are less alike; an insertion in front hardly matters. Against the same rule in Python."""
+    parts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
+    texts = {"own": " ".join(parts), "moved": " ".join(parts[::-1]), "longer": "x y z " + " ".join(parts), "other": " ".join(p.upper() + "x" for p in parts), "none": ""}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string").withColumn("s", syncmers.sketch(F.col("text")))
+    s = {r.name: [(x.hash, x.pos) for x in r.s] for r in df.collect()}
+    pairs = df.alias("x").join(df.alias("y")).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), syncmers.likeness(F.col("x.s"), F.col("y.s")).alias("like"), syncmers.as_text(F.col("x.s")).alias("t"))
+    for r in pairs.collect():
+        one, two = dict(s[r.a]), dict(s[r.b])
+        low = sorted({*one, *two})[:64]
+        at = [q for _, q in sorted((one[h], two[h]) for h in low if h in one and h in two)]
+        want = sum(i == 0 or at[i - 1] <= q for i, q in enumerate(at)) / len(low) if low else 1.0
+        assert abs(r.like - want) < 1e-12
+        assert r.t == " ".join(f"{h & (2**64 - 1):016x}@{p}" for h, p in s[r.a])
+    like = {(r.a, r.b): r.like for r in pairs.collect()}
+    assert like["own", "own"] == 1 and like["own", "longer"] > 0.9 and 0.2 < like["own", "moved"] < 0.95 * like["own", "longer"] and like["own", "none"] == 0

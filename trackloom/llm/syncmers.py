@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers of words, in DataFrame functions only.
 
 A k-mer is k consecutive words; it is a closed syncmer if the least of its s-mers (by hash) is its first or its last one.
-That depends on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint holds the `size` least of the
-distinct anchor hashes; the likeness of two is the share of common anchors among the `size` least of both.
-Positions of anchors do not count in it; shift() gives the displacement that most common anchors agree on.
+That depends on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint holds the `size` anchors of
+least hash, each with the first position that it has. Two are matched by position: the likeness is the share, among the
+`size` least hashes of both, of the common anchors that follow one another in both texts, so an insertion costs little and
+the same phrases in another order cost much. shift() gives the displacement that most common anchors agree on.
 """
 
 from __future__ import annotations
@@ -50,17 +51,28 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 
 def sketch(text: Column, size: int = SIZE, k: int = K, s: int = S) -> Column:
-    """The `size` least of the distinct anchor hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text, k, s), lambda a: a["hash"]))), 1, size)
+    """Array of (hash, pos): the `size` anchors of least hash, ascending, each hash once at its first position."""
+    by_hash = F.array_sort(F.transform(anchors(text, k, s), lambda a: F.struct(a["hash"].alias("hash"), a["pos"].alias("pos"))))
+    once = let(by_hash, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"])))
+    return F.slice(once, 1, size)
 
 
 def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    """Each anchor as 16 hexadecimal digits, @ and its position; anchors parted by blanks."""
+    return F.array_join(F.transform(fingerprint, lambda a: F.concat(F.lower(F.lpad(F.hex(a["hash"]), 16, "0")), F.lit("@"), a["pos"].cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     """0 to 1; two empty fingerprints are alike."""
-    both = let(F.slice(F.array_sort(F.array_union(a, b)), 1, size), lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))
+    hashes = lambda x: F.transform(x, lambda y: y["hash"])
+
+    def matched(u: Column) -> Column:
+        common = lambda c, x: F.filter(x, lambda y: F.array_contains(c, y["hash"]))
+        places = lambda c: F.array_sort(F.zip_with(common(c, a), common(c, b), lambda x, y: F.struct(x["pos"].alias("a"), y["pos"].alias("b"))))
+        follow = lambda p: F.size(F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["b"] <= x["b"])))
+        return let(F.array_intersect(F.array_intersect(hashes(a), hashes(b)), u), lambda c: let(places(c), follow)) / F.size(u)
+
+    both = let(F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, size), matched)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
 
 
