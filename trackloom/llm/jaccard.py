@@ -59,31 +59,55 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
 
 
-def _counts(df: DataFrame, k: int) -> DataFrame:
-    """(chunk, counts): the count array by chunks, each set once per task."""
+FIRST = "id long, h long, n long, key long, bitmap binary, small binary, chunk long, counts binary"
+
+
+def _first_pass(docs: DataFrame, k: int) -> DataFrame:
+    """(id, h, n, key, bitmap, small) of every document, the bitmaps once per class and task; and, after a task's documents,
+    its count array as rows (chunk, counts), into which each set goes once per task."""
+    names, kinds = [f.split()[0] for f in FIRST.split(", ")], {"long": pa.int64(), "binary": pa.binary()}
+    types = [kinds[f.split()[1]] for f in FIRST.split(", ")]
+
+    def batch(rows: int, **cols: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([cols.get(n, pa.nulls(rows, t)) for n, t in zip(names, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = set(), np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            got = []
+            n, keys, maps, small, new = [], [], [], [], []
             for s in shingle_hashes(b.column("t").to_pylist(), k):
                 s = distinct(s)
-                key = set_key(s)
-                if len(s) and key not in seen:
+                key = set_key(s) if len(s) else None
+                known = key is None or key in seen
+                n.append(len(s))
+                keys.append(key)
+                maps.append(None if known else _bitmap(s))
+                small.append(None if known else _small_bitmap(s))
+                if not known:
                     seen.add(key)
-                    got.append(s)
-            if got:
-                total += np.bincount((np.concatenate(got) >> U(64 - BUCKET_BITS)).view(np.int64), minlength=1 << BUCKET_BITS)
+                    new.append(s)
+            if new:
+                total += np.bincount((np.concatenate(new) >> U(64 - BUCKET_BITS)).view(np.int64), minlength=1 << BUCKET_BITS)
+            yield batch(b.num_rows, id=b.column("id"), h=b.column("h"), n=pa.array(n, pa.int64()), key=pa.array(keys, pa.int64()), bitmap=pa.array(maps, pa.binary()), small=pa.array(small, pa.binary()))
         rows = np.minimum(total, 2**16 - 1).astype(np.uint16).reshape(-1, CHUNK)  # enough to tell frequent from rare
         full = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([rows[i].tobytes() for i in full], pa.binary())], ["chunk", "counts"])
+        yield batch(len(full), chunk=pa.array(full), counts=pa.array([rows[i].tobytes() for i in full], pa.binary()))
+
+    return docs.mapInArrow(run, FIRST)
+
+
+def _levels(counts: DataFrame) -> bytes:
+    """The level of each bucket: eight times the logarithm of its count. 2^21 bytes in all, fetched in one job."""
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("counts").to_pylist())
         level = np.minimum(np.round(8 * np.log2(total + 1)), 255).astype(np.uint8)  # 2^32 is level 255
         return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
-    return df.select("t").mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, level binary")
+    out = bytearray(1 << BUCKET_BITS)
+    for r in counts.groupBy("chunk").applyInArrow(add, "chunk long, level binary").collect():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.level
+    return bytes(out)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -303,27 +327,6 @@ def _small_bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & U(SMALL_PLACES - 1)).view(np.int64), minlength=SMALL_PLACES).astype(np.uint8) & 1).tobytes()
 
 
-def _own(docs: DataFrame, k: int) -> DataFrame:
-    """(id, h, n, key, bitmap, small) of every document; the bitmaps once per class and task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for b in batches:
-            n, keys, maps, small = [], [], [], []
-            for s in shingle_hashes(b.column("t").to_pylist(), k):
-                s = distinct(s)
-                key = set_key(s) if len(s) else None
-                n.append(len(s))
-                keys.append(key)
-                known = key is None or key in seen
-                maps.append(None if known else _bitmap(s))
-                small.append(None if known else _small_bitmap(s))
-                seen.add(key)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.array(small, pa.binary())], ["id", "h", "n", "key", "bitmap", "small"])
-
-    return docs.mapInArrow(run, "id long, h long, n long, key long, bitmap binary, small binary")
-
-
 def _sets(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
     """(key, tokens, in_a, in_b): the classes in columns a and b of pairs (and perhaps a few more), once per task; tokens sorted, eight bytes each."""
     sc = docs.sparkSession.sparkContext
@@ -418,12 +421,10 @@ class Join:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> None:
         small_batches(df.sparkSession)
         self.docs, self.k, self.percent = _docs(df, id_col, text_col), k, percent
-        level = bytearray(1 << BUCKET_BITS)
-        for r in _counts(self.docs, k).collect():  # 2^21 bytes in all, in one job
-            level[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.level
-        levels = df.sparkSession.sparkContext.broadcast(bytes(level))
+        first = stored(_first_pass(self.docs, k))
+        levels = df.sparkSession.sparkContext.broadcast(_levels(first.where("chunk IS NOT NULL").select("chunk", "counts")))
         self.lists = stored(_heads(_postings(self.docs, k, percent, levels)))
-        self.own = stored(_own(self.docs, k))
+        self.own = first.where("chunk IS NULL").drop("chunk", "counts")
         self.maps = self.own.where("bitmap IS NOT NULL").dropDuplicates(["key"]).select("key", F.struct("n", "bitmap").alias("tokens"))
         # each class goes to the one head that it shares most lists with, so there are no more star pairs than classes
         shared = self.lists.where("key <> head").groupBy("head", "key").agg(F.count("*").alias("n"))
