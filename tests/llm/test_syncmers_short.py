@@ -1,5 +1,8 @@
 """Short texts, of which half have no closed syncmer at five words."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from trackloom.llm import syncmers
@@ -39,3 +42,22 @@ def test_order_counts(spark):
         assert r.t == " ".join(f"{h & (2**64 - 1):016x}@{p}" for h, p in s[r.a])
     like = {(r.a, r.b): r.like for r in pairs.collect()}
     assert like["own", "own"] == 1 and like["own", "longer"] > 0.9 and 0.2 < like["own", "moved"] < 0.95 * like["own", "longer"] and like["own", "none"] == 0
+
+
+def test_next_over_ranges(spark):
+    """Ids in any order over many ranges, null and repeated ones among them."""
+    import hashlib
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefg") + str(rng.randrange(50)) for _ in range(rng.randrange(40)))) for i in rng.sample(range(-10**12, 10**12), 500)]
+    rows += [(None, "no number"), rows[7], rows[7], (rows[9][0], None)]
+    want = Counter()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len({i for i, _ in rows}) == len(rows) - 3
+    got = syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    for j, (i, t) in enumerate(order):
+        t, q, nxt = t or "", len(t or "") // 4, order[(j + 1) % len(order)][1] or ""
+        want[i, hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()] += 1
+    tie = {rows[9][0]} | {order[(j - 1) % len(order)][0] for j, r in enumerate(order) if r[0] == rows[9][0]}  # two texts under one id: either may come first
+    assert Counter((r.doc_id, r.edited_sha256) for r in got if r.doc_id not in tie) == Counter({k: n for k, n in want.items() if k[0] not in tie})
+    assert len(got) == len(rows)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import let, text_or_empty
+from trackloom.llm.common import let, stored, text_or_empty
 
 K, S, SIZE = 5, 2, 64
 BLANKS = "\t\n\x0b\x0c\r "
@@ -83,30 +83,38 @@ def shift(a: Column, b: Column) -> Column:
     return let(votes, lambda v: F.when(F.size(v) > 0, -F.array_max(tallied(v))["d"]))
 
 
-#: Rows of a range of ids on average, and ranges at most (their borders are one literal array, searched in two steps).
-RANGE_ROWS, SIDE = 128, 256
+KEY = ["no_id", "i", "h"]
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs (id, text) in ranges of ids, with `b` (range), `ghost` and an order such that lead() gives the next document.
+    """docs as (id, text, n, piece, following): what the next document gives to each, its first floor(n / 4) code points and its sketch.
 
-    Ascending id, ties by the text's hash; after the last the first. Ranges follow approximate quantiles; the first
-    document of each range is copied into the range before as a ghost. One shuffle of the texts; no single partition.
+    Ascending id, a null id first, ties by the text's hash; after the last the first. The order is found from ids and
+    hashes alone, range by range; a range takes the first of the next range as its last one's next. Texts are dealt by id
+    and hash, once, and each sends only what its predecessor needs.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    n = docs.count()
-    ranges = max(1, min(SIDE * SIDE, n // RANGE_ROWS))
-    borders = sorted(set(rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(10000, 4 * ranges))).first()[0] or [])) if ranges > 1 else []
-    coarse = F.array(*[F.lit(x) for x in borders[SIDE - 1 :: SIDE]]).cast("array<bigint>")
-    fine = F.array(*[F.lit(x) for x in borders]).cast("array<bigint>")
-    below = lambda arr: F.size(F.filter(arr, lambda x: x <= F.col("id")))
-    place = let(below(coarse), lambda c: c * SIDE + below(F.slice(fine, c * SIDE + 1, F.lit(SIDE))))
-    rows = rows.withColumn("b", F.coalesce(place, F.lit(-1)))
-    firsts = sorted(((r.b, r.id, r.h) for r in rows.groupBy("b").agg(F.min(F.struct("id", "h")).alias("m")).select("b", "m.id", "m.h").collect()))  # ranges at most
-    to = [(i, h, firsts[j - 1][0]) for j, (_, i, h) in enumerate(firsts)]
-    heads = docs.sparkSession.createDataFrame(to, "i long, g long, to int")
-    ghosts = rows.join(F.broadcast(heads), rows.id.eqNullSafe(F.col("i")) & (rows.h == F.col("g"))).dropDuplicates(["to"]).select("id", "text", "h", F.col("to").alias("b"), F.lit(True).alias("ghost"))
-    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
+    order = F.struct((~F.col("no_id")).alias("has_id"), "i", "h")
+    ranged = stored(keys.withColumn("o", order).repartitionByRange("o").withColumn("p", F.spark_partition_id()))
+    over = Window.orderBy("p")  # a row a range
+    firsts = ranged.groupBy("p").agg(F.min("o").alias("f"))
+    firsts = firsts.select("p", F.coalesce(F.lead("f").over(over), F.first("f").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
+    lead = F.lead("o").over(Window.partitionBy("p").orderBy("o"))
+    follow = ranged.withColumn("x", lead).join(F.broadcast(firsts), "p").withColumn("x", F.coalesce("x", "f"))
+    to = F.struct(*KEY, "copies", F.floor(F.col("n") / 4).cast("int").alias("q"))
+    wanted = follow.select((~F.col("x.has_id")).alias("no_id"), F.col("x.i").alias("i"), F.col("x.h").alias("h"), to.alias("to"))
+
+    rows = rows.repartition(*KEY).withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy("h")))
+    given = rows.where("r = 1").join(wanted, KEY)
+    given = given.select(*[F.col(f"to.{k}").alias(k) for k in KEY], F.col("to.copies").alias("copies"), F.substring(F.col("text"), F.lit(1), F.col("to.q")).alias("piece"), sketch(F.col("text")).alias("following"))
+    # of repeated rows only the last one is followed by another document, the others by their like
+    own = F.col("r") < F.col("copies")
+    out = rows.join(given, KEY)
+    n = F.length("text")
+    piece = F.when(own, F.substring(F.col("text"), F.lit(1), F.floor(n / 4).cast("int"))).otherwise(F.col("piece"))
+    return out.select(F.when(~F.col("no_id"), F.col("i")).alias("id"), "text", n.alias("n"), piece.alias("piece"), F.when(~own, F.col("following")).alias("following"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,13 +125,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with an empty one (1) and with no other (0). Rows with one id are in order of a hash of their texts; a null id comes
     first. A single document is its own next. An empty table gives an empty result. Other columns are not read.
     """
-    ordered = Window.partitionBy("b").orderBy("ghost", "id", "h")
     rows = with_next(docs, id_col, text_col)
-    rows = rows.withColumn("following", F.lead("text").over(ordered)).withColumn("n", F.length("text"))
-    quarter = F.floor(F.col("n") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - quarter), F.substring(F.coalesce("following", F.lit("")), F.lit(1), quarter))
-    rows = rows.select("b", "ghost", "id", "h", "n", sketch(F.col("text")).alias("own"), edited.alias("edited"))
-    rows = rows.withColumn("changed", sketch(F.col("edited"))).withColumn("following", F.lead("own").over(ordered)).where("NOT ghost")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.floor(F.col("n") / 4).cast("int")), F.col("piece"))
+    rows = rows.select("id", "n", sketch(F.col("text")).alias("own"), edited.alias("edited"), "following")
+    rows = rows.withColumn("changed", sketch(F.col("edited"))).withColumn("following", F.coalesce("following", "own"))
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
