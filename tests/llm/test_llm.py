@@ -186,6 +186,8 @@ def test_sharding(spark, odd, empty):
     many = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"))
     assert sorted(r.row for r in sharding.feistel_shards(many, 40).collect()) == list(range(5000))
     assert sharding.feistel_shards(empty.select("doc_id"), 4).count() == 0
+    clash = odd.select("doc_id", *[F.lit(1).alias(c) for c in ("_h", "_n", "_b", "_place", "place", "number")])
+    assert sharding.feistel_shards(clash, 4).columns == [*clash.columns, "row", "shard", "slot"] and sharding.feistel_shards(clash, 4).count() == odd.count()
 
 
 def test_syncmers(spark, odd, empty):

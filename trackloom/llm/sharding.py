@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import let, stored
+from trackloom.llm.common import let, stored, struct_row
 
 ROUNDS = 6
 #: Rows that one bucket of the numbering holds on average, and bits of buckets at most (their offsets are one small table).
@@ -117,8 +117,8 @@ def feistel_shards(df: DataFrame, shards: int, id_col: str = "doc_id", seed: int
     The assignment depends on the set of rows, shards and seed only, not on partitions or order. Null ids are hashed like
     any value; equal rows get neighbouring row numbers and are interchangeable. An empty table gives an empty result. df
     should hold narrow columns (ids, sizes, checksums): the rows are shuffled once. Its column names are free, but for
-    row, shard, slot and names that begin with an underscore.
+    row, shard and slot.
     """
-    rows, n = numbered(df, id_col)
-    place = permuted(F.col("row"), max(n, 1), seed)
-    return rows.withColumn("_place", place).select(*df.columns, "row", (F.col("_place") % shards).cast("int").alias("shard"), _div(F.col("_place"), shards).alias("slot"))
+    rows, n = numbered(struct_row(df), f"row.`{id_col}`", "number")
+    place = permuted(F.col("number"), max(n, 1), seed)
+    return rows.withColumn("place", place).select("row.*", F.col("number").alias("row"), (F.col("place") % shards).cast("int").alias("shard"), _div(F.col("place"), shards).alias("slot"))
