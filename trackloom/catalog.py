@@ -374,6 +374,22 @@ def global_identities(spark: SparkSession, d: str) -> DataFrame:
     return identity.resolved(track_features(spark, d).drop("vec_id"), least=0.6)
 
 
+@query("SELECT count(*) AS clusters, count(*) AS spanning FROM embeddings")
+def cluster_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many identities there are over two cameras, and how many of them are on both: here each has a copy on either."""
+    return identity.cluster_counts(global_identities(spark, d))
+
+
+@query("""WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY sim DESC) AS k FROM p) SELECT label, a, round_even(avg(sim), 6) AS sim FROM k WHERE k <= 3 GROUP BY 1, 2""")
+def group_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the three highest similarities of each vector with the later ones of its label."""
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
+    o = e.select("label", F.col("a").alias("b"), F.col("va").alias("vb"))
+    p = e.join(o, "label").where("a < b").select("label", "a", X.dot(F.col("va"), F.col("vb")).alias("sim"))
+    return identity.group_similarity(p, ["label", "a"]).withColumn("sim", X.rint(F.col("sim"), 6))
+
+
 @query(f"""WITH {DET}, b AS (SELECT camera, global_id AS track_id, frame, wx, wy, CAST(global_id % 360 AS DOUBLE) + wy AS px_x, wx AS px_y, row_number() OVER (PARTITION BY camera, global_id, frame ORDER BY ordinal) AS k FROM det)
 SELECT camera, track_id, median(wx) AS world_x, median(wy) AS world_y, min(frame) AS first_frame, max(frame) AS last_frame, {', '.join(f"{f}({c}, frame) AS {n}_{c}" for n, f in (("first", "min_by"), ("last", "max_by")) for c in ("px_x", "px_y", "wx", "wy"))} FROM b WHERE k = 1 GROUP BY 1, 2""")
 def track_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -519,13 +535,17 @@ def hota_first_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.at_first_threshold(E.hota(*evaluation(spark, d))), ["hota_0", "loc_a_0", "hota_loc_a_0"])
 
 
-@query("""WITH e AS (SELECT label AS entity, vec_id AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 >= 3), x AS (SELECT entity, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
-s AS (SELECT entity, i, sum(x) AS x FROM x GROUP BY 1, 2), t AS (SELECT entity, list(x ORDER BY i) AS total FROM s GROUP BY 1), n AS (SELECT entity, count(*) AS n FROM e GROUP BY 1),
+@query("""WITH c AS (SELECT label AS entity, vec_id AS idx, CAST(embedding AS DOUBLE[]) AS v, vec_id % 10 / 10.0::DOUBLE AS confidence, vec_id % 5 = 1 AS loops, vec_id % 5 <> 0 AS says FROM embeddings),
+a AS (SELECT entity, count(*) AS every FROM c GROUP BY 1), s AS (SELECT *, count(*) OVER (PARTITION BY entity) AS sound, sum(CASE WHEN says THEN 1 ELSE 0 END) OVER (PARTITION BY entity) AS people FROM c WHERE NOT loops AND confidence >= 0.3),
+e AS (SELECT s.*, sound < every AS excluded FROM s JOIN a ON a.entity = s.entity WHERE says OR 2 * people <= sound), x AS (SELECT entity, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+m AS (SELECT entity, i, sum(x) AS x FROM x GROUP BY 1, 2), t AS (SELECT entity, list(x ORDER BY i) AS total FROM m GROUP BY 1), n AS (SELECT entity, count(*) AS n, bool_or(excluded) AS excluded FROM e GROUP BY 1),
 r AS (SELECT e.entity, idx, total, row_number() OVER (PARTITION BY e.entity ORDER BY list_inner_product(v, total) DESC, idx) AS k FROM e JOIN t ON e.entity = t.entity)
-SELECT r.entity, idx, n, round_even((list_inner_product(total, total) - n) / (n * (n - 1)), 3) AS agreement FROM r JOIN n ON r.entity = n.entity WHERE k = 1""")
+SELECT r.entity, idx, n, CASE WHEN n = 1 THEN CASE WHEN excluded THEN 0.0 ELSE 1.0 END ELSE round_even((list_inner_product(total, total) - n) / (n * (n - 1)), 3) END AS agreement FROM r JOIN n ON r.entity = n.entity WHERE k = 1""")
 def consensus_by_label(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("idx"), F.lit("a man walks").alias("caption"), (F.col("vec_id") % 10 / 10.0).alias("confidence"), F.col("embedding").alias("vector"))
-    return captions.consensus(captions.candidates(e, ["man"])).select("entity", "idx", "n", X.rint(F.col("agreement"), 3).alias("agreement"))
+    """Captions that loop, that are unsure and that speak of no person stand among the others of each label."""
+    said = F.when(F.col("vec_id") % 5 == 1, "bald bald bald man").when(F.col("vec_id") % 5 == 0, "a small bird").otherwise("a man walks")
+    e = table(spark, d, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("idx"), said.alias("caption"), (F.col("vec_id") % 10 / 10.0).alias("confidence"), F.col("embedding").alias("vector"))
+    return captions.consensus(captions.candidates(e)).select("entity", "idx", "n", X.rint(F.col("agreement"), 3).alias("agreement"))
 
 
 @query(f"""WITH {DET}, b AS (SELECT *, CAST(wy AS BIGINT) % 5 = 0 AS touches FROM det), t AS (SELECT DISTINCT global_id, camera, frame + 7 AS target FROM det WHERE ordinal % 3 = 0),
@@ -574,11 +594,29 @@ def nearest_colours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("id"), colours.nearest_colour(value(37), value(91), value(53)).alias("colour"))
 
 
-@query()
+def _distortion_sql() -> str:
+    """The same closed forms, step by step: rotation, homography, undistorted pixels, ground points by the adjugate."""
+    v = "xyz"
+    skew = {("x", "y"): "-z", ("x", "z"): "y", ("y", "x"): "z", ("y", "z"): "-x", ("z", "x"): "-y", ("z", "y"): "x"}
+    cell = lambda i, j: f"({'c' if i == j else '0'} + (1 - c) * {i} * {j} + s * ({skew.get((i, j), '0')})) AS r{i}{j}"
+    h = {(0, j): f"800 * {x} + 320 * {z}" for j, (x, z) in enumerate((("rxx", "rzx"), ("rxy", "rzy"), ("100", "t")))} | {(1, j): f"820 * {y} + 240 * {z}" for j, (y, z) in enumerate((("ryx", "rzx"), ("ryy", "rzy"), ("200", "t")))} | {(2, 0): "rzx", (2, 1): "rzy", (2, 2): "t"}
+    adj = [["h11*h22-h12*h21", "h02*h21-h01*h22", "h01*h12-h02*h11"], ["h12*h20-h10*h22", "h00*h22-h02*h20", "h02*h10-h00*h12"], ["h10*h21-h11*h20", "h01*h20-h00*h21", "h00*h11-h01*h10"]]
+    ground = lambda x, y, name: ", ".join(f"({x} * ({a}) + {y} * ({b}) + ({c})) AS {name}{i}" for i, (a, b, c) in enumerate(adj))
+    steps = ", ".join(f"q{n} AS (SELECT *, 1 / (1 + k * r2 * s{n - 1} * s{n - 1}) AS s{n} FROM q{n - 1})" for n in range(1, 6))
+    return f"""WITH n AS (SELECT n_nationkey AS camera, 1.8::DOUBLE + n_nationkey * 0.01::DOUBLE AS rx, 0.1::DOUBLE AS ry, n_nationkey * 0.002::DOUBLE AS rz, 5000.0::DOUBLE + n_nationkey AS t, n_nationkey * 1e-4::DOUBLE AS k FROM nation),
+a AS (SELECT *, sqrt(rx*rx + ry*ry + rz*rz) AS angle FROM n), u AS (SELECT *, rx / angle AS x, ry / angle AS y, rz / angle AS z, cos(angle) AS c, sin(angle) AS s FROM a),
+m AS (SELECT camera, k, t, {', '.join(cell(i, j) for i in v for j in v)} FROM u), h AS (SELECT camera, k, {', '.join(f"{e} AS h{i}{j}" for (i, j), e in h.items())} FROM m),
+g AS (SELECT h.*, 640 * (0.1::DOUBLE + 0.8::DOUBLE * i / 4) AS px, 480 * (0.1::DOUBLE + 0.8::DOUBLE * j / 4) AS py FROM h, range(5) x(i), range(5) y(j)),
+q0 AS (SELECT *, ((px - 320) * 0.01::DOUBLE) * ((px - 320) * 0.01::DOUBLE) + ((py - 240) * 0.01::DOUBLE) * ((py - 240) * 0.01::DOUBLE) AS r2, 1.0::DOUBLE AS s0 FROM g), {steps},
+w AS (SELECT *, (px - 320) * s5 + 320 AS ux, (py - 240) * s5 + 240 AS uy FROM q5), e AS (SELECT camera, {ground('px', 'py', 'p')}, {ground('ux', 'uy', 'd')} FROM w)
+SELECT camera, round_even(max(sqrt((p0/p2 - d0/d2) * (p0/p2 - d0/d2) + (p1/p2 - d1/d2) * (p1/p2 - d1/d2))), 4) AS impact FROM e GROUP BY 1"""
+
+
+@query(_distortion_sql())
 def distortion_impact(spark: SparkSession, d: str) -> DataFrame:
     """The largest shift on the ground by radial distortion over a grid of image points, a stand-in camera a nation."""
     key = F.col("n_nationkey")
     h = calibration.ground_homography(F.lit(800.0), F.lit(820.0), F.lit(320.0), F.lit(240.0), calibration.rotation(1.8 + key * 0.01, F.lit(0.1), key * 0.002), [F.lit(100.0), F.lit(200.0), 5000.0 + key])
     p = table(spark, d, "nation").select(key.alias("camera"), F.array(*[F.array(*row) for row in h]).alias("h"), (key * 1e-4).alias("k"), F.explode(calibration.grid(F.lit(640.0), F.lit(480.0))).alias("p"))
     shift = calibration.distortion_shift(calibration.cells(F.col("h")), F.col("p.x"), F.col("p.y"), F.lit(320.0), F.lit(240.0), F.lit(0.01), F.lit(0.01), F.col("k"))
-    return p.groupBy("camera").agg(F.max(shift).alias("impact"))
+    return p.groupBy("camera").agg(X.rint(F.max(shift), 4).alias("impact"))
