@@ -65,7 +65,8 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """left joined with right (one row a key) so that no key of left gets into one task as a whole.
 
     A key is hot when it has more than a quarter of the rows of a mean partition, so there are at most 4 hot keys a
-    partition and their table can be broadcast. Rows of hot keys are dealt to several tasks, right's row copied to each.
+    partition and their table can be broadcast. Rows of hot keys are dealt to several tasks by a hash of the whole row,
+    which a task that runs again repeats; right's row is copied to each.
     """
     spark = left.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -76,7 +77,7 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
         return left.join(right, key, how)
     parts = F.coalesce("parts", F.lit(1))
     own = right.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_key", "parts")
-    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.when(parts > 1, F.floor(F.rand(1) * parts)).otherwise(0).cast("int"))
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), parts).cast("int"))
     return dealt.drop("hot_key", "parts").join(own, [key, "part"], how).drop("part")
 
 
