@@ -239,6 +239,17 @@ def test_lm(spark, odd, empty):
     assert lm.score_documents(odd, F.col("doc_id") > 3).count() == odd.count() and lm.score_documents(empty, F.lit(True)).count() == 0
 
 
+def test_lm_many_parts(spark, monkeypatch):
+    """Many small parts of the filter: the same scores but for false positives, and the same whatever the shards."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    one = {r.doc_id: r.score for r in lm.score_documents(docs, held).collect()}
+    monkeypatch.setattr(lm, "PART_TOKENS", 5000)
+    many = {r.doc_id: r.score for r in lm.score_documents(docs, held).collect()}
+    assert all(math.isclose(one[i], many[i], rel_tol=0.02) for i in one)
+    assert many == {r.doc_id: r.score for r in lm.score_documents(docs, held, shard_bytes=2_000_000).collect()}
+
+
 def test_bloom_levels():
     c = np.arange(1, 500)
     q = lm.count_of(lm.level_of(c))

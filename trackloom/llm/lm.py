@@ -63,8 +63,8 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, np.concatenate([[U(END)], out[:-1]]) if len(out) else out, at
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(pair, h, w, c): counts of tokens (pair false, h 0) and of neighbours (pair true) over all training texts."""
+def _counts(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, h, w, c): partial counts of tokens (part -1, h 0) and of neighbours (part: where the pair's filter bits lie)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ws, hs, size = [], [], 0
@@ -72,13 +72,13 @@ def _counts(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             w, h = np.concatenate(ws), np.concatenate(hs)
             word, c = np.unique(w, return_counts=True)
-            yield batch(np.zeros(len(word), bool), np.zeros(len(word), U), word, c)
+            yield batch(np.full(len(word), -1), np.zeros(len(word), U), word, c)
             key = pair_key(h, w)
-            _, first, c = np.unique(key, return_index=True, return_counts=True)
-            yield batch(np.ones(len(first), bool), h[first], w[first], c)
+            key, first, c = np.unique(key, return_index=True, return_counts=True)
+            yield batch((mix(key) % U(parts)).view(np.int64), h[first], w[first], c)
 
-        def batch(pair: np.ndarray, h: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], ["pair", "h", "w", "c"])
+        def batch(part: np.ndarray, h: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c.astype(np.int32))], ["part", "h", "w", "c"])
 
         for b in batches:
             w, h, _ = tokens(b.column("t").to_pylist())
@@ -91,16 +91,15 @@ def _counts(docs: DataFrame) -> DataFrame:
         if size:
             yield from flush()
 
-    rows = docs.select("t").mapInArrow(run, "pair boolean, h long, w long, c long")
-    return rows.groupBy("pair", "h", "w").agg(F.sum("c").alias("c"))
+    return docs.select("t").mapInArrow(run, "part int, h long, w long, c int")
 
 
 class Shard:
-    """A part of the model: words with count, context sum and number of followers, and the filter's segments from `first` on of `total`."""
+    """A part of the model: words with count, context sum and number of followers, and the filter's segments from `first` on; `at`: where each part's begin."""
 
-    def __init__(self, words: np.ndarray, known: np.ndarray, segments: np.ndarray, first: int, total: int) -> None:
+    def __init__(self, words: np.ndarray, known: np.ndarray, segments: np.ndarray, first: int, at: np.ndarray, parts: int) -> None:
         order = np.argsort(words)
-        self.words, self.known, self.segments, self.first, self.total = words[order], known[:, order], segments, first, total
+        self.words, self.known, self.segments, self.first, self.at, self.parts = words[order], known[:, order], segments, first, at, parts
 
     def words_of(self, w: np.ndarray) -> np.ndarray:
         """(count, context sum, followers) of each word, in three rows; 0 where this shard has none."""
@@ -116,7 +115,11 @@ class Shard:
         if not len(self.segments):
             return level
         key = pair_key(h, w)
-        seg = (mix(key) % U(self.total)).view(np.int64) - self.first
+        part = (mix(key) % U(self.parts)).view(np.int64)
+        there = np.minimum(part, len(self.at) - 2)  # parts without any pair may be missing at the end
+        size = np.where(part == there, np.diff(self.at)[there], 0)
+        seg = self.at[there] + (mix(key ^ part.view(U)) % np.maximum(size, 1).view(U)).view(np.int64) - self.first
+        seg[size == 0] = -1
         live = np.flatnonzero((seg >= 0) & (seg < len(self.segments)))
         key, seg = key[live], seg[live]
         j = 1
@@ -130,59 +133,81 @@ class Shard:
         return level
 
 
-def _fill(pairs: DataFrame, n: int) -> DataFrame:
-    """(seg, bits): the filter's segments, each filled by one task from the pairs that fall to it."""
+PARTS = "part int, seg int, bits binary, w long, c long, sum double, types long"
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = pair_key(b.column("h").to_numpy().view(U), b.column("w").to_numpy().view(U))
-            yield pa.RecordBatch.from_arrays([pa.array((mix(key) % U(n)).view(np.int64)), pa.array(key.view(np.int64)), b.column("c")], ["seg", "key", "c"])
-
-    def fill(table: pa.Table) -> pa.Table:
-        key, level = table.column("key").to_numpy().view(U), level_of(table.column("c").to_numpy())
-        bits = np.zeros(1 << SEGMENT_BITS, bool)
-        for j in range(1, int(level.max()) + 1):
-            for where in _bits(key[level >= j], j):
-                bits[where] = True
-        return pa.table({"seg": table.column("seg")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    return pairs.select("h", "w", "c").mapInArrow(place, "seg long, key long, c long").groupBy("seg").applyInArrow(fill, "seg long, bits binary")
+def _reduced(rows: DataFrame) -> DataFrame:
+    """What the partial counts come to, each part in one task, whose pairs are bounded as there are as many parts as they need.
 
+    Rows (part, seg, bits): the segments of a part's filter; rows (w, c, sum, types): counts of words, and of what a part
+    knows of a context w its sum of quantised counts and number of pairs.
+    """
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    names = [f.split()[0] for f in PARTS.split(", ")]
+
+    def table(n: int, **cols: np.ndarray | list) -> pa.Table:
+        return pa.table({x: pa.array(cols[x], t) if x in cols else pa.nulls(n, t) for x, t in zip(names, kinds, strict=True)})
+
+    def totals(by: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, first, back = np.unique(by, return_index=True, return_inverse=True)
+        return key, first, np.bincount(back, value)
+
+    def reduce(t: pa.Table) -> pa.Table:
+        h, w, c = (t.column(x).to_numpy() for x in ("h", "w", "c"))
+        part = t.column("part")[0].as_py()
+        key, first, c = totals(pair_key(h.view(U), w.view(U)), c)
+        level = level_of(np.rint(c))
+        n = (int(level.sum()) * BITS_PER_ENTRY >> SEGMENT_BITS) + 1
+        seg = (mix(key ^ U(part)) % U(n)).view(np.int64)
+        bits = np.zeros((n, 1 << SEGMENT_BITS), bool)
+        for j in range(1, int(level.max()) + 1):
+            some = level >= j
+            for where in _bits(key[some], j):
+                bits[seg[some], where] = True
+        context, _, total = totals(h[first], count_of(level))
+        types = np.bincount(np.searchsorted(context, h[first]))
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in bits]
+        return pa.concat_tables([table(n, part=np.full(n, part), seg=np.arange(n), bits=packed), table(len(context), w=context, sum=total, types=types)])
 
-def _sql_level() -> Column:
-    return (F.floor(F.log(F.col("c")) / np.log(BASE_OF_LEVELS) + 1e-9) + 1).cast("long")
+    pairs = rows.where("part >= 0").groupBy("part").applyInArrow(reduce, PARTS)
+    empty = [F.lit(None).cast(k).alias(n) for n, k in (("part", "int"), ("seg", "int"), ("bits", "binary"))]
+    words = rows.where("part < 0").groupBy("w").agg(F.sum("c").alias("c"))
+    return pairs.unionByName(words.select(*empty, "w", "c", F.lit(None).cast("double").alias("sum"), F.lit(None).cast("long").alias("types")))
 
 
-def _sql_count(level: Column) -> Column:
-    low, high = F.ceil(F.pow(F.lit(BASE_OF_LEVELS), level - 1) - 1e-9), F.ceil(F.pow(F.lit(BASE_OF_LEVELS), level) - 1e-9)
-    return (low + F.greatest(low, high - 1)) / 2
+#: Tokens of the training texts for each part of the filter.
+PART_TOKENS = 1 << 20
 
 
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES):
     """(N, V, number of shards, function from a shard's number to the Shard) of the model of docs (column t: binary)."""
-    counts = stored(_counts(docs))
-    word, pairs = counts.where("NOT pair"), counts.where("pair").withColumn("level", _sql_level())
-    n, v = word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    entries = pairs.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    total = (entries * BITS_PER_ENTRY >> SEGMENT_BITS) + 1 if entries else 0
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("t") + 1), F.lit(0))).first()[0]
+    n_parts = max(1, size // (6 * PART_TOKENS))  # a word and its blank take about six bytes
+    found = stored(_reduced(_counts(docs, n_parts)))
+    known = found.where("w IS NOT NULL").groupBy("w").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c", "sum", "types")])
+    n, v = found.where("c IS NOT NULL").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    sizes = found.where("bits IS NOT NULL").groupBy("part").agg(F.count("*").alias("n")).collect()  # a row a part
+    held = np.zeros(max((r.part for r in sizes), default=-1) + 2, np.int64)
+    for r in sizes:
+        held[r.part + 1] = r.n
+    at = np.cumsum(held)
+    total = int(at[-1])
     parts = max(1, -(-(32 * v + (total << SEGMENT_BITS - 3)) // shard_bytes))
-    sums = pairs.groupBy(F.col("h").alias("w")).agg(F.sum(_sql_count(F.col("level"))).alias("sum"), F.count("*").alias("types"))
-    table = word.select("w", "c").join(sums, "w", "left").select("w", "c", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.coalesce("types", F.lit(0)).alias("types"))
-    segments = _fill(pairs, total) if total else None
-    if parts > 1:  # each shard reads its own rows only: files are in ranges of words and segments
-        table = stored(table.repartitionByRange("w"))
-        segments = stored(segments.repartitionByRange("seg")) if total else None
+    if parts > 1:  # each shard reads its own words only: files are in ranges of words
+        known = stored(known.repartitionByRange("w"))
 
     def shard(part: int) -> Shard:
         low, high = ((part * 2**64 // parts) - 2**63, ((part + 1) * 2**64 // parts) - 2**63 - 1)
-        rows = (table.where(F.col("w").between(low, high)) if parts > 1 else table).toArrow()
+        rows = (known.where(F.col("w").between(low, high)) if parts > 1 else known).toArrow()
         first, last = part * total // parts, (part + 1) * total // parts
         bits = np.zeros((last - first, 1 << SEGMENT_BITS - 3), np.uint8)
         if last > first:
-            for r in (segments.where(F.col("seg").between(first, last - 1)) if parts > 1 else segments).toLocalIterator():
-                bits[r.seg - first] = np.frombuffer(r.bits, np.uint8)
-        known = np.stack([rows.column(x).to_numpy().astype(float) for x in ("c", "sum", "types")])
-        return Shard(rows.column("w").to_numpy().view(U), known, bits, first, total)
+            some = (int(np.searchsorted(at, first, "right")) - 1, int(np.searchsorted(at, last - 1, "right")) - 1)
+            for r in found.where(F.col("bits").isNotNull() & F.col("part").between(*some)).select("part", "seg", "bits").toLocalIterator():
+                if first <= (i := int(at[r.part]) + r.seg) < last:
+                    bits[i - first] = np.frombuffer(r.bits, np.uint8)
+        table = np.stack([rows.column(x).to_numpy().astype(float) for x in ("c", "sum", "types")])
+        return Shard(rows.column("w").to_numpy().view(U), table, bits, first, at, n_parts)
 
     return n, v, parts, shard
 
