@@ -29,7 +29,7 @@ def test_far_apart_and_twice(spark):
     bsd = [s[x] for x in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")]
     texts = [
         "Released under" + " " * 30000 + "the MIT License.",
-        ".\n" * 50000 + "Licensed under" + ".\n" * 50000 + "CC BY 4.0",
+        ".\n" * 50000 + "Licensed under" + " \n" * 50000 + "CC BY 4.0",
         ". ".join(bsd) + ".",
         ". ".join(bsd + bsd[:3]) + ".",
         ". ".join(bsd[:3] + bsd) + ".",

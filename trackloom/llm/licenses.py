@@ -99,14 +99,15 @@ def sentence_ids(text: str, heads: dict[tuple[str, str], list[tuple[str, str]]])
     low = text.lower()
     cuts = [m.span() for border in (BORDER, LINE) for m in border.finditer(low)]
     ends = sorted({a for a, _ in cuts} | {len(low)})
-    found, past, m = set(), len(low), None
+    found, past, m, done = set(), len(low), None, -1
     for at in sorted({0, *(b for _, b in cuts)}, reverse=True):
         # the first word after this cut: before the next cut, else the one found for that
         if near := FIRST.search(low, at, past):
             m = HEAD.match(low, near.start())
         past = at
-        if not m:
+        if not m or m.start() == done:  # many cuts may have the same first word
             continue
+        done = m.start()
         first, second = m[1].rstrip("."), (m[2] or "").rstrip(".")
         some = heads.get((first, second), []) + (heads.get((first, ""), []) if second else [])
         found |= {(m.start(), name) for s, name in some if ends_well(low, m.start(), s, ends)}
