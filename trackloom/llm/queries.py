@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, containment, importance, jaccard, licenses, lm, packing, personal, sharding, syncmers
-from trackloom.llm.common import read, text_or_empty
+from trackloom.llm import chat, containment, crosstoken, importance, jaccard, licenses, lm, packing, periodic, personal, secrets, sharding, syncmers
+from trackloom.llm.common import let, read, text_or_empty
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,51 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_syncmers, op3_license_scan, op4_feistel_shards, op5_importance_resampling, op6_decontamination, op7_best_fit_packing, op8_chat_format, op9_personal_data, op10_jaccard_join)}
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where one id in ten has its words from a place on repeated with a period, as the contract has it; a null id counts as an empty one."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_periods(read(spark, sf_dir, "documents")))
+    first = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"), r.alias("r")))), 1)["r"]
+    found = found.withColumn("top", F.when(F.size("runs") > 0, first))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align_tokens(read(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != secrets.LEARNT)
+    return found.select("doc_id", *[of(k) for k in secrets.BASE], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_lm_score, op2_syncmers, op3_license_scan, op4_feistel_shards, op5_importance_resampling, op6_decontamination, op7_best_fit_packing, op8_chat_format, op9_personal_data,
+        op10_jaccard_join, op11_periodic_runs, op12_token_alignment, op13_secret_scan,
+    )
+}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,5 +135,22 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN c ON c.a = n.doc_id"""
 
+#: Runs as islands of equal six-word windows a fixed distance apart; CRC-32 bit by bit, as DuckDB has none.
+RUNS_SQL = r"""WITH i AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents),
+k AS (SELECT *, len(w) AS n, list_transform(range(8 * length(s)), lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii(substr(s, CAST(i // 8 + 1 AS INT), 1)) AS BIGINT) ELSE 0 END) AS b FROM i),
+h AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS h FROM k),
+a AS (SELECT *, (h // 10) % n AS a, h // 10 AS g FROM h), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1 AS INT)]) ELSE w END AS w FROM p),
+f AS (SELECT doc_id, n, unnest(range(n - 5)) AS i, w FROM d WHERE n >= 12), e AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 6], ' ') AS x FROM f),
+q AS (SELECT doc_id, a.i, b.i - a.i AS q FROM e a JOIN e b USING (doc_id, x) WHERE b.i > a.i AND 2 * (b.i - a.i) <= a.n),
+o AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS o FROM q),
+m AS (SELECT doc_id, min(i) AS s, max(i) - min(i) + 6 + q AS l, q FROM o GROUP BY doc_id, q, o HAVING max(i) - min(i) + 6 + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM m GROUP BY 1, 2, 3),
+z AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t, arg_min([s, l, q], [-l, s, q]) AS top FROM r GROUP BY 1),
+u AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r), v AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS x FROM d),
+c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM v ANTI JOIN u USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top[1] AS start, top[2] AS length, top[3] AS period, 1000 * top[2] // top[3] AS exponent_milli, sha256(coalesce(z.t, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 #: The others learn models, permute, pack or hash in ways that SQL does not express; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": CONTAINED_SQL, "op8_chat_format": CHAT_SQL, "op10_jaccard_join": COMPONENTS_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": CONTAINED_SQL, "op8_chat_format": CHAT_SQL, "op10_jaccard_join": COMPONENTS_SQL, "op11_periodic_runs": RUNS_SQL}
