@@ -52,7 +52,7 @@ def test_claims(spark):
 def test_texts_and_colours(spark):
     r = spark.range(1).select(reports.slug(F.lit("Who is near 5?")), reports.clothing_caption(F.lit("red"), F.lit("blue"), F.lit("A man.")), reports.percent(F.lit(0.492825)), colours.nearest_colour(F.lit(238.0), F.lit(236.0), F.lit(233.0)), colours.nearest_colour(F.lit(10.0), F.lit(12.0), F.lit(9.0))).first()
     assert tuple(r)[1:2] + tuple(r)[3:] == ("red top, blue bottom. A man.", "white", "black")
-    assert r[0] == "who_is_near_5_"
+    assert r[0] == "Who_is_near_5_"
 
 
 def test_consensus(spark):

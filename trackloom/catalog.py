@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import calibration, colours
 from trackloom.functions import expressions as X
 from trackloom.operators import evaluation as E
-from trackloom.operators import captions, identity, proximity, sampling, sightings, tracks
+from trackloom.operators import captions, identity, proximity, sampling, scans, sightings, tracks
 from trackloom.sources.standins import detections, evaluation, table, track_features
 
 GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, RELIABLE = 1440, 30, 10.0, 30.0, 3, 3
@@ -329,9 +329,7 @@ def stride_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DET}, m AS (SELECT camera, wx, max(wy) AS wy FROM det GROUP BY 1, 2), p AS (SELECT *, max(wy) OVER (PARTITION BY camera ORDER BY wx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM m) SELECT camera, wx, wy FROM p WHERE above IS NULL OR wy > above")
 def pareto_front(spark: SparkSession, d: str) -> DataFrame:
-    above = F.max("wy").over(Window.partitionBy("camera").orderBy(F.desc("wx")).rowsBetween(Window.unboundedPreceding, -1))
-    m = detections(spark, d).groupBy("camera", "wx").agg(F.max("wy").alias("wy")).withColumn("above", above)
-    return m.where("above IS NULL OR wy > above").select("camera", "wx", "wy")
+    return scans.front(detections(spark, d), ["camera"], "wx", "wy")
 
 
 def _world_sql() -> str:
@@ -418,7 +416,7 @@ sw AS (SELECT mt.*, CASE WHEN lag(trk) OVER w <> trk THEN 1 ELSE 0 END AS s, CAS
 z AS (SELECT scene, count(*) AS tp, sum(s) AS idsw, sum(br) AS frag, sum(sim) AS motp_sum FROM sw GROUP BY 1),
 share AS (SELECT n.scene, n.gt, coalesce(h, 0) / CAST(n AS DOUBLE) AS r FROM (SELECT scene, gt, count(*) AS n FROM g GROUP BY 1, 2) n LEFT JOIN (SELECT scene, gt, count(*) AS h FROM mt GROUP BY 1, 2) m ON n.scene = m.scene AND n.gt = m.gt),
 kept AS (SELECT scene, count(*) FILTER (WHERE r > 0.8) AS mt, count(*) FILTER (WHERE r >= 0.2 AND r <= 0.8) AS pt, count(*) FILTER (WHERE r < 0.2) AS ml FROM share GROUP BY 1),
-fr AS (SELECT scene, count(*) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1),
+fr AS (SELECT scene, max(frame) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1),
 c AS (SELECT cnt.scene, dets = 0 OR gt_dets = 0 AS lone, CASE WHEN dets = 0 OR gt_dets = 0 THEN 0 ELSE frames END AS frames, CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(gt_dets - coalesce(tp, 0) AS DOUBLE) AS fn, CAST(dets - coalesce(tp, 0) AS DOUBLE) AS fp, CAST(coalesce(idsw, 0) AS DOUBLE) AS idsw, coalesce(frag, 0) AS frag, coalesce(mt, 0) AS mt, coalesce(pt, 0) AS pt, CASE WHEN dets = 0 THEN gt_ids ELSE coalesce(ml, 0) END AS ml, coalesce(motp_sum, 0) AS motp_sum
   FROM cnt JOIN fr ON cnt.scene = fr.scene LEFT JOIN z ON cnt.scene = z.scene LEFT JOIN kept ON cnt.scene = kept.scene)"""
 
@@ -513,7 +511,7 @@ def identity_class_average(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.class_average_identity(per), E.ID_RATES)
 
 
-@query(f"WITH {GATED}, fr AS (SELECT scene, count(*) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1) SELECT cnt.*, frames FROM cnt LEFT JOIN fr ON cnt.scene = fr.scene")
+@query(f"WITH {GATED}, fr AS (SELECT scene, max(frame) AS frames FROM (SELECT scene, frame FROM g UNION SELECT scene, frame FROM t) GROUP BY 1) SELECT cnt.*, frames FROM cnt LEFT JOIN fr ON cnt.scene = fr.scene")
 def count_fields(spark: SparkSession, d: str) -> DataFrame:
     return E.count_fields(*evaluation(spark, d))
 

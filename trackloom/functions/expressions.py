@@ -134,9 +134,9 @@ def mentions(c: Column, words: list[str] | None = None) -> Column:
 
 def degenerate(c: Column) -> Column:
     """Whether one word, marks included, stands three times in a row; not so without words."""
-    w = _split(F.lower(F.coalesce(c, F.lit(""))))
-    places = F.when(F.size(w) >= 3, F.sequence(F.lit(2), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.exists(places, lambda i: (F.get(w, i) == F.get(w, i - 1)) & (F.get(w, i) == F.get(w, i - 2)))
+    places = lambda w: F.when(F.size(w) >= 3, F.sequence(F.lit(2), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    again = lambda w: F.exists(places(w), lambda i: (F.get(w, i) == F.get(w, i - 1)) & (F.get(w, i) == F.get(w, i - 2)))
+    return F.transform(F.array(_split(F.lower(F.coalesce(c, F.lit(""))))), again)[0]  # the words are bound once
 
 
 def without_words(c: Column, words: list[str] | None = None) -> Column:

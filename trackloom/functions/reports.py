@@ -26,7 +26,8 @@ def scrubbed(text: Column, reported: Column) -> Column:
 
 
 def slug(text: Column, length: int = 40) -> Column:
-    return F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), 1, length)
+    """A file name of a query: each character that is no letter or digit as one underscore, cut to `length`."""
+    return F.substring(F.regexp_replace(text, r"[^\p{L}\p{N}]", "_"), 1, length)
 
 
 def clothing_caption(upper: Column, lower: Column, text: Column) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.expressions import distance
-from trackloom.operators.lineage import checkpointed, labelled
+from trackloom.operators.lineage import checkpointed
+from trackloom.operators.matching import assigned, matching
+from trackloom.operators.scans import numbered
 
 EPS = 2.220446049250313e-16
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -25,128 +24,44 @@ def similarity(truth: DataFrame, tracker: DataFrame, zero_distance: float = 2.0)
     return g.join(t, ["scene", "frame"]).withColumn("sim", sim).where("sim > 0").select("scene", "frame", "gt", "trk", "sim")
 
 
+def per_id(rows: DataFrame) -> DataFrame:
+    """(scene, id, n): detections of each id."""
+    return rows.groupBy("scene", "id").agg(F.count("*").alias("n"))
+
+
 def counts(truth: DataFrame, tracker: DataFrame) -> DataFrame:
-    t = tracker.groupBy("scene").agg(F.count("*").alias("dets"), F.countDistinct("id").alias("ids"))
-    g = truth.groupBy("scene").agg(F.count("*").alias("gt_dets"), F.countDistinct("id").alias("gt_ids"))
+    t = per_id(tracker).groupBy("scene").agg(F.sum("n").alias("dets"), F.count("*").alias("ids"))
+    g = per_id(truth).groupBy("scene").agg(F.sum("n").alias("gt_dets"), F.count("*").alias("gt_ids"))
     return g.join(t, "scene", "full").select("scene", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dets", "gt_dets", "ids", "gt_ids")])
 
 
 def count_fields(truth: DataFrame, tracker: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """counts with frames: the scene's length (scene, seq_length) where it is given, else its number of frames with a row."""
-    if lengths is None:
-        lengths = truth.select("scene", "frame").union(tracker.select("scene", "frame")).distinct().groupBy("scene").agg(F.count("*").alias("seq_length"))
+    """counts with frames: the scene's length (scene, seq_length)."""
+    lengths = scene_lengths(truth, tracker) if lengths is None else lengths
     return counts(truth, tracker).join(lengths.select("scene", F.col("seq_length").alias("frames")), "scene", "left")
 
 
+def scene_lengths(truth: DataFrame, tracker: DataFrame) -> DataFrame:
+    """(scene, seq_length): the last frame of either side, as frames count from 1; empty frames before it count."""
+    return truth.select("scene", "frame").union(tracker.select("scene", "frame")).groupBy("scene").agg(F.max("frame").alias("seq_length"))
+
+
 def alignment(sim: DataFrame, truth: DataFrame, tracker: DataFrame) -> DataFrame:
     """Global alignment of each (scene, gt, trk): soft co-occurrence over the union of both tracks' detections."""
     rows = F.sum("sim").over(Window.partitionBy("scene", "frame", "gt"))
     cols = F.sum("sim").over(Window.partitionBy("scene", "frame", "trk"))
     soft = sim.withColumn("den", rows + cols - F.col("sim")).where(F.col("den") > EPS).groupBy("scene", "gt", "trk").agg(F.sum(F.col("sim") / F.col("den")).alias("pot"))
-    n_g = truth.groupBy("scene", F.col("id").alias("gt")).agg(F.count("*").alias("ng"))
-    n_t = tracker.groupBy("scene", F.col("id").alias("trk")).agg(F.count("*").alias("nt"))
+    n_g = per_id(truth).select("scene", F.col("id").alias("gt"), F.col("n").alias("ng"))
+    n_t = per_id(tracker).select("scene", F.col("id").alias("trk"), F.col("n").alias("nt"))
     return soft.join(n_g, ["scene", "gt"]).join(n_t, ["scene", "trk"]).withColumn("ga", F.col("pot") / (F.col("ng") + F.col("nt") - F.col("pot")))
 
 
-def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight one-to-one pairs of a matrix, by shortest augmenting paths from each row's own best column."""
-    flip = weights.shape[0] > weights.shape[1]
-    cost = -(weights.T if flip else weights)
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    u[1:] = cost.min(axis=1)
-    left = []
-    for i, j in enumerate(cost.argmin(axis=1).tolist(), 1):
-        if match[j + 1]:
-            left.append(i)
-        else:
-            match[j + 1] = i
-    for i in left:
-        match[0], j0 = i, 0
-        low, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            cur = cost[i0 - 1] - u[i0] - v[1:]
-            better = ~used[1:] & (cur < low[1:])
-            low[1:][better], way[1:][better] = cur[better], j0
-            open_ = np.where(used, np.inf, low)
-            j1 = int(open_.argmin())
-            delta = open_[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            low[~used] -= delta
-            j0 = j1
-            if not match[j0]:
-                break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    out = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((b, a) if flip else (a, b) for a, b in out)
-
-
-def group_by_group(rows: DataFrame, keys: list[str], solve: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """solve applied to each group of keys, whose result has the columns of rows; many groups pass through one Python call."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            x = b if held is None else pd.concat([held, b], ignore_index=True)
-            open_ = np.ones(len(x), bool)
-            for k in keys:
-                open_ &= (x[k] == x[k].iloc[-1]).to_numpy()
-            held, done = x[open_], x[~open_]
-            if len(done):
-                yield pd.concat([solve(g) for _, g in done.groupby(keys, sort=False)])
-        if held is not None and len(held):
-            yield solve(held)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, rows.schema)
-
-
-def assigned(pairs: DataFrame, keys: list[str], weight: str, split: bool = False) -> DataFrame:
-    """The pairs of a maximum-weight matching of gt and trk within each group of keys.
-
-    Pairs that are alone on both sides, and the best pair of an id whose partners have no other choice, are taken by SQL;
-    only the rest goes to a kernel, group by group. With `split` a group is first parted into the connected components of
-    its pairs, as a matching of the whole is one of each: for groups that grow with the input.
-    """
-    g, t = Window.partitionBy(*keys, "gt"), Window.partitionBy(*keys, "trk")
-    p = pairs.withColumn("_g", F.count("*").over(g)).withColumn("_t", F.count("*").over(t))
-    p = p.withColumn("_tt", F.max("_t").over(g)).withColumn("_gg", F.max("_g").over(t))
-    star_g, star_t = F.col("_tt") == 1, F.col("_gg") == 1  # all partners of gt (of trk) are its alone
-    p = p.withColumn("_r", F.when(star_g, F.row_number().over(g.orderBy(F.desc(weight), "trk"))).when(star_t, F.row_number().over(t.orderBy(F.desc(weight), "gt"))))
-    helpers = ["_g", "_t", "_gg", "_tt", "_r"]
-    easy = p.where((F.col("_r") == 1) & (F.col(weight) > 0)).drop(*helpers)
-    hard = p.where(F.col("_r").isNull()).drop(*helpers)
-    if split:
-        hard = checkpointed(hard)
-        if hard.isEmpty():
-            return easy
-        node = lambda c: F.struct(*keys, F.lit(c).alias("side"), F.col(c).cast("string").alias("id"))
-        links = hard.select(node("gt").alias("a"), node("trk").alias("b"))
-        label = labelled(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), links)
-        hard = hard.withColumn("_node", node("gt")).join(label.withColumnRenamed("node", "_node"), "_node").withColumn("_part", F.to_json("root")).drop("_node", "root")
-        keys = [*keys, "_part"]
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        gs, gi = np.unique(frame["gt"], return_inverse=True)
-        ts, ti = np.unique(frame["trk"], return_inverse=True)
-        w = np.zeros((len(gs), len(ts)))
-        w[gi, ti] = frame[weight]
-        row = {(a, b): i for i, (a, b) in enumerate(zip(gi, ti, strict=True))}
-        return frame.iloc[[row[x] for x in best_assignment(w) if x in row and w[x] > 0]]
-
-    return easy.unionByName(group_by_group(hard, keys, solve).drop("_part"))
-
-
 def hota(truth: DataFrame, tracker: DataFrame, sim: DataFrame | None = None) -> DataFrame:
     """(scene, alpha, tp, fn, fp, det_a, ass_a, ass_re, ass_pr, loc_a, hota) at 19 thresholds.
 
     A scene with an empty side has loc_a 1 and no matches; one with both sides and no match at a threshold has loc_a 0.
     """
-    sim = similarity(truth, tracker) if sim is None else sim
+    sim = checkpointed((similarity(truth, tracker) if sim is None else sim).repartition("scene", "frame"))  # once for both passes, dealt as both need it
     ga = alignment(sim, truth, tracker)
     m = assigned(sim.join(ga.select("scene", "gt", "trk", "ga", "ng", "nt"), ["scene", "gt", "trk"]).withColumn("w", F.col("ga") * F.col("sim")), ["scene", "frame"], "w")
     m = m.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS]))).where(F.col("sim") >= F.col("alpha") - EPS)
@@ -185,14 +100,15 @@ def clear_matches(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshol
     empty are passed over.
     """
     at = ["scene", "frame"]
-    both = truth.select(*at).distinct().join(tracker.select(*at).distinct(), at)
-    both = both.withColumn("k", F.dense_rank().over(Window.partitionBy("scene").orderBy("frame")))
-    p = sim.where(F.col("sim") >= threshold - EPS).select(*at, F.col("gt").cast("long").alias("gt"), F.col("trk").cast("long").alias("trk"), "sim")
+    both = processed_frames(truth, tracker)
+    p = sim.where(F.col("sim") >= threshold - EPS).select(*at, F.col("gt").cast("long").alias("gt"), F.col("trk").cast("long").alias("trk"), "sim").repartition(*at)
     p = p.withColumns({f"_{s}": F.count("*").over(Window.partitionBy(*at, s)) for s in ("gt", "trk")})
-    p = p.withColumn("hard", F.max((F.col("_gt") > 1) | (F.col("_trk") > 1)).over(Window.partitionBy(*at)))
+    p = checkpointed(p.withColumn("hard", F.max((F.col("_gt") > 1) | (F.col("_trk") > 1)).over(Window.partitionBy(*at))).drop("_gt", "_trk"))
     easy = p.where("NOT hard").select(*at, "gt", "trk")
+    if p.where("hard").isEmpty():
+        return easy
     frames = p.where("hard").select(*at).distinct().join(both, at)
-    frames = frames.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("scene").orderBy("k")))
+    frames = checkpointed(numbered(frames, ["scene"], ["k"], "_n").withColumn("run", F.col("k") - F.col("_n")).drop("_n"))
     rows = p.where("hard").join(frames, at).select("scene", "run", "frame", "gt", "trk", "sim")
     starts = frames.groupBy("scene", "run").agg((F.min("k") - 1).alias("k"))
     given = easy.join(both, at).join(starts, ["scene", "k"]).select("scene", "run", "frame", "gt", "trk", F.lit(None).cast("double").alias("sim"))
@@ -200,21 +116,33 @@ def clear_matches(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshol
     def fold(run: pd.DataFrame) -> pd.DataFrame:
         known = run["sim"].isna()
         before = dict(zip(run.loc[known, "gt"], run.loc[known, "trk"], strict=True))
-        out = []
-        for frame, rows in run[~known].sort_values(["frame", "gt", "trk"]).groupby("frame"):
-            g, gi = np.unique(rows["gt"], return_inverse=True)
-            t, ti = np.unique(rows["trk"], return_inverse=True)
-            same = np.array([before.get(a) == b for a, b in zip(rows["gt"], rows["trk"], strict=True)])
-            w = np.zeros((len(g), len(t)))
-            w[gi, ti] = 1000 * same + rows["sim"]
-            before = {g[a]: t[b] for a, b in best_assignment(w) if w[a, b] > EPS}
-            out += [(run["scene"].iloc[0], frame, a, b) for a, b in before.items()]
+        out, scene = [], run["scene"].iloc[0]
+        left = run[~known].sort_values(["frame", "gt", "trk"])
+        frame, gt, trk, sim_ = (left[c].tolist() for c in ("frame", "gt", "trk", "sim"))
+        a = 0
+        while a < len(frame):
+            b = a
+            while b < len(frame) and frame[b] == frame[a]:
+                b += 1
+            one, two = {}, {}
+            w = [1000.0 * (before.get(g) == t) + x for g, t, x in zip(gt[a:b], trk[a:b], sim_[a:b], strict=True)]
+            took = matching([one.setdefault(x, len(one)) for x in gt[a:b]], [two.setdefault(x, len(two)) for x in trk[a:b]], w)
+            before = {gt[a + k]: trk[a + k] for k in took}
+            out += [(scene, frame[a], g, t) for g, t in before.items()]
+            a = b
         return pd.DataFrame(out, columns=["scene", "frame", "gt", "trk"])
 
     hard = rows.unionByName(given).groupBy("scene", "run").applyInPandas(fold, easy.schema)
     return easy.unionByName(hard)
 
 
+def processed_frames(truth: DataFrame, tracker: DataFrame) -> DataFrame:
+    """(scene, frame, k): the frames where neither side is empty, numbered from 0 a scene, however many frames it has."""
+    at = ["scene", "frame"]
+    both = truth.select(*at).distinct().join(tracker.select(*at).distinct(), at)
+    return checkpointed(numbered(checkpointed(both), ["scene"], ["frame"], "k"))
+
+
 def clear(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(scene, tp, fn, fp, idsw, mota)."""
     m = clear_matches(truth, tracker, sim, threshold)
@@ -231,24 +159,25 @@ def final_score(per_scene: DataFrame) -> DataFrame:
     return per_scene.groupBy("scene").agg(F.avg("hota").alias("h"), F.avg("det_a").alias("d"), F.avg("ass_a").alias("a"), F.avg("loc_a").alias("l")).agg(*[F.avg(c).alias(n) for c, n in (("h", "hota"), ("d", "det_a"), ("a", "ass_a"), ("l", "loc_a"))])
 
 
-def clear_fields(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
+def clear_fields(truth: DataFrame, tracker: DataFrame, sim: DataFrame, threshold: float = 0.5, lengths: DataFrame | None = None) -> DataFrame:
     """All CLEAR fields per scene: counters, mostly, partly and hardly tracked ids (mt, pt, ml), fragments and rates.
 
-    Frames where one side is empty are passed over: they neither end a fragment nor break a track. A scene with an empty
-    side has its misses or false alarms counted, mlr 1 and, without a tracker, all its ids in ml; everything else is 0,
-    the frames too.
+    frames is the scene's length, from lengths (scene, seq_length) or else scene_lengths. Frames where one side is empty
+    are passed over: they neither end a fragment nor break a track. A scene with an empty side has its misses or false
+    alarms counted, mlr 1 and, without a tracker, all its ids in ml; everything else is 0, the frames too.
     """
-    m = clear_matches(truth, tracker, sim, threshold).join(sim, ["scene", "frame", "gt", "trk"])
-    both = truth.select("scene", "frame").distinct().join(tracker.select("scene", "frame").distinct(), ["scene", "frame"])
-    both = both.withColumn("k", F.dense_rank().over(Window.partitionBy("scene").orderBy("frame")))
+    sim = checkpointed(sim)
+    m = clear_matches(truth, tracker, sim, threshold).join(sim, ["scene", "frame", "gt", "trk"]).join(processed_frames(truth, tracker), ["scene", "frame"])
     own = Window.partitionBy("scene", "gt").orderBy("frame")
-    m = m.join(both, ["scene", "frame"]).withColumn("sw", (F.lag("trk").over(own) != F.col("trk")).cast("int")).withColumn("br", (F.col("k") - F.lag("k").over(own) > 1).cast("int"))
-    tot = m.groupBy("scene").agg(F.count("*").alias("tp"), F.sum("sw").alias("idsw"), F.sum("br").alias("frag"), F.sum("sim").alias("motp_sum"))
-    hit = m.groupBy("scene", "gt").agg(F.count("*").alias("hit"))
-    share = truth.groupBy("scene", F.col("id").alias("gt")).agg(F.count("*").alias("n")).join(hit, ["scene", "gt"], "left").withColumn("r", F.coalesce("hit", F.lit(0)) / F.col("n"))
-    kept = share.groupBy("scene").agg(F.count(F.when(F.col("r") > 0.8, 1)).alias("mt"), F.count(F.when((F.col("r") >= 0.2) & (F.col("r") <= 0.8), 1)).alias("pt"), F.count(F.when(F.col("r") < 0.2, 1)).alias("ml"))
-    frames = truth.select("scene", "frame").union(tracker.select("scene", "frame")).distinct().groupBy("scene").agg(F.count("*").alias("frames"))
-    j = counts(truth, tracker).join(frames, "scene").join(tot, "scene", "left").join(kept, "scene", "left").fillna(0)
+    m = m.withColumn("sw", (F.lag("trk").over(own) != F.col("trk")).cast("int")).withColumn("br", (F.col("k") - F.lag("k").over(own) > 1).cast("int"))
+    # one row an id first: hits, switches and breaks, then the scene's sums
+    hit = m.groupBy("scene", "gt").agg(F.count("*").alias("hit"), F.coalesce(F.sum("sw"), F.lit(0)).alias("sw"), F.coalesce(F.sum("br"), F.lit(0)).alias("br"), F.sum("sim").alias("s"))
+    share = per_id(truth).withColumnRenamed("id", "gt").join(hit, ["scene", "gt"], "left").fillna(0).withColumn("r", F.col("hit") / F.col("n"))
+    kept = share.groupBy("scene").agg(
+        F.sum("hit").alias("tp"), F.sum("sw").alias("idsw"), F.sum("br").alias("frag"), F.sum("s").alias("motp_sum"),
+        F.count(F.when(F.col("r") > 0.8, 1)).alias("mt"), F.count(F.when((F.col("r") >= 0.2) & (F.col("r") <= 0.8), 1)).alias("pt"), F.count(F.when(F.col("r") < 0.2, 1)).alias("ml"),
+    )
+    j = count_fields(truth, tracker, lengths).join(kept, "scene", "left").fillna(0)
     j = j.withColumn("fn", F.col("gt_dets") - F.col("tp")).withColumn("fp", F.col("dets") - F.col("tp"))
     lone = (F.col("dets") == 0) | (F.col("gt_dets") == 0)
     j = j.withColumn("frames", F.when(lone, 0).otherwise(F.col("frames"))).withColumn("ml", F.when(F.col("dets") == 0, F.col("gt_ids")).otherwise(F.col("ml")))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.operators.evaluation import EPS, assigned
+from trackloom.operators.evaluation import EPS
+from trackloom.operators.matching import assigned
+from trackloom.operators.scans import dense_ranks
 from trackloom.operators.tracks import first_of_frame
 
 # The classes of the evaluation and the numbers that files give them.
@@ -46,8 +48,7 @@ def without_distractors(tracker: DataFrame, truth: DataFrame, sim: DataFrame, cl
 
 def relabelled(rows: DataFrame, name: str = "label") -> DataFrame:
     """rows with the ids of each scene numbered 0, 1, ... in their order."""
-    ids = rows.select("scene", "id").distinct()
-    return rows.join(ids.withColumn(name, F.dense_rank().over(Window.partitionBy("scene").orderBy("id")) - 1), ["scene", "id"])
+    return rows.join(dense_ranks(rows, ["scene"], "id", name), ["scene", "id"])
 
 
 def _failing(bad: Column, text: Column) -> Column:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.expressions import mmss, rint, seconds
+from trackloom.operators.scans import sessions
 
 KEYS = ["global_id", "camera"]
 
 
 def segmented(detections: DataFrame, max_gap: int) -> DataFrame:
     """detections with seg_idx: a new one where more than max_gap frames passed since the entity's last on the camera."""
-    w = Window.partitionBy(*KEYS).orderBy("frame", "ordinal")
-    new = F.coalesce(F.col("frame") - F.lag("frame").over(w) > max_gap, F.lit(False)).cast("int")
-    return detections.withColumn("_new", new).withColumn("seg_idx", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return sessions(detections, KEYS, "frame", ["ordinal"], max_gap, "seg_idx")
 
 
 def sightings(detections: DataFrame, max_gap: int) -> DataFrame:
