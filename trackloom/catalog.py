@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import calibration, colours
 from trackloom.functions import expressions as X
 from trackloom.operators import evaluation as E
-from trackloom.operators import captions, identity, proximity, sampling, scans, sightings, tracks
+from trackloom.operators import captions, identity, proximity, sampling, scans, sightings, similar, tracks
 from trackloom.sources.standins import detections, evaluation, table, track_features
 
 GAP, NEAR_FRAMES, NEAR, FPS, STRIDE, RELIABLE = 1440, 30, 10.0, 30.0, 3, 3
@@ -155,6 +155,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return s.where("sim >= 0.1").orderBy(F.desc("sim"), "vec_id").limit(20).select("vec_id", X.rint(F.col("sim"), 3).alias("similarity"))
 
 
+@query("""SELECT q.vec_id AS query_id, v.vec_id, round_even(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0
+WHERE list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) >= 0.3""")
+def vector_join(spark: SparkSession, d: str) -> DataFrame:
+    """For many query vectors at once, all vectors that are similar enough, through the pivot index."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return similar.similar_vectors(q, e, 0.3).withColumn("similarity", X.rint(F.col("similarity"), 6))
+
+
 @query("""WITH v AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), t AS (SELECT label, i, sum(x) AS x FROM v GROUP BY 1, 2),
 n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT t.label, n.n AS members, round_even((sum(x * x) - n.n) / (n.n * (n.n - 1)), 3) AS agreement FROM t JOIN n ON t.label = n.label GROUP BY t.label, n.n""")
 def agreement_by_label(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.expressions import mmss, rint, seconds
+from trackloom.operators.lineage import checkpointed
 from trackloom.operators.scans import sessions
 
 KEYS = ["global_id", "camera"]
@@ -55,20 +56,43 @@ def in_camera(s: DataFrame, camera: str, lo: int | None = None, hi: int | None =
     return s if hi is None else s.where(F.col("start_frame") <= hi)
 
 
-def cooccurrence(s: DataFrame, max_gap: int, width: int | None = None) -> DataFrame:
+#: Each level's buckets are 2^STEP times as wide as the one's below: more levels copy more, fewer let more pairs meet in vain.
+STEP = 3
+
+
+def level_of(length: Column) -> Column:
+    """The least multiple of STEP whose power of two is no shorter than a length."""
+    return (STEP * F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), length)) / STEP))).cast("int")
+
+
+def cooccurrence(s: DataFrame, max_gap: int) -> DataFrame:
     """Pairs a < b of entities with sightings on one camera at most max_gap frames apart, and how many such pairs.
 
-    Intervals are bucketed by `width` frames (their mean length and the gap, if none is given), so the join has an equi
-    key besides the camera; a pair counts in the first bucket that both touch.
+    An index of dyadic buckets: a sighting, grown by the gap, is posted at the level of its length, where buckets are as
+    wide as the next power of 2^STEP, so in two buckets at most, and looked up at each higher level that there is. However
+    long a sighting is among short ones, nothing is copied more than twice a level. A pair meets at the longer one's level
+    and counts in the first bucket that both touch.
     """
-    if width is None:
-        mean = s.agg(F.avg(F.col("end_frame") - F.col("start_frame"))).first()[0] or 0
-        width = max(1, int(mean) + max_gap + 1)
-    lo, hi = F.floor((F.col("start_frame") - max_gap) / width), F.floor(F.col("end_frame") / width)
-    a = s.select(F.col("global_id").alias("a"), "camera", F.col("seg_idx").alias("sa"), F.col("start_frame").alias("a0"), F.col("end_frame").alias("a1"), lo.alias("alo"), F.explode(F.sequence(lo, hi)).alias("bucket"))
-    b = s.select(F.col("global_id").alias("b"), "camera", F.col("seg_idx").alias("sb"), F.col("start_frame").alias("b0"), F.col("end_frame").alias("b1"), lo.alias("blo"), F.explode(F.sequence(lo, hi)).alias("bucket"))
-    near = (F.col("a") < F.col("b")) & (F.greatest(F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1")) <= max_gap)
-    return a.join(b, ["camera", "bucket"]).where(near & (F.col("bucket") == F.greatest("alo", "blo"))).groupBy("a", "b").agg(F.count("*").alias("n_matches"))
+    own = s.select("global_id", "camera", (F.col("start_frame") - max_gap).alias("lo"), F.col("start_frame").alias("first"), F.col("end_frame").alias("last"))
+    own = checkpointed(own.withColumn("level", level_of(F.col("last") - F.col("lo") + 1)))
+    levels = sorted(r[0] for r in own.select("level").distinct().collect())  # at most 64 / STEP
+    if not levels:
+        return s.select(F.col("global_id").alias("a"), F.col("global_id").alias("b"), F.lit(0).cast("long").alias("n_matches")).limit(0)
+    bucket = lambda x, level: F.floor(F.col(x) / F.pow(F.lit(2.0), level)).cast("long")
+    posted = own.withColumn("bucket", F.explode(F.sequence(bucket("lo", F.col("level")), bucket("last", F.col("level")))))
+    posted = posted.select("camera", "level", "bucket", F.col("global_id").alias("g"), F.col("lo").alias("g_lo"), F.col("first").alias("g0"), F.col("last").alias("g1"))
+    asked = own.withColumnRenamed("level", "own_level").withColumn("level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("own_level"))))
+    asked = asked.withColumn("bucket", F.explode(F.sequence(bucket("lo", F.col("level")), bucket("last", F.col("level")))))
+    asked = asked.select("camera", "level", "bucket", "own_level", F.col("global_id").alias("h"), F.col("lo").alias("h_lo"), F.col("first").alias("h0"), F.col("last").alias("h1"))
+    once = (F.col("g") != F.col("h")) & ((F.col("level") > F.col("own_level")) | (F.col("g") < F.col("h")))
+    near = F.greatest(F.col("g0") - F.col("h1"), F.col("h0") - F.col("g1")) <= max_gap
+    met = posted.join(asked, ["camera", "level", "bucket"]).where(once & near & (F.col("bucket") == bucket_of_later("g_lo", "h_lo")))
+    return met.groupBy(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).agg(F.count("*").alias("n_matches"))
+
+
+def bucket_of_later(one: str, two: str) -> Column:
+    """The bucket, at the pair's level, of the later of two beginnings."""
+    return F.floor(F.greatest(one, two) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
 
 
 def multi_camera(s: DataFrame) -> DataFrame:
