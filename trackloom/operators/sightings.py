@@ -78,22 +78,18 @@ def cooccurrence(s: DataFrame, max_gap: int) -> DataFrame:
     levels = sorted(r[0] for r in own.select("level").distinct().collect())  # at most 64 / STEP
     if not levels:
         return s.select(F.col("global_id").alias("a"), F.col("global_id").alias("b"), F.lit(0).cast("long").alias("n_matches")).limit(0)
-    bucket = lambda x, level: F.floor(F.col(x) / F.pow(F.lit(2.0), level)).cast("long")
-    posted = own.withColumn("bucket", F.explode(F.sequence(bucket("lo", F.col("level")), bucket("last", F.col("level")))))
+    own = own.withColumns({c: F.col(c).cast("long") for c in ("lo", "first", "last")})
+    buckets = F.explode(F.expr("sequence(shiftright(lo, level), shiftright(last, level))"))
+    posted = own.withColumn("bucket", buckets)
     posted = posted.select("camera", "level", "bucket", F.col("global_id").alias("g"), F.col("lo").alias("g_lo"), F.col("first").alias("g0"), F.col("last").alias("g1"))
     asked = own.withColumnRenamed("level", "own_level").withColumn("level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("own_level"))))
-    asked = asked.withColumn("bucket", F.explode(F.sequence(bucket("lo", F.col("level")), bucket("last", F.col("level")))))
+    asked = asked.withColumn("bucket", buckets)
     asked = asked.select("camera", "level", "bucket", "own_level", F.col("global_id").alias("h"), F.col("lo").alias("h_lo"), F.col("first").alias("h0"), F.col("last").alias("h1"))
     once = (F.col("g") != F.col("h")) & ((F.col("level") > F.col("own_level")) | (F.col("g") < F.col("h")))
     near = F.greatest(F.col("g0") - F.col("h1"), F.col("h0") - F.col("g1")) <= max_gap
-    met = posted.join(asked, ["camera", "level", "bucket"]).where(once & near & (F.col("bucket") == bucket_of_later("g_lo", "h_lo")))
+    met = posted.join(asked, ["camera", "level", "bucket"]).where(once & near & (F.col("bucket") == F.expr("shiftright(greatest(g_lo, h_lo), level)")))
     return met.groupBy(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).agg(F.count("*").alias("n_matches"))
 
 
-def bucket_of_later(one: str, two: str) -> Column:
-    """The bucket, at the pair's level, of the later of two beginnings."""
-    return F.floor(F.greatest(one, two) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
-
-
 def multi_camera(s: DataFrame) -> DataFrame:
     return s.groupBy("global_id").agg(F.array_join(F.array_sort(F.collect_set("camera")), ",").alias("cameras"), F.countDistinct("camera").alias("n_cameras")).where("n_cameras > 1")
