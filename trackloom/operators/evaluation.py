@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions.expressions import distance
+from trackloom.functions.expressions import distance, iou
 from trackloom.operators.lineage import checkpointed
 from trackloom.operators.matching import assigned, matching
 from trackloom.operators.scans import numbered
@@ -24,6 +24,13 @@ def similarity(truth: DataFrame, tracker: DataFrame, zero_distance: float = 2.0)
     return g.join(t, ["scene", "frame"]).withColumn("sim", sim).where("sim > 0").select("scene", "frame", "gt", "trk", "sim")
 
 
+def box_similarity(truth: DataFrame, tracker: DataFrame) -> DataFrame:
+    """(scene, frame, gt, trk, sim) with sim the IoU of boxes (x, y, w, h), zero ones left out."""
+    side = lambda df, name, p: df.select("scene", "frame", F.col("id").alias(name), *[F.col(c).alias(p + c) for c in "xywh"])
+    j = side(truth, "gt", "g").join(side(tracker, "trk", "t"), ["scene", "frame"])
+    return j.withColumn("sim", iou([F.col("g" + c) for c in "xywh"], [F.col("t" + c) for c in "xywh"])).where("sim > 0").select("scene", "frame", "gt", "trk", "sim")
+
+
 def per_id(rows: DataFrame) -> DataFrame:
     """(scene, id, n): detections of each id."""
     return rows.groupBy("scene", "id").agg(F.count("*").alias("n"))
