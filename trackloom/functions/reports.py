@@ -133,3 +133,48 @@ def invented_ids(wrong: Column, known: Column) -> Column:
 def table_line(name: Column, values: list[Column]) -> Column:
     """One line of the console table: the name in 35 places, each value in 10, all to the left."""
     return F.format_string("%-35s" + "%-10s" * len(values), name, *values)
+
+
+# The first lines of reports, before and after the number of their entries.
+HEADERS = {"proximity": ("Confirmed proximity matches (", "):"), "ranking": ("Top ", " entities by confirmed interaction count:"), "human": ("", " entities whose caption identifies them as a person:")}
+NONE_LINE = "  (none)"
+
+
+def headed(kind: str) -> Column:
+    before, after = HEADERS[kind]
+    return F.concat(F.lit(before), F.col("n").cast("string"), F.lit(after))
+
+
+def proximity_report(matches: DataFrame) -> DataFrame:
+    """One row (text) of the confirmed matches (place, camera, time, appearance_caption, caption_agreement, global_id, distance_m, match_type and, where it is known, interactions)."""
+    own = F.col("interactions") if "interactions" in matches.columns else None
+    line = match_entry(F.col("camera"), F.col("time"), F.col("appearance_caption"), F.col("caption_agreement"), F.col("global_id"), F.col("distance_m"), own)
+    return report(matches.where("match_type = 'confirmed_proximity'"), line, [F.col("place"), F.col("global_id")], headed("proximity"), TOLD["no_proximity"])
+
+
+def ranking_report(ranked: DataFrame) -> DataFrame:
+    """One row (text) of (global_id, appearance_caption, caption_agreement, confirmed_interaction_count), the most interactions first."""
+    line = ranking_entry(F.col("global_id"), F.col("confirmed_interaction_count"), F.col("appearance_caption"), F.col("caption_agreement"))
+    return report(ranked, line, [-F.col("confirmed_interaction_count"), F.col("global_id")], headed("ranking"), TOLD["no_ranking"])
+
+
+def _listed() -> Column:
+    return seen_entry(F.col("global_id"), F.col("appearance_caption"), F.col("caption_agreement"), F.col("sightings"), F.col("num_cameras"))
+
+
+def human_report(listed: DataFrame) -> DataFrame:
+    """One row (text) of the entities (global_id, appearance_caption, caption_agreement, sightings, num_cameras) whose captions speak of persons."""
+    return report(listed, _listed(), [F.col("global_id")], headed("human"), TOLD["no_human"])
+
+
+def low_quality_report(listed: DataFrame, threshold: float = AGREED) -> DataFrame:
+    """One row (text) of the entities whose captions speak of no person, in two sections: captions that disagree or may, and those that agree."""
+    low = F.col("caption_agreement").isNull() | (F.col("caption_agreement") < threshold)
+    place = F.struct((~low).alias("high"), "global_id", _listed().alias("line"))
+    rows = listed.agg(F.sort_array(F.collect_list(place)).alias("rows"), F.count("*").alias("n"))
+    of = lambda high: F.filter("rows", lambda r: r["high"] == high)
+    share = lambda high: F.concat(F.size(of(high)).cast("string"), F.lit(" of "), F.col("n").cast("string"))
+    body = lambda high: F.when(F.size(of(high)) == 0, NONE_LINE).otherwise(F.array_join(F.transform(of(high), lambda r: r["line"]), "\n"))
+    head = F.concat(F.col("n").cast("string"), F.lit(" entities whose caption names no person: most are people whose caption failed, so take none for an object."))
+    parts = [head, F.concat(F.lit("\nLow-confidence ("), share(False), F.lit(f", agreement below {threshold} or unknown):")), body(False), F.concat(F.lit("\nHigher-confidence ("), share(True), F.lit(f", agreement at or above {threshold}):")), body(True)]
+    return rows.select(F.when(F.col("n") == 0, TOLD["no_low_quality"]).otherwise(F.concat_ws("\n", *parts)).alias("text"))

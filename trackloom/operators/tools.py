@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +13,38 @@ from trackloom.functions.expressions import dot, mentions, mmss, normalised, rin
 from trackloom.operators import proximity
 from trackloom.operators.sightings import sightings
 
-#: Name -> parameters of each tool, for clients that choose tools by name.
-SCHEMAS = {
-    "search_by_appearance": ["query_vector", "min_similarity", "top_k"],
-    "search_by_action": ["query_vector", "min_similarity", "top_k"],
-    "get_entity_action": ["global_id"],
-    "get_entity_timeline": ["global_id"],
-    "find_entities_in_camera": ["camera_id", "start_time_sec", "end_time_sec"],
-    "check_entities_cooccur": ["global_id_a", "global_id_b", "max_gap_sec"],
-    "find_nearby_entities": ["global_id", "max_distance_m", "max_gap_sec", "top_k"],
-    "count_nearby_entities": ["global_id", "max_distance_m", "max_gap_sec"],
-    "find_nearby_entities_by_description": ["query_vector", "min_similarity", "max_distance_m", "max_gap_sec", "top_k"],
-    "list_multi_camera_entities": [],
-    "list_low_quality_caption_entities": [],
-    "list_human_captioned_entities": [],
-    "rank_entities_by_interaction_count": ["max_distance_m", "max_gap_sec", "top_k"],
+# Name -> parameters of each tool with their types and, where they may be left out, their defaults.
+_FOUND = {"query_vector": ("array", None), "min_similarity": ("number", 0.7), "top_k": ("integer", 20)}
+_NEAR = {"max_distance_m": ("number", 2.0), "max_gap_sec": ("number", 1.0)}
+TOOLS: dict[str, dict[str, tuple]] = {
+    "search_by_appearance": _FOUND,
+    "search_by_action": _FOUND,
+    "get_entity_action": {"global_id": ("integer", None)},
+    "get_entity_timeline": {"global_id": ("integer", None)},
+    "find_entities_in_camera": {"camera_id": ("string", None), "start_time_sec": ("number", ...), "end_time_sec": ("number", ...)},
+    "check_entities_cooccur": {"global_id_a": ("integer", None), "global_id_b": ("integer", None), "max_gap_sec": ("number", 5.0)},
+    "find_nearby_entities": {"global_id": ("integer", None), **_NEAR, "top_k": ("integer", 1000)},
+    "count_nearby_entities": {"global_id": ("integer", None), **_NEAR},
+    "find_nearby_entities_by_description": {"query_vector": ("array", None), "min_similarity": ("number", 0.7), **_NEAR, "top_k": ("integer", 1000)},
+    "list_multi_camera_entities": {},
+    "list_low_quality_caption_entities": {},
+    "list_human_captioned_entities": {},
+    "rank_entities_by_interaction_count": {**_NEAR, "top_k": ("integer", 10)},
 }
+SCHEMAS = {name: list(parameters) for name, parameters in TOOLS.items()}
+_PYTHON = {"integer": int, "number": (int, float), "string": str, "array": (list, tuple)}
+
+
+def tool_schemas() -> list[dict]:
+    """The tools as JSON schemas for clients that choose them by name: types, defaults, and which parameters must be there. None stands for must, ... for no default."""
+    out = []
+    for name, parameters in TOOLS.items():
+        said = (getattr(EventGraph, name).__doc__ or name.replace("_", " ")).strip()
+        own = {}
+        for p, (kind, default) in parameters.items():
+            own[p] = {"type": kind} | ({"items": {"type": "number"}} if kind == "array" else {}) | ({} if default in (None, ...) else {"default": default})
+        out.append({"type": "function", "function": {"name": name, "description": said, "parameters": {"type": "object", "properties": own, "required": [p for p, (_, d) in parameters.items() if d is None]}}})
+    return out
 
 
 @dataclass(frozen=True)
@@ -165,9 +182,37 @@ class EventGraph:
         best = n.orderBy(F.desc("interactions"), "target").limit(top_k)
         return self._captioned(best.select(F.col("target").alias("global_id"), F.col("interactions").alias("confirmed_interaction_count")))
 
+    def expected_answers(self, word: str, camera_id: str, until_sec: float, max_distance_m: float = 2.0, max_gap_sec: float = 1.0) -> DataFrame:
+        """(place, question, expected): seven questions to a chat about the graph, with the answers that the graph gives; ids in order, null where there are none.
+
+        Entities count from the least id. The lists of ids are texts that people read.
+        """
+        per = self.detections.groupBy("global_id").agg(F.array_join(F.array_sort(F.collect_set("camera")), ",").alias("cams"), F.countDistinct("camera").alias("n"))
+        many = F.col("n") > 1
+        listed = lambda c: F.when(F.count(c) > 0, F.array_join(F.array_sort(F.collect_set(c)), ","))
+        ids = lambda: F.when(F.count("global_id") > 0, F.array_join(F.transform(F.array_sort(F.collect_set("global_id")), lambda x: x.cast("string")), ","))
+        of = lambda place, question, df, expected: df.agg(expected.cast("string").alias("expected")).select(F.lit(place).alias("place"), F.lit(question).alias("question"), "expected")
+        near = self._pairs(max_distance_m, max_gap_sec, None).select("target", "global_id")
+        first = near.join(per.select(F.col("global_id").alias("target"), many.alias("many")), "target").groupBy("many").agg(F.min("target").alias("target")).orderBy(F.desc("many")).limit(1)
+        seen = self.find_entities_in_camera(camera_id, 0.0, until_sec)
+        return reduce(DataFrame.union, [
+            of(1, "entities on more than one camera", per, F.count(F.when(many, 1))),
+            of(2, "cameras of the first of them", per.where(many), F.min_by("cams", "global_id")),
+            of(3, "first entity on one camera alone", per.where(~many), F.min("global_id")),
+            of(4, "an entity that does not exist", per, F.max("global_id") + 1000),
+            of(5, "entities whose caption has the word", self.entities.where(F.contains("appearance_caption", F.lit(word))), ids()),
+            of(6, "entities on a camera in a window", seen, listed(F.lpad(F.col("global_id").cast("string"), 6, "0"))),
+            of(7, "entities near the first one that has any", near.join(F.broadcast(first.select("target")), "target", "left_semi"), ids()),
+        ])
+
     def call(self, name: str, **arguments: object) -> DataFrame:
         """The tool of that name; an unknown name or argument raises an error."""
-        if name not in SCHEMAS or not set(arguments) <= set(SCHEMAS[name]):
+        if name not in TOOLS or not set(arguments) <= set(TOOLS[name]):
             raise ValueError(f"no tool {name} with arguments {sorted(arguments)}")
+        for p, (kind, default) in TOOLS[name].items():
+            if p in arguments and (isinstance(arguments[p], bool) or not isinstance(arguments[p], _PYTHON[kind])):
+                raise ValueError(f"{name}: {p} must be of type {kind}")
+            if default is None and p not in arguments:
+                raise ValueError(f"{name}: {p} is missing")
         return getattr(self, name)(**arguments)
 

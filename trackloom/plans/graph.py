@@ -81,9 +81,9 @@ def find_nearby_entities(spark: SparkSession, d: str) -> DataFrame:
     return event_graph(spark, d).find_nearby_entities(None, NEAR)
 
 
-@query(f"""WITH {NEARBY}, k AS (SELECT mt.*, appearance_caption, row_number() OVER (PARTITION BY target, match_type ORDER BY distance_m, other) AS place FROM mt LEFT JOIN ent ON ent.global_id = mt.other) SELECT other AS global_id, distance_m, match_type FROM k WHERE place <= 1000 AND target = 8""")
+@query(f"""WITH {NEARBY}, k AS (SELECT mt.*, appearance_caption, row_number() OVER (PARTITION BY target, match_type ORDER BY distance_m, other) AS place FROM mt LEFT JOIN ent ON ent.global_id = mt.other) SELECT other AS global_id, distance_m, match_type FROM k WHERE place <= 1000 AND target = 7""")
 def nearby_of_one(spark: SparkSession, d: str) -> DataFrame:
-    return event_graph(spark, d).find_nearby_entities(8, NEAR).select("global_id", "distance_m", "match_type")
+    return event_graph(spark, d).find_nearby_entities(7, NEAR).select("global_id", "distance_m", "match_type")
 
 
 @query(f"""WITH {NEARBY}, n AS (SELECT target, count(*) AS n FROM m WHERE match_type = 'confirmed_proximity' GROUP BY 1)
@@ -182,3 +182,58 @@ def sighting_paths(spark: SparkSession, d: str) -> DataFrame:
     t = sightings.trajectories(detections(spark, d), GAP, FPS)
     step = lambda p: F.concat(p["frame"].cast("string"), F.lit(" "), F.rint(p["x"] * 100).cast("long").cast("string"))
     return t.select("global_id", "camera", "seg_idx", F.size("trajectory").cast("long").alias("n"), F.array_join(F.transform("trajectory", step), ";").alias("path"))
+
+
+def _flag(x: str) -> str:
+    return f"CASE WHEN {x} < 0.6 THEN ' [caption uncertain, agreement=' || {x} || ']' ELSE '' END"
+
+
+NEAR_LINE = f"'  - camera ' || camera || ', ' || time || ': ' || coalesce(appearance_caption, 'None') || {_flag('caption_agreement')} || ' (global_id ' || other || '), ' || distance_m || 'm away'"
+
+
+@query(f"""WITH {NEARBY}, k AS (SELECT mt.*, appearance_caption, caption_agreement, {_mmss('mid')} AS time FROM mt LEFT JOIN ent ON ent.global_id = mt.other WHERE match_type = 'confirmed_proximity' AND target = 5)
+SELECT CASE WHEN count(*) = 0 THEN 'No confirmed proximity matches found within the given distance/time thresholds.' ELSE 'Confirmed proximity matches (' || count(*) || '):' || chr(10) || string_agg({NEAR_LINE}, chr(10) ORDER BY distance_m, other) END AS text FROM k""")
+def proximity_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.proximity_report(event_graph(spark, d).find_nearby_entities(5, NEAR))
+
+
+@query(f"""WITH {RANKED} SELECT CASE WHEN count(*) = 0 THEN 'No entities had any confirmed proximity matches within the given thresholds.' ELSE 'Top ' || count(*) || ' entities by confirmed interaction count:' || chr(10) || string_agg('  - global_id ' || global_id || ': ' || n || ' confirmed interactions -- ' || coalesce(appearance_caption, 'None') || {_flag('caption_agreement')}, chr(10) ORDER BY n DESC, global_id) END AS text FROM r""")
+def ranking_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.ranking_report(event_graph(spark, d).rank_entities_by_interaction_count(NEAR))
+
+
+def _listed_sql(human: bool) -> str:
+    said = f"coalesce(list_has_any(string_split(lower(appearance_caption), ' '), {list(PERSONS)}), false)"
+    return f"""WITH {TIMED}, a AS (SELECT global_id, sum(num_detections) AS dets, string_agg('camera ' || camera || ' at ' || {_mmss('start_sec')}, '; ' ORDER BY start_frame, camera, seg_idx) AS seen, count(DISTINCT camera) AS num_cameras FROM st GROUP BY 1),
+l AS (SELECT a.global_id, caption_agreement, '  - global_id ' || a.global_id || ': ' || coalesce(appearance_caption, 'None') || ' [' || coalesce('agreement=' || caption_agreement, 'agreement unknown') || '], seen: ' || seen || ' (' || num_cameras || ' camera(s) total)' AS line
+FROM a LEFT JOIN ent ON ent.global_id = a.global_id WHERE dets >= {RELIABLE} AND {'' if human else 'NOT '}{said})"""
+
+
+@query(f"{_listed_sql(True)} SELECT count(*) || ' entities whose caption identifies them as a person:' || chr(10) || string_agg(line, chr(10) ORDER BY global_id) AS text FROM l")
+def human_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.human_report(event_graph(spark, d).list_human_captioned_entities())
+
+
+def _section(low: bool) -> str:
+    rule = "coalesce(caption_agreement < 0.6, true)" if low else "caption_agreement >= 0.6"
+    name = "'Low-confidence (' || count(*) FILTER (WHERE {0}) || ' of ' || count(*) || ', agreement below 0.6 or unknown):'" if low else "'Higher-confidence (' || count(*) FILTER (WHERE {0}) || ' of ' || count(*) || ', agreement at or above 0.6):'"
+    return f"chr(10) || {name.format(rule)} || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY global_id) FILTER (WHERE {rule}), '  (none)')"
+
+
+@query(f"{_listed_sql(False)} SELECT count(*) || ' entities whose caption names no person: most are people whose caption failed, so take none for an object.' || chr(10) || {_section(True)} || chr(10) || {_section(False)} AS text FROM l")
+def low_quality_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.low_quality_report(event_graph(spark, d).list_low_quality_caption_entities())
+
+
+@query(f"""WITH {NEARBY}{SIGHT[len(SEG):]}, st AS (SELECT s.*, {_sec('start_frame')} AS start_sec, {_sec('end_frame')} AS end_sec FROM s), n AS (SELECT global_id, count(DISTINCT camera) AS n, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cams FROM s GROUP BY 1),
+f AS (SELECT min(target) AS target FROM m WHERE target IN (SELECT global_id FROM n WHERE n > 1)), a AS (SELECT min(target) AS target FROM m)
+SELECT 1 AS place, 'entities on more than one camera' AS question, CAST(count(*) FILTER (WHERE n > 1) AS VARCHAR) AS expected FROM n
+UNION ALL SELECT 2, 'cameras of the first of them', arg_min(cams, global_id) FILTER (WHERE n > 1) FROM n
+UNION ALL SELECT 3, 'first entity on one camera alone', CAST(min(global_id) FILTER (WHERE n = 1) AS VARCHAR) FROM n
+UNION ALL SELECT 4, 'an entity that does not exist', CAST(max(global_id) + 1000 AS VARCHAR) FROM n
+UNION ALL SELECT 5, 'entities whose caption has the word', string_agg(CAST(global_id AS VARCHAR), ',' ORDER BY global_id) FROM ent WHERE contains(appearance_caption, 'ring')
+UNION ALL SELECT 6, 'entities on a camera in a window', string_agg(DISTINCT lpad(CAST(global_id AS VARCHAR), 6, '0'), ',' ORDER BY lpad(CAST(global_id AS VARCHAR), 6, '0')) FROM st WHERE camera = '2' AND end_sec >= 0 AND start_sec <= 60
+UNION ALL SELECT 7, 'entities near the first one that has any', string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) FROM m WHERE target = (SELECT coalesce(f.target, a.target) FROM f, a)""")
+def expected_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What a chat about the graph must answer to seven questions, computed from the graph: (place, question, expected)."""
+    return event_graph(spark, d).expected_answers("ring", "2", 60.0, NEAR)
