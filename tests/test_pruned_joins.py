@@ -70,3 +70,22 @@ def test_cooccurrence_with_one_long_sighting(spark):
     levels = df.select(sightings.level_of(F.col("end_frame") - F.col("start_frame") + 51).alias("l")).distinct().count()
     assert levels <= 4
     assert sightings.cooccurrence(df.limit(0), 50).count() == 0
+
+
+def test_nearest_of_others(spark):
+    """Against all pairs: a dense slot with one far point of another camera, a slot of one camera, equal places, one point alone."""
+    from trackloom.operators.sampling import nearest_of_others
+
+    rng = np.random.default_rng(4)
+    rows = [("a", i, int(rng.integers(0, 3)), *map(float, rng.normal(size=2))) for i in range(150)]
+    rows += [("b", i, 1, float(x), float(x)) for i, x in enumerate(rng.uniform(0, 1, 120))] + [("b", 999, 2, 5000.0, -7.0)]
+    rows += [("c", i, 1, 0.0, 0.0) for i in range(5)] + [("d", 1, 1, 2.0, 2.0), ("d", 2, 2, 2.0, 2.0), ("e", 1, 1, None, 2.0), ("e", 2, 2, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "slot string, id long, camera int, wx double, wy double")
+    want = {}
+    for s, i, c, x, y in rows:
+        d = [np.hypot(x - p, y - q) for t, _, k, p, q in rows if t == s and k != c and p is not None] if x is not None else []
+        if d:
+            want[s, i] = min(d)
+    got = {(r.slot, r.id): r.d for r in nearest_of_others(df, ["slot"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert nearest_of_others(df.limit(0), ["slot"]).count() == 0

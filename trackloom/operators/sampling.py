@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.expressions import distance
+from trackloom.operators.lineage import stored
 
 
 def nearest_boxes(targets: DataFrame, boxes: DataFrame, reach: int = 15) -> DataFrame:
@@ -43,10 +46,36 @@ def clip_windows(segments: DataFrame, clips: int, length: int) -> DataFrame:
     return rows.where(inside).groupBy("global_id", "camera", "seg_idx").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
+def nearest_of_others(points: DataFrame, keys: list[str], group: str = "camera") -> DataFrame:
+    """(keys, id, d): for points (keys, id, group, wx, wy) the distance to the nearest point of another group with the same keys; points without any are left out.
+
+    Grids that coarsen: a point looks into the three by three cells around its own, and is done when what it found is no
+    farther than a cell is wide, as nothing outside can be nearer. The others look again in cells twice as wide, until
+    one holds all. The first cells hold about one point each. Groups are part of the key, so points of one group never
+    meet. Repeated ids of equal keys count as one point each; null positions are left out.
+    """
+    p = points.select(*keys, "id", F.col(group).alias("_g"), "wx", "wy").where("wx IS NOT NULL AND wy IS NOT NULL")
+    extent = F.greatest(F.max("wx") - F.min("wx"), F.max("wy") - F.min("wy"))
+    size = p.groupBy(*keys).agg(extent.alias("_extent"), F.min("wx").alias("_x0"), F.min("wy").alias("_y0"), F.count("*").alias("_n"), F.collect_set("_g").alias("_groups"))
+    size = size.where(F.size("_groups") > 1).withColumn("_width", F.greatest(F.col("_extent") / F.sqrt("_n"), F.lit(1e-9)))
+    size = stored(size)
+    left = stored(p.join(size.drop("_n", "_groups"), keys).withColumn("_row", F.monotonically_increasing_id()))
+    others = size.select(*keys, F.explode("_groups").alias("_other"))
+    rest, level, done = left, 0, []
+    while not rest.isEmpty():
+        cell = lambda x, k=level: F.floor((F.col(f"w{x}") - F.col(f"_{x}0")) / (F.col("_width") * 2.0**k))
+        right = left.select(*keys, F.col("_g").alias("_other"), cell("x").alias("_cx"), cell("y").alias("_cy"), F.col("wx").alias("_ox"), F.col("wy").alias("_oy"))
+        around = rest.join(others, keys).where(F.col("_g") != F.col("_other"))
+        around = around.withColumn("_cx", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn("_cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
+        found = around.join(right, [*keys, "_other", "_cx", "_cy"]).groupBy("_row").agg(F.min(distance(F.col("wx"), F.col("wy"), F.col("_ox"), F.col("_oy"))).alias("d"))
+        looked = stored(rest.join(found, "_row", "left"))
+        wide = F.col("_width") * 2.0**level
+        settled = F.col("d").isNotNull() & ((F.col("d") <= wide) | (wide >= F.col("_extent")))
+        done.append(looked.where(settled).select(*keys, "id", "d"))
+        rest, level = looked.where(~settled).drop("d"), level + 1
+    return reduce(DataFrame.unionByName, done) if done else p.select(*keys, "id", F.lit(0.0).alias("d")).limit(0)
+
+
 def cross_camera_agreement(points: DataFrame, case: list[str], slot: list[str]) -> DataFrame:
     """(case, points, mean_nearest): the mean distance of points (id, camera, wx, wy) to the nearest one of another camera in their slot."""
-    keys = [*case, *slot]
-    other = points.select(*keys, F.col("camera").alias("_camera"), F.col("wx").alias("_x"), F.col("wy").alias("_y"))
-    apart = distance(F.col("wx"), F.col("wy"), F.col("_x"), F.col("_y"))
-    near = points.join(other, keys).where(F.col("camera") != F.col("_camera")).groupBy(*keys, "id").agg(F.min(apart).alias("d"))
-    return near.groupBy(*case).agg(F.count("*").alias("points"), F.avg("d").alias("mean_nearest"))
+    return nearest_of_others(points, [*case, *slot]).groupBy(*case).agg(F.count("*").alias("points"), F.avg("d").alias("mean_nearest"))
