@@ -133,7 +133,9 @@ def in_groups(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "gt", "trk").mapInPandas(run, rows.schema)
+    # by number: the work of a group grows faster than its bytes, by which adaptive execution would merge tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "gt", "trk").mapInPandas(run, rows.schema)
 
 
 def _node(keys: list[str], side: str) -> Column:

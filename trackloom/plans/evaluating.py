@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.catalog import CLEAR_COUNTS, CLEAR_SHOWN, _clear, _eval, _hota, _rounded, query
+from trackloom.catalog import CLEAR_COUNTS, CLEAR_RATES, CLEAR_SHOWN, _clear, _eval, _hota, _rounded, query
 from trackloom.operators import evaluation as E
 from trackloom.operators.lineage import checkpointed
 from trackloom.sources import datasets
@@ -74,4 +74,4 @@ def hota_of_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_clear(CLASSED)} SELECT {SPLIT}, {CLEAR_COUNTS}, {CLEAR_SHOWN} FROM c")
 def clear_of_classes(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_of_classes(spark, d)["clear"].where(F.col("scene") != COMBINED), E.CLEAR_RATES)
+    return _rounded(_of_classes(spark, d)["clear"].where(F.col("scene") != COMBINED), CLEAR_RATES)
