@@ -7,9 +7,10 @@ sum and T(h) the number of the quantised counts of a context h, and a discount D
 
     p(w | h) = (max(q(h, w) - D, 0) + D T(h) p1(w)) / Q(h),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 
-and p1(w) where the context was never seen. The filter and the word table grow with the corpus. Shards are ranges of the
-filter's segments and of the words' hashes, each under `shard_bytes`, broadcast one after the other; more than one shard
-costs one more pass over the texts each. Where a pair's bits lie does not depend on the shards, so scores do not either.
+and p1(w) where the context was never seen. The filter and the word table grow with the corpus, in parts of some million
+tokens: pairs by their hash, words by ranges of theirs. Shards are ranges of parts, each about `shard_bytes` at most. All
+are broadcast and lie on the workers' disks; a task asks them one after the other about two million tokens at a time, so it
+holds one shard, and the texts are read once. Where a pair's bits lie does not depend on the shards, so scores do not either.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import small_batches, stored
@@ -29,8 +30,9 @@ BASE_OF_LEVELS = 1.5
 SEGMENT_BITS = 20
 BITS_PER_ENTRY = 12
 DISCOUNT = 0.75
-#: A table row takes 32 bytes; what one broadcast holds at most, about.
-SHARD_BYTES = 192 << 20
+#: What one broadcast holds at most, about.
+SHARD_BYTES = 96 << 20
+#: Tokens that are counted or scored at once.
 FLUSH = 2_000_000
 
 
@@ -63,65 +65,96 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, np.concatenate([[U(END)], out[:-1]]) if len(out) else out, at
 
 
-def _counts(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, h, w, c): partial counts of tokens (part -1, h 0) and of neighbours (part: where the pair's filter bits lie)."""
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the fewest bytes each that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes() if len(x) else b""
+
+
+def _unpacked(held: list[bytes], keys: list[bytes]) -> np.ndarray:
+    """What _packed made of as many numbers as there are eight-byte keys beside them."""
+    return np.concatenate([np.frombuffer(x, f"u{8 * len(x) // len(k)}").astype(np.int64) for x, k in zip(held, keys, strict=True)])
+
+
+def _keys(held: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(held), U)
+
+
+def _by_part(part: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
+    """(part, its rows of each column) of the parts that have any."""
+    order = np.argsort(part, kind="stable")
+    found, at = np.unique(part[order], return_index=True)
+    cols = [c[order] for c in cols]
+    for p, low, high in zip(found.tolist(), at, np.append(at[1:], len(part)), strict=True):
+        yield p, *[c[low:high] for c in cols]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ws, hs, size = [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            w, h = np.concatenate(ws), np.concatenate(hs)
-            word, c = np.unique(w, return_counts=True)
-            yield batch(np.full(len(word), -1), np.zeros(len(word), U), word, c)
-            key = pair_key(h, w)
-            key, first, c = np.unique(key, return_index=True, return_counts=True)
-            yield batch((mix(key) % U(parts)).view(np.int64), h[first], w[first], c)
+def _word_part(w: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of the words are ranges of their hashes, so parts one after the other are in order."""
+    return ((w >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def _pair_part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(key) % U(parts)).view(np.int64)
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_pylist(rows, pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]))
+
+
+COUNTS = "part int, h binary, key binary, c binary"
+
+
+def _counts(docs: DataFrame, parts: int) -> DataFrame:
+    """Partial counts, what a task counted of a part in one row: pairs (context h, key) in the parts from 0, words (key) in those from `parts` on."""
 
-        def batch(part: np.ndarray, h: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c.astype(np.int32))], ["part", "h", "w", "c"])
+    def counted(w: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        word, c = np.unique(w, return_counts=True)
+        rows = [{"part": parts + p, "key": x.tobytes(), "c": _packed(n)} for p, x, n in _by_part(_word_part(word, parts), word, c)]
+        key, first, c = np.unique(pair_key(h, w), return_index=True, return_counts=True)
+        rows += [{"part": p, "h": x.tobytes(), "key": k.tobytes(), "c": _packed(n)} for p, x, k, n in _by_part(_pair_part(key, parts), h[first], key, c)]
+        return _table(COUNTS, rows).combine_chunks().to_batches()[0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ws, hs, size = [], [], 0
         for b in batches:
             w, h, _ = tokens(b.column("t").to_pylist())
             ws.append(w)
             hs.append(h)
             size += len(w)
             if size >= FLUSH:
-                yield from flush()
+                yield counted(np.concatenate(ws), np.concatenate(hs))
                 ws, hs, size = [], [], 0
         if size:
-            yield from flush()
+            yield counted(np.concatenate(ws), np.concatenate(hs))
 
-    return docs.select("t").mapInArrow(run, "part int, h long, w long, c int")
+    return docs.select("t").mapInArrow(run, COUNTS)
 
 
 class Shard:
-    """A part of the model: words with count, context sum and number of followers, and the filter's segments from `first` on; `at`: where each part's begin."""
+    """Some parts of the model: words in order with count, context sum and number of followers, and the filter's segments of the pair parts from `first` on; `at`: where each part's begin."""
 
-    def __init__(self, words: np.ndarray, known: np.ndarray, segments: np.ndarray, first: int, at: np.ndarray, parts: int) -> None:
-        order = np.argsort(words)
-        self.words, self.known, self.segments, self.first, self.at, self.parts = words[order], known[:, order], segments, first, at, parts
+    def __init__(self, words: np.ndarray, known: list[np.ndarray], segments: np.ndarray, first: int, at: np.ndarray, parts: int) -> None:
+        self.words, self.known, self.segments, self.first, self.at, self.parts = words, known, segments, first, at, parts
 
-    def words_of(self, w: np.ndarray) -> np.ndarray:
+    def words_of(self, word: np.ndarray) -> np.ndarray:
         """(count, context sum, followers) of each word, in three rows; 0 where this shard has none."""
         if not len(self.words):
-            return np.zeros((3, len(w)))
-        word, back = np.unique(w, return_inverse=True)
+            return np.zeros((3, len(word)))
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        return np.where(self.words[at] == word, self.known[:, at], 0.0)[:, back]
+        c, total, types = (x[at].astype(float) for x in self.known)
+        return np.where(self.words[at] == word, np.stack([c, total / 2, types]), 0.0)
 
     def pairs_of(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The level of each pair, by probes until one is missing; 0 where the pair's segment is in another shard."""
-        level = np.zeros(len(w), np.int64)
-        if not len(self.segments):
-            return level
+        """The level of each pair, by probes until one is missing; 0 where the pair's part is in another shard."""
+        level = np.zeros(len(w), np.int16)
         key = pair_key(h, w)
-        part = (mix(key) % U(self.parts)).view(np.int64)
-        there = np.minimum(part, len(self.at) - 2)  # parts without any pair may be missing at the end
-        size = np.where(part == there, np.diff(self.at)[there], 0)
-        seg = self.at[there] + (mix(key ^ part.view(U)) % np.maximum(size, 1).view(U)).view(np.int64) - self.first
-        seg[size == 0] = -1
-        live = np.flatnonzero((seg >= 0) & (seg < len(self.segments)))
-        key, seg = key[live], seg[live]
+        part = _pair_part(key, self.parts)
+        size = np.diff(self.at)
+        live = np.flatnonzero((part >= self.first) & (part < self.first + len(size)))
+        live = live[size[part[live] - self.first] > 0]
+        key, part = key[live], part[live]
+        seg = self.at[part - self.first] + _segment(key, part, size[part - self.first])
         j = 1
         while len(live):
             hit = np.ones(len(live), bool)
@@ -133,46 +166,60 @@ class Shard:
         return level
 
 
-PARTS = "part int, seg int, bits binary, w long, c long, sum double, types long"
+def _segment(key: np.ndarray, part: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
+    """Which of a part's segments holds a pair."""
+    return (mix(key ^ np.asarray(part).astype(U)) % np.asarray(size).astype(U)).view(np.int64)
 
 
-def _reduced(rows: DataFrame) -> DataFrame:
-    """What the partial counts come to, each part in one task, whose pairs are bounded as there are as many parts as they need.
+REDUCED = "part int, seg int, bits binary, key binary, c binary, sum binary, types binary"
+KNOWN = "part int, key binary, c binary, sum binary, types binary, n long, v long"
 
-    Rows (part, seg, bits): the segments of a part's filter; rows (w, c, sum, types): counts of words, and of what a part
-    knows of a context w its sum of quantised counts and number of pairs.
-    """
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-    names = [f.split()[0] for f in PARTS.split(", ")]
 
-    def table(n: int, **cols: np.ndarray | list) -> pa.Table:
-        return pa.table({x: pa.array(cols[x], t) if x in cols else pa.nulls(n, t) for x, t in zip(names, kinds, strict=True)})
+def _reduced(rows: DataFrame, parts: int) -> DataFrame:
+    """What the partial counts come to, each part in one task, whose pairs are bounded as there are as many parts as they need.
 
-    def totals(by: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, first, back = np.unique(by, return_index=True, return_inverse=True)
-        return key, first, np.bincount(back, value)
+    Of a pair part: its filter's segments (part, seg, bits), and twice the sum of quantised counts and the number of pairs
+    of its contexts (key, sum, types), a row for each word part. Of a word part: counts of words (key, c).
+    """
 
     def reduce(t: pa.Table) -> pa.Table:
-        h, w, c = (t.column(x).to_numpy() for x in ("h", "w", "c"))
-        part = t.column("part")[0].as_py()
-        key, first, c = totals(pair_key(h.view(U), w.view(U)), c)
-        level = level_of(np.rint(c))
+        part, held, counts = t.column("part")[0].as_py(), t.column("key").to_pylist(), t.column("c").to_pylist()
+        key, first, back = np.unique(_keys(held), return_index=True, return_inverse=True)
+        c = np.rint(np.bincount(back, _unpacked(counts, held))).astype(np.int64)
+        if part >= parts:
+            return _table(REDUCED, [{"part": part - parts, "key": key.tobytes(), "c": _packed(c)}])
+        level = level_of(c)
         n = (int(level.sum()) * BITS_PER_ENTRY >> SEGMENT_BITS) + 1
-        seg = (mix(key ^ U(part)) % U(n)).view(np.int64)
+        seg = _segment(key, part, n)
         bits = np.zeros((n, 1 << SEGMENT_BITS), bool)
         for j in range(1, int(level.max()) + 1):
             some = level >= j
             for where in _bits(key[some], j):
                 bits[seg[some], where] = True
-        context, _, total = totals(h[first], count_of(level))
-        types = np.bincount(np.searchsorted(context, h[first]))
-        packed = [np.packbits(x, bitorder="little").tobytes() for x in bits]
-        return pa.concat_tables([table(n, part=np.full(n, part), seg=np.arange(n), bits=packed), table(len(context), w=context, sum=total, types=types)])
+        out = [{"part": part, "seg": i, "bits": np.packbits(x, bitorder="little").tobytes()} for i, x in enumerate(bits)]
+        context, back, types = np.unique(_keys(t.column("h").to_pylist())[first], return_inverse=True, return_counts=True)
+        total = np.rint(np.bincount(back, 2 * count_of(level))).astype(np.int64)
+        out += [{"part": p, "key": k.tobytes(), "sum": _packed(s), "types": _packed(y)} for p, k, s, y in _by_part(_word_part(context, parts), context, total, types)]
+        return _table(REDUCED, out)
+
+    return rows.groupBy("part").applyInArrow(reduce, REDUCED)
+
 
-    pairs = rows.where("part >= 0").groupBy("part").applyInArrow(reduce, PARTS)
-    empty = [F.lit(None).cast(k).alias(n) for n, k in (("part", "int"), ("seg", "int"), ("bits", "binary"))]
-    words = rows.where("part < 0").groupBy("w").agg(F.sum("c").alias("c"))
-    return pairs.unionByName(words.select(*empty, "w", "c", F.lit(None).cast("double").alias("sum"), F.lit(None).cast("long").alias("types")))
+def _known(found: DataFrame) -> DataFrame:
+    """One row a word part: its words in order, with count, twice the sum of quantised counts and number of pairs; n tokens, v words."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        word = np.unique(_keys([r["key"] for r in rows]))
+        total = {x: np.zeros(len(word), np.int64) for x in ("c", "sum", "types")}
+        for r in rows:
+            at = np.searchsorted(word, _keys([r["key"]]))
+            for x, have in total.items():
+                if r[x] is not None:
+                    have[at] += _unpacked([r[x]], [r["key"]])
+        return _table(KNOWN, [{"part": rows[0]["part"], "key": word.tobytes(), "n": int(total["c"].sum()), "v": len(word)} | {x: _packed(y) for x, y in total.items()}])
+
+    return found.where("key IS NOT NULL").drop("seg", "bits").groupBy("part").applyInArrow(merge, KNOWN)
 
 
 #: Tokens of the training texts for each part of the filter.
@@ -180,36 +227,35 @@ PART_TOKENS = 1 << 20
 
 
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES):
-    """(N, V, number of shards, function from a shard's number to the Shard) of the model of docs (column t: binary)."""
+    """(N, V, number of shards, function from a shard's number to the Shard) of the model of docs (column t: binary).
+
+    A shard is a range of parts; the driver holds one at a time, and no list of the parts.
+    """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("t") + 1), F.lit(0))).first()[0]
-    n_parts = max(1, size // (6 * PART_TOKENS))  # a word and its blank take about six bytes
-    found = stored(_reduced(_counts(docs, n_parts)))
-    known = found.where("w IS NOT NULL").groupBy("w").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c", "sum", "types")])
-    n, v = found.where("c IS NOT NULL").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sizes = found.where("bits IS NOT NULL").groupBy("part").agg(F.count("*").alias("n")).collect()  # a row a part
-    held = np.zeros(max((r.part for r in sizes), default=-1) + 2, np.int64)
-    for r in sizes:
-        held[r.part + 1] = r.n
-    at = np.cumsum(held)
-    total = int(at[-1])
-    parts = max(1, -(-(32 * v + (total << SEGMENT_BITS - 3)) // shard_bytes))
-    if parts > 1:  # each shard reads its own words only: files are in ranges of words
-        known = stored(known.repartitionByRange("w"))
-
-    def shard(part: int) -> Shard:
-        low, high = ((part * 2**64 // parts) - 2**63, ((part + 1) * 2**64 // parts) - 2**63 - 1)
-        rows = (known.where(F.col("w").between(low, high)) if parts > 1 else known).toArrow()
-        first, last = part * total // parts, (part + 1) * total // parts
-        bits = np.zeros((last - first, 1 << SEGMENT_BITS - 3), np.uint8)
-        if last > first:
-            some = (int(np.searchsorted(at, first, "right")) - 1, int(np.searchsorted(at, last - 1, "right")) - 1)
-            for r in found.where(F.col("bits").isNotNull() & F.col("part").between(*some)).select("part", "seg", "bits").toLocalIterator():
-                if first <= (i := int(at[r.part]) + r.seg) < last:
-                    bits[i - first] = np.frombuffer(r.bits, np.uint8)
-        table = np.stack([rows.column(x).to_numpy().astype(float) for x in ("c", "sum", "types")])
-        return Shard(rows.column("w").to_numpy().view(U), table, bits, first, at, n_parts)
-
-    return n, v, parts, shard
+    parts = max(1, size // (6 * PART_TOKENS))  # a word and its blank take about six bytes
+    found = stored(_reduced(_counts(docs, parts), parts))
+    known = stored(_known(found))
+    table = sum((F.octet_length(x) for x in ("key", "c", "sum", "types")), F.lit(0)).cast("long")
+    n, v, held = known.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", table)]).first()
+    held += found.where("bits IS NOT NULL").count() << SEGMENT_BITS - 3
+    shards = min(parts, max(1, -(-held // shard_bytes)))
+
+    def shard(i: int) -> Shard:
+        first, last = i * parts // shards, (i + 1) * parts // shards
+        here = F.col("part").between(first, last - 1)
+        rows = known.where(here).sort("part").drop("n", "v").toArrow()
+        keys = rows.column("key").to_pylist()
+        cols = [_unpacked(rows.column(x).to_pylist(), keys) if keys else np.zeros(0, np.int64) for x in ("c", "sum", "types")]
+        cols = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in cols]
+        bits = found.where(here & F.col("bits").isNotNull()).select("part", "seg", "bits").toArrow()
+        part, seg = bits.column("part").to_numpy(), bits.column("seg").to_numpy()
+        at = np.append(0, np.cumsum(np.bincount(part - first, minlength=last - first))).astype(np.int64)
+        segments = np.zeros((len(part), 1 << SEGMENT_BITS - 3), np.uint8)
+        for to, x in zip((at[part - first] + seg).tolist(), bits.column("bits"), strict=True):
+            segments[to] = np.frombuffer(x.as_buffer(), np.uint8)
+        return Shard(_keys(keys), cols, segments, first, at, parts)
+
+    return n, v, shards, shard
 
 
 def _score(at: np.ndarray, known: np.ndarray, level: np.ndarray, n: int, v: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,6 +268,12 @@ def _score(at: np.ndarray, known: np.ndarray, level: np.ndarray, n: int, v: int,
     return of((c > 0).astype(np.int64)), of(np.log10(p1)), of(np.log10(p))
 
 
+def _opened(held, shards: int) -> Shard:
+    """A worker keeps the only shard; of several it reads one after the other from its disk and keeps none."""
+    path = getattr(held, "_path", None)
+    return held.value if shards == 1 or path is None else held.load_from_path(path)
+
+
 def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -232,52 +284,39 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), (~training).alias("held_out"), F.col(text_col).cast("binary").alias("t"))
-    n, v, parts, shard = train(source.where("NOT held_out"), shard_bytes)
+    n, v, shards, shard = train(source.where("NOT held_out"), shard_bytes)
+    held = []
+    for i in range(shards):
+        held.append(spark.sparkContext.broadcast(shard(i)))
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-    def out(b: pa.RecordBatch, at, known, level, end) -> pa.RecordBatch:
-        n_known, base, score = _score(at, known, level, n, v, end)
-        return pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(n_known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))], names)
-
-    schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    if parts == 1:
-        held = spark.sparkContext.broadcast(shard(0))
-
-        def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = held.value
-            end = model.words_of(np.array([END], U))
-            for b in batches:
-                w, h, at = tokens(b.column("t").to_pylist())
-                yield out(b, at, model.words_of(w), model.pairs_of(h, w), end)
-
-        scored = source.mapInArrow(direct, schema)
-    else:
-        # each pass adds what one shard knows to two arrays by token; only one shard is broadcast at a time
-        state, end = source.withColumns({x: F.lit(None).cast("binary") for x in ("known", "level")}), np.zeros((3, 1))
-        for part in range(parts):
-            model = shard(part)
-            end = end + model.words_of(np.array([END], U))
-            held = spark.sparkContext.broadcast(model)
+    def block(rows: list[pa.RecordBatch], ws: list[np.ndarray], hs: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        w, h, at = np.concatenate(ws), np.concatenate(hs), np.append(0, np.cumsum(np.concatenate(sizes)))
+        word, back = np.unique(w, return_inverse=True)
+        known, level = np.zeros((3, len(word))), np.zeros(len(w), np.int16)
+        for b in held:
+            model = _opened(b, shards)
+            known += model.words_of(word)
+            level += model.pairs_of(h, w)
             del model
+        end = known[:, np.searchsorted(word, U(END))]
+        n_known, base, score = _score(at, known[:, back], level.astype(np.int64), n, v, end)
+        ids = [pa.concat_arrays([r.column(x) for r in rows]) for x in ("id", "held_out")]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(at)), pa.array(n_known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))], names)
 
-            def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    w, h, at = tokens(b.column("t").to_pylist())
-                    cols = []
-                    for name, new in (("known", held.value.words_of(w).T), ("level", held.value.pairs_of(h, w).astype(np.int16))):
-                        old = b.column(name).to_pylist()
-                        sums = [new[x:y] + (np.frombuffer(o, new.dtype).reshape(y - x, *new.shape[1:]) if o is not None else 0) for x, y, o in zip(at[:-1], at[1:], old, strict=True)]
-                        cols.append(pa.array([np.ascontiguousarray(x).tobytes() for x in sums], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), b.column("t"), *cols], b.schema.names)
-
-            state = stored(state.mapInArrow(add, state.schema))
-            held.unpersist(blocking=False)
-
-        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                known, level = (np.frombuffer(b"".join(b.column(x).to_pylist()), k) for x, k in (("known", np.float64), ("level", np.int16)))
-                at = np.append(0, np.cumsum([len(x) // 2 for x in b.column("level").to_pylist()]))
-                yield out(b, at, known.reshape(-1, 3).T, level.astype(np.int64), end)
-
-        scored = state.mapInArrow(finish, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: tuple[list, ...] = ([], [], [], [])
+        for b in batches:
+            if not len(b):
+                continue
+            w, h, at = tokens(b.column("t").to_pylist())
+            for to, x in zip(got, (b.select(["id", "held_out"]), w, h, np.diff(at)), strict=True):
+                to.append(x)
+            if sum(map(len, got[1])) >= FLUSH:
+                yield block(*got)
+                got = ([], [], [], [])
+        if got[0]:
+            yield block(*got)
+
+    scored = source.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
