@@ -9,7 +9,7 @@ sum and T(h) the number of the quantised counts of a context h, and a discount D
 
 and p1(w) where the context was never seen. The filter and the word table grow with the corpus, in parts of some million
 tokens: pairs by their hash, words by ranges of theirs. Shards are ranges of parts, each about `shard_bytes` at most. All
-are broadcast and lie on the workers' disks; a task asks them one after the other about two million tokens at a time, so it
+are broadcast and lie on the workers' disks; a task asks them one after the other about a million tokens at a time, so it
 holds one shard, and the texts are read once. Where a pair's bits lie does not depend on the shards, so scores do not either.
 """
 
@@ -31,9 +31,9 @@ SEGMENT_BITS = 20
 BITS_PER_ENTRY = 12
 DISCOUNT = 0.75
 #: What one broadcast holds at most, about.
-SHARD_BYTES = 96 << 20
-#: Tokens that are counted or scored at once.
-FLUSH = 2_000_000
+SHARD_BYTES = 64 << 20
+#: Tokens that are counted at once, and scored at once.
+FLUSH, BLOCK = 2_000_000, 1_000_000
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -312,7 +312,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
             w, h, at = tokens(b.column("t").to_pylist())
             for to, x in zip(got, (b.select(["id", "held_out"]), w, h, np.diff(at)), strict=True):
                 to.append(x)
-            if sum(map(len, got[1])) >= FLUSH:
+            if sum(map(len, got[1])) >= BLOCK:
                 yield block(*got)
                 got = ([], [], [], [])
         if got[0]:
