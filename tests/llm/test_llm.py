@@ -371,3 +371,32 @@ def test_personal_unknown_kind(spark):
     rows += [(200 + i, f"see page number {w} of it") for i, w in enumerate(("7", "12", "133", "9"))]
     got = {r.doc_id: [s.kind for s in r.spans] for r in personal.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[100 + i] == ["context"] for i in range(5)) and not any(got[200 + i] for i in range(4))
+
+
+def test_personal_serial_numbers(spark):
+    """Numbers of orders, stamps and numbers of books share their beginnings: no spans beside card numbers, while unknown kinds that vary are found."""
+    rows = [(1, "my card number 4111 1111 1111 1111 expires"), (2, "my card number 5500 0000 0000 0004 expires")]
+    rows += [(10 + i, f"the order number 98765432100{i:02d}1 shipped today") for i in range(20)]
+    rows += [(50 + i, f"a nightly build stamp 2024{i + 1:02d}15{i:02d}3000 passed again") for i in range(6)]
+    rows += [(70 + i, f"see the isbn 97803064061{i:02d} for more") for i in range(8)]
+    got = personal.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    luhn = lambda t: sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, t[::-1]))) % 10 == 0
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        number = re.search("[0-9][0-9 ]+[0-9]", text)[0]
+        assert [(s.kind, s.value) for s in r.spans] == ([("card", number)] if luhn(number.replace(" ", "")) else []), text
+
+
+def test_personal_varied_brute(spark):
+    """Which patterns vary enough, against a count of all pairs."""
+    edges = [(f"{b}{i}", p, s) for p in range(6) for i in range(3 + p) for b, s in [(("same" if i % (p + 1) else f"x{i}yz"), i % 4 == p % 4)]]
+    got = {tuple(r) for r in personal._varied(spark.createDataFrame(edges, "value string, pattern long, seed boolean"), 0.8).collect()}
+    want = set()
+    for p in range(6):
+        own = [(v, s) for v, q, s in edges if q == p]
+        unknown = [v[:4] for v, s in own if not s]
+        pairs = [(a, b) for i, a in enumerate(unknown) for j, b in enumerate(unknown) if i != j]
+        alike = sum(a == b for a, b in pairs)
+        if not pairs or alike <= 0.2 * len(pairs) or len(own) - len(unknown) >= 0.8 * len(own):
+            want.add((p, len(own)))
+    assert got == want and 0 < len(want) < 6

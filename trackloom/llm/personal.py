@@ -5,7 +5,8 @@ an instance; the words around it make lexical patterns, "the two words before" a
 An instance of eight digits or more also has a general pattern, its number of digits to the power of two: that is where
 identifiers of unknown kinds, in contexts that no seed stands in, meet the seeds. Patterns and instances are a bipartite
 graph. A lexical pattern takes part when enough distinct instances stand in its slot and ordinary words hardly do: the
-instances' share of the distinct fillers of the slot in the corpus must reach the confidence asked for. Its confidence is
+instances' share of the distinct fillers of the slot in the corpus must reach the confidence asked for, and the unknown ones among them
+must not begin alike, as the numbers of orders and the stamps of time do. Its confidence is
 the sum of its instances' over its distinct fillers, so copies of documents change nothing; a general pattern's is the
 share of seeds, and of what lexical patterns found, among its instances. An instance's confidence is 1 for seeds, else the
 noisy-or of its patterns. A few rounds spread confidence from seeds over patterns to new instances and on; instances in a
@@ -42,6 +43,8 @@ SIDE = 64
 #: Digits that give an instance a general pattern, and the parts of the corpus that rule patterns out before the whole is read.
 DIGITS, PARTS = 8, (256, 16)
 BLOCK = 64
+#: Characters that make a beginning, and the share of pairs of a slot's unknown instances that may begin alike.
+BEGINNING, ALIKE = 4, 0.2
 
 
 def _at(arr: Column, i: Column) -> Column:
@@ -179,13 +182,29 @@ def _fillers(src: DataFrame, counted: DataFrame, confidence: float) -> DataFrame
     return counted.select("pattern", "fillers") if "fillers" in counted.columns else counted.select("pattern", F.col("n").alias("fillers"))
 
 
+def _varied(edges: DataFrame, confidence: float) -> DataFrame:
+    """(pattern, n instances) of the patterns of edges (value, pattern, seed) whose unknown instances are no serial numbers.
+
+    Numbers of orders, stamps of time and numbers of books in one slot begin alike; identifiers of persons do not. So of
+    all pairs of a pattern's unknown instances at most the share ALIKE may have the same beginning, unless seeds make up
+    the share `confidence` of its instances. Counted by beginning first, so a hot pattern is added up before it moves.
+    """
+    begun = edges.groupBy("pattern", "seed", F.substring("value", 1, BEGINNING).alias("begin")).agg(F.count("*").cast("double").alias("c"))
+    unknown = F.when(~F.col("seed"), F.col("c")).otherwise(0.0)
+    of = begun.groupBy("pattern").agg(F.sum("c").cast("long").alias("n"), F.sum(unknown).alias("unknown"), F.sum(F.greatest(F.lit(0.0), unknown * (unknown - 1))).alias("pairs"))
+    varied = F.col("pairs") <= ALIKE * F.col("unknown") * (F.col("unknown") - 1)
+    return of.where((F.col("unknown") <= 1) | varied | (F.col("n") - F.col("unknown") >= confidence * F.col("n"))).select("pattern", "n")
+
+
 def scored_patterns(src: DataFrame, m: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
     """(pattern, fillers, confidence) of the lexical patterns of `support` distinct instances that take part.
 
     src: the texts (text, text_key); m: mentions (value, seed, patterns).
     """
-    edges = stored(m.select("value", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL").distinct())
-    total = _fillers(src, edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), confidence)
+    edges = m.select("value", F.explode("patterns").alias("pattern"), "seed").where("pattern IS NOT NULL")
+    edges = stored(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")))
+    total = _fillers(src, _varied(edges, confidence).where(F.col("n") >= support), confidence)
+    edges = edges.drop("seed")
     if total.isEmpty():
         return total.withColumn("confidence", F.lit(0.0))
     edges = stored(edges.join(total, "pattern"))
