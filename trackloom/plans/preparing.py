@@ -97,7 +97,6 @@ def ioa_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Intersection over the first box's area, boxes given by corners."""
     k = F.col("wy").cast("long")
     b = detections(spark, d).select("ordinal", "camera", F.floor(F.col("frame") / 60).alias("slot"), (F.col("global_id") % 360).alias("l"), (k % 288).alias("t"), (20 + F.col("global_id") % 11).alias("w"), (40 + F.col("global_id") % 17).alias("h"))
-    y = b.select("camera", "slot", F.col("ordinal").alias("b"), *[F.col(c).alias(c + "2") for c in "ltwh"])
     one, two = X.corners([F.col(c) for c in "ltwh"]), X.corners([F.col(c + "2") for c in "ltwh"])
-    p = b.withColumnRenamed("ordinal", "a").join(y, ["camera", "slot"]).where("a < b")
+    p = E.meeting_boxes(b, ["camera", "slot"], "ordinal")
     return p.select("a", "b", X.rint(X.ioa(one, two, as_corners=True), 6).alias("ioa")).where("ioa > 0")
