@@ -176,6 +176,36 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_by_ranks(monkeypatch):
+    """Plain runs go to the faster library; its ids are the tokenizer's own, for every token of the vocabulary and for random runs."""
+    import public_tokenizers
+
+    cache = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert cache.ranked
+    plain = [chr(c) for c in range(0x21, 0x100) if packing.PLAIN(chr(c))]
+    rng = np.random.default_rng(3)
+    runs = ["".join(rng.choice(plain[:94] if k % 2 else plain, int(n))) for k, n in enumerate(rng.integers(1, 40, 4000))]
+    runs += ["".join(rng.choice(["th", "er", "in", "ou", "sh", "nd", "é", "ß", "'s", "7", "."], int(n))) for n in rng.integers(1, 12, 4000)]
+    back = {x: b for b, x in enumerate(cache.letters)}
+    for token in cache.tokenizer.get_vocab(with_added_tokens=False):
+        word = bytes(back[c] for c in token.removesuffix("</w>")).decode(errors="ignore")
+        runs += [x for x in (word, "q" + word, word + "s") if x and packing.PLAIN(x)]
+    assert len(runs) > 100_000
+    want = cache.tokenizer.encode_batch(runs, add_special_tokens=False)
+    for run, w in zip(runs, want, strict=True):
+        assert np.frombuffer(cache[run], "<u4").tolist() == w.ids, run
+    # whole texts, whose new runs go in one call; odd runs and turns of the cache too
+    odd, calls = ["", "x\x01y", "a\x00b", "<|endoftext|>x", "<b>", "Σ", "12½", "e\u0301", "w" * 70, "\x01"], []
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1 << 20)
+    cache.clear()
+    step = cache.ranked
+    cache.ranked = lambda x: calls.append(x) or step(x)
+    for k in range(0, 6000, 50):
+        text = " \n".join([*runs[k : k + 50], odd[k // 50 % len(odd)], *runs[:20]])
+        assert np.frombuffer(cache.of_text(text), "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert 120 <= len(calls) < 600
+
+
 def test_sharding(spark, odd, empty):
     for n in (1, 2, 3, 7, 100, 5000):
         df = spark.range(n).select("id", sharding.permuted(F.col("id"), n, 5).alias("p"))

@@ -11,10 +11,12 @@ All that moves between tasks are ids and lengths; texts are read once, where the
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ CACHE_BYTES, CACHE_PARTS = 64 << 20, 50_000
 #: A run of these characters needs no normalization but lower case; its parts are those of the tokenizer's own pattern.
 PLAIN = re.compile("[!-~\xa1-\xac\xae-\xb4\xb6-\xff]*").fullmatch
 LETTERS, DIGITS = "a-z\xaa\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+").findall
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}\x01]+|\x01").findall
 
 _caches: dict[str, WordIds] = {}
 
@@ -53,7 +55,8 @@ class WordIds(dict):
     """A run without blanks -> its token ids, four bytes each.
 
     The tokenizer never joins what a blank or line feed parts, so ids of the runs in a row are the ids of the text. Runs
-    of plain characters go to the tokenizer's model part by part, all others through the whole tokenizer.
+    of plain characters go part by part to the faster library where ids are in order of the merges, else to the
+    tokenizer's model; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,8 +70,28 @@ class WordIds(dict):
         self.parts: dict[str, list[int]] = {}
         self.letters = _byte_letters()
         self.special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
+        self.ranked = self._ranked(path)
+        self.cut = self.ranked("\x01\0")[0] if self.ranked else None  # plain runs have no such character
         self[""] = b""
 
+    def _ranked(self, path: str) -> Callable[[str], list[int]] | None:
+        """Ids of parts that each end with a null, which stands for the mark of a word's end; None where ids are no ranks."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, mark = self.tokenizer.get_vocab(with_added_tokens=False), model.get("end_of_word_suffix")
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        joined = ["".join([a.removesuffix(mark), b]) for a, b in merges] if mark else []
+        base = {x for x in self.letters} | {x + (mark or "") for x in self.letters}
+        # 512 letters, then what the merges make, each once
+        if not mark or {vocab.get(x, -1) for x in base} != set(range(512)) or any(vocab[x] > 255 for x in self.letters) or [vocab.get(x) for x in joined] != list(range(512, 512 + len(joined))):
+            return None
+        byte, null = {x: b for b, x in enumerate(self.letters)}, self.letters[0]
+        spelt = lambda x: bytes([byte[c] for c in x.removesuffix(mark)]) + (b"\0" if x.endswith(mark) else b"")
+        ranks = {spelt(x): vocab[x] for x in [*base, *joined] if null not in x or x == null}
+        return tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _part(self, part: str) -> list[int]:
         ids = self.parts.get(part)
         if ids is None:
@@ -77,24 +100,52 @@ class WordIds(dict):
                 self.parts[part] = ids
         return ids
 
+    def of_text(self, text: str) -> bytes:
+        """The ids of a whole text, four bytes each; its new runs are encoded in one call."""
+        runs = text.replace("\n", " ").split(" ")
+        got = list(map(self.get, runs))
+        if None in got:
+            if self.ranked:
+                self._learn({r for r, x in zip(runs, got, strict=True) if x is None and len(r) <= 64})
+            got = [self[r] if x is None else x for r, x in zip(runs, got, strict=True)]
+        return b"".join(got)
+
+    def _learn(self, runs: set[str]) -> None:
+        new = [r for r in runs if r not in self.older]
+        joined = "\x01".join(new)
+        if "<" in joined or not PLAIN(joined.replace("\x01", "")) or joined.count("\x01") >= max(len(new), 1):
+            new = [r for r in new if PLAIN(r) and not ("<" in r and any(x in r for x in self.special))]
+            joined = "\x01".join(new)
+        if not new:
+            return
+        ids = np.array(self.ranked("\0".join([*PARTS(joined.lower()), ""])), "<u4")
+        cuts, packed = np.flatnonzero(ids == self.cut).tolist(), ids.tobytes()
+        self.update((run, packed[4 * a + 4 : 4 * b]) for run, a, b in zip(new, [-1, *cuts], [*cuts, len(ids)], strict=True))
+        self.held += 220 * len(new) + len(joined) + len(packed)
+        self._turn()
+
+    def _turn(self) -> None:
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+
     def __missing__(self, run: str) -> bytes:
         packed = self.older.get(run)
         if packed is None:
             packed = self._ids(run)
         if len(run) <= 64:
             self.held += 220 + len(run) + len(packed)  # the two objects and their place in the dictionary
-            if self.held > CACHE_BYTES // 2:
-                self.older, self.held = dict(self), 0
-                self.clear()
+            self._turn()
             self[run] = packed
         return packed
 
     def _ids(self, run: str) -> bytes:
         if PLAIN(run) and not ("<" in run and any(x in run for x in self.special)):
-            ids = [i for part in PARTS(run.lower()) for i in self._part(part)]
+            parts = PARTS(run.lower())
+            ids = self.ranked("\0".join([*parts, ""])) if self.ranked else [i for part in parts for i in self._part(part)]
         else:
             ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def word_ids(tokenizer: str) -> WordIds:
@@ -115,7 +166,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = TOKENIZ
         for b in batches:
             rows = []
             for i, text in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                ids = b"".join(map(cache.__getitem__, text.replace("\n", " ").split(" "))) + end if text else end
+                ids = cache.of_text(text) + end if text else end
                 for p, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
                     rows.append((i, p, a // 4, len(part) // 4, zlib.crc32(part)))
